@@ -100,6 +100,8 @@ def _beta_quantile(p, a, b):
 
 def clopper_pearson(k: np.ndarray, n: np.ndarray, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.asarray(k, float), np.asarray(n, float)
+    # As a double this tail is a hair above 0.025, which decides the one exact tie of
+    # the whole-percent text: a single hit in a single trial reads "3 to 100".
     tail = (1 - level) / 2
     low, high = np.zeros_like(k), np.ones_like(k)
     all_hit, none_hit, inner = (k == n) & (n > 0), (k == 0) & (n > 0), (k > 0) & (k < n)

@@ -54,9 +54,15 @@ def attach_labels(study: DataFrame, labels: DataFrame, keep: list[str], site: in
 
 
 def with_unique_id(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``study_id`` plus a running number within the study, as text."""
-    number = F.row_number().over(Window.partitionBy("study_id").orderBy(*order))
-    return rows.withColumn("study_id_unique", F.concat(F.col("study_id").cast("string"), F.lit("_"), number.cast("string")))
+    """``study_id_unique``: the study, the ``order`` values and a number among equal rows, as text.
+
+    Numbering only rows that are equal in ``order`` keeps the key unique and
+    needs neither one task for the table nor one for a study with many rows.
+    """
+    keys = ["study_id", *order]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys] + [number.cast("string")]
+    return rows.withColumn("study_id_unique", F.concat_ws("_", *parts))
 
 
 def labelled_procedures(ratings: DataFrame, order: list[str] | None = None) -> DataFrame:

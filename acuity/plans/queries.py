@@ -283,12 +283,12 @@ def all_patients_primary_freq(spark, sf):
 @query
 def trauma_urgency(spark, sf):
     """From wide episodes to the trauma list: exclusions, cohort, labels, list."""
-    keep = ["study_id", "episode_number", "age", "procedural_consultant", "emerg_priority_collapse", "admit_to_book_pd"]
+    keep = ["study_id", "episode_number", "age", "procedural_consultant", "l_extendedprice", "emerg_priority_collapse",
+            "admit_to_book_pd"]
     trauma = cohort.keep_cohort(t.episodes(spark, sf), trauma_first_code(spark, sf))
     rows = proc.attach_labels(trauma, t.labels(spark, sf), keep)
     kept = code_ops.drop_excluded(rows, _excluded(spark, sf), "booked_procedure")
-    rated = proc.labelled_procedures(kept, ["episode_number", "proc_no", "procedural_consultant", "emerg_priority_collapse",
-                                            F.col("admit_to_book_pd")])
+    rated = proc.labelled_procedures(kept, ["episode_number", "proc_no", "procedural_consultant", "l_extendedprice"])
     return _list_shown(lists.procedure_urgency(rated, 75, 0.7, age_lower=0, age_upper=110, cohort="trauma"))
 
 
@@ -341,7 +341,6 @@ def age_group_lists(spark, sf):
 
 @query
 def age_group_diff(spark, sf):
-    rows = lists.urgency_lists
     differences = compare.list_differences(_age_lists(spark, sf))
     listed = compare.with_code_text(differences, t.codes(spark, sf)).withColumnRenamed("booked_procedure", "achi_code")
     return shown(listed.select("diff_name", "procedure_list", *compare.PUBLISHED), "urgent_total_pcnt")
