@@ -127,8 +127,7 @@ def exact_interval(k: Column, n: Column) -> Column:
     return _interval(k, n)
 
 
-def interval_text(interval: Column) -> Column:
-    """``"l to u"`` in whole percent, half-even."""
-    def whole(field):
-        return F.bround(interval[field] * 100, 0).cast("bigint").cast("string")
-    return F.concat(whole("ci_lower"), F.lit(" to "), whole("ci_upper"))
+def interval_text(interval: str) -> str:
+    """SQL text for ``"l to u"`` in whole percent, half-even."""
+    low, high = (f"cast(bround({interval}.{end} * 100, 0) as bigint)" for end in ("ci_lower", "ci_upper"))
+    return f"concat({low}, ' to ', {high})"

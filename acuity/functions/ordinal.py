@@ -1,30 +1,20 @@
-"""Dispersion of ratings on an ordered scale, as column expressions on level counts.
+"""Dispersion of ratings on an ordered scale, as SQL expressions on level counts.
 
 * consensus: Tastle & Wierman (2007), 1 = all in one level, 0 = split between the ends
 * agreement: van der Eijk (2001), 1 = all in one level, 0 = uniform, -1 = split between the ends
 """
 
-from functools import reduce
 from itertools import combinations
-from operator import add
 
-from pyspark.sql import Column, functions as F
 
-
-def _sum(terms: list[Column]) -> Column:
-    return reduce(add, terms)
-
-
-def consensus(counts: list[Column]) -> Column:
+def consensus(counts: list[str]) -> str:
     """Null when all counts are 0."""
     width = len(counts) - 1
-    total = _sum(counts)
-    mean = F.try_divide(_sum([c * F.lit(float(i)) for i, c in enumerate(counts)]), total)
-    terms = [
-        F.when(c > 0, c / total * F.log2(1 - F.abs(F.lit(float(i)) - mean) / F.lit(float(width)))).otherwise(0.0)
-        for i, c in enumerate(counts)
-    ]
-    return F.when(total > 0, F.lit(1.0) + _sum(terms))
+    total = f"({' + '.join(counts)})"
+    mean = f"try_divide({' + '.join(f'{i}e0 * {c}' for i, c in enumerate(counts))}, {total})"
+    terms = " + ".join(
+        f"if({c} > 0, {c} / {total} * log2(1 - abs({i} - {mean}) / {width}e0), 0e0)" for i, c in enumerate(counts))
+    return f"if({total} > 0, 1e0 + {terms}, null)"
 
 
 def pattern_agreement(pattern: tuple[int, ...]) -> float:
@@ -40,7 +30,7 @@ def pattern_agreement(pattern: tuple[int, ...]) -> float:
     return unimodality * (1 - (ones - 1) / (k - 1)) if ones else 0.0
 
 
-def agreement(counts: list[Column]) -> Column:
+def agreement(counts: list[str]) -> str:
     """Weighted mean of the agreement of the layers of the count profile.
 
     Layer j keeps the levels whose count reaches the j-th smallest count. Its
@@ -48,17 +38,13 @@ def agreement(counts: list[Column]) -> Column:
     counts are 0.
     """
     k = len(counts)
-    by_pattern = F.array(*[
-        F.lit(pattern_agreement(tuple(code >> i & 1 for i in range(k)))) for code in range(2 ** k)
-    ])
-    total = _sum(counts)
-    ordered = F.sort_array(F.array(*counts))
+    table = ", ".join(f"{pattern_agreement(tuple(code >> i & 1 for i in range(k)))!r}D" for code in range(2 ** k))
+    ordered = f"sort_array(array({', '.join(counts)}))"
     layers = []
     for j in range(k):
-        height = F.element_at(ordered, j + 1)
-        below = F.element_at(ordered, j) if j else F.lit(0)
+        height = f"{ordered}[{j}]"
+        below = f"{ordered}[{j - 1}]" if j else "0"
+        pattern = " + ".join(f"if({c} >= {height}, {1 << i}, 0)" for i, c in enumerate(counts))
         # k - j levels reach this height unless it ties with the one below, where the weight is 0
-        weight = (height - below) * (k - j)
-        code = _sum([F.when(c >= height, 1 << i).otherwise(0) for i, c in enumerate(counts)])
-        layers.append(weight * F.element_at(by_pattern, code + 1))
-    return F.try_divide(_sum(layers), total)
+        layers.append(f"({height} - {below}) * {k - j} * array({table})[{pattern}]")
+    return f"try_divide({' + '.join(layers)}, {' + '.join(counts)})"

@@ -10,8 +10,8 @@ TIE_KEYS = ["episode_number", "booked_procedure"]
 
 
 def with_booking_period(study: DataFrame) -> DataFrame:
-    hours = hours_between(F.col("emerg_book_dt_tm"), F.col("admit_dt_tm"))
-    return study.withColumn("admit_to_book_pd", booking_period(hours))
+    hours = study.withColumn("_hours", F.expr(hours_between("emerg_book_dt_tm", "admit_dt_tm")))
+    return hours.withColumn("admit_to_book_pd", F.expr(booking_period("_hours"))).drop("_hours")
 
 
 def first_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -27,14 +27,14 @@ def first_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def first_case_per_admission(study: DataFrame, tie_keys: list[str] | None = None) -> DataFrame:
     """Earliest case of an admission; a missing date comes last, ties go by ``tie_keys``."""
     ties = [c for c in (tie_keys or TIE_KEYS) if c in study.columns]
-    return first_row(study, ADMISSION, [F.col("case_date").asc_nulls_last(), *map(F.col, ties)])
+    return first_row(study, ADMISSION, [F.asc_nulls_last("case_date"), *ties])
 
 
 def prepare_bookings(study: DataFrame, tie_keys: list[str] | None = None,
                      priorities: dict[str, list[str]] = S.PRIORITY_LEVELS) -> DataFrame:
     """Same-day first cases with a collapsed priority and a pseudonymous rater."""
-    same_day = with_booking_period(study).filter(F.col("admit_to_book_pd") == S.SAME_DAY)
+    same_day = with_booking_period(study).filter(f"admit_to_book_pd = '{S.SAME_DAY}'")
     return first_case_per_admission(same_day, tie_keys).withColumns({
-        "emerg_priority_collapse": collapse_priority(F.col("emerg_priority"), priorities),
-        "procedural_consultant": rater_pseudonym(F.col("procedural_consultant")),
+        "emerg_priority_collapse": F.expr(collapse_priority("emerg_priority", priorities)),
+        "procedural_consultant": F.expr(rater_pseudonym("procedural_consultant")),
     })

@@ -1,10 +1,9 @@
 """Procedure codes that never count as a booked operation."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from acuity import schema as S
+from acuity.functions.scalars import literal
 
 
 def excluded_procedure_codes(codes: DataFrame,
@@ -13,9 +12,8 @@ def excluded_procedure_codes(codes: DataFrame,
                              listed: list[str] = S.EXCLUDED_CODES,
                              code: str = "achi_proc_code") -> DataFrame:
     """Distinct codes from block text, block number and a fixed list, as one column."""
-    by_text = F.col("block_text").rlike(text_pattern)
-    by_block = reduce(lambda a, b: a | b, [F.col("block_number").between(*r) for r in block_ranges])
-    found = codes.filter(by_text | by_block).select(code)
+    by_block = [f"block_number between {low} and {high}" for low, high in block_ranges]
+    found = codes.filter(" or ".join([f"block_text rlike {literal(text_pattern)}", *by_block])).select(code)
     if listed:
         extra = codes.sparkSession.createDataFrame([(c,) for c in listed], [code])
         found = found.unionByName(extra.select(F.col(code).cast(codes.schema[code].dataType)))
@@ -34,7 +32,7 @@ def blank_excluded(study: DataFrame, excluded: DataFrame, columns: list[str] | N
     for name in columns or S.procedure_code_columns(study.columns):
         hits = excluded.select(F.col(key).alias("_code"), F.lit(True).alias("_hit"))
         out = (out.join(hits, out[name] == F.col("_code"), "left")
-               .withColumn(name, F.when(F.col("_hit").isNull(), F.col(name)))
+               .withColumn(name, F.expr(f"if(_hit is null, `{name}`, null)"))
                .drop("_code", "_hit"))
     return out.select(study.columns)
 

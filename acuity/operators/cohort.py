@@ -1,11 +1,9 @@
 """Trauma cohort from diagnosis codes."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from acuity import schema as S
-from acuity.functions.scalars import code_stem, is_injury, is_mechanism, not_in
+from acuity.functions.scalars import code_stem, is_injury, is_mechanism, not_in, one_of
 
 
 def diagnosis_codes(study: DataFrame, zero_pad: bool = False) -> DataFrame:
@@ -14,22 +12,28 @@ def diagnosis_codes(study: DataFrame, zero_pad: bool = False) -> DataFrame:
     ``position`` is the place of the code in the wide row.
     """
     columns = S.diagnosis_columns(study.columns)
-    lower = study.select("study_id", *[F.lower(c).alias(c) for c in columns])
-    place = F.array_position(F.array(*map(F.lit, columns)), F.col("diagnosis_code"))
-    return (lower.unpivot(["study_id"], columns, "diagnosis_code", "code")
-            .filter(F.col("code") != "")
-            .withColumn("short_idc", code_stem(F.col("code")))
-            .filter(not_in(F.col("short_idc"), S.excluded_stems(zero_pad)))
-            .select("study_id", place.cast("int").alias("position"), "code", "short_idc",
-                    is_injury(F.col("code")).alias("trauma_by_inj"),
-                    is_mechanism(F.col("code")).alias("trauma_by_mech")))
-
-
-def _code_flag(column: str, stems: list[str]) -> Column:
-    """True / False for a code that survives the exclusion, null for no code."""
-    code = F.lower(F.col(column))
-    kept = (code != "") & not_in(code_stem(code), stems)
-    return F.when(kept, is_injury(code) | is_mechanism(code))
+    places = ", ".join(f"'{c}', {i}" for i, c in enumerate(columns, 1))
+    return (study.selectExpr("study_id", *[f"lower(`{c}`) as `{c}`" for c in columns])
+            .unpivot(["study_id"], columns, "diagnosis_code", "code")
+            .filter("code <> ''")
+            .withColumn("short_idc", F.expr(code_stem("code")))
+            .filter(not_in("short_idc", S.excluded_stems(zero_pad)))
+            .selectExpr("study_id", f"map({places})[diagnosis_code] as position", "code", "short_idc",
+                        f"{is_injury('code')} as trauma_by_inj", f"{is_mechanism('code')} as trauma_by_mech"))
+
+
+def _code_flag(column: str, stems: list[str]) -> str:
+    """True / False for a code that survives the exclusion, null for no code.
+
+    A stem is a character and two digits, so comparing the first three
+    characters with the three-character stems is the stem test without a
+    regular expression.
+    """
+    head = f"lower(left(`{column}`, 3))"
+    letter = f"lower(left(`{column}`, 1))"
+    excluded = one_of(head, [s for s in stems if len(s) == 3])
+    return (f"case when `{column}` <> '' and not {excluded} "
+            f"then {one_of(letter, S.INJURY_LETTERS + S.MECHANISM_LETTERS)} end")
 
 
 def row_trauma_flag(columns: list[str], mode: str = "first", zero_pad: bool = False) -> Column:
@@ -41,10 +45,10 @@ def row_trauma_flag(columns: list[str], mode: str = "first", zero_pad: bool = Fa
     """
     flags = [_code_flag(c, S.excluded_stems(zero_pad)) for c in columns]
     if mode == "first":
-        return F.coalesce(*flags)
+        return F.expr(f"coalesce({', '.join(flags)})")
     if mode == "any":
-        any_true = reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in flags])
-        return F.when(F.coalesce(*flags).isNotNull(), any_true)
+        # greatest() skips nulls and true is the larger value
+        return F.expr(f"greatest({', '.join(flags)})" if len(flags) > 1 else flags[0])
     raise ValueError(f"mode must be 'first' or 'any', not {mode!r}")
 
 
@@ -60,8 +64,8 @@ def trauma_cohort(study: DataFrame, mode: str = "first", zero_pad: bool = False,
     if row_order is None or row_order not in study.columns:
         return study.filter(flag).select("study_id")
     rows = study.select("study_id", F.col(row_order).alias("_order"), flag.alias("_flag")).filter("_flag is not null")
-    per_study = F.min_by("_flag", "_order") if mode == "first" else F.bool_or("_flag")
-    return rows.groupBy("study_id").agg(per_study.alias("_flag")).filter("_flag").select("study_id")
+    per_study = "min_by(_flag, _order)" if mode == "first" else "bool_or(_flag)"
+    return rows.groupBy("study_id").agg(F.expr(f"{per_study} as _flag")).filter("_flag").select("study_id")
 
 
 def keep_cohort(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -71,5 +75,5 @@ def keep_cohort(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 def flag_cohort(df: DataFrame, ids: DataFrame, flag: str = "trauma") -> DataFrame:
     """All rows, with a flag for the studies in ``ids`` (distinct)."""
-    marked = ids.select("study_id", F.lit(True).alias(flag))
-    return df.join(marked, "study_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    marked = ids.selectExpr("study_id", f"true as {flag}")
+    return df.join(marked, "study_id", "left").withColumn(flag, F.expr(f"coalesce({flag}, false)"))

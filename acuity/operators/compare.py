@@ -1,6 +1,6 @@
 """Projection, comparison and publication of lists."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # --- fixed values: labels and names of the published lists -------------------
 NOT_SPECIFIC = {
@@ -35,14 +35,14 @@ PUBLISHED = ["achi_code", "procedure_text", "block_text", "trauma", "primary_pro
 
 
 def with_code_text(listed: DataFrame, codes: DataFrame) -> DataFrame:
-    text = codes.select(F.col("achi_proc_code").alias("booked_procedure"), "procedure_text", "block_text")
+    text = codes.selectExpr("achi_proc_code as booked_procedure", "procedure_text", "block_text")
     return listed.join(text, "booked_procedure", "left")
 
 
 def urgent_list(listed: DataFrame, flag: str = "urgent_surgery_by_agmnt") -> DataFrame:
     """Published columns of the procedures with ``flag``."""
     front = [c for c in listed.columns if c == "list_name"]
-    return (listed.filter(F.col(flag)).withColumnRenamed("booked_procedure", "achi_code")
+    return (listed.filter(flag).withColumnRenamed("booked_procedure", "achi_code")
             .select(*front, *PUBLISHED))
 
 
@@ -65,15 +65,15 @@ def _urgent_on(lists: DataFrame) -> DataFrame:
     The lists of a procedure already sit in one partition after counting, so the
     window adds a local sort and no shuffle; it sees one row per list.
     """
-    name = F.when(F.col("urgent_surgery_by_agmnt"), F.col("list_name"))
-    return lists.withColumn("_on", F.collect_set(name).over(Window.partitionBy("booked_procedure")))
+    return lists.withColumn("_on", F.expr(
+        "collect_set(if(urgent_surgery_by_agmnt, list_name, null)) over (partition by booked_procedure)"))
 
 
-def _difference(group: str):
-    """Label of a row in the comparison of ``group`` with the full list, else null."""
-    row_of, on = F.col("list_name"), F.col("_on")
-    return (F.when((row_of == group) & ~F.array_contains(on, "full"), ONLY[group])
-            .when((row_of == "full") & ~F.array_contains(on, group), NOT_SPECIFIC[group]))
+def _difference(group: str) -> str:
+    """SQL text: label of a row in the comparison of ``group`` with the full list, else null."""
+    return (f"case when not urgent_surgery_by_agmnt then null "
+            f"when list_name = '{group}' and not array_contains(_on, 'full') then '{ONLY[group]}' "
+            f"when list_name = 'full' and not array_contains(_on, '{group}') then '{NOT_SPECIFIC[group]}' end")
 
 
 def list_differences(lists: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -82,13 +82,10 @@ def list_differences(lists: DataFrame, groups: list[str] | None = None) -> DataF
     Same rows as ``compare_lists`` for every group, without recomputing or
     joining any list.
     """
-    options = F.array(*[
-        F.struct(F.lit(DIFFERENCE_NAMES[g]).alias("diff_name"), _difference(g).alias("procedure_list"))
-        for g in groups or list(ONLY)
-    ])
-    rows = _urgent_on(lists).filter("urgent_surgery_by_agmnt").withColumn("_d", F.explode(options))
-    return (rows.filter("_d.procedure_list is not null")
-            .select("*", "_d.diff_name", "_d.procedure_list").drop("_on", "_d"))
+    options = ", ".join(f"struct('{DIFFERENCE_NAMES[g]}' as diff_name, {_difference(g)} as procedure_list)"
+                        for g in groups or list(ONLY))
+    return (_urgent_on(lists).selectExpr("*", f"inline(array({options}))")
+            .filter("procedure_list is not null").drop("_on"))
 
 
 def published_lists(lists: DataFrame, codes: DataFrame) -> DataFrame:
@@ -97,22 +94,15 @@ def published_lists(lists: DataFrame, codes: DataFrame) -> DataFrame:
     Every stacked row names the lists it goes to; the table is built in one
     pass and can be written with ``partitionBy("list_name")``.
     """
-    row_of = F.col("list_name")
-    nothing = F.lit(None).cast("string")
-
-    def entry(name, label=nothing):
-        return F.struct(name.alias("name"), label.alias("procedure_list"))
-
-    by_flag = [
-        entry(F.when(F.col(flag) & (row_of == group), name))
+    targets = [
+        f"struct(if({flag} and list_name = '{group}', '{name}', null) as _name, cast(null as string) as procedure_list)"
         for flag, names in (("urgent_surgery_by_agmnt", AGREEMENT_NAMES), ("urgent_surgery_by_cnsus", CONSENSUS_NAMES))
         for group, name in names.items()
-    ]
-    differences = [
-        entry(F.when(F.col("urgent_surgery_by_agmnt") & _difference(group).isNotNull(), name), _difference(group))
+    ] + [
+        f"struct(if({_difference(group)} is not null, '{name}', null) as _name, {_difference(group)} as procedure_list)"
         for group, name in DIFFERENCE_NAMES.items()
     ]
-    rows = _urgent_on(lists).withColumn("_p", F.explode(F.array(*by_flag, *differences)))
-    named = rows.filter("_p.name is not null").withColumn("list_name", F.col("_p.name"))
-    return (with_code_text(named, codes).withColumnRenamed("booked_procedure", "achi_code")
-            .select("list_name", *PUBLISHED, "_p.procedure_list"))
+    named = (_urgent_on(lists).selectExpr("*", f"inline(array({', '.join(targets)}))")
+             .filter("_name is not null").drop("list_name"))
+    return (with_code_text(named, codes).withColumnsRenamed({"booked_procedure": "achi_code", "_name": "list_name"})
+            .select("list_name", *PUBLISHED, "procedure_list"))

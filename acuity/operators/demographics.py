@@ -15,16 +15,16 @@ def one_row_per_study(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def outside_cohort(rows: DataFrame, cohort: DataFrame) -> DataFrame:
     """Rows of studies that are not in ``cohort``; a missing id matches a missing id."""
-    ids = cohort.select(F.col("study_id").alias("_id"))
+    ids = cohort.selectExpr("study_id as _id")
     return rows.join(ids, rows["study_id"].eqNullSafe(F.col("_id")), "left_anti")
 
 
 def flag_shared_procedure(studies: DataFrame, trauma_ids: DataFrame) -> DataFrame:
     """``trauma`` is true if the booked procedure was also booked in a trauma study."""
     shared = (studies.join(trauma_ids, "study_id", "left_semi")
-              .select(F.col("booked_procedure").alias("_key")).distinct().withColumn("trauma", F.lit(True)))
+              .selectExpr("booked_procedure as _key", "true as trauma").distinct())
     return (studies.join(shared, studies["booked_procedure"].eqNullSafe(F.col("_key")), "left")
-            .drop("_key").withColumn("trauma", F.coalesce("trauma", F.lit(False))))
+            .drop("_key").withColumn("trauma", F.expr("coalesce(trauma, false)")))
 
 
 def demographics(rows: DataFrame, cohort: DataFrame, trauma_ids: DataFrame, order: list[str]) -> DataFrame:
@@ -38,16 +38,16 @@ def demographic_freqs(studies: DataFrame, variables: list[str]) -> DataFrame:
     The variables are unpivoted, so one pass counts them all; percents are
     within the variable and leave out missing values.
     """
-    long = studies.select([F.col(v).cast("string") for v in variables]).unpivot([], variables, "variable", "value")
+    long = studies.selectExpr(*[f"cast({v} as string) as {v}" for v in variables]).unpivot([], variables, "variable", "value")
     return freq_table(long, "variable", "value")
 
 
 def specialty_freq(studies: DataFrame) -> DataFrame:
-    return most_frequent_first(freq_table(studies.select(specialty_group(F.col("specialty")).alias("specialty")), "specialty"))
+    return most_frequent_first(freq_table(studies.selectExpr(f"{specialty_group('specialty')} as specialty"), "specialty"))
 
 
 def urgent_specialty_freq(ratings: DataFrame, urgent: DataFrame) -> DataFrame:
     """Specialties of the urgent procedures; a procedure counts once per original specialty name."""
     pairs = ratings.select("booked_procedure", "specialty").distinct()
-    keys = urgent.select(F.col("achi_code").alias("booked_procedure"))
+    keys = urgent.selectExpr("achi_code as booked_procedure")
     return specialty_freq(pairs.join(keys, "booked_procedure", "left_semi"))

@@ -5,89 +5,78 @@ have at most 1001 values and ages a few hundred, so what reaches one task is
 bounded by the value range and not by the number of rows.
 """
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from acuity import schema as S
 
-QUARTILES = [0.25, 0.5, 0.75]
-
 
 def levels_long(listed: DataFrame, ids: list[str] | None = None) -> DataFrame:
     """One row per procedure and level: ``urgency``, ``pcnt``."""
     ids = ids or ["booked_procedure"]
-    return (listed.select(*ids, *[f"`{level}`" for level in S.LEVELS])
-            .unpivot(ids, [f"`{level}`" for level in S.LEVELS], "urgency", "pcnt"))
+    levels = [f"`{level}`" for level in S.LEVELS]
+    return listed.select(*ids, *levels).unpivot(ids, levels, "urgency", "pcnt")
 
 
 def value_counts(long: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return long.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return long.groupBy(*keys, value).agg(F.expr("count(*) as n"))
 
 
 def _quartiles(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """q25, median and q75 per key, linear between order statistics."""
-    weighted = F.percentile(value, F.array(*map(F.lit, QUARTILES)), F.col("n"))
-    return counts.groupBy(*keys).agg(weighted.alias("_q")).select(
-        *keys, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"))
+    weighted = counts.groupBy(*keys).agg(F.expr(f"percentile({value}, array(0.25, 0.5, 0.75), n) as _q"))
+    return weighted.selectExpr(*keys, "_q[0] as q25", "_q[1] as median", "_q[2] as q75")
 
 
 def level_distribution(listed: DataFrame) -> DataFrame:
     """Median, interquartile range and quartiles of each level's percent over procedures."""
     q = _quartiles(value_counts(levels_long(listed), ["urgency"], "pcnt"), ["urgency"], "pcnt")
-    return q.select("urgency", F.col("median").alias("median_pct"), (F.col("q75") - F.col("q25")).alias("IQR_pct"),
-                    F.col("q25").alias("one_quantile_pcnt"), F.col("q75").alias("three_quantile_pcnt"))
+    return q.selectExpr("urgency", "median as median_pct", "q75 - q25 as IQR_pct", "q25 as one_quantile_pcnt",
+                        "q75 as three_quantile_pcnt")
 
 
 def level_boxplot_stats(listed: DataFrame) -> DataFrame:
     """Box, whiskers (furthest values within 1.5 IQR of the box) and outlier count per level."""
     counts = value_counts(levels_long(listed), ["urgency"], "pcnt")
     boxed = counts.join(_quartiles(counts, ["urgency"], "pcnt"), "urgency")
-    reach = (F.col("q75") - F.col("q25")) * 1.5
-    inside = F.col("pcnt").between(F.col("q25") - reach, F.col("q75") + reach)
+    inside = "pcnt between q25 - 1.5e0 * (q75 - q25) and q75 + 1.5e0 * (q75 - q25)"
     return boxed.groupBy("urgency").agg(
-        F.min(F.when(inside, F.col("pcnt"))).alias("whisker_low"),
-        F.first("q25").alias("q25"), F.first("median").alias("median"), F.first("q75").alias("q75"),
-        F.max(F.when(inside, F.col("pcnt"))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("n_outliers"),
+        F.expr(f"min(if({inside}, pcnt, null)) as whisker_low"),
+        *[F.expr(f"first({c}) as {c}") for c in ("q25", "median", "q75")],
+        F.expr(f"max(if({inside}, pcnt, null)) as whisker_high"),
+        F.expr(f"sum(if({inside}, 0, n)) as n_outliers"),
     )
 
 
 def _moments(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean and sample standard deviation per key, in two passes over the value counts."""
-    n, v = F.col("n"), F.col(value)
-    means = counts.groupBy(*keys).agg(F.sum("n").alias("_n"), (F.sum(n * v) / F.sum(n)).alias("mean"))
+    means = counts.groupBy(*keys).agg(F.expr("sum(n) as n_values"), F.expr(f"sum(n * {value}) / sum(n) as mean"))
     spread = counts.join(means, keys).groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.first("mean").alias("mean"),
-        F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("_ss"))
-    return spread.select(*keys, F.col("_n").alias("n_values"), "mean",
-                         F.sqrt(F.try_divide(F.col("_ss"), F.col("_n") - 1)).alias("sd"))
+        F.expr("first(n_values) as n_values"), F.expr("first(mean) as mean"),
+        F.expr(f"sum(n * ({value} - mean) * ({value} - mean)) as _ss"))
+    return spread.selectExpr(*keys, "n_values", "mean", "sqrt(try_divide(_ss, n_values - 1)) as sd")
 
 
 def numeric_profile(df: DataFrame, variables: list[str]) -> DataFrame:
     """N, share missing, mean, sd, quartiles, range of numeric columns; one row per variable."""
-    long = df.select([F.col(v).cast("double") for v in variables]).unpivot([], variables, "Variable", "value")
+    long = df.selectExpr(*[f"cast({v} as double) as {v}" for v in variables]).unpivot([], variables, "Variable", "value")
     counts = value_counts(long, ["Variable"], "value")
     known = counts.filter("value is not null")
     sizes = counts.groupBy("Variable").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("N"),
-        (F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("missing"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+        F.expr("sum(if(value is null, 0, n)) as N"), F.expr("sum(if(value is null, n, 0)) / sum(n) as missing"),
+        F.expr("min(value) as min"), F.expr("max(value) as max"))
     return (sizes.join(_moments(known, ["Variable"], "value"), "Variable", "left")
             .join(_quartiles(known, ["Variable"], "value"), "Variable", "left")
-            .select("Variable", "N", "missing", "mean", "sd", "median",
-                    (F.col("q75") - F.col("q25")).alias("IQR"),
-                    F.col("q25").alias("25 centile"), F.col("q75").alias("75 centile"), "min", "max"))
+            .selectExpr("Variable", "N", "missing", "mean", "sd", "median", "q75 - q25 as IQR",
+                        "q25 as `25 centile`", "q75 as `75 centile`", "min", "max"))
 
 
 def histogram(df: DataFrame, variable: str, low: float, high: float, width: float) -> DataFrame:
     """Counts per bin ``(bin_from, bin_to]`` from ``low`` to ``high``; the first bin includes ``low``."""
-    value = F.col(variable)
-    place = F.greatest(F.ceil((value - F.lit(low)) / F.lit(width)), F.lit(1)) - 1
-    inside = df.filter((value >= F.lit(low)) & (value <= F.lit(high)))
-    return (inside.groupBy(place.alias("_bin")).agg(F.count("*").alias("n"))
-            .select((F.lit(low) + F.col("_bin") * F.lit(width)).cast("double").alias("bin_from"),
-                    (F.lit(low) + (F.col("_bin") + 1) * F.lit(width)).cast("double").alias("bin_to"), "n"))
+    place = f"greatest(ceil(({variable} - {low}) / {float(width)}D), 1) - 1 as _bin"
+    counted = (df.filter(f"{variable} between {low} and {high}").selectExpr(place)
+               .groupBy("_bin").agg(F.expr("count(*) as n")))
+    return counted.selectExpr(f"cast({low} + _bin * {width} as double) as bin_from",
+                              f"cast({low} + (_bin + 1) * {width} as double) as bin_to", "n")
 
 
 def level_density(long: DataFrame, keys: list[str], value: str = "pcnt",
@@ -101,13 +90,11 @@ def level_density(long: DataFrame, keys: list[str], value: str = "pcnt",
     """
     counts = value_counts(long, keys, value)
     stats = _moments(counts, keys, value).join(_quartiles(counts, keys, value), keys)
-    sd = F.coalesce(F.col("sd"), F.lit(0.0))
-    robust = F.least(sd, (F.col("q75") - F.col("q25")) / 1.34)
-    spread = F.when(robust > 0, robust).when(sd > 0, sd).otherwise(1.0)
-    bandwidth = stats.select(*keys, "n_values", (spread * 0.9 * F.pow(F.col("n_values"), F.lit(-0.2))).alias("bw"))
+    robust = "least(coalesce(sd, 0), (q75 - q25) / 1.34e0)"
+    spread = f"case when {robust} > 0 then {robust} when sd > 0 then sd else 1e0 end"
+    bandwidth = stats.selectExpr(*keys, "n_values", f"0.9e0 * {spread} * pow(n_values, -0.2e0) as bw")
     step = (high - low) / (points - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * F.lit(step))
-    z = (F.col("x") - F.col(value)) / F.col("bw")
-    kernel = F.exp(-z * z / 2) / (F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
-    return (counts.join(bandwidth, keys).withColumn("x", F.explode(grid))
-            .groupBy(*keys, "x").agg((F.sum(F.col("n") * kernel) / F.first("n_values")).alias("density")))
+    grid = f"explode(transform(sequence(0, {points - 1}), i -> {float(low)}D + i * {step}D)) as x"
+    kernel = f"exp(-pow((x - {value}) / bw, 2) / 2) / (bw * sqrt(2 * pi()))"
+    return (counts.join(bandwidth, keys).selectExpr("*", grid)
+            .groupBy(*keys, "x").agg(F.expr(f"sum(n * {kernel}) / first(n_values) as density")))

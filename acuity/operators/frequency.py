@@ -6,19 +6,19 @@ from acuity.functions.scalars import percent
 
 
 def freq_table(df: DataFrame, *columns: str, digits: int | None = 1) -> DataFrame:
-    """Counts ``n`` and percent ``prop`` of one or two variables; rows with a null are left out.
+    """Counts ``n`` and percent ``prop`` of one or more variables; rows with a null are left out.
 
-    With two variables the percent is within the first one. The counts are
+    With more than one variable the percent is within all but the last one. The counts are
     pre-aggregated before any total is taken, so the totals only see one row
     per combination.
     """
-    counts = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("n"))
+    counts = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.expr("count(*) as n"))
     if len(columns) == 1:
-        total = counts.agg(F.sum("n")).scalar()
+        counts = counts.withColumn("_total", counts.agg(F.sum("n")).scalar())
     else:
-        total = F.sum("n").over(Window.partitionBy(*columns[:-1]))
-    return counts.withColumn("prop", percent(F.col("n"), total, digits))
+        counts = counts.withColumn("_total", F.sum("n").over(Window.partitionBy(*columns[:-1])))
+    return counts.selectExpr(*columns, "n", f"{percent('n', '_total', digits)} as prop")
 
 
 def most_frequent_first(freq: DataFrame) -> DataFrame:
-    return freq.orderBy(F.col("prop").desc_nulls_last(), F.col("n").desc(), *freq.columns[:-2])
+    return freq.orderBy(F.expr("prop").desc_nulls_last(), F.expr("n").desc(), *freq.columns[:-2])

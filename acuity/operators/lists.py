@@ -7,17 +7,16 @@ a rare one. Several lists (by age, by sex) are counted side by side in the
 same aggregate: one pass and one shuffle, however many lists.
 """
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from acuity import schema as S
 from acuity.functions.interval import exact_interval, interval_text
 from acuity.functions.ordinal import agreement, consensus
-from acuity.functions.scalars import percent
+from acuity.functions.scalars import literal, percent
 
 COUNTS = [f"n_{level.strip('<hrs')}" for level in S.LEVELS]  # n_1 n_4 n_8 n_24 n_72
+TOTAL = " + ".join(COUNTS)
+FOLDED_COUNTS = [f"({COUNTS[0]} + {COUNTS[1]})", *COUNTS[2:]]  # counts on the four-level scale
 LIST_COLUMNS = [
     "booked_procedure", *S.LEVELS, "Agreement", "Consensus", "urgent_total_pcnt", "urgent_total_pcnt_CI",
     "urgent_surgery_by_agmnt", "urgent_surgery_by_cnsus", "proc_n", "trauma", "primary_proc",
@@ -26,7 +25,7 @@ LIST_COLUMNS = [
 
 def age_bounds(ratings: DataFrame) -> DataFrame:
     """One row with the smallest and largest age."""
-    return ratings.agg(F.min("age").alias("age_min"), F.max("age").alias("age_max"))
+    return ratings.agg(F.expr("min(age) as age_min"), F.expr("max(age) as age_max"))
 
 
 def in_age_range(ratings: DataFrame, age_lower: float | None = None, age_upper: float | None = None,
@@ -38,41 +37,36 @@ def in_age_range(ratings: DataFrame, age_lower: float | None = None, age_upper:
     subquery over the age column alone; a lower bound that is not given needs
     no pass, since every age reaches the minimum.
     """
-    age = F.col("age")
-    inside = age.isNotNull() if age_lower is None else age >= F.lit(age_lower)
-    if age_upper is None:
-        return inside if closed_upper else inside & (age < ratings.agg(F.max("age")).scalar())
-    return inside & ((age <= F.lit(age_upper)) if closed_upper else (age < F.lit(age_upper)))
+    inside = "age is not null" if age_lower is None else f"age >= {age_lower}"
+    if age_upper is not None:
+        return F.expr(f"{inside} and age {'<=' if closed_upper else '<'} {age_upper}")
+    if closed_upper:
+        return F.expr(inside)
+    return F.expr(inside) & (F.col("age") < ratings.agg(F.max("age")).scalar())
 
 
 def same_day(ratings: DataFrame) -> DataFrame:
-    return ratings.filter(F.col("admit_to_book_pd") == S.SAME_DAY)
+    return ratings.filter(f"admit_to_book_pd = '{S.SAME_DAY}'")
 
 
-def _counters(trauma: Column, member: Column | None = None) -> dict[str, Column]:
+def _counters(trauma: str, member: str = "true") -> dict[str, str]:
     """Aggregates of one list: a count per level and two flags."""
-    def when(condition):
-        return condition if member is None else member & condition
-    level = F.col("emerg_priority_collapse")
-    counts = {n: F.count_if(when(level == name)) for name, n in zip(S.LEVELS, COUNTS)}
-    flags = {name: F.bool_or(F.coalesce(when(flag), F.lit(False)))
-             for name, flag in (("trauma", trauma), ("primary_proc", F.col("primary_proc")))}
+    counts = {n: f"count_if({member} and emerg_priority_collapse = {literal(level)})" for level, n in zip(S.LEVELS, COUNTS)}
+    flags = {name: f"bool_or({member} and coalesce({flag}, false))"
+             for name, flag in (("trauma", trauma), ("primary_proc", "primary_proc"))}
     return counts | flags
 
 
-def _trauma(cohort: str) -> Column:
-    if cohort == "trauma":
-        return F.lit(True)
-    if cohort == "all patients":
-        return F.col("trauma")
-    raise ValueError(f"cohort must be 'trauma' or 'all patients', not {cohort!r}")
+def _trauma(cohort: str) -> str:
+    if cohort not in ("trauma", "all patients"):
+        raise ValueError(f"cohort must be 'trauma' or 'all patients', not {cohort!r}")
+    return "true" if cohort == "trauma" else "trauma"
 
 
 def level_counts(ratings: DataFrame, cohort: str = "trauma") -> DataFrame:
     """Counts per level, wide, with the flags; procedures without any rated booking are absent."""
-    counts = ratings.groupBy("booked_procedure").agg(
-        *[c.alias(n) for n, c in _counters(_trauma(cohort)).items()])
-    return counts.filter(_total(COUNTS) > 0)
+    counters = [F.expr(f"{c} as {n}") for n, c in _counters(_trauma(cohort)).items()]
+    return ratings.groupBy("booked_procedure").agg(*counters).filter(f"{TOTAL} > 0")
 
 
 def level_counts_by_list(ratings: DataFrame, members: dict[str, Column], cohort: str = "trauma") -> DataFrame:
@@ -80,28 +74,14 @@ def level_counts_by_list(ratings: DataFrame, members: dict[str, Column], cohort:
 
     ``members`` says for each list which rows belong to it; lists may overlap.
     """
-    aggregates = []
-    for i, member in enumerate(members.values()):
-        counters = _counters(_trauma(cohort), F.coalesce(member, F.lit(False)))
-        aggregates += [c.alias(f"{n}_{i}") for n, c in counters.items()]
-    names = list(_counters(_trauma(cohort)))
-    wide = ratings.groupBy("booked_procedure").agg(*aggregates)
-    lists = F.array(*[
-        F.struct(F.lit(name).alias("list_name"), *[F.col(f"{c}_{i}").alias(c) for c in names])
-        for i, name in enumerate(members)
-    ])
-    stacked = wide.select("booked_procedure", F.inline(lists))
-    return stacked.filter(_total(COUNTS) > 0)
-
-
-def _total(columns: list[str]) -> Column:
-    return reduce(add, [F.col(c) for c in columns])
-
-
-def folded_counts() -> list[Column]:
-    """Counts on the four-level scale."""
-    top, second, *rest = [F.col(c) for c in COUNTS]
-    return [top + second, *rest]
+    marked = ratings.withColumns({f"_in_{i}": F.coalesce(m, F.lit(False)) for i, m in enumerate(members.values())})
+    trauma = _trauma(cohort)
+    counters = [F.expr(f"{c} as {n}_{i}") for i in range(len(members)) for n, c in _counters(trauma, f"_in_{i}").items()]
+    stack = ", ".join(
+        f"struct({literal(name)} as list_name, {', '.join(f'{n}_{i} as {n}' for n in _counters(trauma))})"
+        for i, name in enumerate(members))
+    wide = marked.groupBy("booked_procedure").agg(*counters)
+    return wide.selectExpr("booked_procedure", f"inline(array({stack}))").filter(f"{TOTAL} > 0")
 
 
 def urgent_levels(urgency: int) -> int:
@@ -113,54 +93,46 @@ def urgent_levels(urgency: int) -> int:
 
 def with_percents(counts: DataFrame, percent_digits: int | None = 1) -> DataFrame:
     """Adds ``proc_n`` and one percent column per level, named after the level."""
-    total = _total(COUNTS)
-    return counts.withColumns({
-        "proc_n": total,
-        **{level: percent(F.col(n), total, percent_digits) for level, n in zip(S.LEVELS, COUNTS)},
-    })
+    shares = [f"{percent(n, TOTAL, percent_digits)} as `{level}`" for level, n in zip(S.LEVELS, COUNTS)]
+    return counts.selectExpr("*", f"{TOTAL} as proc_n", *shares)
 
 
 def with_ordinal(counts: DataFrame) -> DataFrame:
-    return counts.withColumns({
-        "Agreement": agreement(folded_counts()),
-        "Consensus": consensus(folded_counts()),
-    })
+    return counts.selectExpr("*", f"{agreement(FOLDED_COUNTS)} as Agreement", f"{consensus(FOLDED_COUNTS)} as Consensus")
 
 
 def with_urgent_percent(listed: DataFrame, urgency: int = 4) -> DataFrame:
     """Share booked within the window: the sum of the level percents, as displayed."""
-    levels = S.LEVELS[:urgent_levels(urgency)]
-    return listed.withColumn("urgent_total_pcnt", reduce(add, [F.col(f"`{level}`") for level in levels]))
+    share = " + ".join(f"`{level}`" for level in S.LEVELS[:urgent_levels(urgency)])
+    return listed.withColumn("urgent_total_pcnt", F.expr(share))
 
 
 def with_interval(listed: DataFrame, urgency: int = 4) -> DataFrame:
     """Exact 95 % interval of the urgent share, from the counts themselves."""
-    hits = _total(COUNTS[:urgent_levels(urgency)])
-    return (listed.withColumn("_ci", exact_interval(hits, _total(COUNTS)))
-            .withColumn("urgent_total_pcnt_CI", interval_text(F.col("_ci"))).drop("_ci"))
+    hits = F.expr(" + ".join(COUNTS[:urgent_levels(urgency)]))
+    return (listed.withColumn("_ci", exact_interval(hits, F.expr(TOTAL)))
+            .withColumn("urgent_total_pcnt_CI", F.expr(interval_text("_ci"))).drop("_ci"))
 
 
-def by_agreement(agreement_threshold: float) -> Column:
-    return F.coalesce(F.col("urgent_total_pcnt") >= agreement_threshold, F.lit(False))
+def by_agreement(agreement_threshold: float) -> str:
+    return f"coalesce(urgent_total_pcnt >= {float(agreement_threshold)}D, false)"
 
 
-def by_consensus(agreement_threshold: float, consensus_threshold: float) -> Column:
+def by_consensus(agreement_threshold: float, consensus_threshold: float) -> str:
     """More than half of the ratings, short of agreement, and raters who disagree."""
-    share = F.col("urgent_total_pcnt")
-    return F.coalesce((share < agreement_threshold) & (share > 50)
-                      & (F.col("Consensus") < consensus_threshold), F.lit(False))
+    return (f"coalesce(urgent_total_pcnt < {float(agreement_threshold)}D and urgent_total_pcnt > 50 "
+            f"and Consensus < {float(consensus_threshold)}D, false)")
 
 
 def classify(counts: DataFrame, agreement_threshold: float, consensus_threshold: float,
              urgency: int = 4, percent_digits: int | None = 1) -> DataFrame:
     """Level counts to the finished list."""
     listed = with_urgent_percent(with_ordinal(with_percents(counts, percent_digits)), urgency)
-    flagged = listed.withColumns({
-        "urgent_surgery_by_agmnt": by_agreement(agreement_threshold),
-        "urgent_surgery_by_cnsus": by_consensus(agreement_threshold, consensus_threshold),
-    })
+    flagged = listed.selectExpr(
+        "*", f"{by_agreement(agreement_threshold)} as urgent_surgery_by_agmnt",
+        f"{by_consensus(agreement_threshold, consensus_threshold)} as urgent_surgery_by_cnsus")
     front = [c for c in counts.columns if c == "list_name"]
-    return with_interval(flagged, urgency).select(*front, *[f"`{c}`" for c in LIST_COLUMNS])
+    return with_interval(flagged, urgency).selectExpr(*front, *[f"`{c}`" for c in LIST_COLUMNS])
 
 
 def procedure_urgency(ratings: DataFrame, agreement_threshold: float, consensus_threshold: float,
@@ -189,7 +161,7 @@ def age_members(ratings: DataFrame) -> dict[str, Column]:
 
 def sex_members(ratings: DataFrame) -> dict[str, Column]:
     inside = in_age_range(ratings)
-    return {"male": inside & (F.col("sex") == "M"), "female": inside & (F.col("sex") == "F")}
+    return {"male": inside & F.expr("sex = 'M'"), "female": inside & F.expr("sex = 'F'")}
 
 
 def urgency_lists(ratings: DataFrame, members: dict[str, Column], agreement_threshold: float = 75,

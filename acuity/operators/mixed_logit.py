@@ -99,7 +99,7 @@ def _evaluate(counts: DataFrame, x: np.ndarray, points: list[np.ndarray]) -> lis
 
     typed = ", ".join(f"{c} double" for c in names) + ", point int"
     rows = (counts.select(*n_columns, *y_columns).mapInPandas(partition_sums, typed)
-            .groupBy("point").agg(*[F.sum(c).alias(c) for c in names]).orderBy("point").collect())
+            .groupBy("point").agg(*[F.expr(f"sum({c}) as {c}") for c in names]).orderBy("point").collect())
     return [(r["value"], np.array([r[f"g{i}"] for i in range(width)])) for r in rows]
 
 
@@ -123,13 +123,12 @@ class Fit:
 
 def cell_totals(counts: DataFrame, x: np.ndarray) -> DataFrame:
     """One row per covariate cell with its totals and design columns."""
-    rows = counts.agg(*[F.sum(c).alias(c) for j in range(len(x)) for c in (f"n{j}", f"y{j}")])
-    stacked = rows.select(F.inline(F.array(*[
-        F.struct(F.col(f"n{j}").cast("double").alias("n"), (F.try_divide(f"y{j}", f"n{j}")).alias("share"),
-                 *[F.lit(float(v)).alias(f"x{i}") for i, v in enumerate(x[j])])
-        for j in range(len(x))
-    ])))
-    return stacked.filter("n > 0")
+    sums = counts.agg(*[F.expr(f"sum({c}{j}) as {c}{j}") for j in range(len(x)) for c in "ny"])
+    rows = ", ".join(
+        f"struct(cast(n{j} as double) as n, try_divide(y{j}, n{j}) as share, "
+        + ", ".join(f"{float(v)}D as x{i}" for i, v in enumerate(x[j])) + ")"
+        for j in range(len(x)))
+    return sums.selectExpr(f"inline(array({rows}))").filter("n > 0")
 
 
 def _plain_logit(counts: DataFrame, names: list[str], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,10 +159,9 @@ def random_intercept_logit(counts: DataFrame, terms: str = "main", with_trauma:
     """
     names, x = design(terms, with_trauma)
     k = len(names) + 1
-    size = counts.agg(F.count("*").alias("groups"), *[F.sum(f"n{j}").alias(f"n{j}") for j in range(len(x))],
-                      *[F.sum(f"y{j}").alias(f"y{j}") for j in range(len(x))]).first()
-    n_total = sum(size[f"n{j}"] or 0 for j in range(len(x)))
-    y_total = sum(size[f"y{j}"] or 0 for j in range(len(x)))
+    n_sum, y_sum = (" + ".join(f"{c}{j}" for j in range(len(x))) for c in "ny")
+    groups, n_total, y_total = counts.agg(
+        F.expr("count(*)"), F.expr(f"coalesce(sum({n_sum}), 0)"), F.expr(f"coalesce(sum({y_sum}), 0)")).first()
     if not 0 < y_total < n_total:
         raise ValueError("the outcome does not vary")
     beta = _plain_logit(counts, names, x)[0] if k > 2 else np.array([math.log(y_total / (n_total - y_total))])
@@ -196,7 +194,7 @@ def random_intercept_logit(counts: DataFrame, terms: str = "main", with_trauma:
         point[-1] = abs(point[-1])  # the sign of tau carries no meaning
         value, grad, hessian = with_curvature(point)
     covariance = np.linalg.pinv(-hessian)[:-1, :-1]
-    return Fit(names, point[:-1], float(point[-1]), covariance, float(value), int(n_total), int(size["groups"]), bool(converged))
+    return Fit(names, point[:-1], float(point[-1]), covariance, float(value), int(n_total), int(groups), bool(converged))
 
 
 # --- results -----------------------------------------------------------------
@@ -204,12 +202,9 @@ def _odds_table(spark: SparkSession, names, beta, errors, digits: int | None = 2
     table = spark.createDataFrame(
         [(n, float(b), float(e)) for n, b, e in zip(names, beta, errors)], "Variable string, beta double, se double")
 
-    def shown(c):
-        return c if digits is None else F.bround(c, digits)
-    return table.select(
-        "Variable", shown(F.exp("beta")).alias("OddsRatio"),
-        shown(F.exp(F.col("beta") - 1.96 * F.col("se"))).alias("LL"),
-        shown(F.exp(F.col("beta") + 1.96 * F.col("se"))).alias("UL"))
+    ratios = {"OddsRatio": "exp(beta)", "LL": "exp(beta - 1.96e0 * se)", "UL": "exp(beta + 1.96e0 * se)"}
+    return table.selectExpr("Variable", *[
+        f"{r} as {name}" if digits is None else f"bround({r}, {digits}) as {name}" for name, r in ratios.items()])
 
 
 def odds_ratios(spark: SparkSession, fit: Fit, digits: int | None = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from acuity import schema as S
 from acuity.functions.scalars import age_group, urgent_outcome
@@ -17,9 +17,9 @@ def model_frame(ratings: DataFrame, min_raters: int = 8, both_sexes: bool = True
     """Rating rows of the eligible procedures with outcome and age group."""
     eligible = model_eligibility(ratings, min_raters, both_sexes).select("booked_procedure")
     trauma = ["trauma"] if "trauma" in ratings.columns else []
-    return ratings.join(eligible, "booked_procedure", "left_semi").select(
-        "booked_procedure", "sex", age_group(F.col("age")).alias("age_gp"),
-        urgent_outcome(F.col("emerg_priority_collapse")).alias("urgent_yn"), *trauma)
+    return ratings.join(eligible, "booked_procedure", "left_semi").selectExpr(
+        "booked_procedure", "sex", f"{age_group('age')} as age_gp",
+        f"{urgent_outcome('emerg_priority_collapse')} as urgent_yn", *trauma)
 
 
 def cells(with_trauma: bool) -> list[tuple]:
@@ -27,10 +27,10 @@ def cells(with_trauma: bool) -> list[tuple]:
     return list(product(SEXES, MODEL_AGES, [False, True] if with_trauma else [None]))
 
 
-def _in_cell(cell: tuple) -> Column:
+def _in_cell(cell: tuple) -> str:
     sex, age, trauma = cell
-    inside = (F.col("sex") == sex) & (age_group(F.col("age")) == age)
-    return inside if trauma is None else inside & (F.coalesce(F.col("trauma"), F.lit(False)) == trauma)
+    inside = f"sex = '{sex}' and age_gp = '{age}'"
+    return inside if trauma is None else f"{inside} and coalesce(trauma, false) = {trauma}"
 
 
 def model_cells(ratings: DataFrame, min_raters: int = 8, both_sexes: bool = True,
@@ -41,15 +41,16 @@ def model_cells(ratings: DataFrame, min_raters: int = 8, both_sexes: bool = True
     once and only a fixed number of counters per procedure is shuffled. Rows
     with a missing sex or age count for eligibility and are left out of the cells.
     """
-    is_event = urgent_outcome(F.col("emerg_priority_collapse")) == event
-    aggregates = []
+    marked = ratings.withColumns({
+        "age_gp": F.expr(age_group("age")),
+        "_event": F.expr(f"{urgent_outcome('emerg_priority_collapse')} = '{event}'"),
+    })
+    counters = ["count(*) as num_of_raters", "count(sex) as _known",
+                "count_if(sex = 'M') as _male", "count_if(sex = 'F') as _female"]
     for j, cell in enumerate(cells(with_trauma)):
-        inside = F.coalesce(_in_cell(cell), F.lit(False))
-        aggregates += [F.count_if(inside).alias(f"n{j}"), F.count_if(inside & is_event).alias(f"y{j}")]
-    counted = ratings.groupBy("booked_procedure").agg(
-        F.count("*").alias("num_of_raters"), F.count("sex").alias("_known"),
-        F.count_if(F.col("sex") == "M").alias("_male"), F.count_if(F.col("sex") == "F").alias("_female"), *aggregates)
-    kept = counted.filter(F.col("num_of_raters") >= min_raters)
+        counters += [f"count_if({_in_cell(cell)}) as n{j}", f"count_if(_event and {_in_cell(cell)}) as y{j}"]
+    kept = (marked.groupBy("booked_procedure").agg(*map(F.expr, counters))
+            .filter(f"num_of_raters >= {min_raters}"))
     if both_sexes:
         kept = kept.filter("_known = num_of_raters and _male >= 1 and _female >= 1")
     return kept.drop("_known", "_male", "_female")
@@ -57,16 +58,13 @@ def model_cells(ratings: DataFrame, min_raters: int = 8, both_sexes: bool = True
 
 def cells_long(wide: DataFrame, with_trauma: bool = False) -> DataFrame:
     """Non-empty cells, one row each."""
-    rows = F.array(*[
-        F.struct(F.lit(sex).alias("sex"), F.lit(age).alias("age_gp"),
-                 *([F.lit(trauma).alias("trauma")] if with_trauma else []),
-                 F.col(f"n{j}").alias("n"), F.col(f"y{j}").alias("y"))
-        for j, (sex, age, trauma) in enumerate(cells(with_trauma))
-    ])
-    return wide.select("booked_procedure", F.inline(rows)).filter("n > 0")
+    rows = ", ".join(
+        f"struct('{sex}' as sex, '{age}' as age_gp, {f'{trauma} as trauma, ' if with_trauma else ''}n{j} as n, y{j} as y)"
+        for j, (sex, age, trauma) in enumerate(cells(with_trauma)))
+    return wide.selectExpr("booked_procedure", f"inline(array({rows}))").filter("n > 0")
 
 
 def sample_size(wide: DataFrame, with_trauma: bool = False) -> DataFrame:
     """One row: procedures and ratings that enter the model."""
     return cells_long(wide, with_trauma).agg(
-        F.count_distinct("booked_procedure").alias("n_procedures"), F.sum("n").alias("n_ratings"))
+        F.expr("count(distinct booked_procedure) as n_procedures"), F.expr("sum(n) as n_ratings"))

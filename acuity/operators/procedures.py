@@ -13,8 +13,8 @@ def unpivot_procedures(study: DataFrame, keep: list[str]) -> DataFrame:
     columns = S.procedure_code_columns(study.columns)
     return (study.select(*keep, *columns)
             .unpivot(keep, columns, "proc_num", "achi_proc_code")
-            .filter(F.col("achi_proc_code").isNotNull())
-            .withColumn("primary_proc", F.col("proc_num") == "coded_primary_procedure"))
+            .filter("achi_proc_code is not null")
+            .withColumn("primary_proc", F.expr("proc_num = 'coded_primary_procedure'")))
 
 
 def procedure_check_sheet(study: DataFrame, codes: DataFrame) -> DataFrame:
@@ -33,21 +33,18 @@ def one_label_per_code(labels: DataFrame) -> DataFrame:
     wins over a blank; the code is primary if the winning rows include the
     primary one. This keeps the label join at one match per row.
     """
-    yes, no = F.col("correct") == "yes", F.col("correct") == "no"
-    rank = F.when(yes, 2).when(no, 1).otherwise(0)
-    return (labels.groupBy("study_id", "achi_proc_code")
-            .agg(F.max(rank * 2 + F.coalesce("primary_proc", F.lit(False)).cast("int")).alias("_best"))
-            .select("study_id", "achi_proc_code",
-                    F.when(F.col("_best") >= 4, "yes").when(F.col("_best") >= 2, "no").alias("correct"),
-                    (F.col("_best") % 2 == 1).alias("primary_proc")))
+    rank = "case correct when 'yes' then 4 when 'no' then 2 else 0 end + if(primary_proc, 1, 0)"
+    return (labels.groupBy("study_id", "achi_proc_code").agg(F.expr(f"max({rank}) as _best"))
+            .selectExpr("study_id", "achi_proc_code",
+                        "case when _best >= 4 then 'yes' when _best >= 2 then 'no' end as correct",
+                        "_best % 2 = 1 as primary_proc"))
 
 
 def attach_labels(study: DataFrame, labels: DataFrame, keep: list[str], site: int | None = None) -> DataFrame:
     """Long ratings with their label; procedures without one keep null labels."""
     rows = unpivot_procedures(study, keep).drop("primary_proc")
-    place = {c: i for i, c in enumerate(S.procedure_code_columns(study.columns))}
-    order = F.create_map(*[F.lit(v) for kv in place.items() for v in kv])[F.col("proc_num")]
-    out = (rows.withColumn("proc_no", order).drop("proc_num")
+    places = ", ".join(f"'{c}', {i}" for i, c in enumerate(S.procedure_code_columns(study.columns)))
+    out = (rows.withColumn("proc_no", F.expr(f"map({places})[proc_num]")).drop("proc_num")
            .join(one_label_per_code(labels), ["study_id", "achi_proc_code"], "left")
            .withColumnRenamed("achi_proc_code", "booked_procedure"))
     return out if site is None else out.withColumn("site", F.lit(site))
@@ -61,15 +58,16 @@ def with_unique_id(rows: DataFrame, order: list[str]) -> DataFrame:
     """
     keys = ["study_id", *order]
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys] + [number.cast("string")]
-    return rows.withColumn("study_id_unique", F.concat_ws("_", *parts))
+    text = ", ".join(f"coalesce(cast({c} as string), '')" for c in keys)
+    return (rows.withColumn("_n", number)
+            .withColumn("study_id_unique", F.expr(f"concat_ws('_', {text}, cast(_n as string))")).drop("_n"))
 
 
 def labelled_procedures(ratings: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Ratings whose procedure was confirmed, one per study, record and procedure."""
     keys = [c for c in ("study_id", "record_id", "booked_procedure") if c in ratings.columns]
     order = order or [c for c in ("episode_number", "proc_no") if c in ratings.columns]
-    return first_row(ratings.filter(F.col("correct") == "yes"), keys, order)
+    return first_row(ratings.filter("correct = 'yes'"), keys, order)
 
 
 def label_recapture(ratings: DataFrame) -> DataFrame:
@@ -80,16 +78,14 @@ def label_recapture(ratings: DataFrame) -> DataFrame:
     table) if none was correct and some have no label. One grouping answers all
     three questions, so the table is not joined with itself.
     """
-    extra = F.col("primary_proc") == F.lit(False)
-    wrong_primary = F.col("primary_proc") & (F.col("correct") == "no")
     per_study = ratings.groupBy("study_id").agg(
-        F.bool_or(F.coalesce(wrong_primary, F.lit(False))).alias("wrong"),
-        F.count_if(extra).alias("extras"),
-        F.count_if(extra & (F.col("correct") == "yes")).alias("yes"),
-        F.count_if(extra & F.col("correct").isNull()).alias("blank"),
-    )
-    captured = (F.when(F.col("yes") > 0, True).when(F.col("blank") > 0, F.lit(None)).otherwise(False))
-    return freq_table(per_study.filter("wrong and extras > 0").withColumn("pri_capt", captured), "pri_capt")
+        F.expr("bool_or(coalesce(primary_proc and correct = 'no', false)) as wrong"),
+        F.expr("count_if(not primary_proc) as extras"),
+        F.expr("count_if(not primary_proc and correct = 'yes') as yes"),
+        F.expr("count_if(not primary_proc and correct is null) as blank"),
+    ).filter("wrong and extras > 0")
+    captured = "case when yes > 0 then true when blank = 0 then false end as pri_capt"
+    return freq_table(per_study.selectExpr(captured), "pri_capt")
 
 
 def booked_set(matches: list[DataFrame], excluded: DataFrame) -> DataFrame:
@@ -114,8 +110,8 @@ def most_procedures(booked: DataFrame) -> DataFrame:
 
 def missing_booked(booked: DataFrame) -> DataFrame:
     """One row: how many rows lack a booked procedure, and their share in percent."""
-    return (booked.agg(F.count("*").alias("n_rows"), F.count_if(F.col("booked_procedure").isNull()).alias("n_missing"))
-            .withColumn("pct_missing", percent(F.col("n_missing"), F.col("n_rows"))))
+    counted = booked.agg(F.expr("count(*) as n_rows"), F.expr("count_if(booked_procedure is null) as n_missing"))
+    return counted.selectExpr("*", f"{percent('n_missing', 'n_rows')} as pct_missing")
 
 
 def drop_missing_booked(booked: DataFrame) -> DataFrame:

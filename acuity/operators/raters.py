@@ -1,40 +1,45 @@
 """Who rated what: sizes of the rating table."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
-def distinct_with_null(column: str) -> Column:
+def _distinct_with_null(column: str) -> str:
     """Number of distinct values where a missing value counts as one more."""
-    missing = F.max(F.col(column).isNull().cast("bigint"))
-    return F.count_distinct(column) + F.coalesce(missing, F.lit(0))
+    return f"count(distinct {column}) + coalesce(max(if({column} is null, 1, 0)), 0)"
 
 
 def rater_counts(ratings: DataFrame) -> DataFrame:
     """Ratings, distinct raters and median age per procedure; the median is null if any age is.
 
-    The distinct count makes Spark group by (procedure, rater) first, so even a
-    procedure with a third of all rows is spread over its raters.
+    One pass counts (procedure, rater) and (procedure, age) cells side by side.
+    A missing rater is a cell of its own and so counts as one rater. A procedure
+    with a third of all rows is reduced to its cells before anything is
+    shuffled by procedure, and the median sees one entry per distinct age.
     """
-    median = F.when(F.count("age") == F.count("*"), F.percentile("age", F.lit(0.5)))
-    return ratings.groupBy("booked_procedure").agg(
-        F.count("*").alias("num_of_raters"),
-        distinct_with_null("procedural_consultant").alias("num_of_unique_raters"),
-        median.alias("age"),
+    by_rater = ["booked_procedure", "procedural_consultant"]
+    by_age = ["booked_procedure", "age"]
+    cells = (ratings.select("booked_procedure", "procedural_consultant", "age")
+             .groupingSets([by_rater, by_age], "booked_procedure", "procedural_consultant", "age")
+             .agg(F.expr("count(*) as n"), F.expr("grouping(age) = 1 as _rater")))
+    return cells.groupBy("booked_procedure").agg(
+        F.expr("sum(if(_rater, n, 0)) as num_of_raters"),
+        F.expr("count_if(_rater) as num_of_unique_raters"),
+        F.expr("if(bool_or(not _rater and age is null), null, percentile(age, 0.5, n)) as age"),
     )
 
 
 def rater_count_of_counts(raters: DataFrame) -> DataFrame:
     """How many procedures have a given number of distinct raters, most common number first."""
-    return (raters.groupBy("num_of_unique_raters").agg(F.count("*").alias("count_of_num_unique_raters"))
-            .orderBy(F.col("count_of_num_unique_raters").desc(), "num_of_unique_raters"))
+    return (raters.groupBy("num_of_unique_raters").agg(F.expr("count(*) as count_of_num_unique_raters"))
+            .orderBy(F.desc("count_of_num_unique_raters"), "num_of_unique_raters"))
 
 
 def distinct_sizes(ratings: DataFrame) -> DataFrame:
     """One row: distinct procedures, raters and studies."""
     return ratings.agg(
-        distinct_with_null("booked_procedure").alias("n_procedures"),
-        distinct_with_null("procedural_consultant").alias("n_raters"),
-        distinct_with_null("study_id").alias("n_studies"),
+        F.expr(f"{_distinct_with_null('booked_procedure')} as n_procedures"),
+        F.expr(f"{_distinct_with_null('procedural_consultant')} as n_raters"),
+        F.expr(f"{_distinct_with_null('study_id')} as n_studies"),
     )
 
 
@@ -44,11 +49,9 @@ def model_eligibility(ratings: DataFrame, min_raters: int = 8, both_sexes: bool
     A procedure with a missing sex fails the sex test. Both tests come from one
     grouping instead of an intersection of two.
     """
-    sexes_known = F.count("sex") == F.count("*")
     counted = ratings.groupBy("booked_procedure").agg(
-        F.count("*").alias("num_of_raters"),
-        F.when(sexes_known, F.count_if(F.col("sex") == "M")).alias("male_count"),
-        F.when(sexes_known, F.count_if(F.col("sex") == "F")).alias("female_count"),
-    )
-    enough = F.col("num_of_raters") >= min_raters
-    return counted.filter(enough & (F.col("male_count") >= 1) & (F.col("female_count") >= 1) if both_sexes else enough)
+        F.expr("count(*) as num_of_raters"),
+        F.expr("if(count(sex) = count(*), count_if(sex = 'M'), null) as male_count"),
+        F.expr("if(count(sex) = count(*), count_if(sex = 'F'), null) as female_count"),
+    ).filter(f"num_of_raters >= {min_raters}")
+    return counted.filter("male_count >= 1 and female_count >= 1") if both_sexes else counted

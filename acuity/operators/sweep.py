@@ -21,18 +21,17 @@ def threshold_sweep(listed: DataFrame, a_th: list[float] = AGREEMENT_GRID,
     """
     pairs = [(a, c) for c in c_th for a in a_th]
     counts = listed.agg(
-        *[F.count_if(by_agreement(a)).alias(f"a{i}") for i, a in enumerate(a_th)],
-        *[F.count_if(by_consensus(a, c)).alias(f"p{j}") for j, (a, c) in enumerate(pairs)],
+        *[F.expr(f"count_if({by_agreement(a)}) as a{i}") for i, a in enumerate(a_th)],
+        *[F.expr(f"count_if({by_consensus(a, c)}) as p{j}") for j, (a, c) in enumerate(pairs)],
     )
-    return counts.select(F.inline(F.array(*[
-        F.struct(F.lit(float(a)).alias("a_th"), F.lit(float(c)).alias("c_th"),
-                 F.col(f"a{a_th.index(a)}").alias("n_by_agreement"), F.col(f"p{j}").alias("n_by_consensus"))
-        for j, (a, c) in enumerate(pairs)
-    ])))
+    rows = ", ".join(
+        f"struct({float(a)}D as a_th, {float(c)}D as c_th, a{a_th.index(a)} as n_by_agreement, p{j} as n_by_consensus)"
+        for j, (a, c) in enumerate(pairs))
+    return counts.selectExpr(f"inline(array({rows}))")
 
 
 def consensus_cutoffs(listed: DataFrame, agreement_threshold: float = CUTOFF_AGREEMENT,
                       cutoffs: list[float] = CUTOFFS) -> DataFrame:
     """Procedures flagged by consensus, repeated for each cut-off that flags them."""
-    hits = F.array(*[F.when(by_consensus(agreement_threshold, c), F.lit(float(c))) for c in cutoffs])
-    return listed.withColumn("cons_cutoff", F.explode(hits)).filter("cons_cutoff is not null")
+    hits = ", ".join(f"if({by_consensus(agreement_threshold, c)}, {float(c)}D, null)" for c in cutoffs)
+    return listed.withColumn("cons_cutoff", F.expr(f"explode(array({hits}))")).filter("cons_cutoff is not null")

@@ -1,15 +1,17 @@
 """Free-text procedures compared with the texts of the codes recorded for the same study."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from acuity.functions.scalars import literal
 
 # Words that say nothing about a procedure. A parameter of every function here.
 STOPWORDS = ["a", "an", "and", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "to", "with"]
 
 
-def words(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
-    """Distinct lower-case words of a whole text, without stopwords."""
-    tokens = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_except(tokens, F.array(*[F.lit(w) for w in ["", *stopwords]]))
+def words(text: str, stopwords: list[str] = STOPWORDS) -> str:
+    """SQL text: distinct lower-case words of a whole text, without stopwords."""
+    removed = ", ".join(map(literal, ["", *stopwords]))
+    return rf"array_except(split(lower({text}), r'[^\p{{L}}\p{{N}}]+'), array({removed}))"
 
 
 def common_words(study_text: DataFrame, study_codes: DataFrame, codes: DataFrame,
@@ -22,16 +24,15 @@ def common_words(study_text: DataFrame, study_codes: DataFrame, codes: DataFrame
     occurrences, and no text with all codes.
     """
     coded = study_codes.join(
-        codes.select("code", words(F.col("code_text"), stopwords).alias("_code_words")), "code")
-    texts = study_text.select("study_id", words(F.col("text"), stopwords).alias("_words"))
+        codes.selectExpr("code", f"{words('code_text', stopwords)} as _code_words"), "code")
+    texts = study_text.selectExpr("study_id", f"{words('text', stopwords)} as _words")
     return (coded.join(texts, "study_id")
-            .select("study_id", "code", F.size("_code_words").alias("code_words"),
-                    F.size(F.array_intersect("_code_words", "_words")).alias("common_words")))
+            .selectExpr("study_id", "code", "size(_code_words) as code_words",
+                        "size(array_intersect(_code_words, _words)) as common_words"))
 
 
 def best_match(matches: DataFrame) -> DataFrame:
     """Per study the code with most common words (then the smaller code); no shared word, no match."""
-    best = F.min(F.struct((-F.col("common_words")).alias("_order"), "code"))
-    return (matches.filter("common_words > 0").groupBy("study_id").agg(best.alias("_best"))
-            .select("study_id", F.col("_best.code").alias("booked_procedure"),
-                    (-F.col("_best._order")).alias("common_words")))
+    best = F.expr("min(struct(-common_words as _order, code)) as _best")
+    return (matches.filter("common_words > 0").groupBy("study_id").agg(best)
+            .selectExpr("study_id", "_best.code as booked_procedure", "-_best._order as common_words"))

@@ -19,7 +19,7 @@ def query(f):
 
 def shown(df: DataFrame, *columns: str) -> DataFrame:
     """Six decimals, so that the order of float sums does not show."""
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), 6) for c in columns})
+    return df.selectExpr(*[f"round(`{c}`, 6) as `{c}`" if c in columns else f"`{c}`" for c in df.columns])
 
 
 # --- bookings ----------------------------------------------------------------
@@ -37,14 +37,14 @@ def first_case_per_admission(spark, sf):
 
 @query
 def priority_collapse_counts(spark, sf):
-    level = scalars.collapse_priority(F.col("emerg_priority"), t.ORDER_PRIORITIES)
-    counted = freq_table(t.study(spark, sf).select(level.alias("emerg_priority_collapse")), "emerg_priority_collapse")
-    return counted.withColumn("level_rank", scalars.level_rank(F.col("emerg_priority_collapse")).cast("int"))
+    level = f"{scalars.collapse_priority('emerg_priority', t.ORDER_PRIORITIES)} as emerg_priority_collapse"
+    counted = freq_table(t.study(spark, sf).selectExpr(level), "emerg_priority_collapse")
+    return counted.selectExpr("*", f"{scalars.level_rank('emerg_priority_collapse')} as level_rank")
 
 
 @query
 def rater_pseudonym(spark, sf):
-    return t.table(spark, sf, "supplier").select("s_suppkey", scalars.rater_pseudonym(F.col("s_name")).alias("rater"))
+    return t.table(spark, sf, "supplier").selectExpr("s_suppkey", f"{scalars.rater_pseudonym('s_name')} as rater")
 
 
 # --- codes and cohort --------------------------------------------------------
@@ -87,14 +87,14 @@ def trauma_any_code_padded(spark, sf):
 @query
 def trauma_first_code_by_patient(spark, sf):
     """Several admissions per id: the first admission with a surviving code decides."""
-    rows = t.study(spark, sf).withColumn("episode_number", F.col("study_id")).withColumn("study_id", F.col("patient"))
+    rows = t.study(spark, sf).withColumnsRenamed({"study_id": "episode_number", "patient": "study_id"})
     return cohort.trauma_cohort(rows, "first")
 
 
 @query
 def trauma_cohort_semi(spark, sf):
-    lines = t.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("study_id"), "l_linenumber", "l_partkey",
-                                                  "l_suppkey", "l_extendedprice")
+    lines = t.table(spark, sf, "lineitem").selectExpr("l_orderkey as study_id", "l_linenumber", "l_partkey", "l_suppkey",
+                                                      "l_extendedprice")
     return cohort.keep_cohort(lines, trauma_first_code(spark, sf))
 
 
@@ -151,8 +151,8 @@ def text_best_match(spark, sf):
 
 def _booked(spark, sf):
     episodes = t.episodes(spark, sf)
-    primary = episodes.select("study_id", F.col("coded_primary_procedure").alias("booked_procedure"))
-    planned = episodes.select("study_id", F.col("additional_procedure_2").alias("booked_procedure"))
+    primary = episodes.selectExpr("study_id", "coded_primary_procedure as booked_procedure")
+    planned = episodes.selectExpr("study_id", "additional_procedure_2 as booked_procedure")
     return proc.booked_set([primary, planned], _excluded(spark, sf))
 
 
@@ -325,7 +325,7 @@ def age_range_default_bounds(spark, sf):
     rows = t.ratings(spark, sf)
     bounds = lists.age_bounds(rows)
     inside = rows.filter(lists.in_age_range(rows))
-    return inside.agg(F.count("*").alias("n_inside"), F.max("age").alias("oldest_inside")).select(
+    return inside.agg(F.expr("count(*) as n_inside"), F.expr("max(age) as oldest_inside")).select(
         "*", bounds.select("age_min").scalar().alias("age_min"), bounds.select("age_max").scalar().alias("age_max"))
 
 
@@ -433,7 +433,7 @@ def specialty_freq(spark, sf):
 @query
 def urgent_specialty_freq(spark, sf):
     rows = t.with_specialty(t.ratings(spark, sf), spark, sf)
-    urgent = _full_list(spark, sf).filter("urgent_surgery_by_agmnt").select(F.col("booked_procedure").alias("achi_code"))
+    urgent = _full_list(spark, sf).filter("urgent_surgery_by_agmnt").selectExpr("booked_procedure as achi_code")
     return demo.urgent_specialty_freq(rows, urgent)
 
 

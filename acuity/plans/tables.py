@@ -4,10 +4,10 @@ Every frame is a lazy projection or join of the given tables; nothing is
 sampled or cached.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from acuity import schema as S
 from acuity.functions.scalars import booking_period, collapse_priority, hours_between
+from acuity.operators.procedures import unpivot_procedures
 
 ORDER_PRIORITIES = {
     "<1hr": ["1-URGENT"],
@@ -33,107 +33,92 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _diagnosis(k: int, prime: int) -> Column:
-    letter = F.char(65 + (F.col("o_orderkey") * prime + F.col("o_custkey")) % 26)
-    digits = F.lpad(((F.col("o_orderkey") + k * 37 * F.col("o_custkey")) % 100).cast("string"), 2, "0")
-    code = F.concat(letter, digits)
+def _diagnosis(k: int, prime: int) -> str:
+    code = (f"concat(char(65 + (o_orderkey * {prime} + o_custkey) % 26), "
+            f"lpad(cast((o_orderkey + {k} * 37 * o_custkey) % 100 as string), 2, '0'))")
     if k != 2:
         return code
-    return F.when(F.col("o_custkey") % 5 == 0, None).when(F.col("o_custkey") % 7 == 0, "").otherwise(code)
+    return f"case when o_custkey % 5 = 0 then null when o_custkey % 7 = 0 then '' else {code} end"
 
 
 def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per admission, from orders."""
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("study_id"),
-        ((F.col("o_custkey") * 7) % 97).cast("double").alias("age"),
-        F.when(F.col("o_custkey") % 2 == 0, "F").otherwise("M").alias("sex"),
-        F.col("o_orderstatus").alias("asa"),
-        F.col("o_custkey").alias("patient"),
-        F.col("o_orderdate").alias("admit_dt_tm"),
-        F.col("o_orderpriority").alias("emerg_priority"),
-        _diagnosis(1, 3).alias("principle_diagnosis"),
-        _diagnosis(2, 5).alias("additional_diagnosis_1"),
-        _diagnosis(3, 7).alias("additional_diagnosis_2"),
-        _diagnosis(4, 11).alias("additional_diagnosis_3"),
-    )
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as study_id", "cast((o_custkey * 7) % 97 as double) as age",
+        "if(o_custkey % 2 = 0, 'F', 'M') as sex", "o_orderstatus as asa", "o_custkey as patient",
+        "o_orderdate as admit_dt_tm", "o_orderpriority as emerg_priority",
+        f"{_diagnosis(1, 3)} as principle_diagnosis", f"{_diagnosis(2, 5)} as additional_diagnosis_1",
+        f"{_diagnosis(3, 7)} as additional_diagnosis_2", f"{_diagnosis(4, 11)} as additional_diagnosis_3")
 
 
 def with_specialty(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    segment = F.col("c_mktsegment")
-    specialty = segment
-    for name, text in SEGMENT_SPECIALTIES.items():
-        specialty = F.when(segment == name, text).otherwise(specialty)
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("patient"), specialty.alias("specialty"))
+    names = " ".join(f"when '{segment}' then '{text}'" for segment, text in SEGMENT_SPECIALTIES.items())
+    customers = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as patient", f"case c_mktsegment {names} else c_mktsegment end as specialty")
     return rows.join(customers, "patient")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as study_id", "l_partkey as booked_procedure", "l_suppkey as procedural_consultant",
+        "l_linenumber", "l_extendedprice", "cast(l_linenumber as bigint) as episode_number",
+        "l_shipdate as emerg_book_dt_tm", "to_date(l_shipdate) as case_date")
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per booked case: an order line with its admission."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("study_id"), F.col("l_partkey").alias("booked_procedure"),
-        F.col("l_suppkey").alias("procedural_consultant"), "l_linenumber", "l_extendedprice",
-        F.col("l_linenumber").cast("bigint").alias("episode_number"),
-        F.col("l_shipdate").alias("emerg_book_dt_tm"), F.to_date("l_shipdate").alias("case_date"))
-    return lines.join(study(spark, sf_dir), "study_id")
+    return _lines(spark, sf_dir).join(study(spark, sf_dir), "study_id")
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases with an urgency level, skewed by procedure so that all classes occur."""
-    mapped = collapse_priority(F.col("emerg_priority"), ORDER_PRIORITIES)
-    pulled = (F.col("study_id") * 31 + F.col("l_linenumber") * 17) % 100 < F.col("booked_procedure") % 100
-    top = F.when(F.col("study_id") % 3 == 0, S.LEVELS[0]).otherwise(S.LEVELS[1])
-    key = F.col("booked_procedure") + F.col("study_id")
-    return cases(spark, sf_dir).withColumns({
-        "emerg_priority_collapse": F.when(pulled, top).otherwise(mapped),
-        "admit_to_book_pd": booking_period(hours_between(F.col("emerg_book_dt_tm"), F.col("admit_dt_tm"))),
-        "primary_proc": F.col("l_linenumber") == 1,
-        "correct": _label(key),
-    })
+    level = (f"if((study_id * 31 + l_linenumber * 17) % 100 < booked_procedure % 100, "
+             f"if(study_id % 3 = 0, '<1hr', '<4hrs'), {collapse_priority('emerg_priority', ORDER_PRIORITIES)})")
+    return cases(spark, sf_dir).selectExpr(
+        "*", f"{level} as emerg_priority_collapse",
+        f"{booking_period(hours_between('emerg_book_dt_tm', 'admit_dt_tm'))} as admit_to_book_pd",
+        "l_linenumber = 1 as primary_proc", f"{_label('booked_procedure + study_id')} as correct")
+
+
+def _label(key: str) -> str:
+    return f"case when ({key}) % 11 = 0 then null when ({key}) % 4 = 0 then 'no' else 'yes' end"
 
 
-def _label(key: Column) -> Column:
-    return F.when(key % 11 == 0, None).when(key % 4 == 0, "no").otherwise("yes")
+def _wide(rows: DataFrame) -> DataFrame:
+    return rows.withColumnRenamed("booked_procedure", "coded_primary_procedure").selectExpr(
+        "*", "procedural_consultant as additional_procedure_1",
+        "if(l_linenumber % 3 <> 0, procedural_consultant * 20 + l_linenumber, null) as additional_procedure_2")
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings as wide rows with three coded procedures."""
-    second, third = F.col("procedural_consultant"), F.col("procedural_consultant") * 20 + F.col("l_linenumber")
-    return ratings(spark, sf_dir).withColumnRenamed("booked_procedure", "coded_primary_procedure").withColumns({
-        "planned_procedure": F.concat("asa", F.lit(" "), "emerg_priority"),
-        "additional_procedure_1": second,
-        "additional_procedure_2": F.when(F.col("l_linenumber") % 3 != 0, third),
-    })
+    return _wide(ratings(spark, sf_dir)).withColumn("planned_procedure", F.expr("concat(asa, ' ', emerg_priority)"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filled-in sheet for the episodes."""
-    from acuity.operators.procedures import unpivot_procedures
-    rows = unpivot_procedures(episodes(spark, sf_dir), ["study_id"])
-    return rows.select("study_id", "achi_proc_code", _label(F.col("achi_proc_code") + F.col("study_id")).alias("correct"),
-                       "primary_proc")
+    """The filled-in sheet for the episodes. A label needs no admission data, so orders are not read."""
+    rows = unpivot_procedures(_wide(_lines(spark, sf_dir)), ["study_id"])
+    return rows.selectExpr("study_id", "achi_proc_code", f"{_label('achi_proc_code + study_id')} as correct", "primary_proc")
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("achi_proc_code"), F.col("p_name").alias("procedure_text"),
-        F.col("p_size").alias("block_number"), F.col("p_type").alias("block_text"),
-        F.col("p_brand").alias("procedure_chapter"))
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey as achi_proc_code", "p_name as procedure_text", "p_size as block_number", "p_type as block_text",
+        "p_brand as procedure_chapter")
 
 
 def event_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as bookings: admission is the first event of the user."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("emerg_book_dt_tm"))
-    first = events.groupBy("user_id").agg(F.min("emerg_book_dt_tm").alias("admit_dt_tm"))
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "ts as emerg_book_dt_tm")
+    first = events.groupBy("user_id").agg(F.expr("min(emerg_book_dt_tm) as admit_dt_tm"))
     return events.join(first, "user_id")
 
 
 def free_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents as free text of a study, benchmark items as code texts, three codes per study."""
     documents = table(spark, sf_dir, "documents")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("code"), F.col("text").alias("code_text"))
-    size = items.agg(F.count("*")).scalar()
-    doc = F.col("doc_id")
-    recorded = documents.select(doc.alias("study_id"), F.explode(F.array_distinct(F.array(
-        doc % size, (doc * 7 + 3) % size, (doc * 13 + 5) % size))).alias("code"))
-    return documents.select(doc.alias("study_id"), "text"), recorded, items
+    items = table(spark, sf_dir, "benchmark").selectExpr("item_id as code", "text as code_text")
+    sized = documents.select("doc_id", items.agg(F.count("*")).scalar().alias("size"))
+    recorded = sized.selectExpr("doc_id as study_id", "explode(array_distinct(array(doc_id % size, "
+                                "(doc_id * 7 + 3) % size, (doc_id * 13 + 5) % size))) as code")
+    return documents.selectExpr("doc_id as study_id", "text"), recorded, items
