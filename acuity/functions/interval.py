@@ -17,10 +17,13 @@ from pyspark.sql import Column, functions as F, types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _INTERVAL = T.StructType([T.StructField("ci_lower", T.DoubleType()), T.StructField("ci_upper", T.DoubleType())])
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
 
 
+def _log_gamma(z):
+    return np.fromiter(map(math.lgamma, z), float, len(z))
+
+
 def _log_beta(a, b):
     return _log_gamma(a) + _log_gamma(b) - _log_gamma(a + b)
 

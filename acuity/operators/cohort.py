@@ -30,10 +30,8 @@ def _code_flag(column: str, stems: list[str]) -> str:
     regular expression.
     """
     head = f"lower(left(`{column}`, 3))"
-    letter = f"lower(left(`{column}`, 1))"
-    excluded = one_of(head, [s for s in stems if len(s) == 3])
-    return (f"case when `{column}` <> '' and not {excluded} "
-            f"then {one_of(letter, S.INJURY_LETTERS + S.MECHANISM_LETTERS)} end")
+    kept = f"not {one_of(head, ['', *[s for s in stems if len(s) == 3]])}"
+    return f"case when {kept} then {one_of(f'lower(left(`{column}`, 1))', S.INJURY_LETTERS + S.MECHANISM_LETTERS)} end"
 
 
 def row_trauma_flag(columns: list[str], mode: str = "first", zero_pad: bool = False) -> Column:

@@ -164,8 +164,8 @@ def random_intercept_logit(counts: DataFrame, terms: str = "main", with_trauma:
         F.expr("count(*)"), F.expr(f"coalesce(sum({n_sum}), 0)"), F.expr(f"coalesce(sum({y_sum}), 0)")).first()
     if not 0 < y_total < n_total:
         raise ValueError("the outcome does not vary")
-    beta = _plain_logit(counts, names, x)[0] if k > 2 else np.array([math.log(y_total / (n_total - y_total))])
-    point = np.append(beta, 1.0)
+    point = np.zeros(k)
+    point[0], point[-1] = math.log(y_total / (n_total - y_total)), 1.0
 
     def with_curvature(at):
         h = 1e-4 * np.maximum(1, np.abs(at))
@@ -184,17 +184,21 @@ def random_intercept_logit(counts: DataFrame, terms: str = "main", with_trauma:
             converged = True
             break
         step *= min(1, 3 / np.abs(step).max())
-        shrink = [2.0 ** -i for i in range(8)]
-        tried = _evaluate(counts, x, [point + s * step for s in shrink])
-        best = max(range(len(shrink)), key=lambda i: tried[i][0])
-        if tried[best][0] <= value:
-            converged = grad @ step < 1e-3
-            break
-        point = point + shrink[best] * step
-        point[-1] = abs(point[-1])  # the sign of tau carries no meaning
-        value, grad, hessian = with_curvature(point)
+        moved = point + step
+        reached = with_curvature(moved)
+        if reached[0] < value:  # the full step overshoots: look along it
+            shrink = [2.0 ** -i for i in range(1, 12)]
+            tried = _evaluate(counts, x, [point + s * step for s in shrink])
+            best = max(range(len(shrink)), key=lambda i: tried[i][0])
+            if tried[best][0] <= value:
+                converged = grad @ step < 1e-3
+                break
+            moved = point + shrink[best] * step
+            reached = with_curvature(moved)
+        point, (value, grad, hessian) = moved, reached
+    tau = abs(point[-1])  # the sign of tau carries no meaning
     covariance = np.linalg.pinv(-hessian)[:-1, :-1]
-    return Fit(names, point[:-1], float(point[-1]), covariance, float(value), int(n_total), int(groups), bool(converged))
+    return Fit(names, point[:-1], float(tau), covariance, float(value), int(n_total), int(groups), bool(converged))
 
 
 # --- results -----------------------------------------------------------------
@@ -255,6 +259,12 @@ def compare_models(spark: SparkSession, small: Fit, large: Fit, names: tuple[str
               "chisq double, df int, p_value double")
 
 
-def prepare_counts(counts: DataFrame) -> DataFrame:
-    """Write the cell counts once, for the many jobs of a fit."""
-    return materialize(counts)
+def prepare_counts(counts: DataFrame, rows_per_task: int = 1000) -> DataFrame:
+    """Write the cell counts once, for the many jobs of a fit.
+
+    The table is tiny next to the ratings but every row costs a small
+    optimisation, so it is spread by rows and not by bytes.
+    """
+    table = materialize(counts)
+    tasks = min(counts.sparkSession.sparkContext.defaultParallelism, table.count() // rows_per_task + 1)
+    return materialize(table.repartition(tasks)) if tasks > 1 else table
