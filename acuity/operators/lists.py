@@ -7,7 +7,7 @@ a rare one. Several lists (by age, by sex) are counted side by side in the
 same aggregate: one pass and one shuffle, however many lists.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from acuity import schema as S
 from acuity.functions.interval import exact_interval, interval_text
@@ -28,21 +28,34 @@ def age_bounds(ratings: DataFrame) -> DataFrame:
     return ratings.agg(F.expr("min(age) as age_min"), F.expr("max(age) as age_max"))
 
 
-def in_age_range(ratings: DataFrame, age_lower: float | None = None, age_upper: float | None = None,
-                 closed_upper: bool = False) -> Column:
-    """``age_lower <= age < age_upper``; a missing age is outside.
+def oldest_age(ratings: DataFrame) -> float | None:
+    """The largest age: one pass over the age column, one number to the driver.
 
-    An open upper bound is the largest age of ``ratings``, so the oldest
-    patients are left out unless ``closed_upper`` is set. That bound is a scalar
-    subquery over the age column alone; a lower bound that is not given needs
-    no pass, since every age reaches the minimum.
+    As a plain number it can be pushed to the scan, and every list built with it
+    has the same plan, so Spark reuses shuffles between them.
     """
-    inside = "age is not null" if age_lower is None else f"age >= {age_lower}"
+    return age_bounds(ratings).first().age_max
+
+
+def in_age_range(age_lower: float | None = None, age_upper: float | None = None, closed_upper: bool = False) -> str:
+    """SQL text of ``age_lower <= age < age_upper``; a missing age is outside."""
+    inside = ["age is not null" if age_lower is None else f"age >= {float(age_lower)}D"]
     if age_upper is not None:
-        return F.expr(f"{inside} and age {'<=' if closed_upper else '<'} {age_upper}")
-    if closed_upper:
-        return F.expr(inside)
-    return F.expr(inside) & (F.col("age") < ratings.agg(F.max("age")).scalar())
+        inside.append(f"age {'<=' if closed_upper else '<'} {float(age_upper)}D")
+    return " and ".join(inside)
+
+
+def default_age_range(ratings: DataFrame, age_lower: float | None = None, age_upper: float | None = None,
+                      closed_upper: bool = False) -> str:
+    """``in_age_range`` with the bound of the data where none is given.
+
+    An open upper bound is the largest age of all ``ratings``, so the oldest
+    patients are left out unless ``closed_upper`` is set. A lower bound needs no
+    pass: every age reaches the minimum.
+    """
+    if age_upper is None and not closed_upper:
+        age_upper = oldest_age(ratings)
+    return in_age_range(age_lower, age_upper, closed_upper)
 
 
 def same_day(ratings: DataFrame) -> DataFrame:
@@ -69,12 +82,12 @@ def level_counts(ratings: DataFrame, cohort: str = "trauma") -> DataFrame:
     return ratings.groupBy("booked_procedure").agg(*counters).filter(f"{TOTAL} > 0")
 
 
-def level_counts_by_list(ratings: DataFrame, members: dict[str, Column], cohort: str = "trauma") -> DataFrame:
+def level_counts_by_list(ratings: DataFrame, members: dict[str, str], cohort: str = "trauma") -> DataFrame:
     """``level_counts`` of several lists in one pass, stacked with ``list_name``.
 
-    ``members`` says for each list which rows belong to it; lists may overlap.
+    ``members`` gives for each list the SQL condition of its rows; lists may overlap.
     """
-    marked = ratings.withColumns({f"_in_{i}": F.coalesce(m, F.lit(False)) for i, m in enumerate(members.values())})
+    marked = ratings.selectExpr("*", *[f"coalesce({m}, false) as _in_{i}" for i, m in enumerate(members.values())])
     trauma = _trauma(cohort)
     counters = [F.expr(f"{c} as {n}_{i}") for i in range(len(members)) for n, c in _counters(trauma, f"_in_{i}").items()]
     stack = ", ".join(
@@ -144,27 +157,28 @@ def procedure_urgency(ratings: DataFrame, agreement_threshold: float, consensus_
     ``cohort="trauma"`` marks every procedure as trauma; ``"all patients"``
     marks those with at least one trauma rating and needs a ``trauma`` column.
     """
-    inside = in_age_range(ratings, age_lower, age_upper, closed_upper)
+    inside = default_age_range(ratings, age_lower, age_upper, closed_upper)
     counts = level_counts(same_day(ratings).filter(inside), cohort)
     return classify(counts, agreement_threshold, consensus_threshold, urgency, percent_digits)
 
 
-def age_members(ratings: DataFrame) -> dict[str, Column]:
+def age_members(ratings: DataFrame) -> dict[str, str]:
     """Row conditions of the full list and the three age lists, with their default bounds."""
+    oldest = oldest_age(ratings)
     return {
-        "full": in_age_range(ratings),
-        "adult": in_age_range(ratings, S.ADULT_FROM, S.ELDERLY_FROM),
-        "paeds": in_age_range(ratings, None, S.ADULT_FROM),
-        "elderly": in_age_range(ratings, S.ELDERLY_FROM),
+        "full": in_age_range(None, oldest),
+        "adult": in_age_range(S.ADULT_FROM, S.ELDERLY_FROM),
+        "paeds": in_age_range(None, S.ADULT_FROM),
+        "elderly": in_age_range(S.ELDERLY_FROM, oldest),
     }
 
 
-def sex_members(ratings: DataFrame) -> dict[str, Column]:
-    inside = in_age_range(ratings)
-    return {"male": inside & F.expr("sex = 'M'"), "female": inside & F.expr("sex = 'F'")}
+def sex_members(ratings: DataFrame) -> dict[str, str]:
+    inside = default_age_range(ratings)
+    return {"male": f"{inside} and sex = 'M'", "female": f"{inside} and sex = 'F'"}
 
 
-def urgency_lists(ratings: DataFrame, members: dict[str, Column], agreement_threshold: float = 75,
+def urgency_lists(ratings: DataFrame, members: dict[str, str], agreement_threshold: float = 75,
                   consensus_threshold: float = 0.7, urgency: int = 4, cohort: str = "trauma",
                   percent_digits: int | None = 1) -> DataFrame:
     """Several lists at once, stacked with ``list_name``."""

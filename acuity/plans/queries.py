@@ -323,10 +323,9 @@ def urgent_list_consensus(spark, sf):
 @query
 def age_range_default_bounds(spark, sf):
     rows = t.ratings(spark, sf)
-    bounds = lists.age_bounds(rows)
-    inside = rows.filter(lists.in_age_range(rows))
-    return inside.agg(F.expr("count(*) as n_inside"), F.expr("max(age) as oldest_inside")).select(
-        "*", bounds.select("age_min").scalar().alias("age_min"), bounds.select("age_max").scalar().alias("age_max"))
+    inside = lists.default_age_range(rows)
+    return rows.agg(F.expr(f"count_if({inside}) as n_inside"), F.expr(f"max(if({inside}, age, null)) as oldest_inside"),
+                    F.expr("min(age) as age_min"), F.expr("max(age) as age_max"))
 
 
 def _age_lists(spark, sf):

@@ -50,7 +50,7 @@ def test_only_same_day_and_age(rows):
 @pytest.mark.parametrize("closed, kept", [(False, [5.0, 40.0]), (True, [5.0, 40.0, 90.0])])
 def test_default_age_bound(rows, closed, kept):
     df = rows(RATING, *[r for a in (5.0, 40.0, 90.0, None) for r in rating("p", "<1hr", age=a)])
-    assert sorted(r.age for r in df.filter(lists.in_age_range(df, closed_upper=closed)).collect()) == kept
+    assert sorted(r.age for r in df.filter(lists.default_age_range(df, closed_upper=closed)).collect()) == kept
     assert tuple(lists.age_bounds(df).first()) == (5.0, 90.0)
 
 

@@ -44,7 +44,7 @@ def test_plan_has_no_product_and_no_python_rows(spark, name):
 
 def test_list_is_one_scan_and_one_shuffle_of_ratings(spark):
     rows = tables.ratings(spark, MEDIUM)
-    stacked = lists.urgency_lists(rows, {"a": lists.in_age_range(rows, 0, 50), "b": lists.in_age_range(rows, 16, 200)})
+    stacked = lists.urgency_lists(rows, lists.age_members(rows))
     plan = stacked._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 2 and plan.count("Exchange hashpartitioning(booked_procedure") == 1
     assert plan.count("Exchange hashpartitioning") <= 3  # two more if the admissions are not broadcast
