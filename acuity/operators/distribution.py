@@ -2,7 +2,9 @@
 
 Quantiles and densities work on value counts. Percents shown with one decimal
 have at most 1001 values and ages a few hundred, so what reaches one task is
-bounded by the value range and not by the number of rows.
+bounded by the value range and not by the number of rows. Group statistics are
+attached with windows over the value counts; the input is never joined with
+itself and so is read once.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -21,53 +23,55 @@ def value_counts(long: DataFrame, keys: list[str], value: str) -> DataFrame:
     return long.groupBy(*keys, value).agg(F.expr("count(*) as n"))
 
 
-def _quartiles(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """q25, median and q75 per key, linear between order statistics."""
-    weighted = counts.groupBy(*keys).agg(F.expr(f"percentile({value}, array(0.25, 0.5, 0.75), n) as _q"))
-    return weighted.selectExpr(*keys, "_q[0] as q25", "_q[1] as median", "_q[2] as q75")
+def _quartiles(value: str) -> str:
+    """q25, median and q75 as an array, linear between order statistics."""
+    return f"percentile({value}, array(0.25, 0.5, 0.75), n)"
 
 
 def level_distribution(listed: DataFrame) -> DataFrame:
     """Median, interquartile range and quartiles of each level's percent over procedures."""
-    q = _quartiles(value_counts(levels_long(listed), ["urgency"], "pcnt"), ["urgency"], "pcnt")
-    return q.selectExpr("urgency", "median as median_pct", "q75 - q25 as IQR_pct", "q25 as one_quantile_pcnt",
-                        "q75 as three_quantile_pcnt")
+    counts = value_counts(levels_long(listed), ["urgency"], "pcnt")
+    q = counts.groupBy("urgency").agg(F.expr(f"{_quartiles('pcnt')} as q"))
+    return q.selectExpr("urgency", "q[1] as median_pct", "q[2] - q[0] as IQR_pct", "q[0] as one_quantile_pcnt",
+                        "q[2] as three_quantile_pcnt")
 
 
 def level_boxplot_stats(listed: DataFrame) -> DataFrame:
     """Box, whiskers (furthest values within 1.5 IQR of the box) and outlier count per level."""
     counts = value_counts(levels_long(listed), ["urgency"], "pcnt")
-    boxed = counts.join(_quartiles(counts, ["urgency"], "pcnt"), "urgency")
-    inside = "pcnt between q25 - 1.5e0 * (q75 - q25) and q75 + 1.5e0 * (q75 - q25)"
+    boxed = counts.withColumn("q", F.expr(f"{_quartiles('pcnt')} over (partition by urgency)"))
+    inside = "pcnt between q[0] - 1.5e0 * (q[2] - q[0]) and q[2] + 1.5e0 * (q[2] - q[0])"
     return boxed.groupBy("urgency").agg(
         F.expr(f"min(if({inside}, pcnt, null)) as whisker_low"),
-        *[F.expr(f"first({c}) as {c}") for c in ("q25", "median", "q75")],
+        F.expr("first(q[0]) as q25"), F.expr("first(q[1]) as median"), F.expr("first(q[2]) as q75"),
         F.expr(f"max(if({inside}, pcnt, null)) as whisker_high"),
         F.expr(f"sum(if({inside}, 0, n)) as n_outliers"),
     )
 
 
-def _moments(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean and sample standard deviation per key, in two passes over the value counts."""
-    means = counts.groupBy(*keys).agg(F.expr("sum(n) as n_values"), F.expr(f"sum(n * {value}) / sum(n) as mean"))
-    spread = counts.join(means, keys).groupBy(*keys).agg(
-        F.expr("first(n_values) as n_values"), F.expr("first(mean) as mean"),
-        F.expr(f"sum(n * ({value} - mean) * ({value} - mean)) as _ss"))
-    return spread.selectExpr(*keys, "n_values", "mean", "sqrt(try_divide(_ss, n_values - 1)) as sd")
+def _with_mean(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds ``n_values`` and ``mean`` of the known values of each group."""
+    group = f"over (partition by {', '.join(keys)})"
+    known = f"if({value} is null, 0, n)"
+    return counts.selectExpr("*", f"sum({known}) {group} as n_values",
+                             f"try_divide(sum(n * {value}) {group}, sum({known}) {group}) as mean")
+
+
+def _squares(value: str) -> str:
+    """Sum of squared distances from the mean."""
+    return f"sum(n * ({value} - mean) * ({value} - mean))"
 
 
 def numeric_profile(df: DataFrame, variables: list[str]) -> DataFrame:
     """N, share missing, mean, sd, quartiles, range of numeric columns; one row per variable."""
     long = df.selectExpr(*[f"cast({v} as double) as {v}" for v in variables]).unpivot([], variables, "Variable", "value")
-    counts = value_counts(long, ["Variable"], "value")
-    known = counts.filter("value is not null")
-    sizes = counts.groupBy("Variable").agg(
-        F.expr("sum(if(value is null, 0, n)) as N"), F.expr("sum(if(value is null, n, 0)) / sum(n) as missing"),
-        F.expr("min(value) as min"), F.expr("max(value) as max"))
-    return (sizes.join(_moments(known, ["Variable"], "value"), "Variable", "left")
-            .join(_quartiles(known, ["Variable"], "value"), "Variable", "left")
-            .selectExpr("Variable", "N", "missing", "mean", "sd", "median", "q75 - q25 as IQR",
-                        "q25 as `25 centile`", "q75 as `75 centile`", "min", "max"))
+    counts = _with_mean(value_counts(long, ["Variable"], "value"), ["Variable"], "value")
+    profile = counts.groupBy("Variable").agg(
+        F.expr("first(n_values) as N"), F.expr("sum(if(value is null, n, 0)) / sum(n) as missing"),
+        F.expr("first(mean) as mean"), F.expr(f"sqrt(try_divide({_squares('value')}, first(n_values) - 1)) as sd"),
+        F.expr(f"{_quartiles('value')} as q"), F.expr("min(value) as min"), F.expr("max(value) as max"))
+    return profile.selectExpr("Variable", "N", "missing", "mean", "sd", "q[1] as median", "q[2] - q[0] as IQR",
+                              "q[0] as `25 centile`", "q[2] as `75 centile`", "min", "max")
 
 
 def histogram(df: DataFrame, variable: str, low: float, high: float, width: float) -> DataFrame:
@@ -88,13 +92,15 @@ def level_density(long: DataFrame, keys: list[str], value: str = "pcnt",
     each grid point once, weighted by its count, and the products are summed
     before they are shuffled.
     """
-    counts = value_counts(long, keys, value)
-    stats = _moments(counts, keys, value).join(_quartiles(counts, keys, value), keys)
-    robust = "least(coalesce(sd, 0), (q75 - q25) / 1.34e0)"
-    spread = f"case when {robust} > 0 then {robust} when sd > 0 then sd else 1e0 end"
-    bandwidth = stats.selectExpr(*keys, "n_values", f"0.9e0 * {spread} * pow(n_values, -0.2e0) as bw")
+    group = f"over (partition by {', '.join(keys)})"
+    counts = _with_mean(value_counts(long, keys, value), keys, value).selectExpr(
+        "*", f"{_quartiles(value)} {group} as q")
+    spread = counts.withColumn("sd", F.expr(f"sqrt(try_divide({_squares(value)} {group}, n_values - 1))"))
+    robust = "least(coalesce(sd, 0), (q[2] - q[0]) / 1.34e0)"
+    width = f"case when {robust} > 0 then {robust} when sd > 0 then sd else 1e0 end"
     step = (high - low) / (points - 1)
     grid = f"explode(transform(sequence(0, {points - 1}), i -> {float(low)}D + i * {step}D)) as x"
     kernel = f"exp(-pow((x - {value}) / bw, 2) / 2) / (bw * sqrt(2 * pi()))"
-    return (counts.join(bandwidth, keys).selectExpr("*", grid)
+    return (spread.selectExpr(*keys, value, "n", "n_values", f"0.9e0 * {width} * pow(n_values, -0.2e0) as bw")
+            .selectExpr("*", grid)
             .groupBy(*keys, "x").agg(F.expr(f"sum(n * {kernel}) / first(n_values) as density")))

@@ -1,6 +1,6 @@
 """Frequency tables."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from acuity.functions.scalars import percent
 
@@ -8,16 +8,14 @@ from acuity.functions.scalars import percent
 def freq_table(df: DataFrame, *columns: str, digits: int | None = 1) -> DataFrame:
     """Counts ``n`` and percent ``prop`` of one or more variables; rows with a null are left out.
 
-    With more than one variable the percent is within all but the last one. The counts are
-    pre-aggregated before any total is taken, so the totals only see one row
-    per combination.
+    With more than one variable the percent is within all but the last one.
+    Rows are counted before the total is taken, so the window that adds it sees
+    one row per combination of categories, and the input is read once.
     """
     counts = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.expr("count(*) as n"))
-    if len(columns) == 1:
-        counts = counts.withColumn("_total", counts.agg(F.sum("n")).scalar())
-    else:
-        counts = counts.withColumn("_total", F.sum("n").over(Window.partitionBy(*columns[:-1])))
-    return counts.selectExpr(*columns, "n", f"{percent('n', '_total', digits)} as prop")
+    within = f"partition by {', '.join(columns[:-1])}" if len(columns) > 1 else ""
+    return (counts.withColumn("_total", F.expr(f"sum(n) over ({within})"))
+            .selectExpr(*columns, "n", f"{percent('n', '_total', digits)} as prop"))
 
 
 def most_frequent_first(freq: DataFrame) -> DataFrame:
