@@ -6,7 +6,7 @@ from acuity import schema as S
 from acuity.functions.scalars import booking_period, collapse_priority, hours_between, rater_pseudonym
 
 ADMISSION = ["study_id", "age", "admit_dt_tm"]
-TIE_KEYS = ["episode_number", "booked_procedure"]
+TIE_KEYS = ["episode_number", "booked_procedure", "coded_primary_procedure", "procedural_consultant"]
 
 
 def with_booking_period(study: DataFrame) -> DataFrame:

@@ -72,6 +72,10 @@ def keep_cohort(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def flag_cohort(df: DataFrame, ids: DataFrame, flag: str = "trauma") -> DataFrame:
-    """All rows, with a flag for the studies in ``ids`` (distinct)."""
-    marked = ids.selectExpr("study_id", f"true as {flag}")
+    """All rows, with a flag for the studies in ``ids``.
+
+    The ids are made distinct on the join key, so the join keeps the number of
+    rows and reuses that shuffle.
+    """
+    marked = ids.select("study_id").distinct().withColumn(flag, F.lit(True))
     return df.join(marked, "study_id", "left").withColumn(flag, F.expr(f"coalesce({flag}, false)"))

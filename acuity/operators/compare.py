@@ -30,6 +30,7 @@ DIFFERENCE_NAMES = {
     "elderly": "diff proc bw elderly and full",
     "paeds": "diff proc bw paeds and full",
 }
+SPECIALTY_NAMES = {"urgent": "urgent speciality list", "study": "study db specialty list"}
 PUBLISHED = ["achi_code", "procedure_text", "block_text", "trauma", "primary_proc",
              "urgent_total_pcnt", "urgent_total_pcnt_CI"]
 
@@ -106,3 +107,12 @@ def published_lists(lists: DataFrame, codes: DataFrame) -> DataFrame:
              .filter("_name is not null").drop("list_name"))
     return (with_code_text(named, codes).withColumnsRenamed({"booked_procedure": "achi_code", "_name": "list_name"})
             .select("list_name", *PUBLISHED, "procedure_list"))
+
+
+def named_lists(lists: dict[str, DataFrame]) -> DataFrame:
+    """Any tables under one another with ``list_name``; columns a table lacks are null."""
+    (name, out), *rest = lists.items()
+    out = out.withColumn("list_name", F.lit(name))
+    for name, df in rest:
+        out = out.unionByName(df.withColumn("list_name", F.lit(name)), allowMissingColumns=True)
+    return out

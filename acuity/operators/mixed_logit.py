@@ -99,8 +99,8 @@ def _evaluate(counts: DataFrame, x: np.ndarray, points: list[np.ndarray]) -> lis
 
     typed = ", ".join(f"{c} double" for c in names) + ", point int"
     rows = (counts.select(*n_columns, *y_columns).mapInPandas(partition_sums, typed)
-            .groupBy("point").agg(*[F.expr(f"sum({c}) as {c}") for c in names]).orderBy("point").collect())
-    return [(r["value"], np.array([r[f"g{i}"] for i in range(width)])) for r in rows]
+            .groupBy("point").agg(*[F.expr(f"sum({c}) as {c}") for c in names]).collect())
+    return [(r["value"], np.array([r[f"g{i}"] for i in range(width)])) for r in sorted(rows, key=lambda r: r["point"])]
 
 
 @dataclass

@@ -28,7 +28,7 @@ def common_words(study_text: DataFrame, study_codes: DataFrame, codes: DataFrame
     texts = study_text.selectExpr("study_id", f"{words('text', stopwords)} as _words")
     return (coded.join(texts, "study_id")
             .selectExpr("study_id", "code", "size(_code_words) as code_words",
-                        "size(array_intersect(_code_words, _words)) as common_words"))
+                        "coalesce(size(array_intersect(_code_words, _words)), 0) as common_words"))
 
 
 def best_match(matches: DataFrame) -> DataFrame:

@@ -381,6 +381,16 @@ ORACLE = {
     "urgent_specialty_freq": f"""WITH RECURSIVE {FULL}, {SPEC}, pairs2 AS (SELECT DISTINCT booked_procedure, specialty
         FROM rat JOIN spec USING (patient) WHERE booked_procedure IN (SELECT booked_procedure FROM lst WHERE urgent_surgery_by_agmnt)),
         s AS (SELECT {_SPECIALTY} AS specialty FROM pairs2) {_freq('s', 'specialty')}""",
+    "urgent_list_freqs": f"""WITH RECURSIVE {FULL}, c AS (SELECT 'urgent_surgery_by_agmnt' AS class, trauma, primary_proc FROM lst
+        WHERE urgent_surgery_by_agmnt UNION ALL SELECT 'urgent_surgery_by_cnsus', trauma, primary_proc FROM lst
+        WHERE urgent_surgery_by_cnsus) {_freq('c', 'class', 'trauma', 'primary_proc')}""",
+    "sex_list_compare": f"""WITH RECURSIVE {SEXED}, c AS (SELECT list_name, primary_proc FROM lst WHERE urgent_surgery_by_agmnt)
+        {_freq('c', 'list_name', 'primary_proc')}""",
+    "specialty_lists": f"""WITH RECURSIVE {FULL}, {SPEC}, pairs2 AS (SELECT DISTINCT booked_procedure, specialty
+        FROM rat JOIN spec USING (patient) WHERE booked_procedure IN (SELECT booked_procedure FROM lst WHERE urgent_surgery_by_agmnt)),
+        s1 AS (SELECT {_SPECIALTY} AS specialty FROM pairs2), s2 AS (SELECT {_SPECIALTY} AS specialty FROM adm JOIN spec USING (patient))
+        SELECT *, 'urgent speciality list' AS list_name FROM ({_freq('s1', 'specialty')})
+        UNION ALL SELECT *, 'study db specialty list' FROM ({_freq('s2', 'specialty')})""",
     "model_eligibility": f"WITH {ELIGIBLE} SELECT * FROM eligible",
     "model_frame_freq": f"""WITH {RAT}, f AS (SELECT {_age_gp()} AS age_gp, {_URGENT_YN} AS urgent_yn FROM rat WHERE booked_procedure IN
         (SELECT booked_procedure FROM rat GROUP BY 1 HAVING count(*) >= 20)) {_freq('f', 'age_gp', 'urgent_yn')}""",

@@ -245,10 +245,11 @@ def exact_binomial_ci(spark, sf):
 
 # --- lists -------------------------------------------------------------------
 def _flagged_ratings(spark, sf):
-    """Ratings with the trauma status of their admission, decided inside the row."""
-    rows = t.ratings(spark, sf)
-    flag = cohort.row_trauma_flag(S.diagnosis_columns(rows.columns))
-    return rows.withColumn("trauma", F.coalesce(flag, F.lit(False)))
+    """Ratings with the trauma status of their admission, decided before admissions and cases are joined."""
+    admissions = t.study(spark, sf)
+    diagnoses = S.diagnosis_columns(admissions.columns)
+    flag = F.coalesce(cohort.row_trauma_flag(diagnoses), F.lit(False))
+    return t.ratings(spark, sf, admissions.withColumn("trauma", flag).drop(*diagnoses))
 
 
 def _full_list(spark, sf, **options):
@@ -320,6 +321,16 @@ def urgent_list_consensus(spark, sf):
     return shown(compare.urgent_list(listed, "urgent_surgery_by_cnsus"), "urgent_total_pcnt")
 
 
+@query
+def urgent_list_freqs(spark, sf):
+    """Trauma and primary-procedure shares of both urgent lists."""
+    rows = _full_list(spark, sf)
+    flags = "inline(array(struct('urgent_surgery_by_agmnt' as class, urgent_surgery_by_agmnt as _in), " \
+            "struct('urgent_surgery_by_cnsus' as class, urgent_surgery_by_cnsus as _in)))"
+    urgent = rows.selectExpr("trauma", "primary_proc", flags).filter("_in")
+    return freq_table(urgent, "class", "trauma", "primary_proc")
+
+
 @query
 def age_range_default_bounds(spark, sf):
     rows = t.ratings(spark, sf)
@@ -373,6 +384,14 @@ def sex_lists(spark, sf):
     return _list_shown(lists.urgency_lists(rows, lists.sex_members(rows)))
 
 
+@query
+def sex_list_compare(spark, sf):
+    """Urgent procedures of the male and female lists side by side."""
+    rows = t.ratings(spark, sf)
+    listed = lists.urgency_lists(rows, lists.sex_members(rows)).filter("urgent_surgery_by_agmnt")
+    return freq_table(listed, "list_name", "primary_proc")
+
+
 @query
 def published_lists(spark, sf):
     return shown(compare.published_lists(_age_lists(spark, sf), t.codes(spark, sf)), "urgent_total_pcnt")
@@ -436,6 +455,14 @@ def urgent_specialty_freq(spark, sf):
     return demo.urgent_specialty_freq(rows, urgent)
 
 
+@query
+def specialty_lists(spark, sf):
+    return compare.named_lists({
+        compare.SPECIALTY_NAMES["urgent"]: urgent_specialty_freq(spark, sf),
+        compare.SPECIALTY_NAMES["study"]: specialty_freq(spark, sf),
+    })
+
+
 # --- models ------------------------------------------------------------------
 @query
 def model_eligibility(spark, sf):

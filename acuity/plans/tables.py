@@ -65,16 +65,16 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_shipdate as emerg_book_dt_tm", "to_date(l_shipdate) as case_date")
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per booked case: an order line with its admission."""
-    return _lines(spark, sf_dir).join(study(spark, sf_dir), "study_id")
+def cases(spark: SparkSession, sf_dir: str, admissions: DataFrame | None = None) -> DataFrame:
+    """One row per booked case: an order line with its admission (``study`` or columns added to it)."""
+    return _lines(spark, sf_dir).join(study(spark, sf_dir) if admissions is None else admissions, "study_id")
 
 
-def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ratings(spark: SparkSession, sf_dir: str, admissions: DataFrame | None = None) -> DataFrame:
     """Cases with an urgency level, skewed by procedure so that all classes occur."""
     level = (f"if((study_id * 31 + l_linenumber * 17) % 100 < booked_procedure % 100, "
              f"if(study_id % 3 = 0, '<1hr', '<4hrs'), {collapse_priority('emerg_priority', ORDER_PRIORITIES)})")
-    return cases(spark, sf_dir).selectExpr(
+    return cases(spark, sf_dir, admissions).selectExpr(
         "*", f"{level} as emerg_priority_collapse",
         f"{booking_period(hours_between('emerg_book_dt_tm', 'admit_dt_tm'))} as admit_to_book_pd",
         "l_linenumber = 1 as primary_proc", f"{_label('booked_procedure + study_id')} as correct")
