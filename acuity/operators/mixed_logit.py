@@ -150,7 +150,7 @@ def fixed_effect_odds(counts: DataFrame, terms: str = "main", with_trauma: bool
 
 
 def random_intercept_logit(counts: DataFrame, terms: str = "main", with_trauma: bool = False,
-                           max_steps: int = 30, tolerance: float = 1e-6) -> Fit:
+                           max_steps: int = 30, tolerance: float = 1e-9) -> Fit:
     """Maximum of the Laplace likelihood by damped Newton steps.
 
     ``counts`` is the output of ``model_cells``; pass it materialized to fit

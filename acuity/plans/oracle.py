@@ -243,6 +243,58 @@ CUT = f"""{FULL}, cut AS (SELECT lst.*, cons_cutoff FROM lst, (SELECT unnest([0.
     WHERE urgent_total_pcnt < 80 AND urgent_total_pcnt > 50 AND "Consensus" < cons_cutoff),
 cutl AS ({' UNION ALL '.join(f"""SELECT booked_procedure, cons_cutoff, '{lv}' AS urgency, "{lv}" AS pcnt FROM cut""" for lv in LEVELS)})"""
 
+# Plain logistic model by coordinate-wise Newton steps on the six cell totals; the variance
+# matrix by elimination of the two age columns, which never overlap.
+_ETA = "(b0 + b1 * m[i] + b2 * e[i] + b3 * p[i])"
+_PROB = f"(1 / (1 + exp(-{_ETA})))"
+
+
+def _cell_sum(expression):
+    return f"list_sum(list_transform(range(1, len(n) + 1), lambda i: {expression}))"
+
+
+_PICK = "CASE step % 4 WHEN 0 THEN 1 WHEN 1 THEN m[i] WHEN 2 THEN e[i] ELSE p[i] END"
+_MOVE = f"""({_cell_sum(f'({_PICK}) * (y[i] - n[i] * {_PROB})')}
+    / {_cell_sum(f'({_PICK}) * n[i] * {_PROB} * (1 - {_PROB})')})"""
+_W = {name: _cell_sum(f"{x} * n[i] * {_PROB} * (1 - {_PROB})") for name, x in
+      (("s", "1"), ("sm", "m[i]"), ("se", "e[i]"), ("sp", "p[i]"), ("sme", "m[i] * e[i]"), ("smp", "m[i] * p[i]"))}
+LOGIT = f"""{ELIGIBLE}, tot AS (SELECT CAST(sex = 'M' AS INT) AS m, CAST(age_gp = 'elderly' AS INT) AS e,
+    CAST(age_gp = 'paeds' AS INT) AS p, sum(n) AS n, sum(y) AS y FROM mcells GROUP BY ALL),
+obs AS (SELECT list(m) AS m, list(e) AS e, list(p) AS p, list(CAST(n AS DOUBLE)) AS n, list(CAST(y AS DOUBLE)) AS y FROM tot),
+fit AS (SELECT 0 AS step, 0e0 AS b0, 0e0 AS b1, 0e0 AS b2, 0e0 AS b3 UNION ALL
+    SELECT step + 1, b0 + CASE WHEN step % 4 = 0 THEN move ELSE 0 END, b1 + CASE WHEN step % 4 = 1 THEN move ELSE 0 END,
+        b2 + CASE WHEN step % 4 = 2 THEN move ELSE 0 END, b3 + CASE WHEN step % 4 = 3 THEN move ELSE 0 END
+    FROM (SELECT fit.*, {_MOVE} AS move FROM fit, obs WHERE step < 800)),
+info AS (SELECT b0, b1, b2, b3, {', '.join(f'{x} AS {name}' for name, x in _W.items())} FROM fit, obs WHERE step = 800),
+half AS (SELECT *, s - se - sp AS a11, sm - sme - smp AS a12, sm - sme * sme / se - smp * smp / sp AS a22 FROM info),
+var AS (SELECT *, a11 * a22 - a12 * a12 AS det FROM half),
+coef AS (SELECT '(Intercept)' AS "Variable", b0 AS b, a22 / det AS v FROM var UNION ALL SELECT 'sexM', b1, a11 / det FROM var
+    UNION ALL SELECT 'age_gpelderly', b2, 1 / se + (a22 - 2 * (sme / se) * a12 + (sme / se) * (sme / se) * a11) / det FROM var
+    UNION ALL SELECT 'age_gppaeds', b3, 1 / sp + (a22 - 2 * (smp / sp) * a12 + (smp / sp) * (smp / sp) * a11) / det FROM var)"""
+
+# Null model with a random intercept: the Laplace likelihood itself, maximised by a shrinking grid.
+_NULL_P = "(1 / (1 + exp(-(b + t * u))))"
+_NULL_STEP = (f"u + greatest(-2, least(2, (t * (y - n * {_NULL_P}) - u) / (1 + t * t * n * {_NULL_P} * (1 - {_NULL_P}))))")
+_MODE = f"list_reduce(range(0, 30), lambda u, i: {_NULL_STEP}, 0e0)"
+
+
+def _grid_levels(levels=22):
+    parts = ["best0 AS (SELECT 0e0 AS b, 1.2e0 AS t)"]
+    for i in range(1, levels + 1):
+        width = 1.2 * 0.55 ** (i - 1)
+        parts.append(f"""best{i} AS (SELECT arg_max(b, total) AS b, arg_max(t, total) AS t FROM (
+    SELECT b, t, sum(w * (y * (b + t * u) - n * ln(1 + exp(b + t * u)) - u * u / 2
+        - ln(1 + t * t * n * {_NULL_P} * (1 - {_NULL_P})) / 2)) AS total
+    FROM (SELECT g.b, g.t, n, y, w, {_MODE} AS u FROM (SELECT b0 + {width!r} * dx / 2 AS b, abs(t0 + {width!r} * dy / 2) AS t
+        FROM (SELECT b AS b0, t AS t0 FROM best{i - 1}), (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy)) g, sums)
+    GROUP BY b, t))""")
+    return ", ".join(parts), f"best{levels}"
+
+
+_GRID, _BEST = _grid_levels()
+NULL_FIT = f"""{ELIGIBLE}, per AS (SELECT booked_procedure, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS y FROM mcells GROUP BY 1),
+sums AS (SELECT n, y, count(*) AS w FROM per GROUP BY n, y), {_GRID}"""
+
 ORACLE = {
     "booking_period_freq": f"""WITH h AS (SELECT ts - min(ts) OVER (PARTITION BY user_id) AS d FROM events),
         b AS (SELECT CASE WHEN d <= INTERVAL 24 HOUR THEN 'same day' WHEN d <= INTERVAL 168 HOUR THEN 'same week'
@@ -400,4 +452,8 @@ ORACLE = {
         (SELECT booked_procedure FROM rat GROUP BY 1 HAVING count(*) >= 20) GROUP BY ALL""",
     "model_sample_size": f"""WITH {ELIGIBLE} SELECT count(DISTINCT booked_procedure) AS n_procedures,
         CAST(sum(n) AS BIGINT) AS n_ratings FROM mcells""",
+    "fixed_effect_odds": f"""WITH RECURSIVE {LOGIT} SELECT "Variable", round_even(exp(b), 2) AS "OddsRatio",
+        round_even(exp(b - 1.96e0 * sqrt(v)), 2) AS "LL", round_even(exp(b + 1.96e0 * sqrt(v)), 2) AS "UL" FROM coef""",
+    "icc": f"""WITH {NULL_FIT} SELECT round(t * t, 3) AS variance, round(t * t / (t * t + 1), 3) AS icc,
+        round(t * t / (t * t + pi() * pi() / 3), 3) AS icc_latent FROM {_BEST}""",
 }

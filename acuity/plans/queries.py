@@ -520,8 +520,8 @@ def whole_cohort_odds(spark, sf):
 @query
 def icc(spark, sf):
     fit = mixed_logit.random_intercept_logit(_counts(spark, sf), "null")
-    return spark.createDataFrame([(fit.tau ** 2, mixed_logit.icc(fit), mixed_logit.icc(fit, latent=True))],
-                                 "variance double, icc double, icc_latent double")
+    values = (fit.tau ** 2, mixed_logit.icc(fit), mixed_logit.icc(fit, latent=True))
+    return spark.createDataFrame([tuple(round(v, 3) for v in values)], "variance double, icc double, icc_latent double")
 
 
 @query

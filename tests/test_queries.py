@@ -14,7 +14,7 @@ from tests.oracle_check import compare, connect
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-FITS = {"fixed_effect_odds", "random_intercept_odds", "interaction_odds", "whole_cohort_odds", "icc", "model_lrt"}
+FITS = {"random_intercept_odds", "interaction_odds", "whole_cohort_odds", "model_lrt"}
 
 
 @pytest.fixture(scope="module")
