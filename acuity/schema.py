@@ -39,14 +39,16 @@ SPECIALTY_SUFFIX = " SN"
 # --- fixed values: procedure codes that are never a booked operation ---------
 EXCLUDED_BLOCK_TEXT = "anaesthesia|Airway management|Ventilatory support|Vascular access device"
 EXCLUDED_BLOCK_RANGES = [(1820, 1923), (1940, 2016), (1786, 1800)]
-EXCLUDED_CODES = [f"95550-{i:02d}" for i in range(1, 17)] + [
-    "13706-02", "13706-05", "13882-01", "13882-02", "18270-00", "18274-01", "36800-00",
-    "60503-00", "90022-00", "92062-00", "92209-00", "92209-01", "92209-02",
+EXCLUDED_CODES = [
+    "13706-02", "13706-05", "13882-01", "13882-02", "18270-00", "18274-01", "36800-00", "60503-00",
+    "90022-00", "92062-00", "92209-00", "92209-01", "92209-02",
+    "95550-01", "95550-02", "95550-03", "95550-04", "95550-05", "95550-06", "95550-07", "95550-08",
+    "95550-09", "95550-10", "95550-11", "95550-12", "95550-13", "95550-14", "95550-15", "95550-16",
 ]
 
 # --- fixed values: diagnosis stems that do not count as trauma (inclusive) ---
 EXCLUDED_STEM_RANGES = {
-    "t": [(36, 65), (74, 74), (78, 78), (80, 88), (90, 98)],
+    "t": [(36, 50), (51, 65), (74, 74), (78, 78), (80, 88), (90, 98)],
     "y": [(6, 7), (10, 19), (36, 37), (40, 98)],
     "u": [(4, 4), (6, 7), (78, 92)],
     "x": [(40, 49)],
