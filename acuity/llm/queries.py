@@ -2,13 +2,18 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from acuity.llm import decontaminate, language, ngram_join, personal, pieces
+from acuity.llm import decontaminate, language, ngram_join, personal, pieces, secrets, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark, sf_dir):
+    """Every document without the sentences of repeated runs."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark, sf_dir):
     """One row per document and benchmark item it holds."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -35,5 +40,9 @@ def op8_language(spark, sf_dir):
     return found.select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_sentencepiece, op5_personal_data, op7_ngram_join, op8_language)}
+def op9_secrets(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op4_sentencepiece, op5_personal_data, op7_ngram_join, op8_language, op9_secrets)}
 ORACLE: dict[str, str] = {}
