@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from acuity.llm import decontaminate, language, ngram_join, personal, pieces, secrets, substring_dedup
+from acuity.llm import decontaminate, language, ngram_join, personal, pieces, quality, secrets, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_personal_data(spark, sf_dir):
     return personal.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_join(spark, sf_dir):
     """Class, links and copies of every document."""
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).select(
@@ -44,5 +48,5 @@ def op9_secrets(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op4_sentencepiece, op5_personal_data, op7_ngram_join, op8_language, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op4_sentencepiece, op5_personal_data, op6_quality_rules, op7_ngram_join, op8_language, op9_secrets)}
 ORACLE: dict[str, str] = {}
