@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from acuity.llm import decontaminate, language, ngram_join, personal, pieces, quality, secrets, substring_dedup
+from acuity.llm import decontaminate, language, ngram_join, personal, pieces, quality, secrets, store, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op2_decontamination(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark, sf_dir):
+    """Pages written as records of an archive, and what is read back."""
+    path = store.new_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path)
+
+
 def op4_sentencepiece(spark, sf_dir):
     """Tokens of every document, and whether decoding gives the text back."""
     return pieces.encode(table(spark, sf_dir, "documents"), check=True)
@@ -48,5 +55,5 @@ def op9_secrets(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op4_sentencepiece, op5_personal_data, op6_quality_rules, op7_ngram_join, op8_language, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_warc, op4_sentencepiece, op5_personal_data, op6_quality_rules, op7_ngram_join, op8_language, op9_secrets)}
 ORACLE: dict[str, str] = {}
