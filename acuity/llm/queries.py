@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from acuity.llm import decontaminate, language, ngram_join, personal, pieces, quality, secrets, store, substring_dedup, warc
+from acuity.llm import decontaminate, language, ngram_join, pages, personal, pieces, quality, secrets, store, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,10 @@ def op9_secrets(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_warc, op4_sentencepiece, op5_personal_data, op6_quality_rules, op7_ngram_join, op8_language, op9_secrets)}
+def op10_main_text(spark, sf_dir):
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_warc, op4_sentencepiece, op5_personal_data, op6_quality_rules, op7_ngram_join, op8_language,
+                                 op9_secrets, op10_main_text)}
 ORACLE: dict[str, str] = {}
