@@ -125,7 +125,7 @@ def learn(cells: list[tuple], names: list[str], cuts: dict[str, list[float]]) ->
         for k in range(len(rule), 0, -1):
             inside = [c for c in left if all(holds(c, x) for x in rule[:k])]
             bad, good = total(inside, 2), total(inside, 3)
-            if bad + good and (bad - good) / (bad + good) > score:
+            if bad + good and (bad - good) / (bad + good) >= score:  # of equals the shorter
                 pruned, score = rule[:k], (bad - good) / (bad + good)
         inside = [c for c in left if all(holds(c, x) for x in pruned)]
         bad, good = total(inside, 0) + total(inside, 2), total(inside, 1) + total(inside, 3)
