@@ -45,8 +45,8 @@ def _beta_fraction(x, a, b):
             step = c * d
             h = h * step
         if np.all(np.abs(step - 1) < 1e-14):
-            break
-    return h
+            return h
+    raise ArithmeticError("the beta fraction did not converge")
 
 
 def _beta_cdf_small(x, a, b):

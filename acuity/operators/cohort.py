@@ -56,13 +56,18 @@ def trauma_cohort(study: DataFrame, mode: str = "first", zero_pad: bool = False,
 
     Rows are reduced to one flag before they are grouped. With several rows per
     study, ``first`` means the first row in ``row_order`` that has a surviving
-    code. Pass ``row_order=None`` if a study is one row: then nothing is shuffled.
+    code; rows without an order come last, and of rows with equal order the one
+    with the smallest codes, place by place, is first. Pass ``row_order=None``
+    if a study is one row: then nothing is shuffled.
     """
-    flag = row_trauma_flag(S.diagnosis_columns(study.columns), mode, zero_pad)
+    columns = S.diagnosis_columns(study.columns)
+    flag = row_trauma_flag(columns, mode, zero_pad)
     if row_order is None or row_order not in study.columns:
         return study.filter(flag).select("study_id")
-    rows = study.select("study_id", F.col(row_order).alias("_order"), flag.alias("_flag")).filter("_flag is not null")
-    per_study = "min_by(_flag, _order)" if mode == "first" else "bool_or(_flag)"
+    first = F.struct(F.col(row_order).isNull(), F.col(row_order),
+                     F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]))
+    rows = study.select("study_id", first.alias("_order"), flag.alias("_flag")).filter("_flag is not null")
+    per_study = "min(struct(_order, _flag))._flag" if mode == "first" else "bool_or(_flag)"
     return rows.groupBy("study_id").agg(F.expr(f"{per_study} as _flag")).filter("_flag").select("study_id")
 
 

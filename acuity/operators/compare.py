@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from acuity.functions.scalars import literal
+
 # --- fixed values: labels and names of the published lists -------------------
 NOT_SPECIFIC = {
     "adult": "not specific to adults",
@@ -35,6 +37,27 @@ PUBLISHED = ["achi_code", "procedure_text", "block_text", "trauma", "primary_pro
              "urgent_total_pcnt", "urgent_total_pcnt_CI"]
 
 
+
+def not_specific(group: str) -> str:
+    return NOT_SPECIFIC.get(group, f"not specific to {group} patients")
+
+
+def only(group: str) -> str:
+    return ONLY.get(group, f"{group} patients only")
+
+
+def agreement_name(group: str) -> str:
+    return AGREEMENT_NAMES.get(group, f"{group} list by agreement")
+
+
+def consensus_name(group: str) -> str:
+    return CONSENSUS_NAMES.get(group, f"{group} addit proc by consensus")
+
+
+def difference_name(group: str) -> str:
+    return DIFFERENCE_NAMES.get(group, f"diff proc bw {group} and full")
+
+
 def with_code_text(listed: DataFrame, codes: DataFrame) -> DataFrame:
     text = codes.selectExpr("achi_proc_code as booked_procedure", "procedure_text", "block_text")
     return listed.join(text, "booked_procedure", "left")
@@ -56,8 +79,8 @@ def compare_lists(full: DataFrame, group: DataFrame, group_name: str) -> DataFra
         keys = right.select(F.col("achi_code").alias("_key"))
         return (left.join(keys, left["achi_code"].eqNullSafe(F.col("_key")), "left_anti")
                 .withColumn("procedure_list", F.lit(label)))
-    return only_in(group, full, ONLY[group_name]).unionByName(
-        only_in(full, group, NOT_SPECIFIC[group_name]), allowMissingColumns=True)
+    return only_in(group, full, only(group_name)).unionByName(
+        only_in(full, group, not_specific(group_name)), allowMissingColumns=True)
 
 
 def _urgent_on(lists: DataFrame) -> DataFrame:
@@ -73,8 +96,8 @@ def _urgent_on(lists: DataFrame) -> DataFrame:
 def _difference(group: str) -> str:
     """SQL text: label of a row in the comparison of ``group`` with the full list, else null."""
     return (f"case when not urgent_surgery_by_agmnt then null "
-            f"when list_name = '{group}' and not array_contains(_on, 'full') then '{ONLY[group]}' "
-            f"when list_name = 'full' and not array_contains(_on, '{group}') then '{NOT_SPECIFIC[group]}' end")
+            f"when list_name = {literal(group)} and not array_contains(_on, 'full') then {literal(only(group))} "
+            f"when list_name = 'full' and not array_contains(_on, {literal(group)}) then {literal(not_specific(group))} end")
 
 
 def list_differences(lists: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -83,25 +106,27 @@ def list_differences(lists: DataFrame, groups: list[str] | None = None) -> DataF
     Same rows as ``compare_lists`` for every group, without recomputing or
     joining any list.
     """
-    options = ", ".join(f"struct('{DIFFERENCE_NAMES[g]}' as diff_name, {_difference(g)} as procedure_list)"
+    options = ", ".join(f"struct({literal(difference_name(g))} as diff_name, {_difference(g)} as procedure_list)"
                         for g in groups or list(ONLY))
     return (_urgent_on(lists).selectExpr("*", f"inline(array({options}))")
             .filter("procedure_list is not null").drop("_on"))
 
 
-def published_lists(lists: DataFrame, codes: DataFrame) -> DataFrame:
-    """The eleven published lists as one table with ``list_name``.
+def published_lists(lists: DataFrame, codes: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """The published lists as one table with ``list_name``: eleven for the full list and the three age groups.
 
-    Every stacked row names the lists it goes to; the table is built in one
+    ``groups`` are the names of the stacked lists to set against ``full``, ages by
+    default. Every stacked row names the lists it goes to; the table is built in one
     pass and can be written with ``partitionBy("list_name")``.
     """
+    groups = groups or list(ONLY)
     targets = [
-        f"struct(if({flag} and list_name = '{group}', '{name}', null) as _name, cast(null as string) as procedure_list)"
-        for flag, names in (("urgent_surgery_by_agmnt", AGREEMENT_NAMES), ("urgent_surgery_by_cnsus", CONSENSUS_NAMES))
-        for group, name in names.items()
+        f"struct(if({flag} and list_name = {literal(group)}, {literal(name(group))}, null) as _name, cast(null as string) as procedure_list)"
+        for flag, name in (("urgent_surgery_by_agmnt", agreement_name), ("urgent_surgery_by_cnsus", consensus_name))
+        for group in ["full", *groups]
     ] + [
-        f"struct(if({_difference(group)} is not null, '{name}', null) as _name, {_difference(group)} as procedure_list)"
-        for group, name in DIFFERENCE_NAMES.items()
+        f"struct(if({_difference(group)} is not null, {literal(difference_name(group))}, null) as _name, {_difference(group)} as procedure_list)"
+        for group in groups
     ]
     named = (_urgent_on(lists).selectExpr("*", f"inline(array({', '.join(targets)}))")
              .filter("_name is not null").drop("list_name"))

@@ -3,33 +3,37 @@
 from pyspark.sql import DataFrame, functions as F
 
 from acuity.functions.scalars import specialty_group
-from acuity.operators.bookings import first_row
 from acuity.operators.frequency import freq_table, most_frequent_first
 
 COLUMNS = ["study_id", "age", "trauma", "sex", "asa", "specialty", "emerg_priority_collapse"]
 
 
-def one_row_per_study(rows: DataFrame, order: list[str]) -> DataFrame:
-    return first_row(rows, ["study_id"], order)
+def studies(rows: DataFrame, order: list[str], in_cohort: str, is_trauma: str) -> DataFrame:
+    """One row per study: its first row in ``order`` with ``in_cohort`` and ``any_trauma`` of the whole study.
 
-
-def outside_cohort(rows: DataFrame, cohort: DataFrame) -> DataFrame:
-    """Rows of studies that are not in ``cohort``; a missing id matches a missing id."""
-    ids = cohort.selectExpr("study_id as _id")
-    return rows.join(ids, rows["study_id"].eqNullSafe(F.col("_id")), "left_anti")
+    ``in_cohort`` and ``is_trauma`` are SQL conditions on a row; a study counts
+    if any of its rows does. One grouping, combined before the shuffle, takes
+    the first row and both flags together; a missing study id is one study.
+    """
+    columns = [c for c in dict.fromkeys(["booked_procedure", *COLUMNS]) if c not in ("study_id", "trauma")]
+    keys = ", ".join(f"{c} is null, {c}" for c in order)
+    first = f"min(struct({keys}, struct({', '.join(columns)}) as _row))._row as _first"
+    grouped = rows.groupBy("study_id").agg(
+        F.expr(first), F.expr(f"bool_or(coalesce({in_cohort}, false)) as in_cohort"),
+        F.expr(f"bool_or(coalesce({is_trauma}, false)) as any_trauma"))
+    return grouped.select("study_id", "_first.*", "in_cohort", "any_trauma")
 
 
-def flag_shared_procedure(studies: DataFrame, trauma_ids: DataFrame) -> DataFrame:
-    """``trauma`` is true if the booked procedure was also booked in a trauma study."""
-    shared = (studies.join(trauma_ids, "study_id", "left_semi")
-              .selectExpr("booked_procedure as _key", "true as trauma").distinct())
-    return (studies.join(shared, studies["booked_procedure"].eqNullSafe(F.col("_key")), "left")
-            .drop("_key").withColumn("trauma", F.expr("coalesce(trauma, false)")))
+def flag_shared_procedure(frame: DataFrame) -> DataFrame:
+    """``trauma`` is true if the booked procedure was also booked in a trauma study of the frame."""
+    shared = frame.groupBy(F.col("booked_procedure").alias("_key")).agg(F.expr("bool_or(any_trauma) as trauma"))
+    return frame.join(shared, frame["booked_procedure"].eqNullSafe(F.col("_key"))).drop("_key")
 
 
-def demographics(rows: DataFrame, cohort: DataFrame, trauma_ids: DataFrame, order: list[str]) -> DataFrame:
-    """Studies outside the cohort, one row each, with the shared-procedure flag."""
-    return flag_shared_procedure(one_row_per_study(outside_cohort(rows, cohort), order), trauma_ids).select(COLUMNS)
+def demographics(rows: DataFrame, order: list[str], in_cohort: str, is_trauma: str, cohort: bool = False) -> DataFrame:
+    """Studies outside the cohort, or with ``cohort`` those inside, one row each, with the shared-procedure flag."""
+    frame = studies(rows, order, in_cohort, is_trauma).filter("in_cohort" if cohort else "not in_cohort")
+    return flag_shared_procedure(frame).select(COLUMNS)
 
 
 def demographic_freqs(studies: DataFrame, variables: list[str]) -> DataFrame:

@@ -1,8 +1,9 @@
 """Distributions: of level percents over procedures, and of numeric study variables.
 
-Quantiles and densities work on value counts. Percents shown with one decimal
-have at most 1001 values and ages a few hundred, so what reaches one task is
-bounded by the value range and not by the number of rows. Group statistics are
+Quantiles of level percents and densities work on value counts. Percents shown
+with one decimal have at most 1001 values, so what reaches one task is bounded
+by the value range and not by the number of rows. Quartiles of any other
+variable are found by rank in a range-partitioned sort. Group statistics are
 attached with windows over the value counts; the input is never joined with
 itself and so is read once.
 """
@@ -24,10 +25,37 @@ def value_counts(long: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _quartiles(value: str) -> str:
-    """q25, median and q75 as an array, linear between order statistics."""
+    """q25, median and q75 as an array, linear between order statistics. For values with few distinct numbers."""
     return f"percentile({value}, array(0.25, 0.5, 0.75), n)"
 
 
+def quartiles(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """``key`` and array ``q`` of the quartiles of value counts, linear between order statistics.
+
+    Counts are sorted over all tasks; running counts come from the totals of
+    the tasks before and a running sum inside each task. So a variable with as
+    many values as rows is as good as one with few.
+    """
+    spark = counts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (counts.filter(f"{value} is not null").select(key, value, "n")
+              .repartitionByRange(parts, key, value).withColumn("_part", F.expr("spark_partition_id()")))
+    # one row per task and key
+    totals = ranged.groupBy(key, "_part").agg(F.expr("sum(n) as _n")).selectExpr(
+        key, "_part", f"sum(_n) over (partition by {key}) as _all",
+        f"coalesce(sum(_n) over (partition by {key} order by _part rows between unbounded preceding and 1 preceding), 0) as _before")
+    placed = (ranged.withColumn("_upto", F.expr(f"sum(n) over (partition by {key}, _part order by {value})"))
+              .join(totals, [key, "_part"]).selectExpr(key, value, "_all", "_before + _upto - n as _from", "_before + _upto as _to"))
+
+    def at(rank):
+        return f"max(if(_from <= {rank} and {rank} < _to, {value}, null))"
+    ranks = [f"({p}D * (_all - 1))" for p in (0.25, 0.5, 0.75)]
+    ends = [at(f"{end}{r}") for r in ranks for end in ("floor", "ceil")]
+    found = placed.groupBy(key).agg(F.expr("max(_all) as _all"), *[F.expr(f"{e} as _v{i}") for i, e in enumerate(ends)])
+    between = [f"_v{2 * i} + ({r} - floor{r}) * (_v{2 * i + 1} - _v{2 * i})" for i, r in enumerate(ranks)]
+    return found.selectExpr(key, f"array({', '.join(between)}) as q")
+
+
 def level_distribution(listed: DataFrame) -> DataFrame:
     """Median, interquartile range and quartiles of each level's percent over procedures."""
     counts = value_counts(levels_long(listed), ["urgency"], "pcnt")
@@ -63,24 +91,37 @@ def _squares(value: str) -> str:
 
 
 def numeric_profile(df: DataFrame, variables: list[str]) -> DataFrame:
-    """N, share missing, mean, sd, quartiles, range of numeric columns; one row per variable."""
+    """N, share missing, mean, sd, quartiles, range of numeric columns; one row per variable.
+
+    All but the quartiles are sums that are combined before they are shuffled.
+    """
     long = df.selectExpr(*[f"cast({v} as double) as {v}" for v in variables]).unpivot([], variables, "Variable", "value")
-    counts = _with_mean(value_counts(long, ["Variable"], "value"), ["Variable"], "value")
-    profile = counts.groupBy("Variable").agg(
-        F.expr("first(n_values) as N"), F.expr("sum(if(value is null, n, 0)) / sum(n) as missing"),
-        F.expr("first(mean) as mean"), F.expr(f"sqrt(try_divide({_squares('value')}, first(n_values) - 1)) as sd"),
-        F.expr(f"{_quartiles('value')} as q"), F.expr("min(value) as min"), F.expr("max(value) as max"))
-    return profile.selectExpr("Variable", "N", "missing", "mean", "sd", "q[1] as median", "q[2] - q[0] as IQR",
-                              "q[0] as `25 centile`", "q[2] as `75 centile`", "min", "max")
-
-
-def histogram(df: DataFrame, variable: str, low: float, high: float, width: float) -> DataFrame:
-    """Counts per bin ``(bin_from, bin_to]`` from ``low`` to ``high``; the first bin includes ``low``."""
-    place = f"greatest(ceil(({variable} - {low}) / {float(width)}D), 1) - 1 as _bin"
-    counted = (df.filter(f"{variable} between {low} and {high}").selectExpr(place)
-               .groupBy("_bin").agg(F.expr("count(*) as n")))
-    return counted.selectExpr(f"cast({low} + _bin * {width} as double) as bin_from",
-                              f"cast({low} + (_bin + 1) * {width} as double) as bin_to", "n")
+    sums = long.groupBy("Variable").agg(
+        F.expr("count(value) as N"), F.expr("count_if(value is null) / count(*) as missing"), F.expr("avg(value) as mean"),
+        F.expr("stddev_samp(value) as sd"), F.expr("min(value) as min"), F.expr("max(value) as max"))
+    q = quartiles(value_counts(long, ["Variable"], "value"), "Variable", "value")
+    return sums.join(q, "Variable", "left").selectExpr(
+        "Variable", "N", "missing", "mean", "sd", "q[1] as median", "q[2] - q[0] as IQR",
+        "q[0] as `25 centile`", "q[2] as `75 centile`", "min", "max")
+
+
+def histogram(df: DataFrame, variable: str, width: float) -> DataFrame:
+    """Counts per bin ``(bin_from, bin_to]`` of all values, at multiples of ``width``; the first bin includes its lower end.
+
+    Bins reach from the smallest to the largest value; empty ones have a row.
+    Missing values are counted in a row without ends. The input is read once:
+    bins are counted first, and their range comes from the counts.
+    """
+    place = f"cast(ceil({variable} / {float(width)}D) as bigint) - 1 as _bin"
+    on_edge = f"coalesce({variable} = ceil({variable} / {float(width)}D) * {float(width)}D, false) as _edge"
+    counted = df.selectExpr(place, on_edge).groupBy("_bin", "_edge").agg(F.expr("count(*) as n"))
+    # a lowest bin that only holds its upper end becomes the lower end of the next one
+    least = counted.agg(F.expr("min(if(_bin is null, null, struct(_bin, _edge, n)))")).scalar()
+    bins = counted.withColumn("_least", least).selectExpr("if(_bin = _least._bin and _least._edge, _bin + 1, _bin) as _bin", "n")
+    every = bins.agg(F.expr("min(_bin) as a"), F.expr("max(_bin) as b")).filter("a is not null").selectExpr(
+        "explode(sequence(a, b)) as _bin", "0L as n")
+    return bins.unionAll(every).groupBy("_bin").agg(F.expr("sum(n) as n")).selectExpr(
+        f"_bin * {float(width)}D as bin_from", f"(_bin + 1) * {float(width)}D as bin_to", "n")
 
 
 def level_density(long: DataFrame, keys: list[str], value: str = "pcnt",

@@ -9,13 +9,15 @@ def freq_table(df: DataFrame, *columns: str, digits: int | None = 1) -> DataFram
     """Counts ``n`` and percent ``prop`` of one or more variables; rows with a null are left out.
 
     With more than one variable the percent is within all but the last one.
-    Rows are counted before the total is taken, so the window that adds it sees
-    one row per combination of categories, and the input is read once.
+    Rows are counted before the total is taken, so the total sees one row per
+    combination of categories, and the input is read once.
     """
     counts = df.dropna(subset=list(columns)).groupBy(*columns).agg(F.expr("count(*) as n"))
-    within = f"partition by {', '.join(columns[:-1])}" if len(columns) > 1 else ""
-    return (counts.withColumn("_total", F.expr(f"sum(n) over ({within})"))
-            .selectExpr(*columns, "n", f"{percent('n', '_total', digits)} as prop"))
+    if len(columns) > 1:
+        whole = F.expr(f"sum(n) over (partition by {', '.join(columns[:-1])})")
+    else:
+        whole = counts.agg(F.expr("sum(n)")).scalar()  # over the same grouping, whose shuffle is reused
+    return counts.withColumn("_total", whole).selectExpr(*columns, "n", f"{percent('n', '_total', digits)} as prop")
 
 
 def most_frequent_first(freq: DataFrame) -> DataFrame:

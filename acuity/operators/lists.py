@@ -3,8 +3,8 @@
 Every list is a projection of level counts per procedure. The counts are a
 plain aggregate with a fixed number of counters per procedure, so rows are
 combined before the shuffle and a very frequent procedure costs no more than
-a rare one. Several lists (by age, by sex) are counted side by side in the
-same aggregate: one pass and one shuffle, however many lists.
+a rare one. Several lists (by age, by sex) are counted side by side from the
+same cells of procedure and age: one pass over the ratings, however many lists.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -23,39 +23,41 @@ LIST_COLUMNS = [
 ]
 
 
+OLDEST = "_oldest"  # name of the column with the largest age of all ratings
+
+
 def age_bounds(ratings: DataFrame) -> DataFrame:
     """One row with the smallest and largest age."""
     return ratings.agg(F.expr("min(age) as age_min"), F.expr("max(age) as age_max"))
 
 
-def oldest_age(ratings: DataFrame) -> float | None:
-    """The largest age: one pass over the age column, one number to the driver.
-
-    As a plain number it can be pushed to the scan, and every list built with it
-    has the same plan, so Spark reuses shuffles between them.
-    """
-    return age_bounds(ratings).first().age_max
-
-
-def in_age_range(age_lower: float | None = None, age_upper: float | None = None, closed_upper: bool = False) -> str:
-    """SQL text of ``age_lower <= age < age_upper``; a missing age is outside."""
+def in_age_range(age_lower: float | None = None, age_upper: float | str | None = None, closed_upper: bool = False) -> str:
+    """SQL text of ``age_lower <= age < age_upper``; a missing age is outside. ``age_upper`` may be a column."""
     inside = ["age is not null" if age_lower is None else f"age >= {float(age_lower)}D"]
     if age_upper is not None:
-        inside.append(f"age {'<=' if closed_upper else '<'} {float(age_upper)}D")
+        bound = age_upper if isinstance(age_upper, str) else f"{float(age_upper)}D"
+        inside.append(f"age {'<=' if closed_upper else '<'} {bound}")
     return " and ".join(inside)
 
 
-def default_age_range(ratings: DataFrame, age_lower: float | None = None, age_upper: float | None = None,
-                      closed_upper: bool = False) -> str:
-    """``in_age_range`` with the bound of the data where none is given.
+def default_age_range(age_lower: float | None = None, age_upper: float | None = None, closed_upper: bool = False) -> str:
+    """``in_age_range`` with the bound of the data, column ``OLDEST``, where none is given.
+
+    An open upper bound is the largest age of all ratings, so the oldest
+    patients are left out unless ``closed_upper`` is set.
+    """
+    return in_age_range(age_lower, OLDEST if age_upper is None and not closed_upper else age_upper, closed_upper)
+
 
-    An open upper bound is the largest age of all ``ratings``, so the oldest
-    patients are left out unless ``closed_upper`` is set. A lower bound needs no
-    pass: every age reaches the minimum.
+def with_oldest(cells: DataFrame) -> DataFrame:
+    """Grouped rows with the largest of their ages in column ``OLDEST``.
+
+    The maximum is a scalar subquery over the same grouping. It names every
+    column, so that nothing is pruned and Spark reuses the shuffle of the
+    grouping: the ratings are read once.
     """
-    if age_upper is None and not closed_upper:
-        age_upper = oldest_age(ratings)
-    return in_age_range(age_lower, age_upper, closed_upper)
+    rest = ", ".join(f"`{c}`" for c in cells.columns if c != "age")
+    return cells.withColumn(OLDEST, cells.agg(F.expr(f"max(struct(age, {rest})).age")).scalar())
 
 
 def same_day(ratings: DataFrame) -> DataFrame:
@@ -82,18 +84,33 @@ def level_counts(ratings: DataFrame, cohort: str = "trauma") -> DataFrame:
     return ratings.groupBy("booked_procedure").agg(*counters).filter(f"{TOTAL} > 0")
 
 
+def age_cells(ratings: DataFrame, cohort: str = "trauma", keys: tuple[str, ...] = ("age",)) -> DataFrame:
+    """Counts and flags of the same-day ratings per procedure and age (and other ``keys``), with ``OLDEST``.
+
+    There are at most a few hundred ages, so cells are combined before the
+    shuffle as well as procedures would be. The oldest age is that of all ratings, same day or not.
+    """
+    inside = f"coalesce(admit_to_book_pd = {literal(S.SAME_DAY)}, false)"
+    counters = [F.expr(f"{c} as {n}") for n, c in _counters(_trauma(cohort), inside).items()]
+    return with_oldest(ratings.groupBy("booked_procedure", *keys).agg(*counters))
+
+
 def level_counts_by_list(ratings: DataFrame, members: dict[str, str], cohort: str = "trauma") -> DataFrame:
-    """``level_counts`` of several lists in one pass, stacked with ``list_name``.
+    """``level_counts`` of several lists in one pass over the ratings, stacked with ``list_name``.
 
-    ``members`` gives for each list the SQL condition of its rows; lists may overlap.
+    ``members`` gives for each list a SQL condition on ``age``, ``OLDEST`` and
+    ``sex``; lists may overlap.
     """
-    marked = ratings.selectExpr("*", *[f"coalesce({m}, false) as _in_{i}" for i, m in enumerate(members.values())])
-    trauma = _trauma(cohort)
-    counters = [F.expr(f"{c} as {n}_{i}") for i in range(len(members)) for n, c in _counters(trauma, f"_in_{i}").items()]
+    keys = ("age", "sex") if any("sex" in m for m in members.values()) else ("age",)
+    cells = age_cells(ratings, cohort, keys)
+    marked = cells.selectExpr("*", *[f"coalesce({m}, false) as _in_{i}" for i, m in enumerate(members.values())])
+    names = [*COUNTS, "trauma", "primary_proc"]
+    sums = [f"sum(if(_in_{i}, {n}, 0)) as {n}_{i}" if n in COUNTS else f"bool_or(_in_{i} and {n}) as {n}_{i}"
+            for i in range(len(members)) for n in names]
     stack = ", ".join(
-        f"struct({literal(name)} as list_name, {', '.join(f'{n}_{i} as {n}' for n in _counters(trauma))})"
+        f"struct({literal(name)} as list_name, {', '.join(f'{n}_{i} as {n}' for n in names)})"
         for i, name in enumerate(members))
-    wide = marked.groupBy("booked_procedure").agg(*counters)
+    wide = marked.groupBy("booked_procedure").agg(*map(F.expr, sums))
     return wide.selectExpr("booked_procedure", f"inline(array({stack}))").filter(f"{TOTAL} > 0")
 
 
@@ -157,30 +174,31 @@ def procedure_urgency(ratings: DataFrame, agreement_threshold: float, consensus_
     ``cohort="trauma"`` marks every procedure as trauma; ``"all patients"``
     marks those with at least one trauma rating and needs a ``trauma`` column.
     """
-    inside = default_age_range(ratings, age_lower, age_upper, closed_upper)
-    counts = level_counts(same_day(ratings).filter(inside), cohort)
+    inside = default_age_range(age_lower, age_upper, closed_upper)
+    if OLDEST in inside:
+        counts = level_counts_by_list(ratings, {"_": inside}, cohort).drop("list_name")
+    else:
+        counts = level_counts(same_day(ratings).filter(inside), cohort)
     return classify(counts, agreement_threshold, consensus_threshold, urgency, percent_digits)
 
 
-def age_members(ratings: DataFrame) -> dict[str, str]:
-    """Row conditions of the full list and the three age lists, with their default bounds."""
-    oldest = oldest_age(ratings)
+def age_members() -> dict[str, str]:
+    """Conditions of the full list and the three age lists, with their default bounds."""
     return {
-        "full": in_age_range(None, oldest),
+        "full": default_age_range(),
         "adult": in_age_range(S.ADULT_FROM, S.ELDERLY_FROM),
         "paeds": in_age_range(None, S.ADULT_FROM),
-        "elderly": in_age_range(S.ELDERLY_FROM, oldest),
+        "elderly": default_age_range(S.ELDERLY_FROM),
     }
 
 
-def sex_members(ratings: DataFrame) -> dict[str, str]:
-    inside = default_age_range(ratings)
-    return {"male": f"{inside} and sex = 'M'", "female": f"{inside} and sex = 'F'"}
+def sex_members() -> dict[str, str]:
+    return {"male": f"{default_age_range()} and sex = 'M'", "female": f"{default_age_range()} and sex = 'F'"}
 
 
 def urgency_lists(ratings: DataFrame, members: dict[str, str], agreement_threshold: float = 75,
                   consensus_threshold: float = 0.7, urgency: int = 4, cohort: str = "trauma",
                   percent_digits: int | None = 1) -> DataFrame:
     """Several lists at once, stacked with ``list_name``."""
-    counts = level_counts_by_list(same_day(ratings), members, cohort)
+    counts = level_counts_by_list(ratings, members, cohort)
     return classify(counts, agreement_threshold, consensus_threshold, urgency, percent_digits)

@@ -63,6 +63,8 @@ def laplace(n: np.ndarray, y: np.ndarray, x: np.ndarray, beta: np.ndarray, tau:
         u = u + np.clip(step, -2, 2)
         if np.max(np.abs(step), initial=0) < 1e-10:
             break
+    else:
+        raise ArithmeticError("a mode did not converge")
     eta = fixed + tau * u[:, None]
     p = 1 / (1 + np.exp(-eta))
     residual, w = y - n * p, n * p * (1 - p)
@@ -114,7 +116,6 @@ class Fit:
     log_likelihood: float
     n_ratings: int
     n_procedures: int
-    converged: bool
 
     @property
     def parameters(self) -> int:
@@ -155,7 +156,8 @@ def random_intercept_logit(counts: DataFrame, terms: str = "main", with_trauma:
 
     ``counts`` is the output of ``model_cells``; pass it materialized to fit
     several models on it. Curvature is the difference of gradients at nearby
-    points, evaluated in the same job as the gradient itself.
+    points, evaluated in the same job as the gradient itself. A fit that does
+    not reach an optimum within ``max_steps`` raises.
     """
     names, x = design(terms, with_trauma)
     k = len(names) + 1
@@ -196,9 +198,11 @@ def random_intercept_logit(counts: DataFrame, terms: str = "main", with_trauma:
             moved = point + shrink[best] * step
             reached = with_curvature(moved)
         point, (value, grad, hessian) = moved, reached
+    if not converged:
+        raise ArithmeticError(f"no optimum within {max_steps} steps")
     tau = abs(point[-1])  # the sign of tau carries no meaning
     covariance = np.linalg.pinv(-hessian)[:-1, :-1]
-    return Fit(names, point[:-1], float(tau), covariance, float(value), int(n_total), int(groups), bool(converged))
+    return Fit(names, point[:-1], float(tau), covariance, float(value), int(n_total), int(groups))
 
 
 # --- results -----------------------------------------------------------------
@@ -259,12 +263,10 @@ def compare_models(spark: SparkSession, small: Fit, large: Fit, names: tuple[str
               "chisq double, df int, p_value double")
 
 
-def prepare_counts(counts: DataFrame, rows_per_task: int = 1000) -> DataFrame:
-    """Write the cell counts once, for the many jobs of a fit.
+def prepare_counts(counts: DataFrame, rows_per_file: int = 1000, folder: str | None = None) -> DataFrame:
+    """Write the cell counts once, for the many jobs of a fit; ``writers.remove`` deletes them after it.
 
     The table is tiny next to the ratings but every row costs a small
-    optimisation, so it is spread by rows and not by bytes.
+    optimisation, so it is spread over files by rows and not by bytes.
     """
-    table = materialize(counts)
-    tasks = min(counts.sparkSession.sparkContext.defaultParallelism, table.count() // rows_per_task + 1)
-    return materialize(table.repartition(tasks)) if tasks > 1 else table
+    return materialize(counts, folder, rows_per_file)

@@ -65,6 +65,7 @@ def cells_long(wide: DataFrame, with_trauma: bool = False) -> DataFrame:
 
 
 def sample_size(wide: DataFrame, with_trauma: bool = False) -> DataFrame:
-    """One row: procedures and ratings that enter the model."""
-    return cells_long(wide, with_trauma).agg(
-        F.expr("count(distinct booked_procedure) as n_procedures"), F.expr("sum(n) as n_ratings"))
+    """One row: eligible procedures, their ratings, and how many of these have the covariates and enter the model."""
+    used = " + ".join(f"n{j}" for j in range(len(cells(with_trauma))))
+    return wide.agg(F.expr("count(*) as n_procedures"), F.expr("coalesce(sum(num_of_raters), 0) as n_ratings"),
+                    F.expr(f"coalesce(sum({used}), 0) as n_modelled"))

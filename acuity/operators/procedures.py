@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from acuity import schema as S
 from acuity.functions.scalars import percent
 from acuity.operators.bookings import first_row
+from acuity.operators.codes import drop_excluded
 from acuity.operators.frequency import freq_table
 
 
@@ -40,9 +41,15 @@ def one_label_per_code(labels: DataFrame) -> DataFrame:
                         "_best % 2 = 1 as primary_proc"))
 
 
-def attach_labels(study: DataFrame, labels: DataFrame, keep: list[str], site: int | None = None) -> DataFrame:
-    """Long ratings with their label; procedures without one keep null labels."""
+def attach_labels(study: DataFrame, labels: DataFrame, keep: list[str], site: int | None = None,
+                  excluded: DataFrame | None = None) -> DataFrame:
+    """Long ratings with their label; procedures without one keep null labels.
+
+    ``excluded`` codes are dropped before the label join.
+    """
     rows = unpivot_procedures(study, keep).drop("primary_proc")
+    if excluded is not None:
+        rows = drop_excluded(rows, excluded)
     places = ", ".join(f"'{c}', {i}" for i, c in enumerate(S.procedure_code_columns(study.columns)))
     out = (rows.withColumn("proc_no", F.expr(f"map({places})[proc_num]")).drop("proc_num")
            .join(one_label_per_code(labels), ["study_id", "achi_proc_code"], "left")
@@ -88,9 +95,15 @@ def label_recapture(ratings: DataFrame) -> DataFrame:
     return freq_table(per_study.selectExpr(captured), "pri_capt")
 
 
-def booked_set(matches: list[DataFrame], excluded: DataFrame) -> DataFrame:
+def booked_columns(study: DataFrame, columns: list[str]) -> DataFrame:
+    """Codes of several columns under one another, in one pass; empty places stay as missing codes."""
+    places = ", ".join(f"`{c}`" for c in columns)
+    return study.selectExpr("study_id", f"explode(array({places})) as booked_procedure")
+
+
+def booked_set(matches: DataFrame | list[DataFrame], excluded: DataFrame) -> DataFrame:
     """Union of matched procedures (primary and planned), without duplicates and excluded codes."""
-    first, *rest = [m.select("study_id", "booked_procedure") for m in matches]
+    first, *rest = [m.select("study_id", "booked_procedure") for m in (matches if isinstance(matches, list) else [matches])]
     for other in rest:
         first = first.unionByName(other)
     banned = excluded.select(F.col(excluded.columns[0]).alias("booked_procedure"))

@@ -149,14 +149,19 @@ INSIDE = f"{RAT}, inside AS (SELECT * FROM rat WHERE same_day AND age < (SELECT
 FLAGGED = f"{RAT}, {FIRST}, flagged AS (SELECT rat.*, rat.study_id IN (SELECT study_id FROM firsts) AS is_trauma FROM rat)"
 FULL = (f"{FLAGGED}, inside AS (SELECT * FROM flagged WHERE same_day AND age < (SELECT max(age) FROM rat)), "
         f"{_count('inside', trauma='is_trauma')}, {_list()}")
-AGED = f"""{RAT}, aged AS (
-    SELECT 'full' AS list_name, * FROM rat WHERE same_day AND age < (SELECT max(age) FROM rat)
-    UNION ALL SELECT 'paeds', * FROM rat WHERE same_day AND age < 16
-    UNION ALL SELECT 'adult', * FROM rat WHERE same_day AND age >= 16 AND age < 65
-    UNION ALL SELECT 'elderly', * FROM rat WHERE same_day AND age >= 65 AND age < (SELECT max(age) FROM rat)),
+CHAIN = f"""{EPI}, {EXC}, {FIRST},
+    yes AS (SELECT study_id, code AS booked_procedure, age, sex, lvl, primary_proc, same_day FROM att
+        WHERE correct = 'yes' AND study_id IN (SELECT study_id FROM firsts) AND code NOT IN (SELECT code FROM exc)
+        QUALIFY row_number() OVER (PARTITION BY study_id, code ORDER BY l_linenumber, place, procedural_consultant, l_extendedprice) = 1)"""
+_IN_FULL = "same_day AND age < (SELECT max(age) FROM yes)"
+AGED = f"""{CHAIN}, aged AS (
+    SELECT 'full' AS list_name, * FROM yes WHERE {_IN_FULL}
+    UNION ALL SELECT 'paeds', * FROM yes WHERE same_day AND age < 16
+    UNION ALL SELECT 'adult', * FROM yes WHERE same_day AND age >= 16 AND age < 65
+    UNION ALL SELECT 'elderly', * FROM yes WHERE age >= 65 AND {_IN_FULL}),
 {_count('aged', 'list_name, booked_procedure')}, {_list(('list_name', 'booked_procedure'))}"""
-SEXED = f"""{RAT}, sexed AS (SELECT CASE sex WHEN 'M' THEN 'male' ELSE 'female' END AS list_name, * FROM rat
-    WHERE same_day AND age < (SELECT max(age) FROM rat)),
+SEXED = f"""{CHAIN}, sexed AS (SELECT 'full' AS list_name, * FROM yes WHERE {_IN_FULL}
+    UNION ALL SELECT CASE sex WHEN 'M' THEN 'male' ELSE 'female' END, * FROM yes WHERE {_IN_FULL}),
 {_count('sexed', 'list_name, booked_procedure')}, {_list(('list_name', 'booked_procedure'))}"""
 RATED = f"{RAT}, {_count('rat')}"
 
@@ -176,15 +181,26 @@ def _one_diff(group, not_specific, only):
     return side(group, "full", only) + " UNION ALL " + side("full", group, not_specific)
 
 
+_SEXES = tuple((g, f"not specific to {g} patients", f"{g} patients only") for g in ("male", "female"))
+SEX_DIFF = f"{SEXED}, diffs AS ({' UNION ALL '.join(_one_diff(*g) for g in _SEXES)})"
 DIFF = f"{AGED}, diffs AS ({' UNION ALL '.join(_one_diff(*g) for g in _GROUPS)})"
 _NAMES = {"full": ("full list by agreement", "addiional proc by consensus"),
           "adult": ("adult list by agreement", "adult addit proc by consensus"),
           "paeds": ("paeds list by agreement", "paeds addit proc by consensus"),
           "elderly": ("elderly list by agreement", "elderly addit proc by consensus")}
-_STATED = " UNION ALL ".join(
-    f"SELECT lst.* REPLACE ('{name}' AS list_name), CAST(NULL AS VARCHAR) AS procedure_list FROM lst "
-    f"WHERE list_name = '{group}' AND urgent_surgery_by_{flag}"
-    for group, names in _NAMES.items() for flag, name in zip(("agmnt", "cnsus"), names))
+
+
+def _published(differences, names):
+    stated = " UNION ALL ".join(
+        f"SELECT lst.* REPLACE ('{name}' AS list_name), CAST(NULL AS VARCHAR) AS procedure_list FROM lst "
+        f"WHERE list_name = '{group}' AND urgent_surgery_by_{flag}"
+        for group, pair in names.items() for flag, name in zip(("agmnt", "cnsus"), pair))
+    return f"""WITH RECURSIVE {differences}, stated AS ({stated}),
+        every AS (SELECT * FROM stated UNION ALL SELECT * EXCLUDE (diff_name) REPLACE (diff_name AS list_name) FROM diffs)
+        SELECT list_name, procedure_list, {_PUBLISHED} FROM every {_TEXT}"""
+
+
+_SEX_NAMES = {"full": _NAMES["full"], **{g: (f"{g} list by agreement", f"{g} addit proc by consensus") for g in ("male", "female")}}
 
 
 def _freq(source, *columns):
@@ -201,15 +217,32 @@ _SPECIALTY = f"""CASE WHEN {_TRIM} IN ('Obs/Gynae', 'Gynaecology') THEN 'Obs/Gyn
     WHEN {_TRIM} IN ('Colorectal', 'Upper GI', 'Breast/Endo', 'Liver Surgery', 'Paediatric') THEN 'General Surgery' ELSE {_TRIM} END"""
 SPEC = """spec AS (SELECT c_custkey AS patient, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Gynaecology' WHEN 'MACHINERY' THEN 'Colorectal SN'
     WHEN 'BUILDING' THEN 'Upper GI SN SN' WHEN 'AUTOMOBILE' THEN 'Orthopaedics SN' ELSE c_mktsegment END AS specialty FROM customer)"""
-DEMO = f"""{RAT}, {FIRST}, {ANY.split('), anys AS')[1].join(['anys AS', ''])}, {SPEC},
+
+
+def _demo(inside):
+    return f"""{RAT}, {FIRST}, {ANY.split('), anys AS')[1].join(['anys AS', ''])}, {SPEC},
 cohort AS (SELECT DISTINCT study_id FROM rat WHERE correct = 'yes' AND study_id IN (SELECT study_id FROM firsts)),
-outside AS (SELECT rat.*, specialty, row_number() OVER (PARTITION BY study_id
+frame AS (SELECT rat.*, specialty, row_number() OVER (PARTITION BY study_id
     ORDER BY l_linenumber, booked_procedure, procedural_consultant, l_extendedprice) AS rn
-    FROM rat JOIN spec USING (patient) WHERE study_id NOT IN (SELECT study_id FROM cohort)),
-one AS (SELECT * FROM outside WHERE rn = 1),
+    FROM rat JOIN spec USING (patient) WHERE study_id {'' if inside else 'NOT '}IN (SELECT study_id FROM cohort)),
+one AS (SELECT * FROM frame WHERE rn = 1),
 demo AS (SELECT study_id, age, booked_procedure IN (SELECT booked_procedure FROM one WHERE study_id IN (SELECT study_id FROM anys)) AS trauma,
     sex, asa, specialty, lvl AS emerg_priority_collapse FROM one)"""
 
+
+DEMO, DEMO_TRAUMA = _demo(False), _demo(True)
+_DEMO_FREQS = """u AS (SELECT 'asa' AS variable, asa AS value FROM demo
+    UNION ALL SELECT 'trauma', CAST(trauma AS VARCHAR) FROM demo UNION ALL SELECT 'sex', sex FROM demo
+    UNION ALL SELECT 'emerg_priority_collapse', emerg_priority_collapse FROM demo)"""
+
+
+def _age_profile(source):
+    return f"""SELECT 'age' AS "Variable", count(age) AS "N", 1 - count(age) / CAST(count(*) AS DOUBLE) AS missing,
+        round(avg(age), 6) AS mean, round(stddev_samp(age), 6) AS sd, round(median(age), 6) AS median,
+        round(quantile_cont(age, 0.75) - quantile_cont(age, 0.25), 6) AS "IQR", round(quantile_cont(age, 0.25), 6) AS "25 centile",
+        round(quantile_cont(age, 0.75), 6) AS "75 centile", min(age) AS min, max(age) AS max FROM {source}"""
+
+
 _TOKENS = """list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN
     ('', 'a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'to', 'with')))"""
 WORDS = f"""size AS (SELECT count(*) AS n FROM benchmark),
@@ -221,6 +254,14 @@ common AS (SELECT study_id, code, CAST(len(item_words) AS INT) AS code_words,
     CAST(len(list_intersect(item_words, doc_words)) AS INT) AS common_words
     FROM recorded JOIN docs USING (study_id) JOIN items USING (code))"""
 
+_ITEM_WORDS = _TOKENS.format("text")
+MATCHED = f"""items_{{name}} AS (SELECT item_id AS code, unnest({_ITEM_WORDS.replace("{", "{{").replace("}", "}}")}) AS word FROM benchmark),
+words_{{name}} AS (SELECT row_id, study_id, unnest({_ITEM_WORDS.replace("{", "{{").replace("}", "}}")}) AS word
+    FROM (SELECT row_number() OVER () AS row_id, {{id}} AS study_id, text FROM {{source}})),
+{{name}} AS (SELECT study_id, booked_procedure, common_words FROM (SELECT row_id, study_id, code AS booked_procedure, count(*) AS common_words
+    FROM words_{{name}} JOIN items_{{name}} USING (word) GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY common_words DESC, booked_procedure) = 1)"""
+
 BOOKED = f"""{EPI}, {EXC}, booked AS (SELECT DISTINCT study_id, booked_procedure FROM
     (SELECT study_id, p0 AS booked_procedure FROM epi UNION ALL SELECT study_id, p2 FROM epi)
     WHERE booked_procedure IS NULL OR booked_procedure NOT IN (SELECT code FROM exc))"""
@@ -231,11 +272,16 @@ def _age_gp(age="age"):
 
 
 _URGENT_YN = "CASE WHEN lvl IN ('<1hr', '<4hrs') THEN 'urgent' ELSE 'not urgent' END"
-ELIGIBLE = f"""{RAT}, eligible AS (SELECT booked_procedure, count(*) AS num_of_raters, count(*) FILTER (sex = 'M') AS male_count,
-    count(*) FILTER (sex = 'F') AS female_count FROM rat GROUP BY 1
-    HAVING count(*) >= 8 AND count(*) FILTER (sex = 'M') >= 1 AND count(*) FILTER (sex = 'F') >= 1),
+def _eligible(source, least):
+    return f"""eligible AS (SELECT booked_procedure, count(*) AS num_of_raters, count(*) FILTER (sex = 'M') AS male_count,
+    count(*) FILTER (sex = 'F') AS female_count FROM {source} GROUP BY 1
+    HAVING count(*) >= {least} AND count(*) FILTER (sex = 'M') >= 1 AND count(*) FILTER (sex = 'F') >= 1),
 mcells AS (SELECT booked_procedure, sex, {_age_gp()} AS age_gp, count(*) AS n, count(*) FILTER ({_URGENT_YN} = 'not urgent') AS y
-    FROM rat WHERE booked_procedure IN (SELECT booked_procedure FROM eligible) GROUP BY ALL)"""
+    FROM {source} WHERE booked_procedure IN (SELECT booked_procedure FROM eligible) GROUP BY ALL)"""
+
+
+ELIGIBLE_ALL = f"{RAT}, {_eligible('rat', 8)}"
+ELIGIBLE = f"{CHAIN}, {_eligible('yes', 8)}"
 
 _UNPIVOTED = " UNION ALL ".join(f"""SELECT booked_procedure, '{lv}' AS urgency, "{lv}" AS pcnt FROM lst""" for lv in LEVELS)
 _Q = "quantile_cont(pcnt, {})"
@@ -292,9 +338,29 @@ def _grid_levels(levels=22):
 
 
 _GRID, _BEST = _grid_levels()
-NULL_FIT = f"""{ELIGIBLE}, per AS (SELECT booked_procedure, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS y FROM mcells GROUP BY 1),
+
+
+def _null_fit(cells):
+    return f"""{cells}, per AS (SELECT booked_procedure, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS y FROM mcells GROUP BY 1),
 sums AS (SELECT n, y, count(*) AS w FROM per GROUP BY n, y), {_GRID}"""
 
+
+_ICC = f"SELECT round(t * t, 3) AS variance, round(t * t / (t * t + 1), 3) AS icc, round(t * t / (t * t + pi() * pi() / 3), 3) AS icc_latent FROM {_BEST}"
+WHOLE = f"""{FLAGGED}, mcells AS (SELECT booked_procedure, sex, {_age_gp()} AS age_gp, is_trauma AS trauma, count(*) AS n,
+    count(*) FILTER ({_URGENT_YN} = 'not urgent') AS y FROM flagged WHERE booked_procedure IN
+    (SELECT booked_procedure FROM rat GROUP BY 1 HAVING count(*) >= 20) GROUP BY ALL)"""
+
+
+def _bins(value, width, source):
+    """Bins at multiples of ``width`` from the least to the largest value, closed above; the first one on both sides."""
+    return f"""ends AS (SELECT floor(min({value}) / {width}) AS a, greatest(ceil(max({value}) / {width}), floor(min({value}) / {width}) + 1) AS b FROM {source}),
+        k AS (SELECT unnest(range(CAST(a AS BIGINT), CAST(b AS BIGINT))) AS bin FROM ends),
+        f AS (SELECT CASE WHEN {value} = a * {width} THEN a ELSE ceil({value} / {width}) - 1 END AS bin FROM {source}, ends)
+        SELECT CAST(k.bin * {width} AS DOUBLE) AS bin_from, CAST(k.bin * {width} + {width} AS DOUBLE) AS bin_to, count(f.bin) AS n
+        FROM k LEFT JOIN f ON k.bin = f.bin GROUP BY k.bin
+        UNION ALL SELECT NULL, NULL, count(*) FROM f WHERE bin IS NULL HAVING count(*) > 0"""
+
+
 ORACLE = {
     "booking_period_freq": f"""WITH h AS (SELECT ts - min(ts) OVER (PARTITION BY user_id) AS d FROM events),
         b AS (SELECT CASE WHEN d <= INTERVAL 24 HOUR THEN 'same day' WHEN d <= INTERVAL 168 HOUR THEN 'same week'
@@ -321,6 +387,13 @@ ORACLE = {
     "trauma_any_code_padded": f"WITH {_kept(True)} SELECT DISTINCT study_id FROM kept WHERE {_IS_TRAUMA}",
     "trauma_first_code_by_patient": f"""WITH {_kept()} SELECT study_id FROM (SELECT patient AS study_id, letter,
         row_number() OVER (PARTITION BY patient ORDER BY study_id, position) AS rn FROM kept) WHERE rn = 1 AND {_IS_TRAUMA}""",
+    "trauma_cohort_ties": f"""WITH {DIAG}, w AS (SELECT study_id AS k, patient, {', '.join(
+            f"coalesce(max(code) FILTER (position = {i}), '') AS d{i}" for i in range(1, 5))} FROM diag GROUP BY ALL),
+        {_kept().split('), parts AS', 1)[1].join(['parts AS', ''])},
+        o AS (SELECT w.patient, letter, position, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 2 END AS ord, d1, d2, d3, d4
+            FROM kept JOIN w ON kept.study_id = w.k)
+        SELECT patient AS study_id FROM (SELECT *, row_number() OVER (PARTITION BY patient
+            ORDER BY ord NULLS LAST, d1, d2, d3, d4, position) AS rn FROM o) WHERE rn = 1 AND {_IS_TRAUMA}""",
     "trauma_cohort_semi": f"""WITH {FIRST} SELECT l_orderkey AS study_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
         true AS trauma_pt FROM lineitem WHERE l_orderkey IN (SELECT study_id FROM firsts)""",
     "procedure_check_sheet": f"""WITH {EPI} SELECT study_id, asa || ' ' || o_orderpriority AS planned_procedure, code AS achi_proc_code,
@@ -376,10 +449,7 @@ ORACLE = {
         {_count('inside', trauma='is_trauma')}, {_list(urgency=3, exact=True)} {_LIST_OUT}""",
     "all_patients_trauma_flag": f"WITH RECURSIVE {FULL} {_freq('lst', 'trauma')}",
     "all_patients_primary_freq": f"WITH RECURSIVE {FULL} {_freq('lst', 'primary_proc')}",
-    "trauma_urgency": f"""WITH RECURSIVE {EPI}, {EXC}, {FIRST},
-        yes AS (SELECT study_id, code AS booked_procedure, age, lvl, primary_proc, same_day FROM att
-            WHERE correct = 'yes' AND study_id IN (SELECT study_id FROM firsts) AND code NOT IN (SELECT code FROM exc)
-            QUALIFY row_number() OVER (PARTITION BY study_id, code ORDER BY l_linenumber, place, procedural_consultant, l_extendedprice) = 1),
+    "trauma_urgency": f"""WITH RECURSIVE {CHAIN},
         inside AS (SELECT * FROM yes WHERE same_day AND age >= 0 AND age < 110), {_count('inside')}, {_list()} {_LIST_OUT}""",
     "class_cross_table": f"WITH RECURSIVE {FULL} {_freq('lst', 'urgent_surgery_by_agmnt', 'urgent_surgery_by_cnsus')}",
     "level_distribution": f"""WITH RECURSIVE {FULL}, u AS ({_UNPIVOTED}) SELECT urgency, round({_Q.format(0.5)}, 6) AS median_pct,
@@ -402,9 +472,10 @@ ORACLE = {
     "age_group_diff_trauma_freq": f"WITH RECURSIVE {DIFF} {_freq('diffs', 'diff_name', 'procedure_list', 'trauma')}",
     "age_group_diff_primary_freq": f"WITH RECURSIVE {DIFF} {_freq('diffs', 'diff_name', 'procedure_list', 'primary_proc')}",
     "sex_lists": f"WITH RECURSIVE {SEXED} {_LIST_OUT}",
-    "published_lists": f"""WITH RECURSIVE {DIFF}, stated AS ({_STATED}),
-        every AS (SELECT * FROM stated UNION ALL SELECT * EXCLUDE (diff_name) REPLACE (diff_name AS list_name) FROM diffs)
-        SELECT list_name, procedure_list, {_PUBLISHED} FROM every {_TEXT}""",
+    "published_lists": _published(DIFF, _NAMES),
+    "published_sex_lists": _published(SEX_DIFF, _SEX_NAMES),
+    "sex_group_compare": f"""WITH RECURSIVE {SEX_DIFF} SELECT procedure_list, {_PUBLISHED} FROM diffs {_TEXT}
+        WHERE diff_name = 'diff proc bw female and full'""",
     "threshold_sweep": f"""WITH RECURSIVE {FULL}, a AS (SELECT unnest([75e0, 80e0, 90e0]) AS a_th),
         c AS (SELECT unnest([0.6e0, 0.65e0, 0.7e0, 0.9e0]) AS c_th)
         SELECT a_th, c_th, count(*) FILTER (urgent_total_pcnt >= a_th) AS n_by_agreement,
@@ -418,16 +489,28 @@ ORACLE = {
         g AS (SELECT CAST(unnest(range(0, 101)) AS DOUBLE) AS x)
         SELECT cons_cutoff, urgency, x, round(sum(exp(-(x - pcnt) * (x - pcnt) / (2 * bw * bw)) / (bw * sqrt(2 * pi()))) / any_value(n), 6) AS density
         FROM cutl JOIN b USING (cons_cutoff, urgency), g GROUP BY cons_cutoff, urgency, x""",
-    "age_profile": f"""WITH {ADM} SELECT 'age' AS "Variable", count(age) AS "N", 1 - count(age) / CAST(count(*) AS DOUBLE) AS missing,
-        round(avg(age), 6) AS mean, round(stddev_samp(age), 6) AS sd, round(median(age), 6) AS median,
-        round(quantile_cont(age, 0.75) - quantile_cont(age, 0.25), 6) AS "IQR", round(quantile_cont(age, 0.25), 6) AS "25 centile",
-        round(quantile_cont(age, 0.75), 6) AS "75 centile", min(age) AS min, max(age) AS max FROM adm""",
-    "age_histogram": f"""WITH {ADM}, b AS (SELECT greatest(ceil(age / 5), 1) - 1 AS bin FROM adm)
-        SELECT bin * 5 AS bin_from, bin * 5 + 5 AS bin_to, count(*) AS n FROM b GROUP BY bin""",
+    "age_profile": f"WITH {ADM} {_age_profile('adm')}",
+    "age_histogram": f"""WITH {ADM}, {_bins('age', 5, 'adm')}""",
+    "hours_histogram": f"""WITH {ADM}, d AS (SELECT CASE WHEN l_linenumber <> 3 THEN
+        trunc(date_diff('microsecond', admitted, CAST(l_shipdate AS TIMESTAMP)) / 86400e6) END AS days FROM lineitem JOIN adm ON l_orderkey = study_id),
+        {_bins('days', 7, 'd')}""",
+    "price_profile": " UNION ALL ".join(f"""SELECT '{name}' AS "Variable", count(v) AS "N", 1 - count(v) / CAST(count(*) AS DOUBLE) AS missing,
+        round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS sd, round(median(v), 2) AS median,
+        round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 2) AS "IQR", round(quantile_cont(v, 0.25), 2) AS "25 centile",
+        round(quantile_cont(v, 0.75), 2) AS "75 centile", min(v) AS min, max(v) AS max FROM (SELECT CAST({column} AS DOUBLE) AS v FROM lineitem)"""
+        for name, column in (("price", "l_extendedprice"), ("quantity", "l_quantity"))),
     "demographics": f"WITH {DEMO} SELECT * FROM demo",
-    "demographic_freqs": f"""WITH {DEMO}, u AS (SELECT 'asa' AS variable, asa AS value FROM demo
-        UNION ALL SELECT 'trauma', CAST(trauma AS VARCHAR) FROM demo UNION ALL SELECT 'sex', sex FROM demo
-        UNION ALL SELECT 'emerg_priority_collapse', emerg_priority_collapse FROM demo) {_freq('u', 'variable', 'value')}""",
+    "trauma_demographics": f"WITH {DEMO_TRAUMA} SELECT * FROM demo",
+    "demographic_freqs": f"WITH {DEMO}, {_DEMO_FREQS} {_freq('u', 'variable', 'value')}",
+    "trauma_demographic_freqs": f"WITH {DEMO_TRAUMA}, {_DEMO_FREQS} {_freq('u', 'variable', 'value')}",
+    "demographic_age_profile": f"WITH {DEMO} {_age_profile('demo')}",
+    "demographic_age_histogram": f"WITH {DEMO}, {_bins('age', 5, 'demo')}",
+    "demographic_specialty_freq": f"""WITH {DEMO}, s AS (SELECT {_SPECIALTY} AS specialty FROM demo) {_freq('s', 'specialty')}""",
+    "text_code_match": f"WITH {MATCHED.format(name='m', id='doc_id', source='documents')} SELECT * FROM m",
+    "booked_set_from_text": f"""WITH {MATCHED.format(name='m', id='doc_id', source='documents')},
+        {MATCHED.format(name='p', id='conv_id', source='conversations')}
+        SELECT study_id, booked_procedure FROM (SELECT study_id, booked_procedure FROM m UNION SELECT study_id, booked_procedure FROM p)
+        WHERE booked_procedure NOT IN (SELECT item_id FROM benchmark WHERE text LIKE '%q%')""",
     "specialty_freq": f"""WITH {ADM}, {SPEC}, s AS (SELECT {_SPECIALTY} AS specialty FROM adm JOIN spec USING (patient))
         {_freq('s', 'specialty')}""",
     "urgent_specialty_freq": f"""WITH RECURSIVE {FULL}, {SPEC}, pairs2 AS (SELECT DISTINCT booked_procedure, specialty
@@ -436,24 +519,21 @@ ORACLE = {
     "urgent_list_freqs": f"""WITH RECURSIVE {FULL}, c AS (SELECT 'urgent_surgery_by_agmnt' AS class, trauma, primary_proc FROM lst
         WHERE urgent_surgery_by_agmnt UNION ALL SELECT 'urgent_surgery_by_cnsus', trauma, primary_proc FROM lst
         WHERE urgent_surgery_by_cnsus) {_freq('c', 'class', 'trauma', 'primary_proc')}""",
-    "sex_list_compare": f"""WITH RECURSIVE {SEXED}, c AS (SELECT list_name, primary_proc FROM lst WHERE urgent_surgery_by_agmnt)
-        {_freq('c', 'list_name', 'primary_proc')}""",
+    "sex_list_compare": f"WITH RECURSIVE {SEX_DIFF} {_freq('diffs', 'diff_name', 'procedure_list', 'primary_proc')}",
     "specialty_lists": f"""WITH RECURSIVE {FULL}, {SPEC}, pairs2 AS (SELECT DISTINCT booked_procedure, specialty
         FROM rat JOIN spec USING (patient) WHERE booked_procedure IN (SELECT booked_procedure FROM lst WHERE urgent_surgery_by_agmnt)),
         s1 AS (SELECT {_SPECIALTY} AS specialty FROM pairs2), s2 AS (SELECT {_SPECIALTY} AS specialty FROM adm JOIN spec USING (patient))
         SELECT *, 'urgent speciality list' AS list_name FROM ({_freq('s1', 'specialty')})
         UNION ALL SELECT *, 'study db specialty list' FROM ({_freq('s2', 'specialty')})""",
-    "model_eligibility": f"WITH {ELIGIBLE} SELECT * FROM eligible",
+    "model_eligibility": f"WITH {ELIGIBLE_ALL} SELECT * FROM eligible",
     "model_frame_freq": f"""WITH {RAT}, f AS (SELECT {_age_gp()} AS age_gp, {_URGENT_YN} AS urgent_yn FROM rat WHERE booked_procedure IN
         (SELECT booked_procedure FROM rat GROUP BY 1 HAVING count(*) >= 20)) {_freq('f', 'age_gp', 'urgent_yn')}""",
     "model_cells": f"WITH {ELIGIBLE} SELECT * FROM mcells",
-    "model_cells_whole_cohort": f"""WITH {FLAGGED} SELECT booked_procedure, sex, {_age_gp()} AS age_gp, is_trauma AS trauma, count(*) AS n,
-        count(*) FILTER ({_URGENT_YN} = 'not urgent') AS y FROM flagged WHERE booked_procedure IN
-        (SELECT booked_procedure FROM rat GROUP BY 1 HAVING count(*) >= 20) GROUP BY ALL""",
-    "model_sample_size": f"""WITH {ELIGIBLE} SELECT count(DISTINCT booked_procedure) AS n_procedures,
-        CAST(sum(n) AS BIGINT) AS n_ratings FROM mcells""",
+    "model_cells_whole_cohort": f"WITH {WHOLE} SELECT * FROM mcells",
+    "model_sample_size": f"""WITH {ELIGIBLE} SELECT (SELECT count(*) FROM eligible) AS n_procedures,
+        (SELECT CAST(sum(num_of_raters) AS BIGINT) FROM eligible) AS n_ratings, CAST(sum(n) AS BIGINT) AS n_modelled FROM mcells""",
     "fixed_effect_odds": f"""WITH RECURSIVE {LOGIT} SELECT "Variable", round_even(exp(b), 2) AS "OddsRatio",
         round_even(exp(b - 1.96e0 * sqrt(v)), 2) AS "LL", round_even(exp(b + 1.96e0 * sqrt(v)), 2) AS "UL" FROM coef""",
-    "icc": f"""WITH {NULL_FIT} SELECT round(t * t, 3) AS variance, round(t * t / (t * t + 1), 3) AS icc,
-        round(t * t / (t * t + pi() * pi() / 3), 3) AS icc_latent FROM {_BEST}""",
+    "icc": f"WITH {_null_fit(ELIGIBLE)} {_ICC}",
+    "whole_cohort_icc": f"WITH {_null_fit(WHOLE)} {_ICC}",
 }

@@ -8,6 +8,7 @@ from acuity.operators import (bookings, cohort, codes as code_ops, compare, demo
                               lists, mixed_logit, model_data, procedures as proc, raters, sweep, text_match)
 from acuity.operators.frequency import freq_table
 from acuity.plans import tables as t
+from acuity.sources import writers
 
 QUERIES = {}
 
@@ -22,6 +23,11 @@ def shown(df: DataFrame, *columns: str) -> DataFrame:
     return df.selectExpr(*[f"round(`{c}`, 6) as `{c}`" if c in columns else f"`{c}`" for c in df.columns])
 
 
+def shown3(df: DataFrame, *columns: str) -> DataFrame:
+    """Three decimals, for results of an iteration."""
+    return df.selectExpr(*[f"round(`{c}`, 3) as `{c}`" if c in columns else f"`{c}`" for c in df.columns])
+
+
 # --- bookings ----------------------------------------------------------------
 @query
 def booking_period_freq(spark, sf):
@@ -91,6 +97,13 @@ def trauma_first_code_by_patient(spark, sf):
     return cohort.trauma_cohort(rows, "first")
 
 
+@query
+def trauma_cohort_ties(spark, sf):
+    """Several admissions per id; some have no order, others share one."""
+    rows = t.study(spark, sf).withColumnRenamed("study_id", "_key").withColumnRenamed("patient", "study_id")
+    return cohort.trauma_cohort(rows.withColumn("episode_number", F.expr("if(_key % 3 = 0, null, cast(_key % 2 as bigint))")), "first")
+
+
 @query
 def trauma_cohort_semi(spark, sf):
     lines = t.table(spark, sf, "lineitem").selectExpr("l_orderkey as study_id", "l_linenumber", "l_partkey", "l_suppkey",
@@ -149,11 +162,35 @@ def text_best_match(spark, sf):
     return text_match.best_match(text_common_words(spark, sf))
 
 
+def _planned(spark, sf):
+    return t.table(spark, sf, "conversations").selectExpr("conv_id as study_id", "text")
+
+
+def _primary(spark, sf):
+    return t.table(spark, sf, "documents").selectExpr("doc_id as study_id", "text")
+
+
+def _item_codes(spark, sf):
+    return t.table(spark, sf, "benchmark").selectExpr("item_id as code", "text as code_text")
+
+
+@query
+def text_code_match(spark, sf):
+    """The best of all code texts for every primary text."""
+    return text_match.best_codes(_primary(spark, sf), _item_codes(spark, sf))
+
+
+@query
+def booked_set_from_text(spark, sf):
+    """Primary and planned texts matched with the whole code table, without excluded codes."""
+    codes = _item_codes(spark, sf)
+    excluded = codes.filter("code_text rlike 'q'").select("code")
+    return proc.booked_set([text_match.best_codes(texts, codes) for texts in (_primary(spark, sf), _planned(spark, sf))], excluded)
+
+
 def _booked(spark, sf):
-    episodes = t.episodes(spark, sf)
-    primary = episodes.selectExpr("study_id", "coded_primary_procedure as booked_procedure")
-    planned = episodes.selectExpr("study_id", "additional_procedure_2 as booked_procedure")
-    return proc.booked_set([primary, planned], _excluded(spark, sf))
+    coded = proc.booked_columns(t.episodes(spark, sf), ["coded_primary_procedure", "additional_procedure_2"])
+    return proc.booked_set(coded, _excluded(spark, sf))
 
 
 @query
@@ -281,16 +318,19 @@ def all_patients_primary_freq(spark, sf):
     return freq_table(_full_list(spark, sf).select("primary_proc"), "primary_proc")
 
 
-@query
-def trauma_urgency(spark, sf):
-    """From wide episodes to the trauma list: exclusions, cohort, labels, list."""
-    keep = ["study_id", "episode_number", "age", "procedural_consultant", "l_extendedprice", "emerg_priority_collapse",
+def _trauma_ratings(spark, sf):
+    """Confirmed procedures of trauma studies, from wide episodes: cohort, exclusions, labels."""
+    keep = ["study_id", "episode_number", "age", "sex", "procedural_consultant", "l_extendedprice", "emerg_priority_collapse",
             "admit_to_book_pd"]
     trauma = cohort.keep_cohort(t.episodes(spark, sf), trauma_first_code(spark, sf))
-    rows = proc.attach_labels(trauma, t.labels(spark, sf), keep)
-    kept = code_ops.drop_excluded(rows, _excluded(spark, sf), "booked_procedure")
-    rated = proc.labelled_procedures(kept, ["episode_number", "proc_no", "procedural_consultant", "l_extendedprice"])
-    return _list_shown(lists.procedure_urgency(rated, 75, 0.7, age_lower=0, age_upper=110, cohort="trauma"))
+    rows = proc.attach_labels(trauma, t.labels(spark, sf), keep, excluded=_excluded(spark, sf))
+    return proc.labelled_procedures(rows, ["episode_number", "proc_no", "procedural_consultant", "l_extendedprice"])
+
+
+@query
+def trauma_urgency(spark, sf):
+    """From wide episodes to the trauma list."""
+    return _list_shown(lists.procedure_urgency(_trauma_ratings(spark, sf), 75, 0.7, age_lower=0, age_upper=110, cohort="trauma"))
 
 
 @query
@@ -333,15 +373,15 @@ def urgent_list_freqs(spark, sf):
 
 @query
 def age_range_default_bounds(spark, sf):
-    rows = t.ratings(spark, sf)
-    inside = lists.default_age_range(rows)
-    return rows.agg(F.expr(f"count_if({inside}) as n_inside"), F.expr(f"max(if({inside}, age, null)) as oldest_inside"),
+    ages = lists.with_oldest(t.ratings(spark, sf).groupBy("age").agg(F.expr("count(*) as n")))
+    inside = lists.default_age_range()
+    return ages.agg(F.expr(f"coalesce(sum(if({inside}, n, 0)), 0) as n_inside"), F.expr(f"max(if({inside}, age, null)) as oldest_inside"),
                     F.expr("min(age) as age_min"), F.expr("max(age) as age_max"))
 
 
 def _age_lists(spark, sf):
-    rows = t.ratings(spark, sf)
-    return lists.urgency_lists(rows, lists.age_members(rows))
+    rows = _trauma_ratings(spark, sf)
+    return lists.urgency_lists(rows, lists.age_members())
 
 
 @query
@@ -356,16 +396,25 @@ def age_group_diff(spark, sf):
     return shown(listed.select("diff_name", "procedure_list", *compare.PUBLISHED), "urgent_total_pcnt")
 
 
+def _compared(spark, sf, group, members):
+    """The list of a group against the full one by anti joins."""
+    rows = _trauma_ratings(spark, sf)
+
+    def one(name, condition):
+        listed = lists.urgency_lists(rows, {name: condition})
+        return compare.urgent_list(compare.with_code_text(listed, t.codes(spark, sf))).drop("list_name")
+    full = one("full", lists.default_age_range())
+    return shown(compare.compare_lists(full, one(group, members[group]), group), "urgent_total_pcnt")
+
+
 @query
 def age_group_compare(spark, sf):
-    """The elderly list against the full one by anti joins."""
-    rows = t.ratings(spark, sf)
-    members = lists.age_members(rows)
+    return _compared(spark, sf, "elderly", lists.age_members())
 
-    def one(name):
-        listed = lists.urgency_lists(rows, {name: members[name]})
-        return compare.urgent_list(compare.with_code_text(listed, t.codes(spark, sf))).drop("list_name")
-    return shown(compare.compare_lists(one("full"), one("elderly"), "elderly"), "urgent_total_pcnt")
+
+@query
+def sex_group_compare(spark, sf):
+    return _compared(spark, sf, "female", lists.sex_members())
 
 
 @query
@@ -378,18 +427,26 @@ def age_group_diff_primary_freq(spark, sf):
     return freq_table(compare.list_differences(_age_lists(spark, sf)), "diff_name", "procedure_list", "primary_proc")
 
 
+def _sex_lists(spark, sf):
+    members = {"full": lists.default_age_range(), **lists.sex_members()}
+    return lists.urgency_lists(_trauma_ratings(spark, sf), members)
+
+
 @query
 def sex_lists(spark, sf):
-    rows = t.ratings(spark, sf)
-    return _list_shown(lists.urgency_lists(rows, lists.sex_members(rows)))
+    return _list_shown(_sex_lists(spark, sf))
 
 
 @query
 def sex_list_compare(spark, sf):
-    """Urgent procedures of the male and female lists side by side."""
-    rows = t.ratings(spark, sf)
-    listed = lists.urgency_lists(rows, lists.sex_members(rows)).filter("urgent_surgery_by_agmnt")
-    return freq_table(listed, "list_name", "primary_proc")
+    """Procedures urgent in one of the full and the male or female list only."""
+    differences = compare.list_differences(_sex_lists(spark, sf), ["male", "female"])
+    return freq_table(differences, "diff_name", "procedure_list", "primary_proc")
+
+
+@query
+def published_sex_lists(spark, sf):
+    return shown(compare.published_lists(_sex_lists(spark, sf), t.codes(spark, sf), ["male", "female"]), "urgent_total_pcnt")
 
 
 @query
@@ -424,13 +481,32 @@ def age_profile(spark, sf):
 
 @query
 def age_histogram(spark, sf):
-    return dist.histogram(t.study(spark, sf), "age", 0, 100, 5)
+    return dist.histogram(t.study(spark, sf), "age", 5)
 
 
-def _demographics(spark, sf):
-    rows = t.with_specialty(t.ratings(spark, sf), spark, sf)
-    in_cohort = rows.join(trauma_first_code(spark, sf), "study_id", "left_semi").filter("correct = 'yes'")
-    return demo.demographics(rows, in_cohort.select("study_id"), trauma_any_code(spark, sf), t.CASE_ORDER)
+@query
+def price_profile(spark, sf):
+    """A variable with nearly as many values as rows."""
+    values = ["mean", "sd", "median", "IQR", "25 centile", "75 centile"]
+    lines = t.table(spark, sf, "lineitem").selectExpr("cast(l_extendedprice as double) as price", "cast(l_quantity as double) as quantity")
+    profile = dist.numeric_profile(lines, ["price", "quantity"])
+    return profile.selectExpr(*[f"round(`{c}`, 2) as `{c}`" if c in values else f"`{c}`" for c in profile.columns])
+
+
+@query
+def hours_histogram(spark, sf):
+    """Hours from order to shipping with missing values; all rows are in one of the bins or missing."""
+    rows = t.cases(spark, sf).selectExpr("if(l_linenumber = 3, null, timestampdiff(DAY, admit_dt_tm, emerg_book_dt_tm)) as days")
+    return dist.histogram(rows, "days", 7)
+
+
+def _demographics(spark, sf, inside=False):
+    """Flags and specialty belong to the admission and are decided before it meets its cases."""
+    admissions = t.study(spark, sf)
+    diagnoses = S.diagnosis_columns(admissions.columns)
+    flagged = admissions.withColumns({"first_code": cohort.row_trauma_flag(diagnoses), "any_code": cohort.row_trauma_flag(diagnoses, "any")})
+    rows = t.ratings(spark, sf, t.with_specialty(flagged.drop(*diagnoses), spark, sf))
+    return demo.demographics(rows, t.CASE_ORDER, "first_code and correct = 'yes'", "any_code", inside)
 
 
 @query
@@ -438,11 +514,37 @@ def demographics(spark, sf):
     return _demographics(spark, sf)
 
 
+@query
+def trauma_demographics(spark, sf):
+    return _demographics(spark, sf, inside=True)
+
+
 @query
 def demographic_freqs(spark, sf):
     return demo.demographic_freqs(_demographics(spark, sf), ["asa", "trauma", "sex", "emerg_priority_collapse"])
 
 
+@query
+def trauma_demographic_freqs(spark, sf):
+    return demo.demographic_freqs(_demographics(spark, sf, inside=True), ["asa", "trauma", "sex", "emerg_priority_collapse"])
+
+
+@query
+def demographic_age_profile(spark, sf):
+    values = ["mean", "sd", "median", "IQR", "25 centile", "75 centile"]
+    return shown(dist.numeric_profile(_demographics(spark, sf), ["age"]), *values)
+
+
+@query
+def demographic_age_histogram(spark, sf):
+    return dist.histogram(_demographics(spark, sf), "age", 5)
+
+
+@query
+def demographic_specialty_freq(spark, sf):
+    return demo.specialty_freq(_demographics(spark, sf))
+
+
 @query
 def specialty_freq(spark, sf):
     return demo.specialty_freq(t.with_specialty(t.study(spark, sf), spark, sf))
@@ -464,6 +566,13 @@ def specialty_lists(spark, sf):
 
 
 # --- models ------------------------------------------------------------------
+MIN_RATERS = 8
+
+
+def _model_cells(spark, sf):
+    return model_data.model_cells(_trauma_ratings(spark, sf), MIN_RATERS)
+
+
 @query
 def model_eligibility(spark, sf):
     return raters.model_eligibility(t.ratings(spark, sf))
@@ -477,56 +586,90 @@ def model_frame_freq(spark, sf):
 
 @query
 def model_cells(spark, sf):
-    return model_data.cells_long(model_data.model_cells(t.ratings(spark, sf)))
+    return model_data.cells_long(_model_cells(spark, sf))
 
 
 @query
 def model_cells_whole_cohort(spark, sf):
-    wide = model_data.model_cells(_flagged_ratings(spark, sf), 20, both_sexes=False, with_trauma=True)
-    return model_data.cells_long(wide, with_trauma=True)
+    return model_data.cells_long(_whole_cohort_cells(spark, sf), with_trauma=True)
 
 
 @query
 def model_sample_size(spark, sf):
-    return model_data.sample_size(model_data.model_cells(t.ratings(spark, sf)))
+    return model_data.sample_size(_model_cells(spark, sf))
 
 
 @query
 def fixed_effect_odds(spark, sf):
-    return mixed_logit.fixed_effect_odds(model_data.model_cells(t.ratings(spark, sf)))
+    return mixed_logit.fixed_effect_odds(_model_cells(spark, sf))
 
 
-def _counts(spark, sf):
-    return mixed_logit.prepare_counts(model_data.model_cells(t.ratings(spark, sf)))
+def _fits(cells, *terms, **options):
+    """Models on the same cell counts, which are written once and deleted after the fits."""
+    counts = mixed_logit.prepare_counts(cells)
+    try:
+        return [mixed_logit.random_intercept_logit(counts, term, **options) for term in terms]
+    finally:
+        writers.remove(counts)
+
+
+def _whole_cohort_cells(spark, sf):
+    return model_data.model_cells(_flagged_ratings(spark, sf), 20, both_sexes=False, with_trauma=True)
+
+
+def _odds(spark, sf, terms):
+    return mixed_logit.odds_ratios(spark, *_fits(_model_cells(spark, sf), terms))
+
+
+def _whole_cohort_odds(spark, sf, terms):
+    return mixed_logit.odds_ratios(spark, *_fits(_whole_cohort_cells(spark, sf), terms, with_trauma=True))
 
 
 @query
 def random_intercept_odds(spark, sf):
-    return mixed_logit.odds_ratios(spark, mixed_logit.random_intercept_logit(_counts(spark, sf), "main"))
+    return _odds(spark, sf, "main")
 
 
 @query
 def interaction_odds(spark, sf):
-    return mixed_logit.odds_ratios(spark, mixed_logit.random_intercept_logit(_counts(spark, sf), "interaction"))
+    return _odds(spark, sf, "interaction")
 
 
 @query
 def whole_cohort_odds(spark, sf):
-    wide = model_data.model_cells(_flagged_ratings(spark, sf), 20, both_sexes=False, with_trauma=True)
-    fit = mixed_logit.random_intercept_logit(mixed_logit.prepare_counts(wide), "main", with_trauma=True)
-    return mixed_logit.odds_ratios(spark, fit)
+    return _whole_cohort_odds(spark, sf, "main")
 
 
 @query
-def icc(spark, sf):
-    fit = mixed_logit.random_intercept_logit(_counts(spark, sf), "null")
+def whole_cohort_interaction_odds(spark, sf):
+    return _whole_cohort_odds(spark, sf, "interaction")
+
+
+def _icc(spark, fit):
     values = (fit.tau ** 2, mixed_logit.icc(fit), mixed_logit.icc(fit, latent=True))
     return spark.createDataFrame([tuple(round(v, 3) for v in values)], "variance double, icc double, icc_latent double")
 
 
+@query
+def icc(spark, sf):
+    return _icc(spark, *_fits(_model_cells(spark, sf), "null"))
+
+
+@query
+def whole_cohort_icc(spark, sf):
+    return _icc(spark, *_fits(_whole_cohort_cells(spark, sf), "null", with_trauma=True))
+
+
+def _lrt(spark, fits):
+    table = mixed_logit.compare_models(spark, *fits)
+    return shown3(table, "AIC", "BIC", "log_lik", "deviance", "chisq", "p_value")
+
+
 @query
 def model_lrt(spark, sf):
-    counts = _counts(spark, sf)
-    small = mixed_logit.random_intercept_logit(counts, "null")
-    large = mixed_logit.random_intercept_logit(counts, "main")
-    return mixed_logit.compare_models(spark, small, large)
+    return _lrt(spark, _fits(_model_cells(spark, sf), "null", "main"))
+
+
+@query
+def whole_cohort_lrt(spark, sf):
+    return _lrt(spark, _fits(_whole_cohort_cells(spark, sf), "null", "main", with_trauma=True))

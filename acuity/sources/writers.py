@@ -6,6 +6,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+PREFIX = "acuity-table-"
+
+
 def write_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -23,22 +26,37 @@ def write_lists(lists: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """A folder every executor can reach: the given one, ``spark.checkpoint.dir``, or the checkpoint folder.
+
+    Where none is set, local masters, whose executors share the machine, get a
+    new one; on a cluster that is an error.
+    """
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="acuity-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="acuity-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, folder: str | None = None, rows_per_file: int = 0) -> DataFrame:
     """Write a derived table once to the shared folder and read it from there.
 
     For aggregates used by many jobs: the later jobs do not repeat the work and
     do not depend on the executors that did it.
     """
-    path = f"{shared_folder(df.sparkSession)}/acuity-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(df.sparkSession, folder)}/{PREFIX}{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and no later job reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if path.rsplit("/", 1)[1].startswith(PREFIX):
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

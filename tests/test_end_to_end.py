@@ -53,7 +53,7 @@ def test_from_bookings_to_lists(spark, rows, tmp_path):
         assert abs(full[name].urgent_total_pcnt - 100 * share) <= 0.11
     assert set(full) == {"nail", "plate"} and full["nail"].urgent_surgery_by_agmnt
 
-    by_age = lists.urgency_lists(ratings, lists.age_members(ratings))
+    by_age = lists.urgency_lists(ratings, lists.age_members())
     writers.write_lists(compare.published_lists(by_age, table), str(tmp_path / "lists"), "csv")
     published = spark.read.option("header", True).csv(str(tmp_path / "lists"))
     assert published.filter("list_name = 'full list by agreement' and achi_code = 'nail'").count() == 1

@@ -50,7 +50,8 @@ def test_only_same_day_and_age(rows):
 @pytest.mark.parametrize("closed, kept", [(False, [5.0, 40.0]), (True, [5.0, 40.0, 90.0])])
 def test_default_age_bound(rows, closed, kept):
     df = rows(RATING, *[r for a in (5.0, 40.0, 90.0, None) for r in rating("p", "<1hr", age=a)])
-    assert sorted(r.age for r in df.filter(lists.default_age_range(df, closed_upper=closed)).collect()) == kept
+    cells = lists.with_oldest(df.groupBy("age").count())
+    assert sorted(r.age for r in cells.filter(lists.default_age_range(closed_upper=closed)).collect()) == kept
     assert tuple(lists.age_bounds(df).first()) == (5.0, 90.0)
 
 
@@ -104,7 +105,7 @@ def many(spark):
 
 
 def test_lists_side_by_side_equal_single_lists(many):
-    stacked = lists.urgency_lists(many, lists.age_members(many) | lists.sex_members(many))
+    stacked = lists.urgency_lists(many, lists.age_members() | lists.sex_members())
     single = {
         "full": lists.procedure_urgency(many, 75, 0.7, cohort="trauma"),
         "paeds": lists.procedure_urgency(many, 75, 0.7, age_upper=16, cohort="trauma"),
@@ -125,7 +126,7 @@ def code_text(many):
 
 
 def test_differences_equal_anti_joins(many, code_text):
-    stacked = lists.urgency_lists(many, lists.age_members(many))
+    stacked = lists.urgency_lists(many, lists.age_members())
     listed = compare.urgent_list(compare.with_code_text(stacked, code_text))
     full = listed.filter("list_name = 'full'").drop("list_name")
     at_once = compare.with_code_text(compare.list_differences(stacked), code_text).withColumnRenamed("booked_procedure", "achi_code")
@@ -143,7 +144,7 @@ def test_compare_lists_partitions_the_symmetric_difference(rows):
 
 
 def test_published_lists(spark, many, code_text, tmp_path):
-    stacked = lists.urgency_lists(many, lists.age_members(many))
+    stacked = lists.urgency_lists(many, lists.age_members())
     published = compare.published_lists(stacked, code_text)
     urgent = compare.urgent_list(compare.with_code_text(stacked, code_text))
     counts = {r.list_name: r["count"] for r in published.groupBy("list_name").count().collect()}
@@ -220,9 +221,27 @@ def test_boxplot_and_distribution(rows):
     assert (table.median_pct, table.IQR_pct) == (3.5, 2.5)
 
 
-def test_histogram_is_right_closed(rows):
-    df = rows("age double", (0.0,), (5.0,), (5.1,), (10.0,), (None,), (11.0,))
-    assert {(r.bin_from, r.bin_to): r.n for r in dist.histogram(df, "age", 0, 10, 5).collect()} == {(0.0, 5.0): 2, (5.0, 10.0): 2}
+def bins(df, width):
+    return {(r.bin_from, r.bin_to): r.n for r in dist.histogram(df, "v", width).collect()}
+
+
+def test_histogram_is_right_closed_and_counts_every_row(rows):
+    assert bins(rows("v double", (0.0,), (5.0,), (5.1,), (10.0,), (None,), (23.0,)), 5) == {
+        (0.0, 5.0): 2, (5.0, 10.0): 2, (10.0, 15.0): 0, (15.0, 20.0): 0, (20.0, 25.0): 1, (None, None): 1}
+    assert bins(rows("v int", (-1,), (5,), (55,), (101,)), 50) == {(-50.0, 0.0): 1, (0.0, 50.0): 1, (50.0, 100.0): 1, (100.0, 150.0): 1}
+    assert bins(rows("v int", (5,), (6,)), 5) == {(5.0, 10.0): 2} and bins(rows("v int", (5,)), 5) == {(5.0, 10.0): 1}
+    assert bins(rows("v int", (None,)), 5) == {(None, None): 1} and bins(rows("v int"), 5) == {}
+
+
+def test_quartiles_by_rank_equal_the_plain_ones(spark, rows):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    data = [("a", float(v)) for v in rng.normal(size=501)] + [("b", float(v)) for v in rng.integers(0, 4, 400)] + [("c", 1.0), ("d", None)]
+    counts = dist.value_counts(rows("k string, v double", *data), ["k"], "v")
+    got = {r.k: list(r.q) for r in dist.quartiles(counts, "k", "v").collect()}
+    assert set(got) == {"a", "b", "c"}
+    for k in got:
+        assert got[k] == pytest.approx(np.quantile([v for g, v in data if g == k], [0.25, 0.5, 0.75]))
 
 
 def test_density_integrates_to_one(rows):
@@ -235,12 +254,26 @@ def test_demographics(rows):
     typed = "study_id string, booked_procedure string, age double, sex string, asa string, specialty string, emerg_priority_collapse string, n int"
     df = rows(typed, *[(s, p, 1.0, "M", "1", "x", "<1hr", n) for s, p, n in
                        [("a", "p", 1), ("b", "q", 2), ("b", "p", 1), ("c", "r", 1), ("d", "p", 1), ("e", None, 1)]])
-    in_cohort, trauma = rows("study_id string", ("a",)), rows("study_id string", ("d",))
-    got = {r.study_id: r.trauma for r in demo.demographics(df, in_cohort, trauma, ["n"]).collect()}
-    assert got == {"b": True, "c": False, "d": True, "e": False}
+    def trauma(cohort):
+        got = demo.demographics(df, ["n"], "study_id = 'a'", "study_id in ('a', 'd')", cohort)
+        return {r.study_id: r.trauma for r in got.collect()}
+    assert trauma(False) == {"b": True, "c": False, "d": True, "e": False} and trauma(True) == {"a": True}
 
 
 def test_urgent_specialties(rows):
     data = rating("p", "<1hr", 5, specialty="Colorectal SN") + rating("p", "<1hr", specialty="Upper GI") + rating("q", "<1hr", specialty="ENT")
     got = demo.urgent_specialty_freq(rows(RATING, *data, *rating("z", "<1hr")), rows("achi_code string", ("p",), ("q",))).collect()
     assert [(r.specialty, r.n, r.prop) for r in got] == [("General Surgery", 2, 66.7), ("ENT", 1, 33.3)]
+
+
+def test_lists_of_any_group_can_be_compared(rows):
+    data = [r for sex in "MF" for i in range(4) for r in rating("p" if sex == "M" else "q", "<1hr", sex=sex, study=i)]
+    members = {"full": "sex is not null", "male": "sex = 'M'", "left handed": "false"}
+    stacked = lists.urgency_lists(rows(RATING, *data), members)
+    got = compare.list_differences(stacked, ["male", "left handed"]).collect()
+    assert {(r.diff_name, r.procedure_list, r.booked_procedure) for r in got} == {
+        ("diff proc bw male and full", "not specific to male patients", "q"),
+        ("diff proc bw left handed and full", "not specific to left handed patients", "p"),
+        ("diff proc bw left handed and full", "not specific to left handed patients", "q")}
+    one = compare.urgent_list(compare.with_code_text(stacked.filter("list_name = 'male'"), rows("achi_proc_code string, procedure_text string, block_text string"))).drop("list_name")
+    assert compare.compare_lists(one, one, "left handed").collect() == []

@@ -25,7 +25,7 @@ def test_cells_equal_the_frame(spark):
         wide = md.model_cells(df, with_trauma=True, **options)
         assert {tuple(r)[:4]: (r.n, r.y) for r in md.cells_long(wide, True).collect()} == expected
         size = md.sample_size(wide, True).first()
-        assert size.n_ratings == frame.count()
+        assert size.n_modelled == frame.count() and size.n_ratings == md.model_frame(df, **options).count()
 
 
 def simulated(groups, beta, tau, seed, terms="main"):
@@ -69,7 +69,7 @@ def test_recovers_simulated_parameters(spark):
     n, y = simulated(600, beta, tau, 5)
     counts = ml.prepare_counts(frame(spark, n, y))
     fit = ml.random_intercept_logit(counts)
-    assert fit.converged and fit.n_procedures == 600 and fit.n_ratings == n.sum()
+    assert fit.n_procedures == 600 and fit.n_ratings == n.sum()
     errors = np.sqrt(np.diag(fit.covariance))
     assert np.all(np.abs(fit.beta - beta) < 3 * errors) and fit.tau == pytest.approx(tau, abs=0.1)
     _, x = ml.design("main")
@@ -114,3 +114,19 @@ def test_interaction_design():
 @pytest.mark.parametrize("x, df, p", [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (11.0705, 5, 0.05), (0, 2, 1)])
 def test_chi_square_tail(x, df, p):
     assert ml.chi_square_tail(x, df) == pytest.approx(p, abs=1e-6)
+
+
+def test_an_exhausted_fit_raises(spark):
+    n, y = simulated(40, [-0.5, 0.4, 0.3, -0.6], 0.8, 3)
+    with pytest.raises(ArithmeticError):
+        ml.random_intercept_logit(frame(spark, n, y), "main", max_steps=1)
+
+
+def test_counts_leave_no_files(spark, tmp_path):
+    from acuity.sources import writers
+    n, y = simulated(40, [-0.5, 0.4, 0.3, -0.6], 0.8, 3)
+    counts = ml.prepare_counts(frame(spark, n, y), 10, str(tmp_path))
+    assert counts.count() == 40 and len(list(tmp_path.glob("*/*.parquet"))) >= 4
+    ml.random_intercept_logit(counts, "null")
+    writers.remove(counts)
+    assert list(tmp_path.iterdir()) == []

@@ -211,3 +211,37 @@ def test_code_table_readers(spark, rows, tmp_path):
     rows("four_dgt_no string, four_dgt_text string, three_dgt_no string, three_dgt_text string, diagnosis_chapter string, "
          "diagnosis_subchapter string", ("s72.1", "a", "s72", "b", "c", "d")).write.parquet(str(tmp_path / "d"))
     assert readers.read_diagnosis_codes(spark, str(tmp_path / "d")).first().three_dgt_no == "s72"
+
+
+def test_csv_parts_are_bound_by_name(spark, tmp_path):
+    folder = tmp_path / "study"
+    folder.mkdir()
+    (folder / "a.csv").write_text("study_id,sex,age\n1,F,50\n2,M,\n")
+    (folder / "b.csv").write_text("study_id,age,sex,additional_procedure_9\n3,60,M,x\n")
+    (folder / "c.csv").write_text("study_id,sex,age\n4,F,70\n")
+    got = {r.study_id: (r.sex, r.age, r.additional_procedure_9) for r in readers.read_study(spark, str(folder), "csv").collect()}
+    assert got == {"1": ("F", 50.0, None), "2": ("M", None, None), "3": ("M", 60.0, "x"), "4": ("F", 70.0, None)}
+
+
+def test_a_malformed_line_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("study_id,sex,age\n1,F,fifty\n")
+    with pytest.raises(Exception):
+        readers.read_study(spark, str(tmp_path), "csv").collect()
+
+
+def test_cohort_keeps_studies_without_an_order(rows):
+    typed = "study_id string, episode_number long, principle_diagnosis string, additional_diagnosis_1 string"
+    df = rows(typed, ("a", None, "S72", None), ("b", None, "S72", None), ("b", 1, "K35", None), ("c", 1, "S72", None), ("c", 1, "K35", None),
+              ("d", None, "K35", None))
+    assert {r.study_id for r in cohort.trauma_cohort(df).collect()} == {"a"}  # of equal orders K35 is before S72
+    assert {r.study_id for r in cohort.trauma_cohort(df, "any").collect()} == {"a", "b", "c"}
+
+
+def test_best_of_all_codes(spark, rows):
+    from acuity.operators.text_match import best_codes, common_words
+    texts = rows("study_id long, text string", (1, "open repair of the femur"), (1, "wrist"), (2, "nothing"), (3, None), (4, "FEMUR, wrist repair"))
+    codes = rows("code long, code_text string", (7, "repair of femur"), (3, "repair of wrist"), (5, "wrist repair open"), (9, None), (None, "femur"))
+    want = {(1, 5, 2), (1, 3, 1), (4, 3, 2)}
+    for block in (100, 2, 1):
+        assert {tuple(r) for r in best_codes(texts, codes, block=block).collect()} == want
+    assert best_codes(texts, codes.filter("false")).collect() == []
