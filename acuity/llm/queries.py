@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acuity.llm import decontaminate, language, ngram_join, pages, personal, pieces, quality, secrets, store, substring_dedup, warc
+from acuity.llm.oracle import ORACLE  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +62,3 @@ def op10_main_text(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_warc, op4_sentencepiece, op5_personal_data, op6_quality_rules, op7_ngram_join, op8_language,
                                  op9_secrets, op10_main_text)}
-ORACLE: dict[str, str] = {}
