@@ -35,13 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has long columns u and v; direction, repeats and loops do not
     matter. An empty table gives an empty one.
     """
-    now = store.write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-                      "edges")
+    now = store.write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == before:
             return now
         before, old = mark, now
-        now = store.write(_small_star(_large_star(now)), "edges")
+        now = store.write(_small_star(_large_star(now)))
         store.remove(old)

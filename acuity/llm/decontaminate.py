@@ -16,7 +16,7 @@ Items are sent to the tasks in blocks of ``ITEM_BLOCK``; with more items the
 documents are read once per block, and no broadcast grows with the benchmark.
 
 Null and empty texts, on either side, match nothing. A text of one to four
-words is one shingle. Repeated rows give equal results. Items with equal
+words is one shingle, which only a text of the same words has. Repeated rows give equal results. Items with equal
 shingles match alike; among windows with equal similarity the first counts.
 """
 
@@ -55,7 +55,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.sets = [], []
-        for _, (first, part) in zip(range(len(items)), chunks([t for _, t in items])):
+        for first, part in chunks([t for _, t in items]):
             shingles, bounds = shingle_hashes(*word_hashes(part)[:2])
             for i in range(len(part)):
                 if bounds[i + 1] > bounds[i]:

@@ -282,14 +282,14 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     marks its rows with the smallest (doc_id, text_crc). With ``doc_id`` null
     in the whole class, ``class_id`` is null.
     """
-    known = store.write(features(docs), "features")
+    known = store.write(features(docs))
     some = known.filter("n_shingles > 0")
     # one node per shingle set; copies are counted before they are shuffled
     nodes = store.write(
         some.groupBy("s0", "s1").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_crc"))
                                      .alias("_least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
         .select(F.monotonically_increasing_id().alias("nid"), "s0", "s1", "copies",
-                F.col("_least.doc_id").alias("first_id"), F.col("_least.text_crc").alias("first_crc"), "n_shingles", "sig"), "nodes")
+                F.col("_least.doc_id").alias("first_id"), F.col("_least.text_crc").alias("first_crc"), "n_shingles", "sig"))
     bands = nodes.select("nid", F.posexplode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(sig, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("band", "key"))
     buckets = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -301,14 +301,14 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     group = near.select(F.col("u").alias("nid"), F.col("v").alias("grp")).unionAll(
         near.selectExpr("v as nid", "v as grp").distinct())
     sizes = group.groupBy("grp").agg(F.count("*").alias("n"))
-    group = store.write(group.join(sizes, "grp").join(nodes.select("nid", "first_id", "first_crc", "copies", "sig"), "nid"), "groups")
+    group = store.write(group.join(sizes, "grp").join(nodes.select("nid", "first_id", "first_crc", "copies", "sig"), "nid"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("_crc", F.crc32(F.col("text").cast("binary")))
     # a node needs one of its texts; rows repeated under the same id are the same text
     held = (group.join(texts, F.col("first_id").eqNullSafe(F.col("_id")) & (F.col("first_crc") == F.col("_crc")))
             .select("nid", "grp", "n", "copies", "sig", "text").dropDuplicates(["nid"])
             .mapInArrow(_with_sets, "nid long, grp long, n long, copies long, sig binary, shingles binary"))
-    found = store.write(_blocks(held, ["grp"]).mapInArrow(_verified(threshold), "u long, v long, texts long, links long"), "links")
+    found = store.write(_blocks(held, ["grp"]).mapInArrow(_verified(threshold), "u long, v long, texts long, links long"))
     links = found.groupBy("u").agg(F.sum("texts").alias("n_linked_texts"), F.sum("links").alias("_links"))
     whole = components(found.select("u", "v"))
 
@@ -333,7 +333,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     first = jaccard_classes(docs, threshold).filter("first")
     kept = store.write(first.groupBy(F.col("doc_id").alias("_k_id"), F.col("text_crc").alias("_k_crc"))
-                       .agg(F.count("*").alias("_k_n")), "kept")
+                       .agg(F.count("*").alias("_k_n")))
     match = [docs["doc_id"].cast("long").eqNullSafe(kept["_k_id"]),
              F.crc32(docs["text"].cast("string").cast("binary")).eqNullSafe(kept["_k_crc"])]
     once = docs.join(kept.filter("_k_n = 1"), match, "left_semi")

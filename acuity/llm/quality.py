@@ -142,7 +142,7 @@ def learn_rules(featured: DataFrame, labels: DataFrame) -> list[list[tuple[str,
     marked = featured.join(labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality"))
                            .filter("_quality in (0, 1)"), F.col("doc_id") == F.col("_id"))
     marked = store.write(marked.select("_quality", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0).alias("_prune"),
-                                       *[f"f_{k}" for k in names]), "labelled")
+                                       *[f"f_{k}" for k in names]))
     shares = ", ".join(f"{(i + 0.5) / (CUTS / 2)}D" for i in range(CUTS // 2))
     found = marked.groupBy("_quality").agg(*[F.expr(f"percentile_approx(f_{k}, array({shares}), 10000) as f_{k}") for k in names]).collect()
     if len(found) < 2:
@@ -164,7 +164,7 @@ def decision(rules: list[list[tuple[str, str, float]]]) -> str:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, the counts, base_failed, kept."""
-    counted = store.write(counts(docs), "counts")
+    counted = store.write(counts(docs))
     featured = features(counted)
     rules = learn_rules(featured, labels)
     return featured.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -134,7 +134,7 @@ def thresholds(scanned: DataFrame, rate: float = FALSE_RATE) -> list[float]:
 
 def find_secrets(docs: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
     """Per row: doc_id, base counts per kind, digest of the base spans, all spans, number of added spans."""
-    scanned = store.write(scan(docs), "secrets")
+    scanned = store.write(scan(docs))
     limits = "array(" + ", ".join(f"{x!r}D" for x in thresholds(scanned, rate)) + ")"
     added = f"filter(candidates, c -> c.p > {limits}[c.cls])"
     return scanned.selectExpr(

@@ -59,11 +59,11 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
                         F.regexp_replace(F.col("url").cast("string"), r"[\x00-\x20]+", "%20").alias("url"))
     rows = rows.selectExpr("page_id", "html", "url", f"{digest} as payload_digest", "octet_length(html) as payload_bytes")
-    known = store.write(rows.filter(f"payload_bytes >= {int(min_bytes)}").select("page_id", "payload_digest"), "digests")
+    known = store.write(rows.filter(f"payload_bytes >= {int(min_bytes)}").select("page_id", "payload_digest"))
     first = known.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"))
     # only revisits are listed; with few of them the pages are not shuffled
     revisits = store.write(known.join(first, "payload_digest").filter("not page_id <=> refers_to")
-                           .select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to").distinct(), "revisits")
+                           .select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to").distinct())
     joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     lines = joined.selectExpr("*", f"{_LINE} as line", f"{_END} as end_").selectExpr(
         f"if(_digest is null, {_record(True)}, {_record(False)}) as value")
@@ -98,7 +98,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         f"substring(body, octet_length(substring_index(cast(body as string), {_END}, 1)) + 5) as payload")
     found = store.write(parsed.selectExpr(
         "file", "block", "_row", "size", "head_bytes", "block_bytes", "record_type", "page_id", "refers_to", "stated_digest",
-        "cast(octet_length(payload) as bigint) as payload_bytes", f"{base32_sha1('payload')} as payload_digest"), "cuts")
+        "cast(octet_length(payload) as bigint) as payload_bytes", f"{base32_sha1('payload')} as payload_digest"))
     # places: lengths of the cuts before, first over the blocks of a file, then over the rows of a block
     step = len(MAGIC)
     blocks = found.groupBy("file", "block").agg(F.sum(F.col("size") + step).alias("_bytes"))
@@ -114,7 +114,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def reachable(chain: DataFrame) -> DataFrame:
     """Rows (file, place) that are reached from place 0 over (file, place, successor), by pointer jumping."""
-    now = store.write(chain.selectExpr("file", "place", "successor as next", "place = 0 as reached"), "chain")
+    now = store.write(chain.selectExpr("file", "place", "successor as next", "place = 0 as reached"))
     before = -1
     while True:
         count = now.filter("reached").count()
@@ -126,7 +126,7 @@ def reachable(chain: DataFrame) -> DataFrame:
         jumped = now.join(target, ["file", "next"], "left").select("file", "place", F.col("beyond").alias("next"), "reached")
         old = now
         now = store.write(jumped.join(marks, ["file", "place"], "left")
-                          .selectExpr("file", "place", "next", "reached or coalesce(_mark, false) as reached"), "chain")
+                          .selectExpr("file", "place", "next", "reached or coalesce(_mark, false) as reached"))
         store.remove(old)
 
 
@@ -158,8 +158,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     Size and digest are those of the full payload; a revisit takes them from
     the response it refers to.
     """
-    found = store.write(candidates(spark, path), "candidates")
-    records = store.write(found.join(reachable(found.select("file", "place", "successor")), ["file", "place"]), "records")
+    found = store.write(candidates(spark, path))
+    records = store.write(found.join(reachable(found.select("file", "place", "successor")), ["file", "place"]))
     split = records.filter("successor > cut_end")
     if not split.isEmpty():
         whole = _assembled(spark, path, found, split).selectExpr(

@@ -48,5 +48,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = store.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = store.write(stage(spark, docs, sf_dir))
     return docs
