@@ -318,39 +318,90 @@ coef AS (SELECT '(Intercept)' AS "Variable", b0 AS b, a22 / det AS v FROM var UN
     UNION ALL SELECT 'age_gpelderly', b2, 1 / se + (a22 - 2 * (sme / se) * a12 + (sme / se) * (sme / se) * a11) / det FROM var
     UNION ALL SELECT 'age_gppaeds', b3, 1 / sp + (a22 - 2 * (smp / sp) * a12 + (smp / sp) * (smp / sp) * a11) / det FROM var)"""
 
-# Null model with a random intercept: the Laplace likelihood itself, maximised by a shrinking grid.
-_NULL_P = "(1 / (1 + exp(-(b + t * u))))"
-_NULL_STEP = (f"u + greatest(-2, least(2, (t * (y - n * {_NULL_P}) - u) / (1 + t * t * n * {_NULL_P} * (1 - {_NULL_P}))))")
-_MODE = f"list_reduce(range(0, 30), lambda u, i: {_NULL_STEP}, 0e0)"
-
-
-def _grid_levels(levels=22):
-    parts = ["best0 AS (SELECT 0e0 AS b, 1.2e0 AS t)"]
-    for i in range(1, levels + 1):
-        width = 1.2 * 0.55 ** (i - 1)
-        parts.append(f"""best{i} AS (SELECT arg_max(b, total) AS b, arg_max(t, total) AS t FROM (
-    SELECT b, t, sum(w * (y * (b + t * u) - n * ln(1 + exp(b + t * u)) - u * u / 2
-        - ln(1 + t * t * n * {_NULL_P} * (1 - {_NULL_P})) / 2)) AS total
-    FROM (SELECT g.b, g.t, n, y, w, {_MODE} AS u FROM (SELECT b0 + {width!r} * dx / 2 AS b, abs(t0 + {width!r} * dy / 2) AS t
-        FROM (SELECT b AS b0, t AS t0 FROM best{i - 1}), (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy)) g, sums)
-    GROUP BY b, t))""")
-    return ", ".join(parts), f"best{levels}"
-
-
-_GRID, _BEST = _grid_levels()
-
-
-def _null_fit(cells):
-    return f"""{cells}, per AS (SELECT booked_procedure, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS y FROM mcells GROUP BY 1),
-sums AS (SELECT n, y, count(*) AS w FROM per GROUP BY n, y), {_GRID}"""
-
-
-_ICC = f"SELECT round(t * t, 3) AS variance, round(t * t / (t * t + 1), 3) AS icc, round(t * t / (t * t + pi() * pi() / 3), 3) AS icc_latent FROM {_BEST}"
 WHOLE = f"""{FLAGGED}, mcells AS (SELECT booked_procedure, sex, {_age_gp()} AS age_gp, is_trauma AS trauma, count(*) AS n,
     count(*) FILTER ({_URGENT_YN} = 'not urgent') AS y FROM flagged WHERE booked_procedure IN
     (SELECT booked_procedure FROM rat GROUP BY 1 HAVING count(*) >= 20) GROUP BY ALL)"""
 
 
+# Random-intercept model with covariates: the Laplace likelihood itself, climbed one parameter at a time with
+# three-point parabolas; curvature by differences; the covariance by elimination.
+_H = "1e-3"
+
+
+def _laplace(source, k, steps=12):
+    """Value of each row of ``source`` (n, y, x lists over cells; bb: coefficients, then the deviation)."""
+    p = "(1 / (1 + exp(-(v + t * u))))"
+    slope = f"list_sum(list_transform(f, lambda v, c: y[c] - n[c] * {p}))"
+    curve = f"list_sum(list_transform(f, lambda v, c: n[c] * {p} * (1 - {p})))"
+    mode = f"list_reduce(range(0, {steps}), lambda u, s: u + greatest(-2, least(2, (t * {slope} - u) / (1 + t * t * {curve}))), 0e0)"
+    return f"""SELECT *, list_sum(list_transform(f, lambda v, c: y[c] * (v + t * u) - n[c] * ln(1 + exp(v + t * u)))) - u * u / 2
+        - ln(1 + t * t * {curve}) / 2 AS value FROM (SELECT *, {mode} AS u FROM (SELECT *,
+        list_transform(x, lambda r: list_dot_product(r, bb[1:{k}])) AS f, bb[{k + 1}] AS t FROM ({source})))"""
+
+
+def _mixed_fit(columns, name="m", sweeps=60):
+    """``{name}_best``: coefficients and deviation ``b`` at the optimum and the log-likelihood ``value`` there."""
+    k = len(columns) + 1
+    m = k + 1
+    moved = f"list_transform(b, lambda v, i: v + CASE WHEN i = step % {m} + 1 THEN d * {_H} ELSE 0 END)"
+    points = f"SELECT step, b, d, n, y, x, {moved} AS bb FROM {name}_fit, {name}_obs, (SELECT unnest([-1, 0, 1]) AS d) WHERE step < {m * sweeps}"
+    move = f"greatest(-0.5, least(0.5, CASE WHEN c < 0 THEN -{_H} * g / (2 * c) WHEN g < 0 THEN -0.1 ELSE 0.1 END))"
+    return f"""{name}_obs AS (SELECT list(CAST(n AS DOUBLE)) AS n, list(CAST(y AS DOUBLE)) AS y,
+        list([1e0{''.join(f', CAST({c} AS DOUBLE)' for c in columns)}]) AS x FROM mcells GROUP BY booked_procedure),
+    {name}_fit AS (SELECT 0 AS step, [{', '.join(['0e0'] * k)}, 1e0] AS b UNION ALL
+        SELECT step + 1, list_transform(b, lambda v, i: v + CASE WHEN i = step % {m} + 1 THEN {move} ELSE 0 END)
+        FROM (SELECT step, b, hi - lo AS g, hi - 2 * mid + lo AS c FROM (SELECT step, b, sum(value) FILTER (d = 1) AS hi,
+            sum(value) FILTER (d = 0) AS mid, sum(value) FILTER (d = -1) AS lo FROM ({_laplace(points, k)}) GROUP BY step, b))),
+    {name}_best AS (SELECT b, sum(value) AS value FROM ({_laplace(f"SELECT n, y, x, b, b AS bb FROM {name}_fit, {name}_obs WHERE step = {m * sweeps}", k, 25)}) GROUP BY b)"""
+
+
+def _mixed_odds(cells, terms):
+    names, columns = list(terms), list(terms.values())
+    k = len(columns) + 1
+    m = k + 1
+    shifted = f"list_transform(b, lambda v, q: v + {_H} * (CASE WHEN q = i THEN di ELSE 0 END + CASE WHEN q = j THEN dj ELSE 0 END))"
+    points = f"""SELECT i, j, di * dj AS sgn, n, y, x, {shifted} AS bb FROM m_best, m_obs, (SELECT unnest(range(1, {m + 1})) AS i),
+        (SELECT unnest(range(1, {m + 1})) AS j), (SELECT unnest([-1, 1]) AS di), (SELECT unnest([-1, 1]) AS dj)"""
+    labels = ", ".join(f"'{v}'" for v in ("(Intercept)", *names))
+    return f"""WITH RECURSIVE {cells}, {_mixed_fit(columns)},
+    hess AS (SELECT i, j, -sum(sgn * value) / (4 * {_H} * {_H}) AS v FROM ({_laplace(points, k, 25)}) GROUP BY i, j),
+    half AS (SELECT i, list(v ORDER BY j) || list_transform(range(1, {m + 1}), lambda q: CAST(q = i AS DOUBLE)) AS r FROM hess GROUP BY i),
+    gj AS (SELECT 1 AS p, list(r ORDER BY i) AS a FROM half UNION ALL SELECT p + 1, list_transform(a, lambda r, i: CASE WHEN i = p
+        THEN list_transform(r, lambda v: v / a[p][p]) ELSE list_transform(r, lambda v, c: v - r[p] / a[p][p] * a[p][c]) END) FROM gj WHERE p <= {m}),
+    coef AS (SELECT unnest([{labels}]) AS "Variable", unnest(b[1:{k}]) AS b, unnest(list_transform(range(1, {k + 1}), lambda q: a[q][{m} + q])) AS v
+        FROM m_best, gj WHERE p = {m + 1})
+    SELECT "Variable", round_even(exp(b), 2) AS "OddsRatio", round_even(exp(b - 1.96e0 * sqrt(v)), 2) AS "LL",
+        round_even(exp(b + 1.96e0 * sqrt(v)), 2) AS "UL" FROM coef"""
+
+
+_MAIN = {"sexM": "sex = 'M'", "age_gpelderly": "age_gp = 'elderly'", "age_gppaeds": "age_gp = 'paeds'"}
+_CROSS = {"sexM:age_gpelderly": "(sex = 'M' AND age_gp = 'elderly')", "sexM:age_gppaeds": "(sex = 'M' AND age_gp = 'paeds')"}
+
+def _mixed_icc(cells):
+    return f"""WITH RECURSIVE {cells}, {_mixed_fit([], 'z', 40)}, v AS (SELECT b[2] * b[2] AS t2 FROM z_best)
+        SELECT round(t2, 3) AS variance, round(t2 / (t2 + 1), 3) AS icc, round(t2 / (t2 + pi() * pi() / 3), 3) AS icc_latent FROM v"""
+
+
+_WHOLE_MAIN = {**_MAIN, "traumaTRUE": "trauma"}
+
+
+def _mixed_test(cells, terms):
+    """Null model against the model with ``terms``; the chi-square tail by Simpson's rule over its square root."""
+    k = len(terms)
+    z = "(sqrt(chisq) + 12e0 * i / 2000)"
+    density = {3: f"sqrt(2 / pi()) * {z} * {z} * exp(-{z} * {z} / 2)", 4: f"{z} * {z} * {z} / 2 * exp(-{z} * {z} / 2)"}[k]
+    tail = (f"list_sum(list_transform(range(0, 2001), lambda i: {density} * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END))"
+            " * 12e0 / 2000 / 3")
+    return f"""WITH RECURSIVE {cells}, {_mixed_fit([], 'z', 40)}, {_mixed_fit(list(terms.values()))},
+    two AS (SELECT 'm_null' AS model, 2 AS npar, value AS ll, CAST(NULL AS DOUBLE) AS chisq FROM z_best
+        UNION ALL SELECT 'm1', {k + 2}, m_best.value, 2 * (m_best.value - z_best.value) FROM m_best, z_best),
+    size AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM mcells)
+    SELECT model, CAST(npar AS INT) AS npar, round(2 * npar - 2 * ll, 3) AS "AIC", round(ln(total) * npar - 2 * ll, 3) AS "BIC",
+        round(ll, 3) AS log_lik, round(-2 * ll, 3) AS deviance, round(chisq, 3) AS chisq,
+        CAST(CASE WHEN model = 'm1' THEN {k} END AS INT) AS df, round(CASE WHEN model = 'm1' THEN {tail} END, 3) AS p_value FROM two, size"""
+
+
+
 def _bins(value, width, source):
     """Bins at multiples of ``width`` from the least to the largest value, closed above; the first one on both sides."""
     return f"""ends AS (SELECT floor(min({value}) / {width}) AS a, greatest(ceil(max({value}) / {width}), floor(min({value}) / {width}) + 1) AS b FROM {source}),
@@ -534,6 +585,12 @@ ORACLE = {
         (SELECT CAST(sum(num_of_raters) AS BIGINT) FROM eligible) AS n_ratings, CAST(sum(n) AS BIGINT) AS n_modelled FROM mcells""",
     "fixed_effect_odds": f"""WITH RECURSIVE {LOGIT} SELECT "Variable", round_even(exp(b), 2) AS "OddsRatio",
         round_even(exp(b - 1.96e0 * sqrt(v)), 2) AS "LL", round_even(exp(b + 1.96e0 * sqrt(v)), 2) AS "UL" FROM coef""",
-    "icc": f"WITH {_null_fit(ELIGIBLE)} {_ICC}",
-    "whole_cohort_icc": f"WITH {_null_fit(WHOLE)} {_ICC}",
+    "icc": _mixed_icc(ELIGIBLE),
+    "random_intercept_odds": _mixed_odds(ELIGIBLE, _MAIN),
+    "interaction_odds": _mixed_odds(ELIGIBLE, {**_MAIN, **_CROSS}),
+    "whole_cohort_odds": _mixed_odds(WHOLE, _WHOLE_MAIN),
+    "whole_cohort_interaction_odds": _mixed_odds(WHOLE, {**_WHOLE_MAIN, **_CROSS}),
+    "model_lrt": _mixed_test(ELIGIBLE, _MAIN),
+    "whole_cohort_lrt": _mixed_test(WHOLE, _WHOLE_MAIN),
+    "whole_cohort_icc": _mixed_icc(WHOLE),
 }

@@ -14,8 +14,6 @@ from tests.oracle_check import compare, connect
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-FITS = {"random_intercept_odds", "interaction_odds", "whole_cohort_odds", "whole_cohort_interaction_odds", "model_lrt",
-        "whole_cohort_lrt"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +23,7 @@ def con():
 
 def test_contract(spark):
     assert set(entry.queries()) >= set(QUERIES) and set(entry.oracle_sql()) >= set(ORACLE)
-    assert set(QUERIES) - set(ORACLE) == FITS
+    assert set(QUERIES) == set(ORACLE)
     assert entry.entry(spark).columns[:1] == ["booked_procedure"]
 
 
@@ -113,8 +111,3 @@ def test_known_counts(spark):
     assert QUERIES["trauma_any_code"](spark, MEDIUM).count() == 8722
     assert QUERIES["diagnosis_codes_long"](spark, MEDIUM).count() == 52167
     assert QUERIES["excluded_codes"](spark, MEDIUM).count() == 932
-
-
-@pytest.mark.parametrize("name", sorted(FITS))
-def test_fits_run(spark, name):
-    assert QUERIES[name](spark, SMALL).count() >= 1
