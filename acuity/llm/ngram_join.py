@@ -74,12 +74,14 @@ def _features(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("text_crc", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()),
                         ("n_shingles", pa.int32()), ("sig", pa.binary())])
     for batch in batches:
-        sets = shingle_sets(batch.column(2).to_pylist())
-        keys = [_set_hash(s) if len(s) else (0, 0) for s in sets]
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.int64()),
-            pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-            pa.array([minhash(s).tobytes() if len(s) else None for s in sets], pa.binary())], schema=schema)
+        for first, part in chunks(batch.column(2).to_pylist()):
+            sets = shingle_sets(part)
+            keys = [_set_hash(s) if len(s) else (0, 0) for s in sets]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(first, len(part)), batch.column(1).slice(first, len(part)),
+                pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([minhash(s).tobytes() if len(s) else None for s in sets], pa.binary())], schema=schema)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -268,9 +270,10 @@ def _verified(threshold: float):
 
 def _with_sets(batches):
     for batch in batches:
-        sets = shingle_sets(batch.column("text").to_pylist())
         at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
+        for first, part in chunks(batch.column(at).to_pylist()):
+            sets = pa.array([s.tobytes() for s in shingle_sets(part)], pa.binary())
+            yield batch.slice(first, len(part)).set_column(at, "shingles", sets)
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
