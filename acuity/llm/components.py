@@ -7,12 +7,13 @@ sums per round that tell whether the edges still change.
 from pyspark.sql import DataFrame, functions as F
 
 from acuity.llm import store
+from acuity.llm.joins import join_grouped
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with the least node ``m`` among u and all its neighbours."""
     least = edges.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("m"))
-    return edges.join(least, "u")
+    return join_grouped(edges, least, ["u"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@
 3. Inside a bucket, MinHash values of a pair are compared 16 at a time. The
    posterior of the similarity after m of n equal values (uniform prior) is
    Beta(m + 1, n - m + 1); a pair whose probability of reaching the threshold
-   falls below ``TOLERANCE`` is dropped. What remains connects nodes to groups.
+   falls below ``TOLERANCE`` is dropped; of pairs at the threshold this loses
+   one in 1e8. What remains connects nodes to groups.
 4. Inside a group all pairs pass the same pruning, survivors are verified
    exactly on their shingle sets, and each node gets its number of links.
    Pairs never leave the task: rows are link counts per node and the edges of
@@ -32,10 +33,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from acuity.llm import store
 from acuity.llm.components import components
+from acuity.llm.joins import join_grouped
 from acuity.llm.words import chunks, mix, shingle_hashes, word_hashes
 
 THRESHOLD = 0.8
-TOLERANCE = 1e-6
+TOLERANCE = 1e-9
 VALUES = 128
 ROWS = 4
 BANDS = VALUES // ROWS
@@ -296,7 +298,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bands = nodes.select("nid", F.posexplode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(sig, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("band", "key"))
     buckets = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = bands.join(buckets, ["band", "key"])
+    members = join_grouped(bands, buckets, ["band", "key"])
     edges = (_blocks(members.join(nodes.select("nid", "n_shingles", "sig"), "nid"), ["band", "key"])
              .mapInArrow(_candidate_edges(threshold), "u long, v long"))
     near = components(edges)
@@ -304,7 +306,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     group = near.select(F.col("u").alias("nid"), F.col("v").alias("grp")).unionAll(
         near.selectExpr("v as nid", "v as grp").distinct())
     sizes = group.groupBy("grp").agg(F.count("*").alias("n"))
-    group = store.write(group.join(sizes, "grp").join(nodes.select("nid", "first_id", "first_crc", "copies", "sig"), "nid"))
+    group = store.write(join_grouped(group, sizes, ["grp"]).join(nodes.select("nid", "first_id", "first_crc", "copies", "sig"), "nid"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("_crc", F.crc32(F.col("text").cast("binary")))
     # a node needs one of its texts; rows repeated under the same id are the same text
@@ -319,7 +321,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
              .join(links.withColumnRenamed("u", "nid"), "nid", "left").join(whole.selectExpr("u as nid", "v as _root"), "nid", "left")
              .withColumn("_root", F.coalesce("_root", "nid")))
     least = named.groupBy("_root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "first_crc")).alias("_least"))
-    named = named.join(least, "_root").selectExpr(
+    named = join_grouped(named, least, ["_root"]).selectExpr(
         "s0", "s1", "copies", "coalesce(n_linked_texts, 0L) as n_linked_texts", "copies - 1 + coalesce(_links, 0L) as n_links",
         "_least.first_id as class_id", "_least.first_crc as class_crc")
     alone = known.filter("n_shingles = 0").selectExpr(

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from acuity.llm.joins import join_grouped
 from acuity.llm.words import _BASE, _power, chunks, code_points, mix
 
 MIN_WORDS = 30
@@ -155,7 +156,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.coalesce("doc_id", F.lit(LAST_ID)).alias("d"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).alias("crc"), "text", "doc_id")
     spans = rows.select("d", "crc", "text").mapInArrow(_spans(min_words), "h long, g int, d long, crc long, run long")
     owners = spans.groupBy("h", "g").agg(F.min("d").alias("_low"), F.max("d").alias("_high")).filter("_low < _high")
-    later = spans.join(owners.drop("_high"), ["h", "g"]).filter("d > _low")
+    later = join_grouped(spans, owners.drop("_high"), ["h", "g"]).filter("d > _low")
     cuts = later.groupBy("d", "crc").agg(F.collect_set("run").alias("runs"))
     return (rows.join(cuts, ["d", "crc"], "left").select("doc_id", "text", "runs")
             .mapInArrow(_cut(min_words), "doc_id long, text string, n_sentences long, n_removed long"))

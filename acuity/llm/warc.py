@@ -23,6 +23,7 @@ empty archives. A file that is damaged keeps the records up to the damage.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acuity.llm import store
+from acuity.llm.joins import join_grouped
 
 # fixed values: parts of the format
 MAGIC = "WARC/1.0\r\n"
@@ -62,7 +63,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     known = store.write(rows.filter(f"payload_bytes >= {int(min_bytes)}").select("page_id", "payload_digest"))
     first = known.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"))
     # only revisits are listed; with few of them the pages are not shuffled
-    revisits = store.write(known.join(first, "payload_digest").filter("not page_id <=> refers_to")
+    revisits = store.write(join_grouped(known, first, ["payload_digest"]).filter("not page_id <=> refers_to")
                            .select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "refers_to").distinct())
     joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     lines = joined.selectExpr("*", f"{_LINE} as line", f"{_END} as end_").selectExpr(
