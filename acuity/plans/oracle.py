@@ -54,7 +54,8 @@ FIRST = f"""{_kept()}, firsts AS (SELECT study_id FROM (SELECT *, row_number() O
 ANY = f"{_kept()}, anys AS (SELECT DISTINCT study_id FROM kept WHERE {_IS_TRAUMA})"
 
 EXC = """exc AS (SELECT DISTINCT p_partkey AS code FROM part
-    WHERE p_type LIKE '%SMALL%' OR p_type LIKE '%PROMO%' OR p_size BETWEEN 41 AND 50)"""
+    WHERE p_type LIKE '%SMALL%' OR p_type LIKE '%PROMO%' OR p_size BETWEEN 41 AND 50
+    UNION SELECT unnest(CAST([7, 11, 13, 1000000000000] AS BIGINT[])))"""
 
 EPI = f"""{RAT}, epi AS (SELECT rat.*, booked_procedure AS p0, procedural_consultant AS p1,
     CASE WHEN l_linenumber % 3 <> 0 THEN procedural_consultant * 20 + l_linenumber END AS p2 FROM rat),
@@ -447,6 +448,23 @@ ORACLE = {
             ORDER BY ord NULLS LAST, d1, d2, d3, d4, position) AS rn FROM o) WHERE rn = 1 AND {_IS_TRAUMA}""",
     "trauma_cohort_semi": f"""WITH {FIRST} SELECT l_orderkey AS study_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
         true AS trauma_pt FROM lineitem WHERE l_orderkey IN (SELECT study_id FROM firsts)""",
+    "cohort_flag_freq": f"""WITH {FIRST}, f AS (SELECT l_orderkey IN (SELECT study_id FROM firsts) AS trauma FROM lineitem) {_freq('f', 'trauma')}""",
+    "folded_level_freq": f"""WITH {ADM}, f AS (SELECT CASE base_level WHEN '<1hr' THEN '<4hrs' ELSE base_level END AS level FROM adm)
+        {_freq('f', 'level')}""",
+    "study_from_csv": f"""WITH {DIAG}, {ADM}, d AS (SELECT study_id, max(upper(code)) FILTER (position = 1) AS d1,
+            nullif(max(upper(code)) FILTER (position = 2), '') AS d2 FROM diag GROUP BY 1)
+        SELECT CAST(study_id AS VARCHAR) AS study_id, age, sex, CASE WHEN sex = 'F' THEN CAST(admitted AS DATE) END AS admit_dt_tm,
+            d1 AS principle_diagnosis, CASE WHEN sex = 'F' THEN d2 END AS additional_diagnosis_1 FROM adm JOIN d USING (study_id)""",
+    "procedure_codes_from_csv": """SELECT CAST(p_partkey AS VARCHAR) AS achi_proc_code, p_name AS procedure_text, CAST(p_size AS INT) AS block_number,
+        CAST(NULL AS VARCHAR) AS block_text, CAST(NULL AS VARCHAR) AS procedure_chapter, CAST(NULL AS VARCHAR) AS procedure_sub_chapter,
+        CAST(NULL AS VARCHAR) AS icd10_ver FROM part""",
+    "diagnosis_codes_from_parquet": """SELECT CAST(NULL AS VARCHAR) AS four_dgt_no, CAST(NULL AS VARCHAR) AS four_dgt_text,
+        CAST(n_nationkey AS VARCHAR) AS three_dgt_no, n_name AS three_dgt_text, CAST(NULL AS VARCHAR) AS diagnosis_chapter,
+        CAST(NULL AS VARCHAR) AS diagnosis_subchapter FROM nation""",
+    "label_sheet_round_trip": f"""WITH {EPI} SELECT CAST(study_id AS VARCHAR) AS study_id, CAST(code AS VARCHAR) AS achi_proc_code,
+        {_LABEL.format('code + study_id')} AS correct, place = 0 AS primary_proc FROM long""",
+    "stage_hand_off": f"""WITH {EPI} SELECT study_id, code AS booked_procedure, CAST(l_linenumber AS BIGINT) AS episode_number,
+        place AS proc_no, correct, primary_proc, 3 AS site FROM att""",
     "procedure_check_sheet": f"""WITH {EPI} SELECT study_id, asa || ' ' || o_orderpriority AS planned_procedure, code AS achi_proc_code,
         place = 0 AS primary_proc, CAST(NULL AS VARCHAR) AS correct, p_name AS procedure_text
         FROM long LEFT JOIN part ON p_partkey = code""",

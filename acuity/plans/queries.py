@@ -1,5 +1,7 @@
 """Registered queries: every operator of the package on the whole test tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from acuity import schema as S
@@ -8,7 +10,7 @@ from acuity.operators import (bookings, cohort, codes as code_ops, compare, demo
                               lists, mixed_logit, model_data, procedures as proc, raters, sweep, text_match)
 from acuity.operators.frequency import freq_table
 from acuity.plans import tables as t
-from acuity.sources import writers
+from acuity.sources import readers, writers
 
 QUERIES = {}
 
@@ -55,7 +57,8 @@ def rater_pseudonym(spark, sf):
 
 # --- codes and cohort --------------------------------------------------------
 def _excluded(spark, sf):
-    return code_ops.excluded_procedure_codes(t.codes(spark, sf), t.EXCLUDED_PART_TYPES, t.EXCLUDED_PART_SIZES, [])
+    return code_ops.excluded_procedure_codes(t.codes(spark, sf), t.EXCLUDED_PART_TYPES, t.EXCLUDED_PART_SIZES,
+                                             t.EXCLUDED_PART_KEYS)
 
 
 @query
@@ -111,6 +114,71 @@ def trauma_cohort_semi(spark, sf):
     return cohort.keep_cohort(lines, trauma_first_code(spark, sf))
 
 
+@query
+def cohort_flag_freq(spark, sf):
+    """Cases inside and outside the cohort."""
+    lines = t.table(spark, sf, "lineitem").selectExpr("l_orderkey as study_id")
+    return freq_table(cohort.flag_cohort(lines, trauma_first_code(spark, sf)), "trauma")
+
+
+@query
+def folded_level_freq(spark, sf):
+    level = scalars.collapse_priority("emerg_priority", t.ORDER_PRIORITIES)
+    return freq_table(t.study(spark, sf).selectExpr(f"{scalars.fold_top_level(level)} as level"), "level")
+
+
+# --- files: written, then read by the readers ---------------------------------
+def _new_folder(spark):
+    return f"{writers.shared_folder(spark)}/acuity-query-{uuid.uuid4().hex}"
+
+
+@query
+def study_from_csv(spark, sf):
+    """Admissions as two CSV parts whose columns differ in order and number."""
+    rows = t.study(spark, sf).selectExpr("cast(study_id as string) as study_id", "age", "sex", "admit_dt_tm", "principle_diagnosis",
+                                         "additional_diagnosis_1")
+    folder = _new_folder(spark)
+    first, second = rows.filter("sex = 'F'"), rows.filter("sex = 'M'").select("sex", "study_id", "principle_diagnosis", "age")
+    for part in (first, second):
+        part.write.mode("append").option("header", True).csv(folder)
+    return readers.read_study(spark, folder, "csv").select(rows.columns).withColumn("admit_dt_tm", F.to_date("admit_dt_tm"))
+
+
+@query
+def procedure_codes_from_csv(spark, sf):
+    folder = _new_folder(spark)
+    t.codes(spark, sf).selectExpr("cast(achi_proc_code as string) as achi_proc_code", "block_number", "procedure_text").write.option(
+        "header", True).csv(folder)
+    return readers.read_procedure_codes(spark, folder, "csv")
+
+
+@query
+def diagnosis_codes_from_parquet(spark, sf):
+    folder = _new_folder(spark)
+    names = [f.name for f in S.DIAGNOSIS_CODES]
+    t.table(spark, sf, "nation").selectExpr("cast(n_nationkey as string) as three_dgt_no", "n_name as three_dgt_text",
+                                            *[f"cast(null as string) as {n}" for n in names if not n.startswith("three")]).write.parquet(folder)
+    return readers.read_diagnosis_codes(spark, folder)
+
+
+@query
+def label_sheet_round_trip(spark, sf):
+    """The sheet as CSV, filled in, read back."""
+    folder = _new_folder(spark)
+    sheet = t.labels(spark, sf).selectExpr("cast(study_id as string) as study_id", "cast(achi_proc_code as string) as achi_proc_code",
+                                           "correct", "primary_proc", "'ignored' as note")
+    writers.write_label_sheet(sheet, folder)
+    return readers.read_labels(spark, folder)
+
+
+@query
+def stage_hand_off(spark, sf):
+    """Labelled rows of one site through the hand-off table."""
+    folder = _new_folder(spark)
+    writers.write_stage(proc.attach_labels(t.episodes(spark, sf), t.labels(spark, sf), ["study_id", "episode_number"], site=3), folder)
+    return readers.read_stage(spark, folder)
+
+
 # --- procedures and labels ---------------------------------------------------
 @query
 def procedure_check_sheet(spark, sf):

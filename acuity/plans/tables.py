@@ -24,6 +24,7 @@ SEGMENT_SPECIALTIES = {
 }
 EXCLUDED_PART_TYPES = "SMALL|PROMO"
 EXCLUDED_PART_SIZES = [(41, 50)]
+EXCLUDED_PART_KEYS = [7, 11, 13, 10**12]
 CASE_ORDER = ["l_linenumber", "booked_procedure", "procedural_consultant", "l_extendedprice"]
 
 

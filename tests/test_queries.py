@@ -110,4 +110,4 @@ def test_known_counts(spark):
     assert QUERIES["trauma_first_code"](spark, MEDIUM).count() == 3222
     assert QUERIES["trauma_any_code"](spark, MEDIUM).count() == 8722
     assert QUERIES["diagnosis_codes_long"](spark, MEDIUM).count() == 52167
-    assert QUERIES["excluded_codes"](spark, MEDIUM).count() == 932
+    assert QUERIES["excluded_codes"](spark, MEDIUM).count() == 934
