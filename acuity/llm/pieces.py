@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH = 400_000
-CACHE = 600_000
+BATCH = 150_000
+CACHE = 450_000
 NEVER = np.int64(1) << 60
 _loaded: dict[str, "Encoder"] = {}
 
