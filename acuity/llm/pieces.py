@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-BATCH = 150_000
-CACHE = 450_000
+BATCH = 400_000
+CACHE = 600_000
 NEVER = np.int64(1) << 60
 _loaded: dict[str, "Encoder"] = {}
 
@@ -269,13 +269,9 @@ class Encoder:
         if len(self.known) > CACHE:
             self.clear()
         known = self.known
-        new = []
-        for p in parts:
-            for c in p or ():
-                if c not in known:
-                    known[c] = len(known)
-                    new.append(c)
+        new = list(set().union(*filter(None, parts)).difference(known))
         if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
             self._learn(new)
         out = []
         for p in parts:
