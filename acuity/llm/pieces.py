@@ -52,6 +52,8 @@ class Vocabulary:
         self.text = [model.id_to_piece(i) for i in ids]
         self.bytes = {int(self.text[i][3:5], 16): i for i in ids if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        # an ASCII byte is a character of its own
+        self.shown = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else self.text[i] for i in ids]
         plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.plain = np.array(plain)
         self.id_of = {self.text[i]: i for i in plain}
@@ -295,7 +297,7 @@ def decode(tokens, vocabulary: Vocabulary) -> str | None:
     """Text of token ids; runs of byte tokens are read as UTF-8."""
     if tokens is None:
         return None
-    text, byte_of = vocabulary.text, vocabulary.byte_of
+    text, byte_of = vocabulary.shown, vocabulary.byte_of
     joined = "".join(map(text.__getitem__, tokens))
     if "<0x" in joined:
         out, raw = [], bytearray()
