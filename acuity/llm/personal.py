@@ -100,14 +100,13 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
         for m in re.finditer(rf"(?<=[0-9]){_DOT}(?=[0-9])", lowered, re.I):
             if m[0] != ".":
                 edits.append((m.start(), m.end(), "."))
-    if sum(w in low for w in DIGITS) > 1:
-        for m in _RUN.finditer(lowered):
-            end = m.start()
-            for w in _WORD.finditer(lowered, m.start(), m.end()):
-                word = w[0].lower()
-                new = "+" if word == "plus" else "." if word in ("dot", "point") else DIGITS[word]
-                edits.append((end if new != "+" and end > m.start() else w.start(), w.end(), new))
-                end = w.end()
+    for m in _RUN.finditer(lowered):
+        end = m.start()
+        for w in _WORD.finditer(lowered, m.start(), m.end()):
+            word = w[0].lower()
+            new = "+" if word == "plus" else "." if word in ("dot", "point") else DIGITS[word]
+            edits.append((end if new != "+" and end > m.start() else w.start(), w.end(), new))
+            end = w.end()
     out, done = [], 0
     for e in sorted(set(edits), key=lambda e: (e[0], -e[1])):
         if e[0] >= done:
@@ -131,8 +130,8 @@ def rewritten(text: str) -> tuple[str, list[int], list[int], list[bool]]:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and added spans."""
     base = base_spans(text)
-    if not (_BRACKET.search(text) or (not text.isascii() and _ODD.search(text)) or "dot" in (low := text.lower())
-            or sum(w in low for w in DIGITS) > 2):
+    if not (_BRACKET.search(text) or (not text.isascii() and _ODD.search(text)) or "dot" in text.lower()
+            or _RUN.search(text)):
         return base, []
     plain, starts, ends, changed = rewritten(text)
     if not any(changed):

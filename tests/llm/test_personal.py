@@ -51,6 +51,12 @@ def test_disguised():
         assert P.all_spans(text) == ([], [])
 
 
+def test_runs_of_few_different_digits():
+    for run, kind in (("four two " * 8, "CARD"), ("plus one nine one nine nine nine one one nine nine ", "PHONE")):
+        for text in (run, f"{run}done", f"phone {run}and six, seven, eight"):
+            assert P.masked(text) == text.replace(run.strip(), f"<{kind}>")
+
+
 def test_base_spans_stay_beside_added_ones():
     text = "me@x.org or me at x dot org"
     assert P.all_spans(text) == ([(0, 0, 8)], [(12, 0, 27)])
