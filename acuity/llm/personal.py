@@ -4,7 +4,9 @@ Base spans are the leftmost non-overlapping matches of four patterns. For
 disguised data, transducers rewrite a text and keep for every character of the
 result the source characters it stands for: look-alike letters and full-width
 characters, ``at`` and ``dot`` in brackets or between the parts of an address,
-and runs of spelled digits. Identifiers found in the rewritten text are mapped
+and runs of spelled digits. A bare ``at`` before plain dots counts if the part
+before it has a dot, digit, underscore or plus, or follows a word such as
+``mail`` or ``contact``. Identifiers found in the rewritten text are mapped
 back; a span is added if it has a rewritten character and does not overlap a
 base span of its kind.
 
@@ -35,13 +37,21 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
           "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT = "|".join(DIGITS)
 _ODD = re.compile("[" + "".join(LOOKALIKES) + "]")
-_BRACKET = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]", re.I)
-_RUN = re.compile(rf"\b(?:plus[\s,-]{{1,3}})?(?:{_DIGIT})(?:[\s,-]{{1,3}}(?:(?:dot|point)[\s,-]{{1,3}})?(?:{_DIGIT}))+\b", re.I)
+_BRACKET = re.compile(r"[\[({<]\s*+(?:at|dot|@|\.)\s*+[\])}>]", re.I)
+_RUN = re.compile(rf"\b(?:plus[\s,-]++)?(?:{_DIGIT})(?:[\s,-]++(?:(?:dot|point)[\s,-]++)?(?:{_DIGIT}))+\b", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
-_DOT = r"(?:\s{1,3}dot\s{1,3}|\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}|\.)"
-_AT = r"(?:\s{1,3}at\s{1,3}|\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}|@)"
-_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,4}}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,5}}", re.I)
-_PART_DOT, _PART_AT = re.compile(_DOT, re.I), re.compile(_AT, re.I)
+_DOT = r"(?:\s++dot\s++|\s*+[\[({<]\s*+(?:dot|\.)\s*+[\])}>]\s*+|\.)"
+_AT = r"(?:\s++at\s++|\s*+[\[({<]\s*+(?:at|@)\s*+[\])}>]\s*+|@)"
+# possessive: a chain of parts is read once, whether an "at" follows or not, so that long chains stay linear
+_PART, _DOMAIN = "[A-Za-z0-9_%+-]++", rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
+_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-]){_PART}(?:(?:{_DOT}{_PART})++(?:(?P<at>{_AT}){_DOMAIN})?|(?P<at1>{_AT}){_DOMAIN})", re.I)
+_PART_DOT = re.compile(_DOT, re.I)
+# a bare "at" before a domain with plain dots: "look at example.com" is prose, "jane.smith at example.com" an address
+_BARE = re.compile(r"\sat\s++[A-Za-z0-9-]++\.[A-Za-z0-9]", re.I)
+_ENDING = re.compile(r"\.[A-Za-z]{2,}\Z")
+# fixed values: words before an address, those between, and those that stand for no mailbox
+_CUE = re.compile(r"\b(?:e-?mail(?:s|ed|ing)?|mail(?:s|ed|ing|to)?|contact(?:s|ed|ing)?|address|write|reach)(?:[\s:,]++(?:me|us|is|to|address)\b)*+[\s:,]++", re.I)
+_NO_BOX = frozenset("me us him her them you it out list lists page pages form forms details address addresses".split())
 
 
 def _luhn(digits: str) -> bool:
@@ -79,6 +89,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _addressed(text: str, start: int, at: int, end: int, cued: set[int]) -> bool:
+    """Whether a bare "at" between a local part and a domain with plain dots makes an address."""
+    local = text[start:at]
+    if not _ENDING.search(text, start, end):
+        return False
+    return re.search("[.0-9_+]", local) is not None or (start in cued and local.lower() not in _NO_BOX)
+
+
 def _edits(text: str) -> list[tuple[int, int, str]]:
     """(start, end, replacement) of the transducers, left to right without overlaps."""
     edits = []
@@ -86,17 +104,19 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
     if lowered is not text:
         edits += [(m.start(), m.end(), LOOKALIKES[m[0]]) for m in _ODD.finditer(text)]
     low = lowered.lower() if len(lowered.lower()) == len(lowered) else lowered
-    if "dot" in low or _BRACKET.search(low):
+    if "dot" in low or _BRACKET.search(low) or _BARE.search(low):
+        cued = {m.end() for m in _CUE.finditer(lowered)}
         for m in _ADDRESS.finditer(lowered):
-            if not (" " in m[0] or _BRACKET.search(m[0])):
+            group = "at" if m["at"] else "at1"
+            if not m[group] or not (re.search(r"\s", m[0]) or _BRACKET.search(m[0])):
                 continue
-            at = _PART_AT.search(lowered, m.start(), m.end())
-            # a bare "at" needs a disguised dot behind it: "look at example.com" is prose
-            if lowered[at.start():at.end()].strip().lower() == "at" and not re.search(r"dot|[\[({<]", lowered[at.end():m.end()], re.I):
+            first, last = m.span(group)
+            dots = [*_PART_DOT.finditer(lowered, m.start(), first), *_PART_DOT.finditer(lowered, last, m.end())]
+            if (m[group].strip().lower() == "at" and all(x[0] == "." for x in dots if x.start() >= last)
+                    and not _addressed(lowered, m.start(), first, m.end(), cued)):
                 continue
-            edits += [(x.start(), x.end(), ".") for x in _PART_DOT.finditer(lowered, m.start(), m.end())
-                      if x.end() <= at.start() or x.start() >= at.end()]
-            edits.append((at.start(), at.end(), "@"))
+            edits += [(x.start(), x.end(), ".") for x in dots]
+            edits.append((first, last, "@"))
         for m in re.finditer(rf"(?<=[0-9]){_DOT}(?=[0-9])", lowered, re.I):
             if m[0] != ".":
                 edits.append((m.start(), m.end(), "."))
@@ -131,7 +151,7 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     """Base spans and added spans."""
     base = base_spans(text)
     if not (_BRACKET.search(text) or (not text.isascii() and _ODD.search(text)) or "dot" in text.lower()
-            or _RUN.search(text)):
+            or _RUN.search(text) or _BARE.search(text)):
         return base, []
     plain, starts, ends, changed = rewritten(text)
     if not any(changed):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from acuity.llm import personal as P
 
@@ -57,6 +58,31 @@ def test_runs_of_few_different_digits():
             assert P.masked(text) == text.replace(run.strip(), f"<{kind}>")
 
 
+def test_bare_at_and_long_disguises():
+    for text, wanted in {
+        "ask jane.smith92 at example.com.": "jane.smith92 at example.com",
+        "ask jane_s at example.co.uk now": "jane_s at example.co.uk",
+        "E-mail me: jane at example.com, please": "jane at example.com",
+        "contact jane at example.com": "jane at example.com",
+        "a dot b dot c dot d dot e dot f at u.v.w.x.y.z.example dot com": "a dot b dot c dot d dot e dot f at u.v.w.x.y.z.example dot com",
+        "jane (     at     )\n\n\n\n\nexample     dot     com": "jane (     at     )\n\n\n\n\nexample     dot     com",
+        "jane\tat\texample.x\tdot\tcom": "jane\tat\texample.x\tdot\tcom",
+        "jane.s\nat\nexample.com": "jane.s\nat\nexample.com",
+        "plus     one, nine one nine nine\n\n\n\nnine one one nine nine": "plus     one, nine one nine nine\n\n\n\nnine one one nine nine",
+    }.items():
+        assert [text[a:b] for a, _, b in P.all_spans(text)[1]] == [wanted]
+    for text in ("look at example.com", "contact us at example.com", "look at dotted.com", "closed at 3.5", "room2 at 10.30", "we met at home.Then"):
+        assert P.all_spans(text) == ([], [])
+
+
+def test_long_chains_are_linear():
+    for text in ("a dot " * 200_000, "one" + " " * 500_000 + "x", "a.s at b " * 100_000, "a" * 1_000_000 + " at b.c", "mail " * 200_000 + "a at b.co",
+                 "(  " * 300_000 + "dot", "a at b.co " * 50_000, "a [dot] " * 100_000):
+        began = time.process_time()
+        P.all_spans(text)
+        assert time.process_time() - began < 10
+
+
 def test_base_spans_stay_beside_added_ones():
     text = "me@x.org or me at x dot org"
     assert P.all_spans(text) == ([(0, 0, 8)], [(12, 0, 27)])
