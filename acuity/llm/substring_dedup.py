@@ -2,7 +2,10 @@
 
 A sentence starts at the start of a text, after a line end, after ``. ! ?``
 and at a capital letter behind a word that has none, so that a passage pasted
-into the middle of a sentence still starts one. A *run* is a shortest run of
+into the middle of a sentence still starts one. In scripts without blanks
+(Chinese, Japanese, Thai, Lao, Khmer, Burmese, Tibetan) every character is a
+word, a blank starts a sentence, and full-width marks end one with no white
+space behind them. A *run* is a shortest run of
 consecutive sentences of at least ``MIN_WORDS`` words, seen from its first or
 from its last sentence. Every run of every text is hashed (96 bits, case and
 white space apart), runs are grouped over all documents, and the sentences of
@@ -25,22 +28,49 @@ from acuity.llm.words import _BASE, _power, chunks, code_points, mix
 
 MIN_WORDS = 30
 LAST_ID = (1 << 63) - 1
-ENDS = ".!?…。！？"
+# fixed values: sentence marks; those that end one without white space, and what may close behind them; scripts written without blanks
+WIDE_ENDS = "。！？｡．"
+ENDS = ".!?…‼⁇⁈⁉؟۔।॥።။។៕།༎։" + WIDE_ENDS
+CLOSERS = "」』】》〉）］｝｣"
+UNSPACED = ((0x0E00, 0x0EFF), (0x0F40, 0x0FBC), (0x1000, 0x1049), (0x1050, 0x109F), (0x1780, 0x17D3), (0x19E0, 0x19FF), (0x1A20, 0x1AAD), (0x3005, 0x3007),
+            (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
 _tables: list[np.ndarray] = []
 
 
 def _table(k: int, codes: np.ndarray) -> np.ndarray:
-    """Lower case (0), white space (1), upper case (2) or sentence end (3) of code points."""
+    """Lower case (0), white space (1), upper case (2), sentence end (3), one without white space (4), closer (5) or unspaced script (6)."""
     if not _tables:
         letters = [chr(i) for i in range(0x10000)]
         _tables.append(np.array([ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(letters)], np.uint32))
         _tables.append(np.array([c.isspace() for c in letters]))
         _tables.append(np.array([c.isupper() for c in letters]))
-        _tables.append(np.array([c in ENDS for c in letters]))
+        _tables.extend(np.array([c in marks for c in letters]) for marks in (ENDS, WIDE_ENDS, CLOSERS))
+        _tables.append(np.array([any(a <= i <= b for a, b in UNSPACED) for i in range(0x10000)]))
     out = _tables[k][np.minimum(codes, 0xFFFF)]
+    if k == 6:
+        return np.where(codes > 0xFFFF, (codes >= 0x20000) & (codes < 0x40000), out)
     return np.where(codes > 0xFFFF, codes, out) if k == 0 else out & (codes <= 0xFFFF)
 
 
+def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each but the first whether a sentence mark or a blank of an unspaced script stands before it."""
+    space = np.ones(len(codes) + 1, bool)
+    space[1:] = _table(1, codes)
+    wide, marks = _table(6, codes), _table(4, codes)
+    if not wide.any() and not marks.any():
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        begins, ends = edge[::2], edge[1::2]
+        return begins, ends, _table(3, codes[ends[:-1] - 1])
+    closer = _table(5, codes)
+    said = np.maximum.accumulate(np.where(closer, 0, np.arange(len(codes))))  # last place that is no closing bracket
+    begin = wide.copy()
+    begin[1:] |= marks[said[:-1]] & ~(marks | closer)[1:]
+    begin = (begin | space[:-1]) & ~space[1:]
+    begins, ends = np.flatnonzero(begin), np.flatnonzero(~space[:-1] & (space[1:] | begin))
+    last, nxt = ends[:-1] - 1, begins[1:]
+    return begins, ends, _table(3, codes[said[last]]) | (wide[last] & wide[nxt] & (nxt > ends[:-1]))
+
+
 class Runs:
     """Sentences and runs of some texts.
 
@@ -51,15 +81,12 @@ class Runs:
     def __init__(self, texts: list[str], min_words: int = MIN_WORDS):
         codes = code_points("\n".join([*texts, ""]))
         self.text_starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        space = np.ones(len(codes) + 1, bool)
-        space[1:] = _table(1, codes)
-        edge = np.flatnonzero(space[1:] != space[:-1])
-        begins, ends = edge[::2], edge[1::2]
+        begins, ends, ended = _words(codes)
         lines = np.concatenate([[0], np.cumsum(codes == 10)])
         fresh = np.ones(len(begins), bool)
         if len(begins):
             upper = _table(2, codes[begins])
-            fresh[1:] = (lines[begins[1:]] > lines[ends[:-1]]) | _table(3, codes[ends[:-1] - 1]) | (upper[1:] & ~upper[:-1])
+            fresh[1:] = (lines[begins[1:]] > lines[ends[:-1]]) | ended | (upper[1:] & ~upper[:-1])
         power, inverse = _power(max(len(codes), len(begins)) + 1)
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum((_table(0, codes).astype(np.uint64) + np.uint64(1)) * power[:len(codes)], out=sums[1:])

@@ -72,5 +72,18 @@ def test_a_pasted_passage_goes_but_for_the_first_document(docs):
     assert got[2] == rows[1][1] and got[4] == "start of text 4 and rest of text 4." and got[9] == "start of text 9 and rest of text 9."
 
 
+def test_scripts_without_blanks_and_other_marks(docs):
+    hanzi = lambda a, n: "".join(chr(0x4E00 + 37 * k % 900 + a) for k in range(n))
+    first, second = hanzi(0, 20) + "。", "「" + hanzi(5, 25) + "！」"
+    thai = "".join(chr(0x0E01 + 7 * k % 40) for k in range(35))
+    hindi = " ".join("कखगघ"[k % 4] + "तथदध"[k % 3] + str(k) for k in range(32)) + "।"
+    urdu = " ".join("ابجد"[k % 4] + str(k) for k in range(32)) + "؟"
+    for part, ahead, other in ((first + second, hanzi(700, 9) + "？", hanzi(800, 8) + "。"), (thai, "ไทย ", "ลาว "), (hindi, "क ख। ", "ग घ। "),
+                               (urdu, "ا ب؟ ", "ج د؟ "), ("\U00020000" * 31 + "。", "中。", "文。")):
+        rows = [(1, ahead + part), (2, other + part), (3, part)]
+        got = {r["doc_id"]: r["text"] for r in S.remove_repeats(docs(*rows)).collect()}
+        assert got == {1: rows[0][1], 2: other, 3: ""}
+
+
 def test_empty_table(docs):
     assert S.remove_repeats(docs()).collect() == []
