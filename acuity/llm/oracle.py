@@ -74,4 +74,19 @@ c AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(t, '&q
 d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp', '&', 'g'), '[\s]+', ' ', 'g')) AS text FROM c)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d"""
 
-ORACLE = {"op10_main_text": PAGES, "op1_substring_dedup": REPEATS, "op2_decontamination": LEAKS, "op3_warc": WARC, "op7_ngram_join": LINKS}
+# as LINKS, with words between blanks and the threshold of 85 of 100
+NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 2))) AS pos, w FROM w WHERE len(w) > 0),
+owned AS (SELECT doc_id, list_sort(list(DISTINCT array_to_string(w[pos:pos + 4], ' '))) AS ss FROM d GROUP BY doc_id),
+txt AS (SELECT ss, min(doc_id) AS id, len(ss) AS size FROM owned GROUP BY ss),
+flat AS (SELECT id, size, unnest(ss) AS s FROM txt),
+pair AS (SELECT a.id AS u, b.id AS v FROM flat a JOIN flat b ON a.s = b.s AND a.id <> b.id
+    GROUP BY a.id, b.id HAVING 100 * count(*) >= 85 * (any_value(a.size) + any_value(b.size) - count(*))),
+reach AS (SELECT id AS u, id AS v FROM txt UNION SELECT reach.u, pair.v FROM reach JOIN pair ON reach.v = pair.u),
+root AS (SELECT u AS id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT d.doc_id, CAST(coalesce(len(ss), 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+    d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN owned USING (doc_id) LEFT JOIN txt USING (ss) LEFT JOIN root USING (id)"""
+
+ORACLE = {"op12_near_dedup": NEAR, "op10_main_text": PAGES, "op1_substring_dedup": REPEATS, "op2_decontamination": LEAKS, "op3_warc": WARC, "op7_ngram_join": LINKS}
