@@ -112,25 +112,27 @@ def _wider(total: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _scatter(batches):
-    """Rows (i, j, place, value): sums of x_i * x_j; j = -1 has the sums of x_i, i = -1 the count."""
-    n, sums, products = 0, np.zeros(0, object), np.zeros((0, 0), object)
-    for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK):
-            x = entries(batch.column(0).slice(at, BLOCK))
-            n += len(x)
-            size = max(len(sums), x.shape[1])
-            sums, products = _wider(sums, size), _wider(products, size)
-            if x.shape[1]:
-                s, p = cross_products(x)
-                sums[:len(s)] += s
-                products[:len(s), :len(s)] += p
-    rows = [(-1, -1, place, v) for place, v in _limbs(n)]
-    for i in range(len(sums)):
-        rows += [(i, -1, place, v) for place, v in _limbs(int(sums[i]))]
-        rows += [(i, j, place, v) for j in range(i, len(sums)) for place, v in _limbs(int(products[i, j]))]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] * 3 + [pa.int64()])],
-                                     names=["i", "j", "place", "value"])
+def _scatter(block: int):
+    """Tasks give rows (i, j, place, value): sums of x_i * x_j; j = -1 has the sums of x_i, i = -1 the count."""
+    def run(batches):
+        n, sums, products = 0, np.zeros(0, object), np.zeros((0, 0), object)
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                x = entries(batch.column(0).slice(at, block))
+                n += len(x)
+                size = max(len(sums), x.shape[1])
+                sums, products = _wider(sums, size), _wider(products, size)
+                if x.shape[1]:
+                    s, p = cross_products(x)
+                    sums[:len(s)] += s
+                    products[:len(s), :len(s)] += p
+        rows = [(-1, -1, place, v) for place, v in _limbs(n)]
+        for i in range(len(sums)):
+            rows += [(i, -1, place, v) for place, v in _limbs(int(sums[i]))]
+            rows += [(i, j, place, v) for j in range(i, len(sums)) for place, v in _limbs(int(products[i, j]))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] * 3 + [pa.int64()])],
+                                         names=["i", "j", "place", "value"])
+    return run
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -139,9 +141,9 @@ def usable(vectors: DataFrame) -> DataFrame:
         "forall(embedding, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
 
 
-def fit(vectors: DataFrame, components: int = COMPONENTS) -> Model | None:
+def fit(vectors: DataFrame, components: int = COMPONENTS, block: int = BLOCK) -> Model | None:
     """The model of the usable vectors; None if there are none. The driver gets sums per pair of dimensions only."""
-    parts = usable(vectors).select("embedding").mapInArrow(_scatter, "i int, j int, place int, value long")
+    parts = usable(vectors).select("embedding").mapInArrow(_scatter(block), "i int, j int, place int, value long")
     totals = {}
     for i, j, place, value in parts.groupBy("i", "j", "place").agg(F.sum("value")).collect():
         totals[i, j] = totals.get((i, j), 0) + (value << LIMB * place)

@@ -53,9 +53,7 @@ def check(rows, got):
     assert stated == pytest.approx(error, abs=1e-9) and error < 1e-8
 
 
-@pytest.mark.parametrize("block", [8192, 37])
-def test_equals_plain_covariance(spark, monkeypatch, block):
-    monkeypatch.setattr(W, "BLOCK", block)
+def test_equals_plain_covariance(spark):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(size=11) * np.arange(1, 12) / 3).tolist()) for i in range(300)]
     rows += [(1000, None), (1001, [1.0, None] + [0.0] * 9), (1002, [math.nan] * 11), (1003, [math.inf] * 11), (1004, [0.5, 0.5]), (1005, [])]
@@ -76,7 +74,7 @@ def test_cross_products_of_any_size():
 def test_blocks_and_partitions_do_not_matter(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=5).tolist()) for i in range(200)] + [(0, [0.1] * 5)] * 100
-    one, many = W.fit(vectors(spark, *rows).repartition(1)), W.fit(vectors(spark, *rows).repartition(17))
+    one, many = W.fit(vectors(spark, *rows).repartition(1)), W.fit(vectors(spark, *rows).repartition(17), block=7)
     assert one.n == many.n and one.sums == many.sums and (one.components == many.components).all()
 
 
