@@ -89,4 +89,27 @@ SELECT d.doc_id, CAST(coalesce(len(ss), 0) AS BIGINT) AS n_shingles, coalesce(co
     d.doc_id = coalesce(component_id, d.doc_id) AS kept
 FROM documents d LEFT JOIN owned USING (doc_id) LEFT JOIN txt USING (ss) LEFT JOIN root USING (id)"""
 
-ORACLE = {"op12_near_dedup": NEAR, "op10_main_text": PAGES, "op1_substring_dedup": REPEATS, "op2_decontamination": LEAKS, "op3_warc": WARC, "op7_ngram_join": LINKS}
+# crc32 bit by bit; nodes are the distinct prefixes, subtrees those that begin with one
+TRIE = """WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role,
+    coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda a, b: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(a, b)), 4294967295),
+    4294967295) % 9 AS h FROM c),
+t AS (SELECT h.conv_id, 0 AS own, pos, role, text FROM h JOIN c ON c.conv_id = h.base AND pos <= h
+    UNION ALL SELECT conv_id, 1, pos, role, text FROM h JOIN c USING (conv_id) WHERE pos > h),
+q AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY own, pos) AS s FROM t GROUP BY conv_id),
+s AS (SELECT conv_id, s FROM q UNION ALL SELECT conv_id, [] FROM h WHERE conv_id NOT IN (SELECT conv_id FROM q)),
+p AS (SELECT conv_id, s[1:d] AS path, d AS depth, len(s) = d AS last FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM s)),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+    FILTER (last), '')) AS ends_sha256, (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(path[-1].text)) END AS saved
+    FROM p GROUP BY path, depth),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT a.path, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(b.saved) AS saved_tokens
+    FROM f a JOIN f b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path GROUP BY a.path)
+SELECT f.conv_id, f.depth, o.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+    CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN u USING (path) LEFT JOIN n o ON f.depth > 0 AND o.depth = f.depth - 1 AND o.path = f.path[1:f.depth - 1]"""
+
+ORACLE = {"op11_prefix_trie": TRIE, "op12_near_dedup": NEAR, "op10_main_text": PAGES, "op1_substring_dedup": REPEATS, "op2_decontamination": LEAKS, "op3_warc": WARC, "op7_ngram_join": LINKS}

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from acuity.llm import (
-    decontaminate, language, near_dedup, ngram_join, pages, personal, pieces, quality, secrets, store, substring_dedup, warc, whitening,
+    decontaminate, language, near_dedup, ngram_join, pages, personal, pieces, prefix_trie, quality, secrets, store, substring_dedup, warc,
+    whitening,
 )
 from acuity.llm.oracle import ORACLE  # noqa: F401
 
@@ -62,6 +63,11 @@ def op10_main_text(spark, sf_dir):
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_near_dedup(spark, sf_dir):
     """Component of near copies of every document, and whether it is the one that stays."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -73,4 +79,4 @@ def op13_whitening(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_warc, op4_sentencepiece, op5_personal_data, op6_quality_rules, op7_ngram_join, op8_language,
-                                 op9_secrets, op10_main_text, op12_near_dedup, op13_whitening)}
+                                 op9_secrets, op10_main_text, op11_prefix_trie, op12_near_dedup, op13_whitening)}
