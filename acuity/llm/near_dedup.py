@@ -174,11 +174,16 @@ def _with_sets(batches):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, counted on the full sets."""
-    left = sets.select(F.col("nid").alias("u"), F.col("shingles").alias("_a"))
-    right = sets.select(F.col("nid").alias("v"), F.col("shingles").alias("_b"))
+    """The pairs (u, v) whose sets reach the threshold, counted on the full sets.
+
+    ``pairs`` is a written table: where it is small, Spark sends it to the sets
+    and not the sets to it. Each side gets its sets on its own; the sides meet by
+    pair, so that a node of many pairs fills no task.
+    """
+    left = pairs.join(sets.select(F.col("nid").alias("u"), F.col("shingles").alias("_a")), "u")
+    right = pairs.join(sets.select(F.col("nid").alias("v"), F.col("shingles").alias("_b")), "v")
     common = "cast(size(array_intersect(_a, _b)) as bigint)"
-    return (pairs.join(left, "u").join(right, "v").selectExpr("u", "v", "size(_a) + size(_b) as _sum", f"{common} as _common")
+    return (left.join(right, ["u", "v"]).selectExpr("u", "v", "size(_a) + size(_b) as _sum", f"{common} as _common")
             .filter(f"100 * _common >= {percent} * (_sum - _common)").select("u", "v"))
 
 
@@ -206,23 +211,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scored = members.join(scores.select("nid", "score"), "nid")
     hubs = scored.groupBy("slot", "key").agg(F.max(F.struct("score", (-F.col("nid")).alias("low"))).alias("_hub")).select(
         "slot", "key", (-F.col("_hub.low")).alias("v"))
-    star = join_grouped(members, hubs, ["slot", "key"]).filter("nid <> v").select(F.col("nid").alias("u"), "v").distinct()
+    met = store.write(join_grouped(members, hubs, ["slot", "key"]).filter("nid <> v"))
+    star = met.select(F.col("nid").alias("u"), "v").distinct()
     facts = scores.select("nid", "n_shingles", "sig")
-    star = (star.join(facts.toDF("u", "_nu", "_su"), "u").join(facts.toDF("v", "_nv", "_sv"), "v")
-            .filter(f"100 * least(_nu, _nv) >= {percent} * greatest(_nu, _nv)")
-            .filter(f"size(filter(sequence(0, {VALUES - 1}), i -> substring(_su, 2 * i + 1, 2) <> substring(_sv, 2 * i + 1, 2))) <= {RADIUS}")
-            .select("u", "v"))
+    star = store.write(
+        star.join(facts.toDF("u", "_nu", "_su"), "u").join(facts.toDF("v", "_nv", "_sv"), "v")
+        .filter(f"100 * least(_nu, _nv) >= {percent} * greatest(_nu, _nv)")
+        .filter(f"size(filter(sequence(0, {VALUES - 1}), i -> substring(_su, 2 * i + 1, 2) <> substring(_sv, 2 * i + 1, 2))) <= {RADIUS}")
+        .select("u", "v"))
     links = store.write(confirmed(star, sets, percent))
     roots = components(links)
 
-    # buckets that still hold several components
-    rooted = members.select("slot", "key", "nid", "n").join(roots.withColumnsRenamed({"u": "nid", "v": "_root"}), "nid", "left").withColumn(
+    # buckets that hold several components beside their hub, all of whose pairs are settled
+    rooted = met.filter("n > 2").selectExpr("slot", "key", "nid", "n - 1 as n").join(roots.withColumnsRenamed({"u": "nid", "v": "_root"}), "nid", "left").withColumn(
         "root", F.coalesce("_root", "nid")).drop("_root")
     torn = rooted.groupBy("slot", "key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("slot", "key")
     open_ = (join_grouped(rooted, torn, ["slot", "key"]).join(facts, "nid").join(sets.select("nid", "bits"), "nid"))
-    pairs = _blocks(open_, ["slot", "key"]).mapInArrow(_candidates(percent), "u long, v long")
-    more = store.write(confirmed(pairs, sets, percent))
-    whole = components(roots.unionAll(more))
+    pairs = store.write(_blocks(open_, ["slot", "key"]).mapInArrow(_candidates(percent), "u long, v long"))
+    whole = components(roots.unionAll(store.write(confirmed(pairs, sets, percent))))
 
     named = nodes.select("nid", "s0", "s1", "first_id").join(whole.selectExpr("u as nid", "v as _root"), "nid", "left").withColumn(
         "_root", F.coalesce("_root", "nid"))
