@@ -12,8 +12,8 @@
 3. In each bucket all nodes first meet one hub, the node that shares most
    buckets with others. These links are confirmed on full sets, and join the
    members of most buckets. Only buckets that still hold several components
-   go on: there, nodes of different components meet in blocks of 256, by pairs
-   of blocks. Pairs beyond the radius are dropped, and pairs whose sets can't
+   go on: there, nodes of different components meet in blocks of ``BLOCK``, by
+   pairs of blocks. Pairs beyond the radius are dropped, and pairs whose sets can't
    reach the threshold by the exact bound on hashed bitmaps: the sets' symmetric
    difference is no smaller than that of their bitmaps. Others are confirmed on
    full sets as well.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from acuity.llm import store
 from acuity.llm.components import components
 from acuity.llm.joins import join_grouped
-from acuity.llm.ngram_join import _blocks, _groups, _pairs
+from acuity.llm.ngram_join import _groups, _pairs
 from acuity.llm.words import chunks, code_points, mix, shingle_hashes
 
 PERCENT = 85
@@ -45,6 +45,7 @@ WIDTH = 5
 VALUES = CHUNKS * WIDTH
 RADIUS = 2 * CHUNKS - 1
 BITMAP = 2048
+BLOCK = 2048
 _MULTIPLIERS = mix(np.arange(1001, 1001 + VALUES, dtype=np.uint64)) | np.uint64(1)
 _NONE = np.zeros(0, np.uint64)
 
@@ -143,6 +144,18 @@ def bitmaps(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.uint64)
 
 
+def meetings(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (slot, key, nid, n, ...) dealt to the meetings of the blocks of their bucket, sorted by bucket and meeting.
+
+    ``side`` tells the two blocks of a meeting apart; it is -1 where a block meets itself.
+    """
+    dealt = rows.withColumn("_nb", F.expr(f"cast(ceil(n / {block}) as int)")).withColumn("_own", F.expr("cast(pmod(xxhash64(nid), _nb) as int)"))
+    met = dealt.withColumn("_other", F.explode(F.expr("sequence(0, _nb - 1)")))
+    return (met.selectExpr("slot", "key", "least(_own, _other) as a", "greatest(_own, _other) as b",
+                           "if(_own = _other, -1, if(_own < _other, 0, 1)) as side", "nid", "root", "n_shingles", "sig", "bits")
+            .repartition("slot", "key", "a", "b").sortWithinPartitions("slot", "key", "a", "b"))
+
+
 def _candidates(percent: int):
     def run(batches):
         for table, group in _groups(batches, 4):
@@ -176,18 +189,18 @@ def _with_sets(batches):
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold, counted on the full sets.
 
-    ``pairs`` is a written table: where it is small, Spark sends it to the sets
-    and not the sets to it. Each side gets its sets on its own; the sides meet by
-    pair, so that a node of many pairs fills no task.
+    Pairs and sets both grow with the documents, so nothing is broadcast. Each
+    side gets its sets on its own; the sides meet by pair, so that a node of
+    many pairs fills no task.
     """
-    left = pairs.join(sets.select(F.col("nid").alias("u"), F.col("shingles").alias("_a")), "u")
-    right = pairs.join(sets.select(F.col("nid").alias("v"), F.col("shingles").alias("_b")), "v")
+    left = pairs.hint("merge").join(sets.select(F.col("nid").alias("u"), F.col("shingles").alias("_a")), "u")
+    right = pairs.hint("merge").join(sets.select(F.col("nid").alias("v"), F.col("shingles").alias("_b")), "v")
     common = "cast(size(array_intersect(_a, _b)) as bigint)"
     return (left.join(right, ["u", "v"]).selectExpr("u", "v", "size(_a) + size(_b) as _sum", f"{common} as _common")
             .filter(f"100 * _common >= {percent} * (_sum - _common)").select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept."""
     known = store.write(features(docs))
     nodes = store.write(
@@ -204,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scores = store.write(members.groupBy("nid").agg(F.sum("n").alias("score")).join(
         nodes.select("nid", "first_id", "first_crc", "n_shingles", "sig"), "nid"))
     texts = _rows(docs).withColumnsRenamed({"doc_id": "_id", "text_crc": "_crc"})
-    sets = store.write(scores.join(texts, F.col("first_id").eqNullSafe(F.col("_id")) & (F.col("first_crc") == F.col("_crc")))
+    sets = store.write(scores.hint("merge").join(texts, F.col("first_id").eqNullSafe(F.col("_id")) & (F.col("first_crc") == F.col("_crc")))
                        .select("nid", "text").dropDuplicates(["nid"]).mapInArrow(_with_sets, "nid long, shingles array<long>, bits binary"))
 
     # every node against the hubs of its buckets
@@ -227,7 +240,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "root", F.coalesce("_root", "nid")).drop("_root")
     torn = rooted.groupBy("slot", "key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("slot", "key")
     open_ = (join_grouped(rooted, torn, ["slot", "key"]).join(facts, "nid").join(sets.select("nid", "bits"), "nid"))
-    pairs = store.write(_blocks(open_, ["slot", "key"]).mapInArrow(_candidates(percent), "u long, v long"))
+    pairs = store.write(meetings(open_, block).mapInArrow(_candidates(percent), "u long, v long"))
     whole = components(roots.unionAll(store.write(confirmed(pairs, sets, percent))))
 
     named = nodes.select("nid", "s0", "s1", "first_id").join(whole.selectExpr("u as nid", "v as _root"), "nid", "left").withColumn(

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from acuity.llm import near_dedup as D, ngram_join
+from acuity.llm import near_dedup as D
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -36,8 +36,8 @@ def brute(rows, percent=85):
     return sorted((str(i), len(sets[k]), least.get(find(k)), i == least.get(find(k))) for k, (i, _) in enumerate(rows))
 
 
-def found(docs, rows):
-    return sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in D.near_duplicates(docs(*rows)).collect())
+def found(docs, rows, **sizes):
+    return sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in D.near_duplicates(docs(*rows), **sizes).collect())
 
 
 def corpus(seed, bases, copies, length, edits):
@@ -62,8 +62,7 @@ def test_equals_all_pairs(docs, seed, length, edits):
     assert found(docs, rows) == brute(rows)
 
 
-def test_many_members_in_one_bucket(docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+def test_many_members_in_one_bucket(docs):
     # members are linked by chains, not through one hub
     rng = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
@@ -73,7 +72,7 @@ def test_many_members_in_one_bucket(docs, monkeypatch):
         text[rng.randrange(len(text))] = rng.choice(words)
         texts.append(" ".join(text))
     rows = list(enumerate(texts))
-    assert found(docs, rows) == brute(rows)
+    assert found(docs, rows, block=8) == brute(rows)
 
 
 def test_every_pair_within_the_radius_shares_a_slot():
