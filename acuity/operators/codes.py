@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from acuity import schema as S
 from acuity.functions.scalars import literal
+from acuity.sources.writers import materialize
 
 
 def excluded_procedure_codes(codes: DataFrame,
@@ -20,21 +21,37 @@ def excluded_procedure_codes(codes: DataFrame,
     return found.distinct()
 
 
-def blank_excluded(study: DataFrame, excluded: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def blank_excluded(study: DataFrame, excluded: DataFrame, columns: list[str] | None = None,
+                   most_listed: int = 100_000) -> DataFrame:
     """Excluded codes become null in every coded procedure column of the wide table.
 
-    One left join per column; the code set is small, so Spark's size check turns
-    these into broadcast joins in one stage. For the long form, drop the rows
-    with ``drop_excluded`` instead: nulls are dropped there anyway.
+    A set of up to ``most_listed`` codes (a few MB; it is written and counted first) is
+    sent to the rows: one scan of the study and no shuffle, whatever the number
+    of columns. A larger set stays where it is: the rows are written once with a
+    number, their codes laid out below one another in one pass, and the places of
+    excluded ones come back as one row per study row, so that the number of
+    shuffles does not depend on the number of columns either. Codes of different
+    types are compared as text. For the long form, drop the rows with ``drop_excluded`` instead:
+    nulls are dropped there anyway.
     """
-    key = excluded.columns[0]
-    out = study
-    for name in columns or S.procedure_code_columns(study.columns):
-        hits = excluded.select(F.col(key).alias("_code"), F.lit(True).alias("_hit"))
-        out = (out.join(hits, out[name] == F.col("_code"), "left")
-               .withColumn(name, F.expr(f"if(_hit is null, `{name}`, null)"))
-               .drop("_code", "_hit"))
-    return out.select(study.columns)
+    names = columns or S.procedure_code_columns(study.columns)
+    if not names:
+        return study
+    kind = excluded.schema[0].dataType.simpleString()
+    kind = kind if all(study.schema[n].dataType.simpleString() == kind for n in names) else "string"
+    listed = materialize(excluded.select(F.col(excluded.columns[0]).cast(kind).alias("_code")).filter("_code is not null").distinct())
+    if listed.count() <= most_listed:
+        out = study
+        for name in names:
+            out = (out.join(F.broadcast(listed), out[name].cast(kind) == F.col("_code"), "left")
+                   .withColumn(name, F.expr(f"if(_code is null, `{name}`, null)")).drop("_code"))
+        return out.select(*[f"`{c}`" for c in study.columns])
+    numbered = materialize(study.withColumn("_row", F.monotonically_increasing_id()))
+    places = ", ".join(f"struct({i} as _place, cast(`{n}` as {kind}) as _code)" for i, n in enumerate(names))
+    found = (numbered.selectExpr("_row", f"inline(array({places}))").filter("_code is not null")
+             .join(listed, "_code", "left_semi").groupBy("_row").agg(F.expr("collect_set(_place) as _places")))
+    blank = {n: F.expr(f"if(coalesce(array_contains(_places, {i}), false), null, `{n}`)") for i, n in enumerate(names)}
+    return numbered.join(found, "_row", "left").withColumns(blank).select(*[f"`{c}`" for c in study.columns])
 
 
 def drop_excluded(procedures: DataFrame, excluded: DataFrame, code: str = "achi_proc_code") -> DataFrame:

@@ -22,6 +22,26 @@ def model_frame(ratings: DataFrame, min_raters: int = 8, both_sexes: bool = True
         f"{urgent_outcome('emerg_priority_collapse')} as urgent_yn", *trauma)
 
 
+def frame_cells(ratings: DataFrame, min_raters: int = 8, both_sexes: bool = True) -> DataFrame:
+    """``model_frame`` counted: its columns and ``n``, the number of equal rows.
+
+    The ratings are read once and counted per procedure, sex, age group, outcome
+    (and trauma) before they are shuffled; a procedure has a few dozen of these
+    cells, and whether it is eligible is a sum over them.
+    """
+    keys = ["booked_procedure", "sex", "age_gp", "urgent_yn", *(["trauma"] if "trauma" in ratings.columns else [])]
+    counted = ratings.withColumns({"age_gp": F.expr(age_group("age")), "urgent_yn": F.expr(urgent_outcome("emerg_priority_collapse"))}).groupBy(
+        *keys).agg(F.expr("count(*) as n"))
+    inside = "over (partition by booked_procedure)"
+    judged = counted.filter("booked_procedure is not null").selectExpr(
+        "*", f"sum(n) {inside} as _n", f"sum(if(sex is null, n, 0)) {inside} as _unknown",
+        f"sum(if(sex = 'M', n, 0)) {inside} as _male", f"sum(if(sex = 'F', n, 0)) {inside} as _female")
+    kept = judged.filter(f"_n >= {min_raters}")
+    if both_sexes:
+        kept = kept.filter("_unknown = 0 and _male >= 1 and _female >= 1")
+    return kept.select(*keys, "n")
+
+
 def cells(with_trauma: bool) -> list[tuple]:
     """Covariate combinations (sex, age group, trauma) in a fixed order."""
     return list(product(SEXES, MODEL_AGES, [False, True] if with_trauma else [None]))

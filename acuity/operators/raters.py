@@ -3,11 +3,6 @@
 from pyspark.sql import DataFrame, functions as F
 
 
-def _distinct_with_null(column: str) -> str:
-    """Number of distinct values where a missing value counts as one more."""
-    return f"count(distinct {column}) + coalesce(max(if({column} is null, 1, 0)), 0)"
-
-
 def rater_counts(ratings: DataFrame) -> DataFrame:
     """Ratings, distinct raters and median age per procedure; the median is null if any age is.
 
@@ -35,12 +30,16 @@ def rater_count_of_counts(raters: DataFrame) -> DataFrame:
 
 
 def distinct_sizes(ratings: DataFrame) -> DataFrame:
-    """One row: distinct procedures, raters and studies."""
-    return ratings.agg(
-        F.expr(f"{_distinct_with_null('booked_procedure')} as n_procedures"),
-        F.expr(f"{_distinct_with_null('procedural_consultant')} as n_raters"),
-        F.expr(f"{_distinct_with_null('study_id')} as n_studies"),
-    )
+    """One row: distinct procedures, raters and studies; a missing value counts as one more.
+
+    Rows become (kind, value) cells that are made distinct once, first in the
+    task that reads them. Every kind is spread over its values, and the counts
+    are three sums over the cells.
+    """
+    kinds = {"n_procedures": "booked_procedure", "n_raters": "procedural_consultant", "n_studies": "study_id"}
+    places = ", ".join(f"struct('{kind}' as _kind, cast({column} as string) as _value)" for kind, column in kinds.items())
+    cells = ratings.selectExpr(f"inline(array({places}))").distinct()
+    return cells.agg(*[F.expr(f"count_if(_kind = '{kind}') as {kind}") for kind in kinds])
 
 
 def model_eligibility(ratings: DataFrame, min_raters: int = 8, both_sexes: bool = True) -> DataFrame:

@@ -1,11 +1,6 @@
 """Free-text procedures compared with code texts: of the whole code table, or of the codes recorded for the same study."""
 
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import DataFrame, functions as F
 
 from acuity.functions.scalars import literal
 
@@ -43,67 +38,24 @@ def best_match(matches: DataFrame) -> DataFrame:
             .selectExpr("study_id", "_best.code as booked_procedure", "-_best._order as common_words"))
 
 
-class _Postings:
-    """Codes by word, for some codes in ascending order."""
-
-    def __init__(self, coded: list[tuple]):
-        self.codes = [code for code, _ in coded]
-        self.place: dict[str, int] = {}
-        holders: list[list[int]] = []
-        for k, (_, found) in enumerate(coded):
-            for word in found:
-                if self.place.setdefault(word, len(holders)) == len(holders):
-                    holders.append([])
-                holders[self.place[word]].append(k)
-        self.holders = [np.array(h) for h in holders]
-
-    def best(self, found: list[str]) -> tuple | None:
-        """(code, common words) with most common words, then the smaller code."""
-        hits = [self.holders[self.place[w]] for w in found if w in self.place]
-        if not hits:
-            return None
-        counts = np.bincount(np.concatenate(hits), minlength=len(self.codes))
-        k = int(counts.argmax())
-        return self.codes[k], int(counts[k])
-
-
-def best_codes(texts: DataFrame, codes: DataFrame, stopwords: list[str] = STOPWORDS, block: int = 5_000) -> DataFrame:
+def best_codes(texts: DataFrame, codes: DataFrame, stopwords: list[str] = STOPWORDS) -> DataFrame:
     """Per text of (study_id, text) the code of (code, code_text) with most common words: study_id, booked_procedure, common_words.
 
-    Every text meets every code that shares a word with it, inside the task
-    that holds the text: what leaves the task is one row per text. Codes are
-    sent to the tasks in blocks of ``block``, so that no broadcast grows with the
-    code table; with more blocks texts are read once per block and the best of
-    the blocks wins. Texts without a shared word are absent; of several texts
-    of a study each has its row; ties go to the smaller code.
-    """
-    kind = codes.schema["code"].dataType.simpleString()
-    listed = codes.filter("code is not null").selectExpr("code", f"coalesce({words('code_text', stopwords)}, array()) as _words")
-    blocks, part = [], []
-    for row in listed.orderBy("code").toLocalIterator():
-        part.append((row[0], row[1]))
-        if len(part) == block:
-            blocks.append(_Postings(part))
-            part = []
-    if part or not blocks:
-        blocks.append(_Postings(part))
-    split = texts.withColumn("_row", F.monotonically_increasing_id()) if len(blocks) > 1 else texts.withColumn("_row", F.lit(0))
-    split = split.selectExpr("study_id", "cast(_row as bigint) as _row", f"{words('text', stopwords)} as _words")
-    out = T.StructType([split.schema["study_id"], split.schema["_row"], T.StructField("booked_procedure", codes.schema["code"].dataType),
-                        T.StructField("common_words", T.LongType())])
-    kinds = to_arrow_schema(out)
+    Words of texts are joined with words of codes, common words are added up per
+    text and code, first in the task that joined them, and the best code of a
+    text is taken last. Neither table passes through the driver. Both sides are
+    dealt out by word for this join alone, so Spark splits a frequent word over
+    several tasks; a small code table is broadcast by its size instead.
 
-    def search(postings):
-        def run(batches):
-            for batch in batches:
-                found = [(i, p) for i, w in enumerate(batch.column(2).to_pylist()) if w and (p := postings.best(w))]
-                rows = batch.take(pa.array([i for i, _ in found], pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array([p[0] for _, p in found], kinds.field(2).type),
-                     pa.array([p[1] for _, p in found], pa.int64())], names=out.names)
-        return run
-    found = reduce(DataFrame.unionAll, [split.mapInArrow(search(p), out) for p in blocks])
-    if len(blocks) > 1:
-        found = (found.groupBy("study_id", "_row").agg(F.expr("min(struct(-common_words as o, booked_procedure)) as b"))
-                 .selectExpr("study_id", f"cast(b.booked_procedure as {kind}) as booked_procedure", "-b.o as common_words"))
-    return found.select("study_id", "booked_procedure", "common_words")
+    Texts without a shared word are absent; of several texts of a study each has
+    its row; ties go to the smaller code. Rows with the same code are one code
+    with the words of all of them; a null code or text matches nothing.
+    """
+    coded = (codes.filter("code is not null").selectExpr("code as booked_procedure", f"explode({words('code_text', stopwords)}) as _word").distinct())
+    split = texts.withColumn("_row", F.monotonically_increasing_id()).selectExpr(
+        "study_id", "_row", f"explode({words('text', stopwords)}) as _word")
+    common = split.join(coded, "_word").groupBy("_row", "booked_procedure").agg(
+        F.expr("count(*) as common_words"), F.first("study_id").alias("study_id"))
+    best = F.expr("min(struct(-common_words as _order, booked_procedure, study_id)) as _best")
+    return common.groupBy("_row").agg(best).selectExpr(
+        "_best.study_id as study_id", "_best.booked_procedure as booked_procedure", "-_best._order as common_words")

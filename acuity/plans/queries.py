@@ -465,14 +465,11 @@ def age_group_diff(spark, sf):
 
 
 def _compared(spark, sf, group, members):
-    """The list of a group against the full one by anti joins."""
-    rows = _trauma_ratings(spark, sf)
-
-    def one(name, condition):
-        listed = lists.urgency_lists(rows, {name: condition})
-        return compare.urgent_list(compare.with_code_text(listed, t.codes(spark, sf))).drop("list_name")
-    full = one("full", lists.default_age_range())
-    return shown(compare.compare_lists(full, one(group, members[group]), group), "urgent_total_pcnt")
+    """The list of a group against the full one: both stacked from one pass over the ratings."""
+    listed = lists.urgency_lists(_trauma_ratings(spark, sf), {"full": lists.default_age_range(), group: members[group]})
+    differences = compare.with_code_text(compare.list_differences(listed, [group]), t.codes(spark, sf))
+    named = differences.withColumnRenamed("booked_procedure", "achi_code").select(*compare.PUBLISHED, "procedure_list")
+    return shown(named, "urgent_total_pcnt")
 
 
 @query
@@ -648,8 +645,8 @@ def model_eligibility(spark, sf):
 
 @query
 def model_frame_freq(spark, sf):
-    frame = model_data.model_frame(t.ratings(spark, sf), min_raters=20, both_sexes=False)
-    return freq_table(frame, "age_gp", "urgent_yn")
+    frame = model_data.frame_cells(t.ratings(spark, sf), min_raters=20, both_sexes=False)
+    return freq_table(frame, "age_gp", "urgent_yn", weight="n")
 
 
 @query

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from acuity import schema as S
+from acuity.sources.writers import current_version
 
 
 def _first_line(spark: SparkSession, file: str) -> str:
@@ -45,7 +46,7 @@ def read_study(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     """Bookings, one row per booked case, with any number of numbered code columns."""
     if fmt == "csv":
         return _csv(spark, path, S.STUDY_TYPES)
-    df = spark.read.format(fmt).load(path)
+    df = spark.read.format(fmt).load(current_version(spark, path))
     return df.select([F.col(f"`{n}`").cast(S.STUDY_TYPES.get(n, T.StringType())).alias(n) for n in df.columns])
 
 
@@ -66,7 +67,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame:
     """Hand-off table written by ``write_stage``."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(current_version(spark, path))
 
 
 def _typed(spark, path, fmt, typed):

@@ -9,8 +9,52 @@ from pyspark.sql import DataFrame, SparkSession
 PREFIX = "acuity-table-"
 
 
+POINTER = "_current"
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """The folder that holds the rows of a hand-off table: the one its pointer names, or ``path`` itself without a pointer."""
+    pointer, files = _file_system(spark, f"{path}/{POINTER}")
+    if not files.exists(pointer):
+        return path
+    stream = files.open(pointer)
+    try:
+        return f"{path}/{spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, 'UTF-8')).readLine()}"
+    finally:
+        stream.close()
+
+
 def write_stage(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Parquet for the next stage, whole or not at all.
+
+    Rows go to a new folder below ``path``; when all are there, the pointer file
+    is replaced by one rename. Until then, and if the job dies, readers see the
+    table as it was. The version before stays for readers that have started;
+    older ones are deleted.
+    """
+    spark = df.sparkSession
+    before = current_version(spark, path)
+    version = f"rows-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    draft, files = _file_system(spark, f"{path}/{POINTER}-{version}")
+    stream = files.create(draft)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    pointer, _ = _file_system(spark, f"{path}/{POINTER}")
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(
+        files.makeQualified(draft), files.makeQualified(pointer), options)
+    keep = {version, before.rsplit("/", 1)[1]}
+    for found in files.listStatus(pointer.getParent()):
+        if found.getPath().getName().startswith("rows-") and found.getPath().getName() not in keep:
+            files.delete(found.getPath(), True)
 
 
 def write_label_sheet(sheet: DataFrame, path: str) -> None:

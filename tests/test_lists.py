@@ -277,3 +277,14 @@ def test_lists_of_any_group_can_be_compared(rows):
         ("diff proc bw left handed and full", "not specific to left handed patients", "q")}
     one = compare.urgent_list(compare.with_code_text(stacked.filter("list_name = 'male'"), rows("achi_proc_code string, procedure_text string, block_text string"))).drop("list_name")
     assert compare.compare_lists(one, one, "left handed").collect() == []
+
+
+def test_one_comparison_reads_the_ratings_like_the_lists(spark):
+    from acuity.plans import queries
+    folder = "/root/testdata/sf0.001"
+    def scans(name, table):
+        plan = queries.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        return sum("Relation [" in line and {"lineitem": "l_orderkey#", "orders": "o_orderkey#"}[table] in line for line in plan.splitlines())
+    for name in ("age_group_compare", "sex_group_compare"):
+        assert 0 < scans(name, "lineitem") <= scans("age_group_lists", "lineitem")
+        assert scans(name, "orders") <= scans("age_group_lists", "orders")

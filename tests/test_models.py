@@ -28,6 +28,21 @@ def test_cells_equal_the_frame(spark):
         assert size.n_modelled == frame.count() and size.n_ratings == md.model_frame(df, **options).count()
 
 
+def test_frame_cells_count_the_frame(spark):
+    rng = np.random.default_rng(2)
+    data = [(f"p{i % 9}" if i % 50 else None, ["M", "F", None][rng.choice(3, p=[0.5, 0.45, 0.05])], float(rng.integers(0, 97)) if i % 17 else None,
+             ["<1hr", "<4hrs", "<8hrs", None][rng.integers(4)], bool(rng.integers(2)) if i % 13 else None) for i in range(300)]
+    data += [("q", "M", 20.0, "<1hr", False)] * 30 + [("r", "M", None, "<1hr", False), ("r", "F", 1.0, None, True)] * 6
+    df = spark.createDataFrame(data, RATING)
+    for options in ({"min_raters": 8, "both_sexes": True}, {"min_raters": 20, "both_sexes": False}):
+        for given in (df, df.drop("trauma"), df.filter("false")):
+            frame = md.model_frame(given, **options)
+            want = {tuple(r)[:-1]: r["count"] for r in frame.groupBy(*frame.columns).count().collect()}
+            counted = md.frame_cells(given, **options)
+            assert counted.columns == [*frame.columns, "n"] and {tuple(r)[:-1]: r.n for r in counted.collect()} == want
+        assert len(want) == 0
+
+
 def simulated(groups, beta, tau, seed, terms="main"):
     _, x = ml.design(terms)
     rng = np.random.default_rng(seed)

@@ -242,6 +242,79 @@ def test_best_of_all_codes(spark, rows):
     texts = rows("study_id long, text string", (1, "open repair of the femur"), (1, "wrist"), (2, "nothing"), (3, None), (4, "FEMUR, wrist repair"))
     codes = rows("code long, code_text string", (7, "repair of femur"), (3, "repair of wrist"), (5, "wrist repair open"), (9, None), (None, "femur"))
     want = {(1, 5, 2), (1, 3, 1), (4, 3, 2)}
-    for block in (100, 2, 1):
-        assert {tuple(r) for r in best_codes(texts, codes, block=block).collect()} == want
+    assert {tuple(r) for r in best_codes(texts, codes).collect()} == want
+    assert {tuple(r) for r in best_codes(texts, codes.unionAll(codes)).collect()} == want
     assert best_codes(texts, codes.filter("false")).collect() == []
+
+
+def test_large_code_table_and_a_frequent_word(spark):
+    """Twelve thousand codes, and a word that every text has: joined by a shuffle that splits the word."""
+    from acuity.operators.text_match import best_codes
+    texts = spark.range(0, 30_000, 1, 6).selectExpr("id as study_id", "concat('repair w', id % 12000, ' x', id % 700) as text")
+    codes = spark.range(0, 12_000, 1, 3).selectExpr("id as code", "concat(if(id % 4000 = 0, 'repair w', 'w'), id, ' other x', id % 700) as code_text")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = best_codes(texts, codes)
+        got = {r.study_id: (r.booked_procedure, r.common_words) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert "skew=true" in plan and "ArrowEvalPython" not in plan and "MapInArrow" not in plan
+    by_word = {}
+    coded = {c: {f"w{c}", "other", f"x{c % 700}", *(["repair"] if c % 4000 == 0 else [])} for c in range(12_000)}
+    for c, found_words in coded.items():
+        for w in found_words:
+            by_word.setdefault(w, []).append(c)
+    for i in range(0, 30_000, 97):
+        mine = {"repair", f"w{i % 12000}", f"x{i % 700}"}
+        near = {c for w in mine for c in by_word.get(w, [])}
+        best = min((-len(coded[c] & mine), c) for c in near)
+        assert got[i] == (best[1], -best[0])
+    assert len(got) == 30_000
+
+
+def exchanges(df):
+    from pyspark.sql import SparkSession
+    spark = SparkSession.active()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_blanking_takes_one_pass_for_any_number_of_columns(rows):
+    names = ["coded_primary_procedure", *[f"additional_procedure_{i}" for i in range(1, 8)]]
+    typed = ", ".join(["study_id string", *[f"{n} int" for n in names], "note string"])
+    data = [(f"s{i}", *[(i * 7 + k) % 23 if (i + k) % 5 else None for k in range(8)], "n") for i in range(60)] * 2
+    excluded = rows("achi_proc_code int", *[(c,) for c in (3, 9, 9, 22)], (None,))
+    want = sorted(str((r[0], *[None if v in (3, 9, 22) else v for v in r[1:9]], "n")) for r in data)
+    wide = rows(typed, *data)
+    for most in (10_000, 2):
+        got = codes.blank_excluded(wide, excluded, most_listed=most)
+        assert got.columns == wide.columns and got.dtypes == wide.dtypes
+        assert sorted(str(tuple(r)) for r in got.collect()) == want
+        assert exchanges(got) <= (0 if most > 2 else 5)
+    assert codes.blank_excluded(wide, excluded.filter("false")).collect() == wide.collect()
+    assert codes.blank_excluded(wide.select("study_id", "note"), excluded).columns == ["study_id", "note"]
+
+
+def test_hand_off_is_whole_or_as_before(spark, rows, tmp_path):
+    path = str(tmp_path / "stage")
+    writers.write_stage(rows("a int", (1,)), path)
+    started = readers.read_stage(spark, path)
+    with pytest.raises(Exception):
+        writers.write_stage(spark.range(4).selectExpr("cast(if(id = 3, raise_error('lost'), id) as int) as a"), path)
+    assert [r.a for r in readers.read_stage(spark, path).collect()] == [1]
+    writers.write_stage(rows("a int", (2,)), path)
+    assert [r.a for r in readers.read_stage(spark, path).collect()] == [2] and [r.a for r in started.collect()] == [1]
+    for k in (3, 4):
+        writers.write_stage(readers.read_stage(spark, path).selectExpr(f"{k} as a"), path)  # reads what it replaces
+    assert [r.a for r in readers.read_stage(spark, path).collect()] == [4]
+    assert len([f for f in (tmp_path / "stage").iterdir() if f.name.startswith("rows-")]) == 2
