@@ -1,9 +1,9 @@
 """Secrets in texts: three patterns, and tokens that pass a battery of randomness tests.
 
 Base spans are the leftmost non-overlapping matches of three patterns. Other
-tokens of 20 or more characters that mix letters and digits are candidates.
-Their encoding is inferred (hex, base32, base62, base64) and three tests ask
-whether their characters could be drawn at random from its alphabet:
+tokens of 20 or more characters that mix letters and digits, or letters of
+both cases, are candidates. Their encoding is inferred (hex, base32, base62,
+base64, letters) and three tests ask whether their characters could be drawn at random from its alphabet:
 
 * chi-squared: are all characters equally frequent?
 * runs: how often does the sequence cross the middle of the alphabet?
@@ -13,10 +13,13 @@ Fisher's method joins the three p-values. Within each class of length the
 procedure of Benjamini and Hochberg picks the tokens that are *not* random,
 so that at most ``FALSE_RATE`` of those it rejects are random in truth; short
 and long tokens, for which the tests have different power, do not share a
-threshold. Tokens that are not rejected are added as kind ``random``, unless
-they overlap a base span.
+threshold. This bounds the random tokens that are lost, not the tokens among
+the added ones that are no secrets. Tokens that are not rejected are added as
+kind ``random``, unless they touch or overlap a base span. Ties of p-values
+share a step of the histogram and fall on the same side. The work grows with
+the length of a text.
 
-Null and empty texts have no spans. Offsets are code points, ends exclusive.
+An empty table gives an empty one. Null and empty texts have no spans. Offsets are code points, ends exclusive.
 Repeated rows get equal results; each counts in the rejection thresholds.
 Everything is DataFrame and SQL expressions; the driver sees one histogram of
 at most ``BINS`` steps per class of length.
@@ -34,16 +37,20 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+# base spans are filled with U+0001 before tokens are looked for: a token that touches one is none
+FILL = "\u0001"
+TOKEN = r"(?<![\x01A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?!\x01)"
 DIGITS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
           "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
+DIGITS["letters"] = DIGITS["base62"][10:]
 DIGITS["base64"] = DIGITS["base62"] + "+/"
 CLASSES = (24, 32, 48, 64, 128)
 
 
 def _alphabet(m: str) -> str:
     """Alphabet of the inferred encoding of a token; null where nothing is inferred."""
-    return (f"case when not ({m} rlike '[0-9]' and {m} rlike '[A-Za-z]') then null "
+    return (f"case when {m} rlike '^[A-Za-z]+=*$' and {m} rlike '[A-Z]' and {m} rlike '[a-z]' then '{DIGITS['letters']}' "
+            f"when not ({m} rlike '[0-9]' and {m} rlike '[A-Za-z]') then null "
             f"when {m} rlike '^([0-9a-f]+|[0-9A-F]+)$' then '{DIGITS['hex']}' "
             f"when {m} rlike '^[A-Z2-7]+=*$' then '{DIGITS['base32']}' "
             f"when {m} rlike '^[A-Za-z0-9]+$' then '{DIGITS['base62']}' else '{DIGITS['base64']}' end")
@@ -93,17 +100,28 @@ def length_class(n: str) -> str:
     return " + ".join(f"if({n} >= {c}, 1, 0)" for c in CLASSES)
 
 
+def _filled(text: str, pattern: str, counts: str = "true") -> str:
+    """The text with each match ``m`` that counts replaced by as many fill characters, put together from the cuts."""
+    p = f"'{_quoted(pattern)}'"
+    fill = f"transform(regexp_extract_all({text}, {p}, 0), m -> if({counts}, repeat('{FILL}', length(m)), m))"
+    joined = f"array_join(zip_with(split({text}, {p}, -1), {fill}, (g, m) -> concat(g, coalesce(m, ''))), '')"
+    return f"if({text} rlike {p}, {joined}, {text})"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, base spans and candidates with their p-values. One pass over the texts."""
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     assign = f"filter({matches('text', ASSIGN)}, s -> length(regexp_extract(s.m, '{_quoted(ASSIGN)}', 2)) >= 12)"
-    found = texts.selectExpr("doc_id", f"{assign} as _a", f"{matches('text', ACCESS)} as _k", f"{matches('text', HEX)} as _h",
-                             f"{matches('text', TOKEN)} as _t")
+    found = texts.selectExpr("doc_id", f"{assign} as _a", f"{matches('text', ACCESS)} as _k", f"{matches('text', HEX)} as _h", "text")
+    # one kind after the other, in the same order: what is left of a span that overlaps another one touches its fill
+    long = f"length(regexp_extract(m, '{_quoted(ASSIGN)}', 2)) >= 12"
+    for pattern, counts in ((ASSIGN, long), (ACCESS, "true"), (HEX, "true")):
+        found = found.withColumn("text", F.expr(_filled("text", pattern, counts)))
+    found = found.selectExpr("doc_id", "_a", "_k", "_h", f"{matches('text', TOKEN)} as _t")
     base = found.selectExpr(
         "doc_id", "cast(size(_a) as bigint) as n_assign", "cast(size(_k) as bigint) as n_access", "cast(size(_h) as bigint) as n_hex",
         f"concat({_kind('_a', 0)}, {_kind('_k', 1)}, {_kind('_h', 2)}) as base", "_t")
-    fresh = ("filter(transform(filter(_t, s -> not exists(base, b -> b.start < s.end and s.start < b.end)), s -> named_struct("
-             f"'start', s.start, 'end', s.end, 'm', s.m, 'a', {_alphabet('s.m')})), s -> s.a is not null)")
+    fresh = f"filter(transform(_t, s -> named_struct('start', s.start, 'end', s.end, 'm', s.m, 'a', {_alphabet('s.m')})), s -> s.a is not null)"
     rated = ("transform(_t, s -> named_struct('start', s.start, 'end', s.end, "
              f"'cls', {length_class('(s.end - s.start)')}, 'p', {_p_value('s.m', 's.a')}))")
     return (base.withColumn("_t", F.expr(fresh))
