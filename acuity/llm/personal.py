@@ -7,14 +7,16 @@ characters, ``at`` and ``dot`` in brackets or between the parts of an address,
 and runs of spelled digits. A bare ``at`` before plain dots counts if the part
 before it has a dot, digit, underscore or plus, or follows a word such as
 ``mail`` or ``contact``. Identifiers found in the rewritten text are mapped
-back; a span is added if it has a rewritten character and does not overlap a
-base span of its kind.
+back; a span is added if it has a rewritten character and does not lie inside a
+base span of its kind. An address with a look-alike letter thus has its plain
+part as a base span and the whole as an added one; masking takes their union.
 
-Null and empty texts have no spans. Offsets are code points, ends are
+An empty table gives an empty one. Null and empty texts have no spans. Offsets are code points, ends are
 exclusive. Of added spans of one kind that overlap, the first in the rewritten
 text stays. Spans sort by start, then kind. Repeated rows get equal results.
 """
 
+import bisect
 import hashlib
 import re
 
@@ -157,15 +159,19 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     if not any(changed):
         return base, []
     taken = {k: [(a, b) for a, kind, b in base if kind == k] for k in range(len(KINDS))}
+    done = [0] * len(KINDS)
     marks = [0]
     for c in changed:
         marks.append(marks[-1] + c)
     added = []
     for a, kind, b in base_spans(plain):
-        span = starts[a], ends[b - 1]
-        if marks[b] > marks[a] and all(span[1] <= x or y <= span[0] for x, y in taken[kind]):
-            taken[kind].append(span)
-            added.append((span[0], kind, span[1]))
+        first, last = starts[a], ends[b - 1]
+        # a span wider than a base span stands beside it; one inside a base span adds nothing
+        near = bisect.bisect_right(taken[kind], (first, len(text))) - 1
+        inside = near >= 0 and taken[kind][near][1] >= last
+        if marks[b] > marks[a] and first >= done[kind] and not inside:
+            done[kind] = last
+            added.append((first, kind, last))
     return base, sorted(added)
 
 

@@ -103,3 +103,34 @@ def test_masking_keeps_rows_and_columns(docs):
     assert got[1]["text"] == "to <EMAIL> now" and got[1]["n_chars"] == 14
     assert got[2]["text"] is None and got[2]["n_chars"] is None and got[3]["text"] == "nothing"
     assert P.mask_personal_data(given).columns == given.columns
+
+
+def test_look_alikes_inside_an_address():
+    for text, wide in (("mail jаne@example.com now", "jаne@example.com"), ("jane@example.cоm", "jane@example.cоm"), ("x јоhn@ехample.org.", "јоhn@ехample.org")):
+        base, added = P.all_spans(text)
+        assert [text[a:b] for a, k, b in added if k == 0] == [wide]
+        assert wide not in P.masked(text) and "@" not in P.masked(text) and base == P.base_spans(text)
+    assert P.masked("mail jаne@example.com now") == "mail <EMAIL> now" and P.masked("jane@example.cоm") == "<EMAIL>"
+
+
+def test_added_spans_equal_a_plain_comparison():
+    """The sweep against comparing each rewritten span with every base span."""
+    import random
+    rng = random.Random(3)
+    pieces = ["jаne@example.com", "jane at example dot com", "four two four two", "jane@example.com", "10 dot 0 dot 0 dot 1", "10.0.0.1", "+1 202 555 0100",
+              "plus one two zero two five five five zero one zero zero", "words", "jane [at] example.cоm", "４２４２ 4242 4242 4242"]
+    for _ in range(200):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+        base, added = P.all_spans(text)
+        plain, starts, ends, changed = P.rewritten(text)
+        want = sorted({(starts[a], k, ends[b - 1]) for a, k, b in P.base_spans(plain) if any(changed[a:b])
+                       and not any(k == j and x <= starts[a] and ends[b - 1] <= y for x, j, y in base)})
+        assert added == want
+
+
+def test_many_added_spans_take_time_in_proportion():
+    import time
+    text = "jane.smith at example dot com, " * 50_000
+    start = time.perf_counter()
+    base, added = P.all_spans(text)
+    assert len(added) == 50_000 and base == [] and time.perf_counter() - start < 10
