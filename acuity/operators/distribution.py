@@ -29,45 +29,66 @@ def _quartiles(value: str) -> str:
     return f"percentile({value}, array(0.25, 0.5, 0.75), n)"
 
 
-def quartiles(counts: DataFrame, key: str, value: str) -> DataFrame:
-    """``key`` and array ``q`` of the quartiles of value counts, linear between order statistics.
+def quartiles(counts: DataFrame, keys: str | list[str], value: str) -> DataFrame:
+    """``keys`` and array ``q`` of the quartiles of value counts, linear between order statistics.
 
     Counts are sorted over all tasks; running counts come from the totals of
     the tasks before and a running sum inside each task. So a variable with as
     many values as rows is as good as one with few.
     """
-    spark = counts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (counts.filter(f"{value} is not null").select(key, value, "n")
-              .repartitionByRange(parts, key, value).withColumn("_part", F.expr("spark_partition_id()")))
-    # one row per task and key
-    totals = ranged.groupBy(key, "_part").agg(F.expr("sum(n) as _n")).selectExpr(
-        key, "_part", f"sum(_n) over (partition by {key}) as _all",
-        f"coalesce(sum(_n) over (partition by {key} order by _part rows between unbounded preceding and 1 preceding), 0) as _before")
-    placed = (ranged.withColumn("_upto", F.expr(f"sum(n) over (partition by {key}, _part order by {value})"))
-              .join(totals, [key, "_part"]).selectExpr(key, value, "_all", "_before + _upto - n as _from", "_before + _upto as _to"))
+    keys = [keys] if isinstance(keys, str) else keys
+    by = ", ".join(keys)
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (counts.filter(f"{value} is not null").select(*keys, value, "n")
+              .repartitionByRange(parts, *keys, value).withColumn("_part", F.expr("spark_partition_id()")))
+    # one row per task and group
+    totals = ranged.groupBy(*keys, "_part").agg(F.expr("sum(n) as _n")).selectExpr(
+        *keys, "_part", f"sum(_n) over (partition by {by}) as _all",
+        f"coalesce(sum(_n) over (partition by {by} order by _part rows between unbounded preceding and 1 preceding), 0) as _before")
+    placed = (ranged.withColumn("_upto", F.expr(f"sum(n) over (partition by {by}, _part order by {value})"))
+              .join(totals, [*keys, "_part"]).selectExpr(*keys, value, "_all", "_before + _upto - n as _from", "_before + _upto as _to"))
 
     def at(rank):
         return f"max(if(_from <= {rank} and {rank} < _to, {value}, null))"
     ranks = [f"({p}D * (_all - 1))" for p in (0.25, 0.5, 0.75)]
     ends = [at(f"{end}{r}") for r in ranks for end in ("floor", "ceil")]
-    found = placed.groupBy(key).agg(F.expr("max(_all) as _all"), *[F.expr(f"{e} as _v{i}") for i, e in enumerate(ends)])
+    found = placed.groupBy(*keys).agg(F.expr("max(_all) as _all"), *[F.expr(f"{e} as _v{i}") for i, e in enumerate(ends)])
     between = [f"_v{2 * i} + ({r} - floor{r}) * (_v{2 * i + 1} - _v{2 * i})" for i, r in enumerate(ranks)]
-    return found.selectExpr(key, f"array({', '.join(between)}) as q")
+    return found.selectExpr(*keys, f"array({', '.join(between)}) as q")
 
 
-def level_distribution(listed: DataFrame) -> DataFrame:
-    """Median, interquartile range and quartiles of each level's percent over procedures."""
+def group_statistics(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per group of value counts: ``n_values``, ``mean``, ``sd`` and quartiles ``q`` of the known values.
+
+    Sums are combined before they are shuffled and quartiles come from
+    ``quartiles``, so no task holds a group, however many values it has.
+    """
+    known = counts.filter(f"{value} is not null")
+    means = known.groupBy(*keys).agg(F.expr("sum(n) as n_values"), F.expr(f"sum(n * {value}) / sum(n) as mean"))
+    squares = known.join(means, keys).groupBy(*keys).agg(F.expr(f"{_squares(value)} as _squares"))
+    return (means.join(squares, keys).join(quartiles(known, keys, value), keys)
+            .selectExpr(*keys, "n_values", "mean", "sqrt(try_divide(_squares, n_values - 1)) as sd", "q"))
+
+
+def level_distribution(listed: DataFrame, exact: bool = False) -> DataFrame:
+    """Median, interquartile range and quartiles of each level's percent over procedures.
+
+    ``exact`` is for lists whose percents are not rounded: these may have as many
+    values as there are procedures, which are then ranked over all tasks.
+    """
     counts = value_counts(levels_long(listed), ["urgency"], "pcnt")
-    q = counts.groupBy("urgency").agg(F.expr(f"{_quartiles('pcnt')} as q"))
+    q = quartiles(counts, "urgency", "pcnt") if exact else counts.groupBy("urgency").agg(F.expr(f"{_quartiles('pcnt')} as q"))
     return q.selectExpr("urgency", "q[1] as median_pct", "q[2] - q[0] as IQR_pct", "q[0] as one_quantile_pcnt",
                         "q[2] as three_quantile_pcnt")
 
 
-def level_boxplot_stats(listed: DataFrame) -> DataFrame:
-    """Box, whiskers (furthest values within 1.5 IQR of the box) and outlier count per level."""
+def level_boxplot_stats(listed: DataFrame, exact: bool = False) -> DataFrame:
+    """Box, whiskers (furthest values within 1.5 IQR of the box) and outlier count per level; ``exact`` as for ``level_distribution``."""
     counts = value_counts(levels_long(listed), ["urgency"], "pcnt")
-    boxed = counts.withColumn("q", F.expr(f"{_quartiles('pcnt')} over (partition by urgency)"))
+    if exact:
+        boxed = counts.join(quartiles(counts, "urgency", "pcnt"), "urgency", "left")
+    else:
+        boxed = counts.withColumn("q", F.expr(f"{_quartiles('pcnt')} over (partition by urgency)"))
     inside = "pcnt between q[0] - 1.5e0 * (q[2] - q[0]) and q[2] + 1.5e0 * (q[2] - q[0])"
     return boxed.groupBy("urgency").agg(
         F.expr(f"min(if({inside}, pcnt, null)) as whisker_low"),
@@ -125,18 +146,23 @@ def histogram(df: DataFrame, variable: str, width: float) -> DataFrame:
 
 
 def level_density(long: DataFrame, keys: list[str], value: str = "pcnt",
-                  low: float = 0.0, high: float = 100.0, points: int = 101) -> DataFrame:
+                  low: float = 0.0, high: float = 100.0, points: int = 101, exact: bool = False) -> DataFrame:
     """Gaussian kernel density per key on an even grid.
 
     The bandwidth is 0.9 * min(sd, IQR / 1.34) * n ** -0.2; if that spread is 0
     the standard deviation, then 1, takes its place. Each distinct value meets
     each grid point once, weighted by its count, and the products are summed
-    before they are shuffled.
+    before they are shuffled. ``exact`` is for values that are not rounded: the
+    statistics of a group then come from sums and ranks over all tasks, and
+    groups without any known value are absent.
     """
-    group = f"over (partition by {', '.join(keys)})"
-    counts = _with_mean(value_counts(long, keys, value), keys, value).selectExpr(
-        "*", f"{_quartiles(value)} {group} as q")
-    spread = counts.withColumn("sd", F.expr(f"sqrt(try_divide({_squares(value)} {group}, n_values - 1))"))
+    counts = value_counts(long, keys, value)
+    if exact:
+        spread = counts.join(group_statistics(counts, keys, value), keys)
+    else:
+        group = f"over (partition by {', '.join(keys)})"
+        spread = _with_mean(counts, keys, value).selectExpr("*", f"{_quartiles(value)} {group} as q").withColumn(
+            "sd", F.expr(f"sqrt(try_divide({_squares(value)} {group}, n_values - 1))"))
     robust = "least(coalesce(sd, 0), (q[2] - q[0]) / 1.34e0)"
     width = f"case when {robust} > 0 then {robust} when sd > 0 then sd else 1e0 end"
     step = (high - low) / (points - 1)

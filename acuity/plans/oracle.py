@@ -150,6 +150,7 @@ INSIDE = f"{RAT}, inside AS (SELECT * FROM rat WHERE same_day AND age < (SELECT
 FLAGGED = f"{RAT}, {FIRST}, flagged AS (SELECT rat.*, rat.study_id IN (SELECT study_id FROM firsts) AS is_trauma FROM rat)"
 FULL = (f"{FLAGGED}, inside AS (SELECT * FROM flagged WHERE same_day AND age < (SELECT max(age) FROM rat)), "
         f"{_count('inside', trauma='is_trauma')}, {_list()}")
+EXACT = f"{FLAGGED}, inside AS (SELECT * FROM flagged WHERE same_day AND age < (SELECT max(age) FROM rat)), {_count('inside', trauma='is_trauma')}, {_list(exact=True)}"
 CHAIN = f"""{EPI}, {EXC}, {FIRST},
     yes AS (SELECT study_id, code AS booked_procedure, age, sex, lvl, primary_proc, same_day FROM att
         WHERE correct = 'yes' AND study_id IN (SELECT study_id FROM firsts) AND code NOT IN (SELECT code FROM exc)
@@ -530,6 +531,23 @@ ORACLE = {
         SELECT urgency, round(min(pcnt) FILTER (inside), 6) AS whisker_low, round(any_value(q25), 6) AS q25,
         round(any_value(median), 6) AS median, round(any_value(q75), 6) AS q75, round(max(pcnt) FILTER (inside), 6) AS whisker_high,
         count(*) FILTER (NOT inside) AS n_outliers FROM w GROUP BY urgency""",
+    "level_distribution_exact": f"""WITH RECURSIVE {EXACT}, u AS ({_UNPIVOTED}) SELECT urgency, round({_Q.format(0.5)}, 6) AS median_pct,
+        round({_Q.format(0.75)} - {_Q.format(0.25)}, 6) AS "IQR_pct", round({_Q.format(0.25)}, 6) AS one_quantile_pcnt,
+        round({_Q.format(0.75)}, 6) AS three_quantile_pcnt FROM u GROUP BY urgency""",
+    "level_boxplot_exact": f"""WITH RECURSIVE {EXACT}, u AS ({_UNPIVOTED}),
+        q AS (SELECT urgency, {_Q.format(0.25)} AS q25, {_Q.format(0.5)} AS median, {_Q.format(0.75)} AS q75 FROM u GROUP BY 1),
+        w AS (SELECT *, pcnt BETWEEN q25 - 1.5e0 * (q75 - q25) AND q75 + 1.5e0 * (q75 - q25) AS inside FROM u JOIN q USING (urgency))
+        SELECT urgency, round(min(pcnt) FILTER (inside), 6) AS whisker_low, round(any_value(q25), 6) AS q25,
+        round(any_value(median), 6) AS median, round(any_value(q75), 6) AS q75, round(max(pcnt) FILTER (inside), 6) AS whisker_high,
+        count(*) FILTER (NOT inside) AS n_outliers FROM w GROUP BY urgency""",
+    "level_density_exact": f"""WITH RECURSIVE {EXACT}, u AS ({_UNPIVOTED}), s AS (SELECT urgency, count(*) AS n, coalesce(stddev_samp(pcnt), 0) AS sd,
+            (quantile_cont(pcnt, 0.75) - quantile_cont(pcnt, 0.25)) / 1.34e0 AS robust FROM u GROUP BY 1),
+        b AS (SELECT urgency, n, pow(n, -0.2e0) * 0.9e0 * CASE WHEN least(sd, robust) > 0 THEN least(sd, robust)
+            WHEN sd > 0 THEN sd ELSE 1 END AS bw FROM s),
+        g AS (SELECT CAST(unnest(range(0, 101)) AS DOUBLE) AS x)
+        SELECT urgency, x, round(sum(exp(-(x - pcnt) * (x - pcnt) / (2 * bw * bw)) / (bw * sqrt(2 * pi()))) / any_value(n), 6) AS density
+        FROM u JOIN b USING (urgency), g GROUP BY urgency, x""",
+    "written_lists": _published(DIFF, _NAMES),
     "urgent_list_agreement": f"WITH RECURSIVE {FULL} SELECT {_PUBLISHED} FROM lst {_TEXT} WHERE urgent_surgery_by_agmnt",
     "urgent_list_consensus": f"WITH RECURSIVE {FULL} SELECT {_PUBLISHED} FROM lst {_TEXT} WHERE urgent_surgery_by_cnsus",
     "age_range_default_bounds": f"""WITH {RAT} SELECT count(*) AS n_inside, max(age) AS oldest_inside,

@@ -417,6 +417,27 @@ def level_boxplot_stats(spark, sf):
     return shown(dist.level_boxplot_stats(_full_list(spark, sf)), "whisker_low", "q25", "median", "q75", "whisker_high")
 
 
+def _exact_list(spark, sf):
+    return _full_list(spark, sf, percent_digits=None)
+
+
+@query
+def level_distribution_exact(spark, sf):
+    """Of percents that are not rounded: quartiles by rank over all tasks."""
+    return shown(dist.level_distribution(_exact_list(spark, sf), exact=True), "median_pct", "IQR_pct", "one_quantile_pcnt",
+                 "three_quantile_pcnt")
+
+
+@query
+def level_boxplot_exact(spark, sf):
+    return shown(dist.level_boxplot_stats(_exact_list(spark, sf), exact=True), "whisker_low", "q25", "median", "q75", "whisker_high")
+
+
+@query
+def level_density_exact(spark, sf):
+    return shown(dist.level_density(dist.levels_long(_exact_list(spark, sf)), ["urgency"], exact=True), "density")
+
+
 @query
 def urgent_list_agreement(spark, sf):
     listed = compare.with_code_text(_full_list(spark, sf), t.codes(spark, sf))
@@ -519,6 +540,14 @@ def published_lists(spark, sf):
     return shown(compare.published_lists(_age_lists(spark, sf), t.codes(spark, sf)), "urgent_total_pcnt")
 
 
+@query
+def written_lists(spark, sf):
+    """The published lists as one folder per list, read back."""
+    folder = _new_folder(spark)
+    writers.write_lists(compare.published_lists(_age_lists(spark, sf), t.codes(spark, sf)), folder)
+    return shown(spark.read.parquet(folder), "urgent_total_pcnt")
+
+
 # --- thresholds --------------------------------------------------------------
 @query
 def threshold_sweep(spark, sf):

@@ -288,3 +288,24 @@ def test_one_comparison_reads_the_ratings_like_the_lists(spark):
     for name in ("age_group_compare", "sex_group_compare"):
         assert 0 < scans(name, "lineitem") <= scans("age_group_lists", "lineitem")
         assert scans(name, "orders") <= scans("age_group_lists", "orders")
+
+
+def test_exact_distributions_hold_no_level_in_a_task(spark):
+    """Any number of different percents: the same values as by one window per level, by ranks over all tasks."""
+    import random
+    rng = random.Random(4)
+    levels = [f"`{level}`" for level in S.LEVELS]
+    data = [(f"p{i}", *[rng.choice([rng.random() * 100, 50.0, None]) for _ in levels]) for i in range(400)]
+    listed = spark.createDataFrame(data, "booked_procedure string, " + ", ".join(f"{level} double" for level in levels)).repartition(7)
+
+    def near(a, b):
+        a, b = (sorted(map(tuple, df.collect()), key=str) for df in (a, b))
+        assert len(a) == len(b) > 0 and all(x == pytest.approx(y, abs=1e-9) for x, y in zip(a, b))
+    near(dist.level_distribution(listed, exact=True), dist.level_distribution(listed))
+    near(dist.level_boxplot_stats(listed, exact=True), dist.level_boxplot_stats(listed))
+    long = dist.levels_long(listed).filter("pcnt is not null")
+    near(dist.level_density(long, ["urgency"], exact=True).orderBy("urgency", "x"), dist.level_density(long, ["urgency"]).orderBy("urgency", "x"))
+    for df in (dist.level_distribution(listed, exact=True), dist.level_boxplot_stats(listed, exact=True), dist.level_density(long, ["urgency"], exact=True)):
+        windows = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+        assert windows and all("_part#" in line or "sum(_n#" in line for line in windows)  # per task, or over one row per task and level
+    assert dist.level_distribution(listed.filter("false"), exact=True).collect() == []
