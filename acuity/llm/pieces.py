@@ -265,10 +265,10 @@ class Encoder:
             flat.append(tokens)
         self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
 
-    def encode(self, texts: list) -> list:
+    def encode(self, texts: list, cache: int = CACHE) -> list:
         """Token ids of each text, None for null."""
         parts = [None if t is None else self.cuts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > CACHE:
+        if len(self.known) > cache:
             self.clear()
         known = self.known
         new = list(set().union(*filter(None, parts)).difference(known))
@@ -325,15 +325,19 @@ def _slices(texts: list, size: int = 2_000_000):
         yield first, len(texts)
 
 
-def encode(docs: DataFrame, path: str = MODEL, check: bool = False) -> DataFrame:
-    """doc_id, tokens, n_tokens of every row; with ``check`` also round_trip: decoding gives the text back."""
+def encode(docs: DataFrame, path: str = MODEL, check: bool = False, cache: int = CACHE) -> DataFrame:
+    """doc_id, tokens, n_tokens of every row; with ``check`` also round_trip: decoding gives the text back.
+
+    ``cache`` bounds the distinct cuts that a worker remembers from one batch to
+    the next; it changes time and memory only.
+    """
     def run(batches):
         e = encoder(path)
         for batch in batches:
             all_texts = batch.column(1).to_pylist()
             for a, b in _slices(all_texts):
                 texts = all_texts[a:b]
-                tokens = e.encode(texts)
+                tokens = e.encode(texts, cache)
                 columns = {"doc_id": batch.column(0).slice(a, b - a), "tokens": pa.array(tokens, pa.list_(pa.int32())),
                            "n_tokens": pa.array([None if t is None else len(t) for t in tokens], pa.int32())}
                 if check:
