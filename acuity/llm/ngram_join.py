@@ -9,14 +9,18 @@
    Beta(m + 1, n - m + 1); a pair whose probability of reaching the threshold
    falls below ``TOLERANCE`` is dropped; of pairs at the threshold this loses
    one in 1e8. What remains connects nodes to groups.
-4. Inside a group all pairs pass the same pruning, survivors are verified
-   exactly on their shingle sets, and each node gets its number of links.
-   Pairs never leave the task: rows are link counts per node and the edges of
-   a spanning forest.
-
-Buckets and groups above ``BLOCK`` nodes are cut into blocks, and every two
-blocks meet in a task of their own, so no task holds a whole large group and no
-pair is left out. Copies of one text never meet each other.
+4. Inside a group pairs pass the same pruning, survivors are verified exactly
+   on their shingle sets, and each node gets its number of links. Pairs never
+   leave the task: rows are link counts per node and the edges of a spanning
+   forest.
+
+Buckets and groups above ``BLOCK`` nodes are cut into blocks, and two blocks
+meet in a task of their own, so no task holds a whole large group. In a bucket
+every two blocks meet. In a group only those nodes of two blocks meet that have
+a surviving pair there, found in the buckets of the group once more: a long
+chain of near copies, where most pairs are far apart, costs work by its close
+pairs and not by the square of its length. Copies of one text never meet each
+other.
 
 Null and empty texts and texts without words have no shingles: they link to
 nothing and each is a class of its own. A text of one to four words has one
@@ -183,31 +187,71 @@ def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
             .drop("n").repartition(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b"))
 
 
+def _survivors(table: pa.Table, group: np.ndarray, threshold: float, least: np.ndarray, wanted=None):
+    """Surviving pairs of rows of whole buckets, each in the first bucket that its nodes share.
+
+    ``wanted(left, right)`` says which pairs are compared at all.
+    """
+    band, size, side = (table.column(c).to_numpy() for c in ("band", "n_shingles", "side"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
+    keys = np.ascontiguousarray(sig).view(np.uint64)
+    for left, right in _pairs(group, side):
+        fits = np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right])
+        if wanted is not None:
+            fits &= wanted(left, right)
+        left, right = left[fits], right[fits]
+        earlier = (keys[left] == keys[right]) & (np.arange(BANDS) < band[left][:, None])
+        new = ~earlier.any(axis=1)
+        left, right = left[new], right[new]
+        kept = prune(sig, left, right, least)
+        yield left[kept], right[kept]
+
+
 def _candidate_edges(threshold: float):
     least = needed_matches(threshold)
 
     def run(batches):
         for table, group in _groups(batches, 4):
-            band = table.column("band").to_numpy()
-            nid, size = table.column("nid").to_numpy(), table.column("n_shingles").to_numpy()
-            side = table.column("side").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-            keys = np.ascontiguousarray(sig).view(np.uint64)
+            nid = table.column("nid").to_numpy()
             label = np.arange(len(nid))
-            for left, right in _pairs(group, side):
-                fits = np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right])
-                fits &= label[left] != label[right]
-                left, right = left[fits], right[fits]
-                earlier = (keys[left] == keys[right]) & (np.arange(BANDS) < band[left][:, None])
-                new = ~earlier.any(axis=1)
-                left, right = left[new], right[new]
-                kept = prune(sig, left, right, least)
-                _merge(label, left[kept], right[kept])
+            for left, right in _survivors(table, group, threshold, least, lambda a, b: label[a] != label[b]):
+                _merge(label, left, right)
             joined = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_pydict({"u": pa.array(nid[joined]), "v": pa.array(nid[label[joined]])})
     return run
 
 
+def _meeting_rows(threshold: float):
+    least = needed_matches(threshold)
+
+    def run(batches):
+        for table, group in _groups(batches, 4):
+            nid, own = table.column("nid").to_numpy(), table.column("own").to_numpy().astype(np.int64)
+            width = int(own.max()) + 1
+            found = np.zeros(0, np.int64)  # row and the block it has a pair in
+            for left, right in _survivors(table, group, threshold, least):
+                found = np.union1d(found, np.concatenate([left * width + own[right], right * width + own[left]]))
+            row, other = found // width, found % width
+            yield pa.RecordBatch.from_pydict({"nid": pa.array(nid[row]), "own": pa.array(own[row].astype(np.int32)),
+                                              "other": pa.array(other.astype(np.int32))})
+    return run
+
+
+def meetings(group: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(nid, own, other): the nodes of groups above ``BLOCK`` and the blocks in which each has a surviving pair.
+
+    ``group`` has nid, grp, n (nodes of the group), n_shingles and sig. A node
+    stands in one row for each block that it has to meet.
+    """
+    large = group.filter(f"n > {BLOCK}").selectExpr(
+        "nid", "grp", "n_shingles", "sig", f"cast(pmod(xxhash64(nid), ceil(n / {BLOCK})) as int) as own")
+    bands = large.select("nid", F.posexplode(F.expr(
+        f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(grp, substring(sig, i * {2 * ROWS} + 1, {2 * ROWS})))")).alias("band", "key"))
+    buckets = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = join_grouped(bands, buckets, ["band", "key"]).join(large.select("nid", "n_shingles", "sig", "own"), "nid")
+    return _blocks(members, ["band", "key"]).mapInArrow(_meeting_rows(threshold), "nid long, own int, other int").distinct()
+
+
 def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs reach the threshold, by exact counts of common shingles."""
     if not len(left):
@@ -306,14 +350,22 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     group = near.select(F.col("u").alias("nid"), F.col("v").alias("grp")).unionAll(
         near.selectExpr("v as nid", "v as grp").distinct())
     sizes = group.groupBy("grp").agg(F.count("*").alias("n"))
-    group = store.write(join_grouped(group, sizes, ["grp"]).join(nodes.select("nid", "first_id", "first_crc", "copies", "sig"), "nid"))
+    group = store.write(join_grouped(group, sizes, ["grp"])
+                        .join(nodes.select("nid", "first_id", "first_crc", "copies", "n_shingles", "sig"), "nid"))
+    # a short list for each node: at most one entry for every BLOCK nodes of its group
+    met = meetings(group, threshold).groupBy("nid").agg(F.collect_list(F.expr(
+        "struct(least(own, other) as a, greatest(own, other) as b, if(own = other, -1, if(own < other, 0, 1)) as side)")).alias("_met"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("_crc", F.crc32(F.col("text").cast("binary")))
     # a node needs one of its texts; rows repeated under the same id are the same text
     held = (group.join(texts, F.col("first_id").eqNullSafe(F.col("_id")) & (F.col("first_crc") == F.col("_crc")))
-            .select("nid", "grp", "n", "copies", "sig", "text").dropDuplicates(["nid"])
-            .mapInArrow(_with_sets, "nid long, grp long, n long, copies long, sig binary, shingles binary"))
-    found = store.write(_blocks(held, ["grp"]).mapInArrow(_verified(threshold), "u long, v long, texts long, links long"))
+            .select("nid", "grp", "n", "copies", "sig", "text").dropDuplicates(["nid"]).join(met, "nid", "left")
+            .withColumn("_met", F.expr(f"if(n <= {BLOCK}, array(struct(0 as a, 0 as b, -1 as side)), _met)")).drop("n")
+            .mapInArrow(_with_sets, "nid long, grp long, copies long, sig binary, shingles binary, "
+                                    "_met array<struct<a: int, b: int, side: int>>"))
+    meeting = held.select("grp", F.inline("_met"), "nid", "copies", "sig", "shingles").repartition("grp", "a", "b")
+    found = store.write(meeting.sortWithinPartitions("grp", "a", "b")
+                        .mapInArrow(_verified(threshold), "u long, v long, texts long, links long"))
     links = found.groupBy("u").agg(F.sum("texts").alias("n_linked_texts"), F.sum("links").alias("_links"))
     whole = components(found.select("u", "v"))
 

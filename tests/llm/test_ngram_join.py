@@ -63,6 +63,24 @@ def test_groups_above_a_block(docs, monkeypatch):
     assert [rows[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_a_long_chain_costs_its_close_pairs(docs, monkeypatch):
+    """Each text resembles its neighbours only: of 600 texts in one group every one meets a few, not all blocks."""
+    monkeypatch.setattr(J, "BLOCK", 16)
+    words = [f"w{i}" for i in range(6 * 600 + 100)]
+    texts = [" ".join(words[6 * i:6 * i + 100]) for i in range(600)]
+    seen = []
+    whole = J.meetings
+    monkeypatch.setattr(J, "meetings", lambda *a: seen.append(whole(*a)) or seen[-1])
+    rows = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_linked_texts"])
+            for r in J.jaccard_classes(docs(*enumerate(texts))).collect()}
+    expected = brute(texts)
+    assert [rows[i] for i in range(600)] == expected and {r[0] for r in expected} == {0}
+    pairs = sum(r[1] for r in expected) // 2
+    met = seen[0].count()
+    assert pairs < met < 600 * 38 / 2  # below all blocks by far
+    assert met <= 12 * pairs
+
+
 def test_many_pairs_and_few_pairs_agree():
     sets = J.shingle_sets(corpus(3, 3, 30, 60))
     left, right = np.triu_indices(len(sets), 1)
