@@ -251,12 +251,12 @@ class Encoder:
             tokens = np.array([t for x in raw for t in x], np.int64)
         return tokens.astype(np.int32), np.searchsorted(cut, np.arange(len(cuts)), "right")
 
-    def _learn(self, cuts: list[str]) -> None:
+    def _learn(self, cuts: list[str], batch_chars: int) -> None:
         flat, ends = [self.flat], [self.ends]
         at = 0
         while at < len(cuts):
             part, size = [], 0
-            while at < len(cuts) and (not part or size + len(cuts[at]) < BATCH):
+            while at < len(cuts) and (not part or size + len(cuts[at]) < batch_chars):
                 part.append(cuts[at])
                 size += len(cuts[at]) + 1
                 at += 1
@@ -265,7 +265,7 @@ class Encoder:
             flat.append(tokens)
         self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
 
-    def encode(self, texts: list, cache: int = CACHE) -> list:
+    def encode(self, texts: list, cache: int = CACHE, batch_chars: int = BATCH) -> list:
         """Token ids of each text, None for null."""
         parts = [None if t is None else self.cuts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > cache:
@@ -274,7 +274,7 @@ class Encoder:
         new = list(set().union(*filter(None, parts)).difference(known))
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            self._learn(new)
+            self._learn(new, batch_chars)
         out = []
         for p in parts:
             if not p:
@@ -325,11 +325,12 @@ def _slices(texts: list, size: int = 2_000_000):
         yield first, len(texts)
 
 
-def encode(docs: DataFrame, path: str = MODEL, check: bool = False, cache: int = CACHE) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, check: bool = False, cache: int = CACHE, batch_chars: int = BATCH) -> DataFrame:
     """doc_id, tokens, n_tokens of every row; with ``check`` also round_trip: decoding gives the text back.
 
     ``cache`` bounds the distinct cuts that a worker remembers from one batch to
-    the next; it changes time and memory only.
+    the next, ``batch_chars`` the characters of new cuts that share a suffix
+    array; they change time and memory only.
     """
     def run(batches):
         e = encoder(path)
@@ -337,7 +338,7 @@ def encode(docs: DataFrame, path: str = MODEL, check: bool = False, cache: int =
             all_texts = batch.column(1).to_pylist()
             for a, b in _slices(all_texts):
                 texts = all_texts[a:b]
-                tokens = e.encode(texts, cache)
+                tokens = e.encode(texts, cache, batch_chars)
                 columns = {"doc_id": batch.column(0).slice(a, b - a), "tokens": pa.array(tokens, pa.list_(pa.int32())),
                            "n_tokens": pa.array([None if t is None else len(t) for t in tokens], pa.int32())}
                 if check:

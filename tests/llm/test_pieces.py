@@ -25,13 +25,11 @@ def test_equals_the_library(library):
     assert [t.tolist() for t in encoder.encode(texts())] == library.encode(texts(), num_threads=1)
 
 
-def test_a_small_cache_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(P, "CACHE", 5)
-    monkeypatch.setattr(P, "BATCH", 40)
+def test_a_small_cache_changes_nothing(library):
     encoder = P.Encoder(P.MODEL)
     for k in range(0, 200, 20):
         part = texts()[k:k + 20]
-        assert [t.tolist() for t in encoder.encode(part)] == library.encode(part, num_threads=1)
+        assert [t.tolist() for t in encoder.encode(part, cache=5, batch_chars=40)] == library.encode(part, num_threads=1)
 
 
 def test_round_trip(docs):
@@ -42,5 +40,13 @@ def test_round_trip(docs):
     assert [r["n_tokens"] for r in rows.filter("doc_id = -1").collect()] == [None]
 
 
+def test_one_very_long_text(library):
+    """A megabyte of short cuts, and a cut of 20,000 characters."""
+    text = " ".join(f"word{i % 5000}" for i in range(110_000))
+    long_cut = "ab1" * 7_000
+    encoder = P.Encoder(P.MODEL)
+    assert [t.tolist() for t in encoder.encode([text, long_cut])] == library.encode([text, long_cut], num_threads=1)
+
+
 def test_empty_table(docs):
     assert P.encode(docs()).collect() == []
