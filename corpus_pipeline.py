@@ -32,7 +32,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document: doc_id, tokens, n_tokens, round_trip."""
-    return pieces.encode(docs, check=True, cache=200_000)  # memory is scarcer here than time
+    return pieces.encode(docs, check=True, cache=200_000, batch_chars=100_000)  # memory is scarcer here than time
 
 
 STAGES = [
