@@ -17,7 +17,8 @@ documents are read once per block, and no broadcast grows with the benchmark.
 
 Null and empty texts, on either side, match nothing. A text of one to four
 words is one shingle, which only a text of the same words has. Repeated rows give equal results. Items with equal
-shingles match alike; among windows with equal similarity the first counts.
+shingles match alike; among windows with equal similarity the first counts. Without documents there are no
+leaks; without items none either, and all documents stay.
 """
 
 from functools import reduce

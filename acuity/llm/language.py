@@ -9,7 +9,7 @@ threshold are fitted on a fifth of that sample which the descent does not see.
 A text that is null or has no letter gets ``und`` with score 0 and is rejected.
 Null languages and null ids are never learned from. Without labelled rows
 every text is ``und``. Repeated rows get equal results; ties of scores go to
-the first language in alphabetical order.
+the first language in alphabetical order. An empty table gives an empty one.
 """
 
 from dataclasses import dataclass

@@ -26,7 +26,8 @@ Null and empty texts and texts without words have no shingles: they link to
 nothing and each is a class of its own. A text of one to four words has one
 shingle of all its words. Repeated rows are copies of each other. A null
 ``doc_id`` counts as a document; it never names a class unless all ids of the
-class are null. Ties: the class is named by its smallest id.
+class are null. Ties: the class is named by its smallest id. An empty table
+gives an empty one.
 """
 
 import math

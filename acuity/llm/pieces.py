@@ -23,7 +23,8 @@ from a model file whose path is a parameter; nothing is trained.
 
 A null text gives null tokens, an empty text none. Decoding gives the exact
 text back, but for U+2581 (the model's own mark for a space), which becomes a
-space, and lone surrogates. Repeated rows give equal tokens.
+space, and lone surrogates. Repeated rows give equal tokens. An empty table
+gives an empty one.
 """
 
 import re

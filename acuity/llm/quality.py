@@ -16,6 +16,7 @@ Null texts have no words. Labels that are null or whose document is missing are
 not counted; several labels of one document each count. Without labels of both
 values there are no rules and only the base test decides. Repeated rows get
 equal results. Ties between conditions go to the first feature and lowest cut.
+An empty table of documents gives no rows.
 """
 
 from math import log2

@@ -16,7 +16,8 @@ Documents are told apart by ``doc_id``: rows that share an id are one
 document and take nothing from each other, but a text never repeats itself. A
 null id counts as one document behind all others. Null texts stay null, empty
 texts empty. What is kept stays as it was, with its white space. Of several
-copies the one with the smallest id stays whole.
+copies the one with the smallest id stays whole. An empty table gives an empty
+one.
 """
 
 import numpy as np

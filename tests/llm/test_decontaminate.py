@@ -66,6 +66,16 @@ def test_index_finds_all_fingerprints_within_the_radius():
     assert found == set(zip(*(x.tolist() for x in np.nonzero(distance <= D.RADIUS))))
 
 
+def test_one_very_long_text(spark, docs):
+    """A text of a megabyte with an item far from its start, and one without."""
+    item = " ".join(f"item{i}" for i in range(40))
+    filler = " ".join(f"w{i * 7919 % 9973}" for i in range(80_000))
+    some = spark.createDataFrame([(5, item)], "item_id long, text string")
+    rows = D.find_leaks(docs((1, f"{filler} {item} {filler}"), (2, filler)), some).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"], r["first_word"], r["end_word"]) for r in rows] == [
+        (1, 5, 1.0, 80_000, 80_040)]
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.find_leaks(docs((1, "a b")), none).collect() == []

@@ -110,6 +110,15 @@ def test_keep_one_leaves_one_row_of_each_class(docs):
     assert rows.columns == docs((1, "a")).columns
 
 
+def test_very_long_texts(docs):
+    """Texts of a megabyte that differ in one word are near copies; a third one is not."""
+    words = [f"w{i}" for i in range(130_000)]
+    near = words[:60_000] + ["other"] + words[60_001:]
+    texts = " ".join(words), " ".join(near), " ".join(words[::-1])
+    rows = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.jaccard_classes(docs(*enumerate(texts))).collect()}
+    assert rows == {0: (0, 1), 1: (0, 1), 2: (2, 0)}
+
+
 def test_empty_table(docs):
     assert J.jaccard_classes(docs()).collect() == [] and J.keep_one(docs()).collect() == []
 

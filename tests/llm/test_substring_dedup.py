@@ -85,5 +85,14 @@ def test_scripts_without_blanks_and_other_marks(docs):
         assert got == {1: rows[0][1], 2: other, 3: ""}
 
 
+def test_one_very_long_text(docs):
+    """A passage in the middle of a text of a megabyte goes, the rest of the text stays."""
+    passage = "Once more " + " ".join(f"shared{i}" for i in range(60)) + "."
+    before, after = (" ".join(f"Line {k}{i} says {k}{i * 3} and then {k}{i * 5}." for i in range(16_000)) for k in "ab")
+    rows = {r["doc_id"]: r["text"] for r in S.remove_repeats(docs((1, passage), (2, f"{before} {passage} {after}"))).collect()}
+    assert rows[1] == passage
+    assert "shared30" not in rows[2] and rows[2].split() == f"{before} {after}".split()
+
+
 def test_empty_table(docs):
     assert S.remove_repeats(docs()).collect() == []
