@@ -1,23 +1,31 @@
 """SimHash windows against every window of every document."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from acuity.llm import decontaminate as D
-from acuity.llm.words import shingle_hashes, word_hashes
 
 
-def brute(texts, index):
+def shingles(text):
+    words = "".join(c if c.isalnum() or c == "_" else " " for c in (text or "").lower()).split()
+    return [tuple(words[i:i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))]
+
+
+def brute(texts, items):
+    """Best similarity of every item in every text, from words."""
     out = []
     for text in texts:
-        s, bounds = shingle_hashes(*word_hashes([text or ""])[:2])
-        best = {}
-        for i, item in enumerate(index.sets):
+        s, best = shingles(text), {}
+        for key, held in ((k, shingles(t)) for k, t in items):
             for p in range(len(s)):
-                value = index.similarity(s[p:p + len(item)], i)
+                window = s[p:p + len(held)]
+                common = (Counter(window) & Counter(held)).total()
+                value = common / (len(window) + len(held) - common)
                 if value >= D.THRESHOLD:
-                    best[index.ids[i]] = max(value, best.get(index.ids[i], 0))
+                    best[key] = max(value, best.get(key, 0))
         out.append(best)
     return out
 
@@ -37,33 +45,53 @@ def cases():
     return items, texts
 
 
-def test_equals_every_window(spark, docs, monkeypatch):
+@pytest.mark.parametrize("bits", [D.FILTER_BITS, 64])  # the second is full: every place counts as marked
+def test_equals_every_window(spark, docs, monkeypatch, bits):
     items, texts = cases()
-    wanted = brute(texts, D.ItemIndex(items))
+    wanted = brute(texts, items)
     assert 20 < sum(map(bool, wanted)) < len(texts)
     table = spark.createDataFrame([*items, (None, None), (99, "")], "item_id long, text string")
-    for size in (D.ITEM_BLOCK, 7):
-        monkeypatch.setattr(D.item_blocks, "__defaults__", (size,))
-        got = [{} for _ in texts]
-        for r in D.find_leaks(docs(*enumerate(texts)), table).collect():
-            got[r["doc_id"]][r["item_id"]] = r["similarity"]
-        assert got == wanted
-        kept = {r["doc_id"] for r in D.drop_leaks(docs(*enumerate(texts)), table).collect()}
-        assert kept == {i for i, w in enumerate(wanted) if not w}
+    monkeypatch.setattr(D, "FILTER_BITS", bits)
+    got = [{} for _ in texts]
+    for r in D.find_leaks(docs(*enumerate(texts)), table).collect():
+        got[r["doc_id"]][r["item_id"]] = r["similarity"]
+    assert got == wanted
+    kept = sorted(r["doc_id"] for r in D.drop_leaks(docs(*enumerate(texts)), table).collect())
+    assert kept == [i for i, w in enumerate(wanted) if not w]
 
 
-def test_index_finds_all_fingerprints_within_the_radius():
+def test_index_finds_all_fingerprints_within_the_radius(spark):
     rng = np.random.default_rng(1)
-    index = D.ItemIndex(cases()[0])
+    own = rng.integers(-1 << 63, (1 << 63) - 1, 12).tolist()
+    items = spark.createDataFrame([(i, 7 + i % 2, p) for i, p in enumerate(own)], "item long, size int, print long")
     prints = []
     for flips in range(0, 30):
-        for p in index.prints.tolist():
-            prints.append(p ^ sum(1 << int(b) for b in rng.choice(64, flips, replace=False)))
-    prints = np.array(prints, np.uint64)
-    window, item = index.near(prints)
-    found = set(zip(window.tolist(), item.tolist()))
-    distance = np.bitwise_count(prints[:, None] ^ index.prints[None, :])
-    assert found == set(zip(*(x.tolist() for x in np.nonzero(distance <= D.RADIUS))))
+        for i, p in enumerate(own):
+            bits = sum(1 << int(b) for b in rng.choice(64, flips, replace=False))
+            prints.append((7 + i % 2, int(np.uint64(p & (1 << 64) - 1) ^ np.uint64(bits))))
+    rows = [(k, size, k, k + size, p - (1 << 64) if p >> 63 else p) for k, (size, p) in enumerate(prints)]
+    windows = spark.createDataFrame(rows, "at long, size int, begin int, stop int, print long")
+    got = {(r["at"], r["item"]) for r in D.near_items(windows, items).collect()}
+    assert got == {(k, i) for k, (size, p) in enumerate(prints) for i, q in enumerate(own)
+                   if size == 7 + i % 2 and (p ^ q & (1 << 64) - 1).bit_count() <= D.RADIUS}
+
+
+def test_no_item_passes_through_the_driver(spark, docs):
+    """What tasks know of the items has the same size for few and for many of them."""
+    few, many = (spark.range(n).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(0, 19), i -> concat('w', id * 31 + i))) as text")
+                 for n in (3, 400))
+    first, second = (D.item_filter(D.item_table(x), 1 << 16) for x in (few, many))
+    assert first.words.nbytes == second.words.nbytes and first.sizes.tolist() == second.sizes.tolist() == [16]
+    text = " ".join(f"w{250 * 31 + i}" for i in range(20))
+    assert [(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs((1, "so " + text), (2, "so")), many).collect()] == [(1, 250)]
+
+
+def test_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g", 2, 3, "x"), (2, "a b c d e f h", 2, 3, None), (3, None, 0, 0, "y")],
+                                 "doc_id long, text string, at long, item long, row string")
+    some = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    kept = D.drop_leaks(rows, some)
+    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
 
 
 def test_one_very_long_text(spark, docs):
