@@ -199,10 +199,13 @@ def _suspects(rows: DataFrame, sent, threshold: float) -> DataFrame:
 
 
 def near_items(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """at, item, spans: the windows (at, size, begin, stop, print) within the radius of an item of their size."""
+    """at, item, spans: the windows (at, size, begin, stop, print) within the radius of an item of their size.
+
+    The index is some 10,000 rows per item, so it is dealt out by its keys and never copied to every executor.
+    """
     probes = windows.select("at", "size", "begin", "stop", "print", F.posexplode(F.expr(
         f"transform(sequence(0, {BLOCKS - 1}), b -> cast(shiftrightunsigned(print, 16 * b) & 65535 as int))")).alias("block", "value"))
-    near = probes.join(index_items(items), ["size", "block", "value"]).filter(f"bit_count(print ^ item_print) <= {RADIUS}")
+    near = probes.join(index_items(items).hint("merge"), ["size", "block", "value"]).filter(f"bit_count(print ^ item_print) <= {RADIUS}")
     return near.groupBy("at", "item").agg(F.collect_set(F.struct("begin", "stop")).alias("spans"))
 
 
