@@ -20,6 +20,8 @@ def brute(texts, items):
     for text in texts:
         s, best = shingles(text), {}
         for key, held in ((k, shingles(t)) for k, t in items):
+            if set(s).isdisjoint(held):
+                continue  # similarity 0 with every window
             for p in range(len(s)):
                 window = s[p:p + len(held)]
                 common = (Counter(window) & Counter(held)).total()

@@ -9,10 +9,10 @@ import sentencepiece
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from acuity.llm import decontaminate, language, ngram_join, personal, pieces, quality
+from acuity.llm import language, ngram_join, personal, pieces, quality
 from acuity.llm.oracle import ORACLE
 from acuity.llm.queries import QUERIES, table
-from tests.llm import test_personal as plain_personal, test_quality as plain_quality, test_secrets as plain_secrets
+from tests.llm import test_decontaminate as plain_decontaminate, test_personal as plain_personal, test_quality as plain_quality, test_secrets as plain_secrets
 from tests.oracle_check import compare, connect
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -99,8 +99,8 @@ def test_pipeline(spark):
         if not changed:
             break
     rows = [r for k, r in enumerate(rows) if label[k] == k]
-    index = decontaminate.ItemIndex([(r["item_id"], r["text"]) for r in table(spark, SMALL, "benchmark").collect()])
-    rows = [r for r, found in zip(rows, decontaminate.leaks(index, [r["text"] for r in rows], 0.8)) if not found]
+    items = [(r["item_id"], r["text"]) for r in table(spark, SMALL, "benchmark").collect()]
+    rows = [r for r, found in zip(rows, plain_decontaminate.brute([r["text"] for r in rows], items)) if not found]
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     wanted = {r["doc_id"]: library.encode(personal.masked(r["text"]), num_threads=1) for r in rows}
     got = {r["doc_id"]: r["tokens"] for r in corpus_pipeline.run(spark, SMALL).collect()}
