@@ -305,6 +305,35 @@ def test_blanking_takes_one_pass_for_any_number_of_columns(rows):
     assert codes.blank_excluded(wide.select("study_id", "note"), excluded).columns == ["study_id", "note"]
 
 
+def test_blanking_packs_whole_numbers(spark, rows):
+    """More codes than may be listed one by one go to the rows packed; far-apart, negative and extreme ones are exact."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    listed = [*range(0, 4000, 2), -1, -64, -1025, 10**15, low, high]
+    values = [*range(-1100, 4100), 10**15, 10**15 + 1, 10**15 - 1024, low, low + 1, high, high - 1, None]
+    wide = spark.createDataFrame([(i, v, values[-1 - i]) for i, v in enumerate(values)],
+                                 "study_id long, coded_primary_procedure long, additional_procedure_1 long")
+    excluded = rows("achi_proc_code long", *[(c,) for c in listed], (None,))
+    want = {(i, *[None if v in set(listed) else v for v in (a, values[-1 - i])]) for i, a in enumerate(values)}
+    for most, shuffles in ((100, False), (0, True)):
+        got = codes.blank_excluded(wide, excluded, most_listed=most)
+        assert {tuple(r) for r in got.collect()} == want and got.dtypes == wide.dtypes
+        assert (exchanges(got) > 0) == shuffles
+
+
+def test_a_layout_named_twice_is_shuffled_once(spark):
+    """Long procedures joined with the oldest age of themselves: one layout, one grouping of labels."""
+    wide = spark.range(200).selectExpr("id % 50 as study_id", "id as coded_primary_procedure", "id % 7 as additional_procedure_1", "id % 90 as age")
+    sheet = proc.unpivot_procedures(wide, ["study_id"]).withColumn("correct", F.lit("yes"))
+    long = proc.attach_labels(wide, sheet, ["study_id", "age"])
+    cells = long.groupBy("booked_procedure", "age").agg(F.expr("count(*) as n"))
+    df = cells.withColumn("oldest", cells.agg(F.expr("max(struct(age, booked_procedure, n)).age")).scalar())
+    assert {(r.n > 0, r.oldest) for r in df.collect()} == {(True, 89)}
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange [booked_procedure" in final
+    plan = proc.one_label_per_code(sheet)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and plan.index("partial_max") < plan.index("REPARTITION_BY_COL")  # grouped where rows arrive
+
+
 def test_hand_off_is_whole_or_as_before(spark, rows, tmp_path):
     path = str(tmp_path / "stage")
     writers.write_stage(rows("a int", (1,)), path)
