@@ -10,10 +10,14 @@ from acuity.operators.frequency import freq_table
 
 
 def unpivot_procedures(study: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per coded procedure; empty places are dropped."""
+    """One row per coded procedure; empty places are dropped.
+
+    Laid out with ``inline``: Spark recognises two equal layouts, so a table
+    that a plan names twice is joined and shuffled once (not so with ``unpivot``).
+    """
     columns = S.procedure_code_columns(study.columns)
-    return (study.select(*keep, *columns)
-            .unpivot(keep, columns, "proc_num", "achi_proc_code")
+    places = ", ".join(f"struct('{c}' as proc_num, `{c}` as achi_proc_code)" for c in columns)
+    return (study.selectExpr(*[f"`{c}`" for c in keep], f"inline(array({places}))")
             .filter("achi_proc_code is not null")
             .withColumn("primary_proc", F.expr("proc_num = 'coded_primary_procedure'")))
 
@@ -33,9 +37,13 @@ def one_label_per_code(labels: DataFrame) -> DataFrame:
     A code may be listed twice in a study. A ``yes`` wins over a ``no``, which
     wins over a blank; the code is primary if the winning rows include the
     primary one. This keeps the label join at one match per row.
+
+    Few codes are listed twice, so rows are dealt out first and grouped where
+    they arrive: grouping them before the shuffle too fills memory and spares no row.
     """
     rank = "case correct when 'yes' then 4 when 'no' then 2 else 0 end + if(primary_proc, 1, 0)"
-    return (labels.groupBy("study_id", "achi_proc_code").agg(F.expr(f"max({rank}) as _best"))
+    ranked = labels.selectExpr("study_id", "achi_proc_code", f"{rank} as _rank").repartition("study_id", "achi_proc_code")
+    return (ranked.groupBy("study_id", "achi_proc_code").agg(F.expr("max(_rank) as _best"))
             .selectExpr("study_id", "achi_proc_code",
                         "case when _best >= 4 then 'yes' when _best >= 2 then 'no' end as correct",
                         "_best % 2 = 1 as primary_proc"))

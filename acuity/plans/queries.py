@@ -391,7 +391,8 @@ def _trauma_ratings(spark, sf):
     keep = ["study_id", "episode_number", "age", "sex", "procedural_consultant", "l_extendedprice", "emerg_priority_collapse",
             "admit_to_book_pd"]
     trauma = cohort.keep_cohort(t.episodes(spark, sf), trauma_first_code(spark, sf))
-    rows = proc.attach_labels(trauma, t.labels(spark, sf), keep, excluded=_excluded(spark, sf))
+    # one fixed way to join: chosen while it runs, it may differ for the oldest age, and the cells would be counted twice
+    rows = proc.attach_labels(trauma, t.labels(spark, sf), keep, excluded=_excluded(spark, sf).hint("shuffle_hash"))
     return proc.labelled_procedures(rows, ["episode_number", "proc_no", "procedural_consultant", "l_extendedprice"])
 
 
