@@ -74,22 +74,27 @@ def subwords(texts: list[str]):
         yield (value & np.uint32(BUCKETS - 1)).astype(np.int64), np.concatenate([[0], np.searchsorted(at, ends)])
 
 
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct subword buckets of each text and their shares."""
-    bags = []
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct subword buckets of the texts and their shares, joined, and the bounds of each text in them.
+
+    A few large arrays in place of two small ones per text: the driver gives their memory back.
+    """
+    buckets, shares, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.float32)], [0]
     for _, part in chunks(texts):
         orders = list(subwords(part))
-        for i in range(len(part)):
-            ids, n = np.unique(np.concatenate([b[e[i]:e[i + 1]] for b, e in orders]), return_counts=True)
-            bags.append((ids, (n / max(n.sum(), 1)).astype(np.float32)))
-    return bags
+        found = [np.unique(np.concatenate([b[e[i]:e[i + 1]] for b, e in orders]), return_counts=True) for i in range(len(part))]
+        buckets.append(np.concatenate([ids for ids, _ in found]).astype(np.uint16))  # below 1 << 16
+        shares.append(np.concatenate([(n / max(n.sum(), 1)).astype(np.float32) for _, n in found]))
+        sizes += [len(ids) for ids, _ in found]
+    return np.concatenate(buckets), np.concatenate(shares), np.cumsum(sizes)
 
 
 def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fits a model to texts with their languages."""
     languages = sorted(set(langs))
-    bags = [b for b in _bags(texts)]
-    known = [i for i, b in enumerate(bags) if len(b[0])]
+    buckets, shares, bounds = _bags(texts)
+    bag = [slice(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    known = np.flatnonzero(np.diff(bounds)).tolist()
     target = np.array([languages.index(x) for x in langs])
     rng = np.random.default_rng(seed)
     order = rng.permutation(known)
@@ -99,7 +104,7 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int =
     for epoch in range(epochs):
         rate = 2.0 * (1 - epoch / epochs)
         for i in rng.permutation(learned):
-            ids, share = bags[i]
+            ids, share = buckets[bag[i]], shares[bag[i]]
             mean = share @ embed[ids]
             z = mean @ linear + bias
             p = np.exp(z - z.max())
@@ -110,7 +115,7 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int =
             bias -= rate * 0.1 * p
             embed[ids] -= rate * share[:, None] * step
     weights = embed @ linear
-    scores = np.array([bags[i][1] @ weights[bags[i][0]] + bias for i in checks]).reshape(-1, len(languages))
+    scores = np.array([shares[bag[i]] @ weights[buckets[bag[i]]] + bias for i in checks]).reshape(-1, len(languages))
     temperature, threshold = _calibrate(scores, target[checks])
     return Model(languages, weights, bias, temperature, threshold)
 

@@ -2,6 +2,8 @@
 
 import zlib
 
+import numpy as np
+
 from acuity.llm import language as L
 
 SF = "/root/testdata/sf0.01"
@@ -46,3 +48,16 @@ def test_unsure_texts_are_rejected():
     temperature, threshold = L._calibrate(scores, target)
     top = L._softmax(scores / temperature).max(axis=1)
     assert (top[:3] >= threshold).all() and (top[3:6] < threshold).all()
+
+
+def test_bags_are_a_few_large_arrays():
+    """The driver holds the subwords of its sample in three arrays, not two per text."""
+    texts = ["Ein Haus", "", None, "a house and a mouse", "12 34"]
+    buckets, shares, bounds = L._bags(texts)
+    assert buckets.dtype == np.uint16 and shares.dtype == np.float32 and L.BUCKETS <= 1 << 16
+    assert len(bounds) == len(texts) + 1 and bounds[-1] == len(buckets) == len(shares)
+    for i, text in enumerate(texts):
+        found = np.concatenate([b for b, _ in L.subwords([text or ""])] or [np.zeros(0, int)])
+        ids, n = np.unique(found, return_counts=True)
+        assert buckets[bounds[i]:bounds[i + 1]].tolist() == ids.tolist()
+        assert np.allclose(shares[bounds[i]:bounds[i + 1]], n / max(n.sum(), 1))
