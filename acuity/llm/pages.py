@@ -1,12 +1,12 @@
-"""Main text of web pages: page marks first, repeated token runs of the host where marks are missing.
+"""Main text of web pages: page marks first, then repeated token runs of the host.
 
 A page is read into blocks of text. Scripts, styles, forms and elements whose
 tag, role, class or id names a menu, header, footer, sidebar, notice, advert or
 comment are *boilerplate*. If the page marks its article (``article``, ``main``,
-``role=main``), the other blocks inside it are its text, but for those in
+``role=main``), the other blocks inside it are *marked*, but for those in
 elements with such a word in a compound class or id (``entry-header``): these
-are *open*. So are all other blocks of a page without a mark. For open blocks
-the host decides:
+are *open*. So are all other blocks of a page without a mark. The host decides
+on both. For open blocks any repeat counts:
 
 1. The tokens of open and boilerplate blocks of the pages of one host are
    joined to one stream and indexed by a suffix array. Suffixes that share
@@ -20,8 +20,22 @@ the host decides:
    runs between them are kept. A block that is no heading is also removed if
    such runs and whole runs in boilerplate blocks of other pages cover all of it.
 
+For marked blocks, where articles may quote one another, a repeat counts if it
+is the site's template, on more than half of the host's different articles and
+on ``SITE`` of them at least:
+
+1. The first token of a block is covered only by the run that starts there, so
+   a template is looked for in blocks whose first run starts blocks on so many
+   articles.
+2. The tokens of these blocks of the different articles are indexed by a suffix
+   array as above, and the articles a run stands on are added up over all tasks.
+3. A marked block that is no heading is removed if runs on so many articles cover
+   all of it, unless such blocks hold half of the page's marked tokens or more:
+   then pages of the host are near copies, and the mark stands.
+
 So no host is ever gathered in one task, and a run repeats or not whatever
-the division into tasks. A block shorter than ``RUN`` tokens is one run.
+the division into tasks. An open block shorter than ``RUN`` tokens is one run; a
+marked one stays.
 
 Readers' comments mark no article, not even as ``article`` elements. A tag that
 is not closed before the next one starts stays text. The work grows with the
@@ -47,6 +61,7 @@ from acuity.llm.words import mix
 
 LARGEST = (1 << 63) - 1
 RUN = 8  # a power of two: suffix ranks double
+SITE = 3  # articles that show a site's template at least
 # fixed values: element names and the words that mark boilerplate
 RAW = ("script", "style", "template", "textarea", "noscript", "svg", "iframe", "title", "select", "object", "canvas")
 DROPPED = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "head"))
@@ -246,34 +261,34 @@ def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(s) for s in split], np.int64), _hashes([t for s in split for t in s])
 
 
+def _first_runs(pages: list[list[str]]) -> list[np.ndarray]:
+    """Per page: the runs that start its blocks of ``RUN`` tokens or more."""
+    starts = [[w[:RUN] for w in (t.split(None, RUN) for t in texts) if len(w) >= RUN] for texts in pages]
+    sizes = np.full(sum(map(len, starts)), RUN)
+    tokens = _hashes([t for page in starts for words in page for t in words]) if len(sizes) else np.zeros(0, np.uint64)
+    runs = run_hashes(sizes, tokens)[0][::RUN].view(np.int64)
+    return np.split(runs, np.cumsum([len(page) for page in starts])[:-1])
+
+
 def _parsed(batches):
     for batch in batches:
-        texts, opens, heads, before, others = [], [], [], [], []
-        for page in batch.column(3).to_pylist():
-            found = headed_blocks(page or "")
-            opened, headed, sure, run = [], [], [], []
-            for kind, head, t in found:
-                if kind == OPEN:
-                    opened.append(t)
-                    headed.append(head)
-                    sure.append(" ".join(run))
-                    run = []
-                elif kind == MAIN:
-                    run.append(t)
-            texts.append(None if opened else " ".join(run))
-            opens.append(opened)
-            heads.append(headed)
-            before.append([*sure, " ".join(run)] if opened else [])
-            others.append([t for kind, _, t in found if kind == BOILER])
+        found = [headed_blocks(page or "") for page in batch.column(3).to_pylist()]
+        if not found:
+            continue
+        marked = [[t for kind, _, t in page if kind == MAIN] for page in found]
+        firsts = _first_runs([[t for kind, head, t in page if kind == MAIN and not head] for page in found])
         yield pa.RecordBatch.from_pydict({
-            "page_id": batch.column(0), "url": batch.column(1), "host": batch.column(2), "text": pa.array(texts, pa.string()),
-            "opens": pa.array(opens, pa.list_(pa.string())), "heads": pa.array(heads, pa.list_(pa.bool_())), "sure": pa.array(before, pa.list_(pa.string())),
-            "others": pa.array(others, pa.list_(pa.string()))})
+            "page_id": batch.column(0), "url": batch.column(1), "host": batch.column(2),
+            "kinds": pa.array([[kind for kind, _, _ in page] for page in found], pa.list_(pa.int8())),
+            "heads": pa.array([[head for _, head, _ in page] for page in found], pa.list_(pa.bool_())),
+            "texts": pa.array([[t for _, _, t in page] for page in found], pa.list_(pa.string())),
+            "stream": pa.array([_stream_id(texts) if texts else None for texts in marked], pa.int64()),
+            "firsts": pa.array([np.unique(f) for f in firsts], pa.list_(pa.int64()))})
 
 
-def _stream_id(opened: list[str]) -> int:
-    """The same number for pages with the same open blocks."""
-    return int.from_bytes(hashlib.blake2b("\n".join(opened).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _stream_id(texts: list[str]) -> int:
+    """The same number for pages with the same open, or marked, blocks."""
+    return int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _task_runs(batches):
@@ -314,61 +329,122 @@ def _open_runs(batches):
                                               "page": pa.array([page] * len(runs), pa.int64()), "run": pa.array(runs)})
 
 
-def unique_text(texts: list[str], heads: list[bool], repeated: list[int], marked: list[int], sure: list[str]) -> str:
-    """The tokens of some blocks that no repeated run covers, with the sure text before each block and at the end.
+def _starting_blocks(batches):
+    """The blocks of a page that start as its host's template does."""
+    for batch in batches:
+        out = []
+        for kinds, heads, texts, starts in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            marked = [t for kind, head, t in zip(kinds, heads, texts) if kind == MAIN and not head]
+            out.append([t for t, first in zip(marked, _first_runs([[t] for t in marked])) if np.isin(first, starts).any()])
+        yield pa.RecordBatch.from_pydict({"key": batch.column(0), "host": batch.column(1), "blocks": pa.array(out, pa.list_(pa.string()))})
 
-    A block that is no heading goes whole if it is covered by repeated runs
-    and by those that other pages mark as boilerplate.
-    """
-    runs, length = run_hashes(*_stream(texts))
-    split = [text.split() for text in texts]
 
-    def covered(some: list[int]) -> np.ndarray:
-        hit = np.flatnonzero(np.isin(runs, np.array(some, np.int64).view(np.uint64)) & (length > 0))
+def _template_runs(batches):
+    """Each run of a host in such blocks once per batch, with the number of rows it stands on."""
+    for batch in batches:
+        hosts, place = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        rows = batch.column(1).to_pylist()
+        texts, owner = [t for row in rows for t in row], [i for i, row in enumerate(rows) for _ in row]
+        if not texts:
+            continue
+        sizes, tokens = _stream(texts)
+        runs, length = run_hashes(sizes, tokens)
+        row = np.repeat(np.array(owner), sizes)
+        order, starts = suffix_groups(sizes, tokens, place[row], length == RUN)
+        group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(order)]))
+        once = np.unique(group * np.int64(len(batch)) + row[order]) // len(batch)
+        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts[place[row[order[starts]]]]), "run": pa.array(runs[order[starts]].view(np.int64)),
+                                          "n": pa.array(np.bincount(once, minlength=len(starts)))})
+
+
+def _covered(texts: list[str], *some: list[int] | np.ndarray) -> list[list[np.ndarray]]:
+    """For each list of runs: which tokens of each block they cover."""
+    sizes, tokens = _stream(texts)
+    runs, length = run_hashes(sizes, tokens)
+    out = []
+    for wanted in some:
+        hit = np.flatnonzero(np.isin(runs, np.array(wanted, np.int64).view(np.uint64)) & (length > 0))
         cover = np.zeros(len(runs) + 1, np.int64)
         np.add.at(cover, hit, 1)
         np.add.at(cover, hit + length[hit], -1)
-        return np.cumsum(cover)[:-1] > 0
+        out.append(np.split(np.cumsum(cover)[:-1] > 0, np.cumsum(sizes)[:-1]))
+    return out
+
+
+def page_text(kinds: list[int], heads: list[bool], texts: list[str], repeated: list[int], others: list[int], template: np.ndarray) -> str:
+    """The marked blocks of a page that are no template, and the tokens of its open blocks that no repeated run covers.
 
-    gone, all_gone = covered(repeated), covered([*repeated, *marked])
-    parts, at = [], 0
-    for words, head, text in zip(split, heads, sure):
-        end = at + len(words)
-        parts.append(text)
-        if head or not all_gone[at:end].all():
-            parts += [t for t, g in zip(words, gone[at:end].tolist()) if not g]
-        at = end
-    return " ".join(filter(None, [*parts, sure[-1]]))
+    An open block that is no heading goes whole if it is covered by repeated
+    runs and by those that other pages mark as boilerplate.
+    """
+    kept = {i: text for i, (kind, text) in enumerate(zip(kinds, texts)) if kind == MAIN}
+    if kept and len(template):
+        cover, = _covered(list(kept.values()), template)
+        gone = {i: len(c) for i, c in zip(kept, cover) if not heads[i] and c.all()}
+        if 2 * sum(gone.values()) < sum(map(len, cover)):
+            kept = {i: text for i, text in kept.items() if i not in gone}
+    opened = [i for i, kind in enumerate(kinds) if kind == OPEN]
+    if opened:
+        for i, gone, all_gone in zip(opened, *_covered([texts[i] for i in opened], repeated, [*repeated, *others])):
+            if heads[i] or not all_gone.all():
+                kept[i] = " ".join(t for t, g in zip(texts[i].split(), gone.tolist()) if not g)
+    return " ".join(filter(None, (kept[i] for i in sorted(kept))))
 
 
 def _assembled(batches):
+    none = np.zeros(0, np.int64)
     for batch in batches:
-        texts = [unique_text(o, h, r or [], m or [], s) for o, h, r, m, s in zip(
-            *(batch.column(c).to_pylist() for c in ("opens", "heads", "repeated", "marked", "sure")))]
+        templates = (none if runs.values is None else runs.values.to_numpy() for runs in batch.column("template"))
+        texts = [page_text(k, h, t, r or [], o or [], m) for k, h, t, r, o, m in zip(
+            *(batch.column(c).to_pylist() for c in ("kinds", "heads", "texts", "repeated", "marked")), templates)]
         yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string())})
 
 
+def _templates(parsed: DataFrame) -> DataFrame:
+    """host, template: the runs of the host's template in marked articles."""
+    # one row for each different article: copies of a page and rows with its id count once
+    articles = store.write(
+        parsed.filter("stream is not null").groupBy("host", "page").agg(F.min(F.struct("stream", "key", "firsts")).alias("least"))
+        .groupBy("host", F.col("least.stream").alias("stream")).agg(F.min(F.struct("least.key", "least.firsts")).alias("least"))
+        .select("host", "least.key", "least.firsts"))
+    total = articles.groupBy("host").agg(F.count("*").alias("total"))
+
+    def site(counts: DataFrame, name: str) -> DataFrame:
+        """A host's runs on more than half of its articles: at most twice the runs of a mean article. Written, so that Spark knows the size."""
+        often = join_grouped(counts.filter(F.col("n") >= SITE), total, ["host"]).filter("2 * n > total")
+        return store.write(often.groupBy("host").agg(F.collect_list("run").alias(name)))
+
+    starts = site(articles.select("host", F.explode("firsts").alias("run")).groupBy("host", "run").agg(F.count("*").alias("n")), "starts")
+    found = (parsed.join(starts, "host").filter(F.arrays_overlap("firsts", "starts"))
+             .select("key", "host", "kinds", "heads", "texts", "starts").mapInArrow(_starting_blocks, "key long, host long, blocks array<string>"))
+    runs = found.join(articles.select("key"), "key").select("host", "blocks").mapInArrow(_template_runs, "host long, run long, n long")
+    return site(runs.groupBy("host", "run").agg(F.sum("n").alias("n")), "template")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
         .alias("host"), F.col("html").cast("string").alias("html"))
-    kind = "page_id long, url string, host long, text string, opens array<string>, heads array<boolean>, sure array<string>, others array<string>"
-    parsed = store.write(rows.mapInArrow(_parsed, kind).withColumn("key", F.monotonically_increasing_id()))
-    page = F.coalesce("page_id", F.lit(-1)).alias("page")
+    kind = "page_id long, url string, host long, kinds array<byte>, heads array<boolean>, texts array<string>, stream long, firsts array<long>"
+    parsed = store.write(rows.mapInArrow(_parsed, kind).withColumn("key", F.monotonically_increasing_id())
+                         .withColumn("page", F.coalesce("page_id", F.lit(-1))).withColumn("open", F.array_contains("kinds", F.lit(OPEN).cast("byte"))))
+    opens, others = (F.expr(f"filter(texts, (t, i) -> kinds[i] = {kind})").alias(name) for kind, name in ((OPEN, "opens"), (BOILER, "others")))
     ends = [f"{end}_{name}" for name in ("page", "stream", "other") for end in ("low", "high")]
-    runs = parsed.select("host", page, "opens", "others").mapInArrow(_task_runs, f"host long, run long, {' long, '.join(ends)} long")
+    runs = parsed.select("host", "page", opens, others).mapInArrow(_task_runs, f"host long, run long, {' long, '.join(ends)} long")
     repeated = (runs.groupBy("host", "run").agg(*[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in ends])
                 .filter("low_page is not null")
                 .selectExpr("host", "run", "low_page < high_page and low_stream < high_stream as shared", "low_other", "high_other")
                 .filter("shared or low_other is not null"))
-    open_ = parsed.filter("text is null")
-    opened = open_.select("key", "host", page, "opens").mapInArrow(_open_runs, "key long, host long, page long, run long")
+    open_ = parsed.filter("open")
+    opened = open_.select("key", "host", "page", opens).mapInArrow(_open_runs, "key long, host long, page long, run long")
     covered = (join_grouped(opened, repeated, ["host", "run"])
                .groupBy("key").agg(F.collect_set(F.expr("if(shared, run, null)")).alias("repeated"),
                                    F.collect_set(F.expr("if(low_other <> page or high_other <> page, run, null)")).alias("marked")))
-    rest = open_.join(covered, "key", "left").select("page_id", "url", "opens", "heads", "sure", "repeated", "marked").mapInArrow(
-        _assembled, "page_id long, url string, text string")
-    return parsed.filter("text is not null").select("page_id", "url", "text").unionAll(rest).withColumn(
-        "n_chars", F.length("text").cast("long"))
+    columns = ["key", "host", "page_id", "url", "kinds", "heads", "texts"]
+    none = F.lit(None).cast("array<long>")
+    judged = (parsed.filter("not open").select(*columns, none.alias("repeated"), none.alias("marked"))
+              .unionAll(open_.join(covered, "key", "left").select(*columns, "repeated", "marked"))
+              .join(_templates(parsed), "host", "left").drop("key", "host"))
+    return judged.mapInArrow(_assembled, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

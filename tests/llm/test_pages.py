@@ -136,3 +136,99 @@ def test_comments_and_adverts_of_an_article():
     assert main('<article><h2 class="ad">Buy</h2><p class="ad">this<div>kept</div></article>') == ["kept"]
     assert main('<article class="post has-comments"><p>Body</p><section id="comments"><article>cm</article></section></article>') == ["Body"]
     assert main("<article><p>Use the <button>Save</button> button</p></article>") == ["Use the Save button"]
+
+
+NOTICE = "get the best of our stories every day in one short letter"
+
+
+def words(rng, n):
+    return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+
+def texts_of(spark, pages, parts=3):
+    rows = [(i, f"https://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in P.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)).collect()}
+
+
+def test_the_host_decides_on_marked_articles(spark):
+    rng = random.Random(7)
+    own = [words(rng, 30) for _ in range(12)]
+    head = "the daily news of all the towns along the river"
+    pages = [("h", f"<nav>Home</nav><article><h2>{head}</h2><p>{own[i]}</p><p>{NOTICE}</p><p>Read more</p></article>") for i in range(4)]
+    pages += [("h", f"<main><p>{own[i]}</p></main>") for i in range(4, 7)]
+    pages += [("half", f"<article><p>{own[i]}</p>{f'<p>{NOTICE}' * (i < 9)}</article>") for i in range(7, 11)]
+    pages += [("two", f"<article><p>{own[i]}</p><p>{NOTICE}</p></article>") for i in range(2)]
+    assert texts_of(spark, pages) == {**{i: f"{head} {own[i]} Read more" for i in range(4)}, **{i: own[i] for i in range(4, 7)},
+                                      **{i: f"{own[i]} {NOTICE}" for i in (7, 8)}, **{i: own[i] for i in (9, 10)},
+                                      **{11 + i: f"{own[i]} {NOTICE}" for i in range(2)}}
+
+
+def test_copies_make_no_template_and_near_copies_stay(spark):
+    rng = random.Random(8)
+    own = [words(rng, 30) for _ in range(6)]
+    page = f"<article><p>{own[0]}</p><p>{NOTICE}</p></article>"
+    pages = [("h", page)] * 5 + [("h", f"<article><p>{own[i]}</p></article>") for i in (1, 2)]
+    pages += [("near", f"<article><p>{own[0]}</p><p>{own[1]}</p><p>edition {i}</p></article>") for i in range(4)] + [("near", f"<main>{own[2]}</main>")]
+    got = texts_of(spark, pages)
+    assert got == {**{i: f"{own[0]} {NOTICE}" for i in range(5)}, 5: own[1], 6: own[2],
+                   **{7 + i: f"{own[0]} {own[1]} edition {i}" for i in range(4)}, 11: own[2]}
+
+
+def marked_brute(rows):
+    """Marked blocks of each page that no run on more than half of the host's different articles covers."""
+    def runs(block):
+        w = block.split()
+        return [tuple(w[i:i + P.RUN]) for i in range(len(w) - P.RUN + 1)]
+
+    def site(stands):
+        return {key for key, on in stands.items() if len(on) >= P.SITE and 2 * len(on) > len(articles[key[0]])}
+
+    articles, first, stands, out = {}, {}, {}, {}
+    for _, host, blocks in rows:
+        articles.setdefault(host, set()).add(tuple(blocks))
+        for b in filter(runs, blocks):
+            first.setdefault((host, runs(b)[0]), set()).add(tuple(blocks))
+    first = site(first)
+    for _, host, blocks in rows:
+        for b in blocks:
+            if runs(b) and (host, runs(b)[0]) in first:
+                for r in runs(b):
+                    stands.setdefault((host, r), set()).add(tuple(blocks))
+    stands = site(stands)
+    for page, host, blocks in rows:
+        gone = set()
+        for k, b in enumerate(blocks):
+            cover = {j for i, r in enumerate(runs(b)) if (host, r) in stands for j in range(i, i + P.RUN)}
+            if len(cover) == len(b.split()):
+                gone.add(k)
+        n = [len(b.split()) for b in blocks]
+        gone = gone if 2 * sum(n[k] for k in gone) < sum(n) else set()
+        out[page] = " ".join(b for k, b in enumerate(blocks) if k not in gone)
+    return out, first
+
+
+def test_marked_pages_equal_plain_python(spark):
+    rng = random.Random(9)
+    shared = {h: [words(rng, rng.randint(4, 14)) for _ in range(3)] for h in "abcd"}
+    rows = []
+    for i in range(90):
+        host = rng.choice("aabcd")
+        tail = shared[host][2].split()
+        blocks = [words(rng, rng.randint(1, 30)) for _ in range(rng.randint(0, 3))]
+        blocks += [s for s in shared[host] if rng.random() < .55] + [" ".join(tail[rng.randint(0, 1):9] + ["x"] * rng.randint(0, 2))]
+        rng.shuffle(blocks)
+        rows.append((i, host, blocks) if rng.random() < .8 or not rows else (i, *rows[-1][1:]))
+    wanted, first = marked_brute(rows)
+    assert first and any(wanted[i] != " ".join(b) for i, _, b in rows) and any(wanted[i] == " ".join(b) for i, _, b in rows)
+    for parts in (1, 5):
+        assert texts_of(spark, [(h, "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>") for _, h, blocks in rows], parts) == wanted
+
+
+def test_template_on_pages_with_open_blocks_and_without_ids(spark):
+    rng = random.Random(10)
+    own = [words(rng, 30) for _ in range(8)]
+    page = '<article><div class="entry-header"><p>by {} </div><p>{}</p><p>' + NOTICE + '</p></article>'
+    rows = [(i, "https://h/", page.format(i, own[i])) for i in range(3)] + [(None, "https://n/", page.format(i, own[i])) for i in range(4)]
+    got = P.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    # rows without an id are one page, too few to show a template
+    assert sorted(r["text"] for r in got) == sorted([f"by {i} {own[i]}" for i in range(3)] + [f"by {i} {own[i]} {NOTICE}" for i in range(4)])
