@@ -29,9 +29,10 @@ on ``SITE`` of them at least:
    articles.
 2. The tokens of these blocks of the different articles are indexed by a suffix
    array as above, and the articles a run stands on are added up over all tasks.
+   Articles with half of their tokens or more in such blocks do not count: they
+   are near copies of each other.
 3. A marked block that is no heading is removed if runs on so many articles cover
-   all of it, unless such blocks hold half of the page's marked tokens or more:
-   then pages of the host are near copies, and the mark stands.
+   all of it. If nothing of the marked text were left, all of it stays.
 
 So no host is ever gathered in one task, and a run repeats or not whatever
 the division into tasks. An open block shorter than ``RUN`` tokens is one run; a
@@ -330,12 +331,14 @@ def _open_runs(batches):
 
 
 def _starting_blocks(batches):
-    """The blocks of a page that start as its host's template does."""
+    """The blocks of a page that start as its host's template does, none if they hold half of its marked tokens."""
     for batch in batches:
         out = []
         for kinds, heads, texts, starts in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
             marked = [t for kind, head, t in zip(kinds, heads, texts) if kind == MAIN and not head]
-            out.append([t for t, first in zip(marked, _first_runs([[t] for t in marked])) if np.isin(first, starts).any()])
+            here = [t for t, first in zip(marked, _first_runs([[t] for t in marked])) if np.isin(first, starts).any()]
+            size = sum(len(t.split()) for kind, t in zip(kinds, texts) if kind == MAIN)
+            out.append(here if 2 * sum(len(t.split()) for t in here) < size else [])
         yield pa.RecordBatch.from_pydict({"key": batch.column(0), "host": batch.column(1), "blocks": pa.array(out, pa.list_(pa.string()))})
 
 
@@ -380,9 +383,8 @@ def page_text(kinds: list[int], heads: list[bool], texts: list[str], repeated: l
     kept = {i: text for i, (kind, text) in enumerate(zip(kinds, texts)) if kind == MAIN}
     if kept and len(template):
         cover, = _covered(list(kept.values()), template)
-        gone = {i: len(c) for i, c in zip(kept, cover) if not heads[i] and c.all()}
-        if 2 * sum(gone.values()) < sum(map(len, cover)):
-            kept = {i: text for i, text in kept.items() if i not in gone}
+        left = {i: text for (i, text), c in zip(kept.items(), cover) if heads[i] or not c.all()}
+        kept = left or kept
     opened = [i for i, kind in enumerate(kinds) if kind == OPEN]
     if opened:
         for i, gone, all_gone in zip(opened, *_covered([texts[i] for i in opened], repeated, [*repeated, *others])):

@@ -155,12 +155,13 @@ def test_the_host_decides_on_marked_articles(spark):
     own = [words(rng, 30) for _ in range(12)]
     head = "the daily news of all the towns along the river"
     pages = [("h", f"<nav>Home</nav><article><h2>{head}</h2><p>{own[i]}</p><p>{NOTICE}</p><p>Read more</p></article>") for i in range(4)]
-    pages += [("h", f"<main><p>{own[i]}</p></main>") for i in range(4, 7)]
+    pages += [("h", f"<main><p>{own[i]}</p><p>{NOTICE}</p></main>") for i in range(4, 6)] + [("h", f"<main><p>{own[6]}</p></main>")]
     pages += [("half", f"<article><p>{own[i]}</p>{f'<p>{NOTICE}' * (i < 9)}</article>") for i in range(7, 11)]
     pages += [("two", f"<article><p>{own[i]}</p><p>{NOTICE}</p></article>") for i in range(2)]
+    pages += [("h", f"<main><p>short</p><p>{NOTICE}</p></main>"), ("h", f"<main><p>{NOTICE}</p></main>")]
     assert texts_of(spark, pages) == {**{i: f"{head} {own[i]} Read more" for i in range(4)}, **{i: own[i] for i in range(4, 7)},
                                       **{i: f"{own[i]} {NOTICE}" for i in (7, 8)}, **{i: own[i] for i in (9, 10)},
-                                      **{11 + i: f"{own[i]} {NOTICE}" for i in range(2)}}
+                                      **{11 + i: f"{own[i]} {NOTICE}" for i in range(2)}, 13: "short", 14: NOTICE}
 
 
 def test_copies_make_no_template_and_near_copies_stay(spark):
@@ -190,10 +191,10 @@ def marked_brute(rows):
             first.setdefault((host, runs(b)[0]), set()).add(tuple(blocks))
     first = site(first)
     for _, host, blocks in rows:
-        for b in blocks:
-            if runs(b) and (host, runs(b)[0]) in first:
-                for r in runs(b):
-                    stands.setdefault((host, r), set()).add(tuple(blocks))
+        here = [b for b in blocks if runs(b) and (host, runs(b)[0]) in first]
+        for b in here if 2 * len(" ".join(here).split()) < len(" ".join(blocks).split()) else []:
+            for r in runs(b):
+                stands.setdefault((host, r), set()).add(tuple(blocks))
     stands = site(stands)
     for page, host, blocks in rows:
         gone = set()
@@ -201,8 +202,7 @@ def marked_brute(rows):
             cover = {j for i, r in enumerate(runs(b)) if (host, r) in stands for j in range(i, i + P.RUN)}
             if len(cover) == len(b.split()):
                 gone.add(k)
-        n = [len(b.split()) for b in blocks]
-        gone = gone if 2 * sum(n[k] for k in gone) < sum(n) else set()
+        gone = gone if len(gone) < len(blocks) else set()
         out[page] = " ".join(b for k, b in enumerate(blocks) if k not in gone)
     return out, first
 
